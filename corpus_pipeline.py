@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import common, exact_dedup, minhash_dedup, packing
+from tessera.llm import common, exact_dedup, language_id, minhash_dedup, mixing, packing
 
 STAGES = [
+    ("language", language_id.language_stage),
     ("exact_dedup", exact_dedup.exact_dedup_stage),
     ("near_dedup", minhash_dedup.near_dedup_stage),
+    ("mixing", mixing.mixing_stage),
     ("packing", packing.packing_stage),
 ]
 
-#: The language stage's network and the packing's search have no SQL form; tests compare with brute force.
+#: The language stage's network has no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -20,7 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,20 +102,24 @@ def pieces_of(ids: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
 
 
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = common.once_a_worker(("encoder", tokenizer), lambda: Encoder(tokenizer))
         for batch in batches:
-            out = []
-            for row, doc_id, text in zip(batch["row"], batch["doc_id"].astype(object), batch["text"]):
+            of, out = [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 ids = encoder.encode(text)
                 ids.append(END_ID)
-                out += [(row, doc_id, *p) for p in pieces_of(ids, capacity)]
-            got = pd.DataFrame(out, columns=["row", "doc_id", "piece", "start", "length", "ids_crc32"])
-            yield got.assign(doc_id=pd.array(got["doc_id"], dtype="Int64"))
+                got = pieces_of(ids, capacity)
+                of += [k] * len(got)
+                out += got
+            of = pa.array(of, pa.int64())
+            piece, start, length, crc = zip(*out) if out else ((),) * 4
+            columns = [batch.column("row").take(of), batch.column("doc_id").take(of), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(
         F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"), common.text_of(docs, text_col).alias("text")
-    ).mapInPandas(run, PIECE_SCHEMA)
+    ).mapInArrow(run, PIECE_SCHEMA)
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
@@ -231,17 +235,17 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int
     return local_search(best_fit(lengths, capacity), lengths, capacity)
 
 
-def _pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["row", "piece"], kind="stable").reset_index(drop=True)
-    lengths = pdf["length"].to_numpy()
-    sequence, offset, full = (np.zeros(len(pdf), np.int64) for _ in range(3))
+def _pack_group(table: pa.Table, capacity: int) -> pa.Table:
+    table = table.sort_by([("row", "ascending"), ("piece", "ascending")])
+    lengths = table.column("length").to_numpy()
+    number, offset, full = (np.zeros(len(lengths), np.int64) for _ in range(3))
     for k, b in enumerate(pack_lengths(lengths, capacity)):
-        at = 0
-        for i in b:
-            sequence[i], offset[i] = k, at
-            at += lengths[i]
-        full[b] = at
-    return pdf.assign(bin=sequence, offset=offset, fill=full)
+        number[b] = k
+        offset[b] = np.cumsum(lengths[b]) - lengths[b]
+        full[b] = lengths[b].sum()
+    for name, x in (("bin", number), ("offset", offset), ("fill", full)):
+        table = table.append_column(name, pa.array(x))
+    return table
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
@@ -257,7 +261,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     while n:
         deals = -(-n // group)
         dealt = rest.withColumn("deal", F.expr(f"pmod(xxhash64(row, piece, {level}), {deals})"))
-        packed = dealt.groupBy("deal").applyInPandas(lambda p: _pack_group(p, capacity), schema)
+        packed = dealt.groupBy("deal").applyInArrow(lambda t: _pack_group(t, capacity), schema)
         packed = common.materialize(packed, "packed")
         under = packed.filter(F.col("fill") < capacity)
         left = under.count()

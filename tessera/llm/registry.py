@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash_dedup, packing, pii
+from . import ann_mih, exact_dedup, language_id, license_scan, minhash_dedup, mixing, packing, pii, quality_crf
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,12 +14,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     found = [
         packing.op1_best_fit_packing,
+        mixing.op3_mixing_weights,
         pii.op4_pii,
+        language_id.op5_language_id,
+        license_scan.op6_license_scan,
         minhash_dedup.op7_minhash_near_dedup,
         exact_dedup.op8_exact_dedup,
+        quality_crf.op9_quality_classifier,
+        ann_mih.op10_ann_mih,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op3_mixing_weights": mixing.OP3_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
