@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_mih, exact_dedup, language_id, license_scan, minhash_dedup, mixing, packing, pii, quality_crf
+from . import ann_mih, exact_dedup, language_id, license_scan, minhash_dedup, mixing, packing, pii, quality_crf, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     found = [
         packing.op1_best_fit_packing,
+        secret_scan.op2_secret_scan,
         mixing.op3_mixing_weights,
         pii.op4_pii,
         language_id.op5_language_id,
