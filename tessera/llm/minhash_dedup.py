@@ -6,12 +6,14 @@ chunks; if two signatures differ in at most RADIUS < 2*CHUNKS slots, some chunk
 differing slot. Leaving out each slot of each chunk in turn enumerates that error, so every pair
 under the distance shares a key: at s = 0.85 a pair exceeds RADIUS with probability below 1e-4.
 
-Documents with equal sets form one class; only class representatives are indexed. Within a key's
-bucket no pairs are listed: each round compares one leader with the other members, confirms links on
-the full sets, joins the confirmed components and retires the leader. A bucket is finished when its
-members are one component, so a group of any number of near copies costs a few rows a member.
-Buckets still open after ROUNDS rounds are searched in blocks, which emit only pairs of different
-components under the distance. No bucket is capped.
+Documents with equal sets form one class; only class representatives are indexed. Pairs within a
+bucket aren't listed. In each of ROUNDS rounds every document makes one offer, to the head of its
+largest bucket whose head belongs to another component; offers are confirmed on the full sets and
+the components joined, so a group of any number of near copies soon is one component for a row a
+member and round. A bucket whose members are one component is finished. What is left is searched in
+blocks of bounded size: pairs of different components under the signature distance, that a longer
+signature (LONG slots, distance LONG_RADIUS) doesn't rule out either, each emitted from one of its
+buckets only, and confirmed on the full sets. No bucket is capped.
 
 Defined results: null or wordless texts have an empty set, are linked with nothing and kept; texts
 of fewer than 5 words are one shingle; rows that share a doc_id are each judged by their own set, one
@@ -25,23 +27,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 5
 SLOTS, CHUNKS, RADIUS, BITS = 64, 11, 21, 16
-ROUNDS = 4
+#: Slots of 8 bits of the longer signature; at s = 0.85 a pair exceeds LONG_RADIUS with probability below 1e-4.
+LONG, LONG_RADIUS = 512, 111
+ROUNDS = 3
+#: Members of a bucket's block; two blocks meet in a task.
 BLOCK = 1024
 _UPPER = str.maketrans({c: c + 32 for c in range(65, 91)})
 
 _rng = np.random.Generator(np.random.PCG64(20240131))
-#: Odd multipliers and offsets of the SLOTS hash functions (multiply-shift on 64 bits).
-MULTIPLIERS = _rng.integers(0, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _rng.integers(0, 2**63, SLOTS, dtype=np.uint64)
+#: Odd multipliers and offsets of the hash functions of both signatures (multiply-shift on 64 bits).
+MULTIPLIERS = _rng.integers(0, 2**63, SLOTS + LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OFFSETS = _rng.integers(0, 2**63, SLOTS + LONG, dtype=np.uint64)
 CHUNK_SLOTS = [list(map(int, x)) for x in np.array_split(np.arange(SLOTS), CHUNKS)]
 
 
@@ -75,31 +79,49 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(words, dtype=object), categorize=False)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """SLOTS minima, of which BITS bits are kept."""
-    low = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
+def minima(shingles: np.ndarray, functions: slice) -> np.ndarray:
+    a, b = MULTIPLIERS[functions], OFFSETS[functions]
+    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(shingles), 2048):
-            part = shingles[at : at + 2048, None]
-            low = np.minimum(low, (part * MULTIPLIERS + OFFSETS).min(0))
-        return (mix(low) & np.uint64((1 << BITS) - 1)).astype(np.uint16)
+            low = np.minimum(low, (shingles[at : at + 2048, None] * a + b).min(0))
+        return mix(low)
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """SLOTS minima, of which BITS bits are kept."""
+    return (minima(shingles, slice(SLOTS)) & np.uint64((1 << BITS) - 1)).astype(np.uint16)
+
+
+def long_signature(shingles: np.ndarray) -> np.ndarray:
+    return (minima(shingles, slice(SLOTS, None)) & np.uint64(255)).astype(np.uint8)
 
 
 def keys_of(sigs: np.ndarray) -> np.ndarray:
-    """Per signature, chunk and left-out slot a 64-bit hash of the chunk's other slots."""
+    """Per signature, chunk and left-out slot a hash of the chunk's other slots; the low 6 bits name the slot."""
     out = np.empty(sigs.shape, np.int64)
     with np.errstate(over="ignore"):
         wide = sigs.astype(np.uint64)
-        for c, slots in enumerate(CHUNK_SLOTS):
+        for slots in CHUNK_SLOTS:
             for gone in slots:
-                acc = np.full(len(sigs), c * 256 + gone + 1, np.uint64)
+                acc = np.full(len(sigs), gone + 1, np.uint64)
                 for s in slots:
                     if s != gone:
                         acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + wide[:, s])
-                out[:, gone] = acc.view(np.int64)
+                out[:, gone] = ((acc & ~np.uint64(63)) | np.uint64(gone)).view(np.int64)
     return out
 
 
+def first_shared_slot(differ: np.ndarray) -> np.ndarray:
+    """The lowest left-out slot whose key two signatures share, from (pairs, SLOTS) of differing slots; SLOTS if none."""
+    best = np.full(len(differ), SLOTS)
+    for slots in reversed(CHUNK_SLOTS):
+        part = differ[:, slots[0] : slots[-1] + 1]
+        wrong = part.sum(1)
+        best = np.where(wrong == 0, slots[0], np.where(wrong == 1, slots[0] + part.argmax(1), best))
+    return best
+
+
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import hashlib
 
@@ -120,7 +142,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [shingle_hashes(t).tobytes() for t in batch["text"]]})
+        sets = [shingle_hashes(t) for t in batch["text"]]
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [s.tobytes() for s in sets], "long_sig": [long_signature(s).tobytes() for s in sets]})
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,13 +164,6 @@ def _linked(percent: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
         yield batch.loc[keep, ["a", "b"]]
 
 
-def _near(radius: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        if len(batch):
-            a, b = (np.stack([np.frombuffer(x, np.uint16) for x in batch[c]]) for c in ("a_sig", "b_sig"))
-            yield batch.loc[(a != b).sum(1) <= radius, ["a", "b"]]
-
-
 def components(nodes_edges: DataFrame) -> DataFrame:
     """(doc_id, component_id) of the nodes of edges (a, b), by alternating hooking and shortcutting.
 
@@ -186,66 +202,62 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "a_set", "b_set").mapInPandas(lambda x: _linked(percent, x), "a long, b long")
 
 
-def _across(radius: int, pdf_pair: tuple) -> pd.DataFrame:
-    left, right, same = pdf_pair
-    a, b = (np.stack([np.frombuffer(x, np.uint16) for x in p["sig"]]) for p in (left, right))
-    ca, cb = left["component_id"].to_numpy(), right["component_id"].to_numpy()
-    ia, ib = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
-    out = []
-    for k in range(len(left)):
-        ok = ((a[k] != b).sum(1) <= radius) & (cb != ca[k])
-        if same:
-            ok &= ib > ia[k]
-        hit = ib[ok]
-        out.append(np.stack([np.minimum(hit, ia[k]), np.maximum(hit, ia[k])], 1))
-    got = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-    return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+def across(left: pd.DataFrame, right: pd.DataFrame, same: bool, slot: int) -> np.ndarray:
+    """(a, b) of pairs of different components under both distances whose first shared key is this bucket's."""
+    unpack = lambda p, c, t: np.stack([np.frombuffer(x, t) for x in p[c]])
+    short, wide = unpack(right, "sig", np.uint16), unpack(right, "long_sig", np.uint8)
+    component, ids = right["component_id"].to_numpy(), right["doc_id"].to_numpy()
+    out = [np.empty((0, 2), np.int64)]
+    for own, sig, long_sig, c in zip(left["doc_id"], unpack(left, "sig", np.uint16), unpack(left, "long_sig", np.uint8), left["component_id"]):
+        at = np.flatnonzero((component != c) & (ids > own if same else True))
+        differ = short[at] != sig
+        ok = (differ.sum(1) <= RADIUS) & (first_shared_slot(differ) == slot)
+        at = at[ok]
+        hit = ids[at[(wide[at] != long_sig).sum(1) <= LONG_RADIUS]]
+        out.append(np.stack([np.minimum(hit, own), np.maximum(hit, own)], 1))
+    return np.concatenate(out)
 
 
 def links_within(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links that connect all linked documents; members: (key, doc_id) of shared buckets."""
-    spark = members.sparkSession
-    schema = "a long, b long"
-    links = spark.createDataFrame([], schema)
-    tried = spark.createDataFrame([], schema)
-    labels = None
-    sig = lambda side: sigs.select(F.col("doc_id").alias(side), F.col("sig").alias(f"{side}_sig"))
-    for _ in range(ROUNDS):
-        leader = members.groupBy("key").agg(F.min("doc_id").alias("a"))
-        pairs = members.join(leader, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        near = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "a_sig", "b_sig")
-        near = common.materialize(near.mapInPandas(lambda x: _near(RADIUS, x), schema), "near")
-        tried = common.materialize(tried.union(near), "tried")
-        links = common.materialize(links.union(confirm(near, sets, percent)), "links")
+    links = members.sparkSession.createDataFrame([], "a long, b long")
+    members = members.withColumn("component_id", F.col("doc_id"))
+    for r in range(ROUNDS):
+        heads = _open(members, F.min_by(F.struct("doc_id", "component_id"), F.xxhash64("doc_id", F.lit(r))).alias("head"), F.count(F.lit(1)).alias("n"))
+        others = members.join(heads, "key").filter("component_id <> head.component_id")
+        offers = others.groupBy("doc_id").agg(F.max_by("head.doc_id", F.struct("n", "key")).alias("to"))
+        pairs = offers.select(F.least("doc_id", "to").alias("a"), F.greatest("doc_id", "to").alias("b")).distinct()
+        links = common.materialize(links.union(confirm(pairs, sets, percent)), "links")
         labels = components(links)
-        rest = members.join(leader, "key").filter("doc_id <> a").select("key", "doc_id")
-        rest = rest.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
-        rest = common.materialize(rest, "rest")
-        still = rest.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).filter("lo < hi").select("key")
-        members = common.materialize(rest.join(still, "key").select("key", "doc_id"), "members")
+        own = members.drop("component_id").join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+        own = common.materialize(own, "placed")
+        members = common.materialize(own.join(_open(own), "key", "left_semi"), "members")
         if members.isEmpty():
             return links
-    return links.union(confirm(_blocked(members, labels, sigs, tried), sets, percent))
+    return links.union(confirm(_blocked(members, sigs, sets), sets, percent))
+
+
+def _open(members: DataFrame, *more: Column) -> DataFrame:
+    """Keys whose members are of two components or more."""
+    return members.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), *more).filter("lo < hi").drop("lo", "hi")
 
 
-def _blocked(members: DataFrame, labels: DataFrame, sigs: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of different components under the distance, in what is left of the buckets, block by block."""
+def _blocked(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that across() finds in what is left of the buckets, block by block."""
     size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = members.join(labels, "doc_id", "left").join(sigs, "doc_id").select("key", "doc_id", "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
-    own = own.join(size, "key").withColumn("block", F.expr("int(pmod(xxhash64(doc_id), blocks))"))
-    own = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    own = members.join(size, "key").join(sigs, "doc_id").join(sets.select("doc_id", "long_sig"), "doc_id")
+    own = own.withColumn("block", F.expr("int(pmod(xxhash64(doc_id), blocks))")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     own = own.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        got = np.empty((0, 2), np.int64)
         left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
-        return _across(RADIUS, (left, right, i == j))
+        if len(left) and len(right):
+            got = across(left, right, i == j, int(pdf["key"].iloc[0]) & 63)
+        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
 
-    got = own.groupBy("key", "i", "j").applyInPandas(search, "a long, b long").distinct()
-    return common.materialize(got.join(tried, ["a", "b"], "left_anti"), "blocked")
+    return common.materialize(own.groupBy("key", "i", "j").applyInPandas(search, "a long, b long"), "blocked")
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,7 +277,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = common.materialize(keys.join(shared, "key"), "members")
     wanted = members.select("doc_id").distinct()
-    sets = common.materialize(common.join_ids(docs, wanted, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, shingles binary"), "sets")
+    sets = common.materialize(common.join_ids(docs, wanted, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, shingles binary, long_sig binary"), "sets")
     labels = components(links_within(members, sigs.join(wanted, "doc_id", "left_semi"), sets, percent))
     labels = labels.select(F.col("doc_id").alias("rep"), "component_id")
     classes = classes.select("set_hash", "rep").join(labels, "rep", "left").select("set_hash", F.coalesce("component_id", "rep").alias("component_id"))
