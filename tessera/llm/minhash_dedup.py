@@ -8,10 +8,10 @@ under the distance shares a key: at s = 0.85 a pair exceeds RADIUS with probabil
 
 Documents with equal sets form one class; only class representatives are indexed. Pairs within a
 bucket aren't listed. In each of ROUNDS rounds every document makes one offer, to the head of its
-largest bucket whose head belongs to another component; offers are confirmed on the full sets and
-the components joined, so a group of any number of near copies soon is one component for a row a
-member and round. A bucket whose members are one component is finished. What is left is searched in
-blocks of bounded size: pairs of different components under the signature distance, that a longer
+largest bucket whose head belongs to another component, a head being the member that shares buckets
+with the most documents; offers are confirmed on the full sets and the components joined, so most of
+a group of any number of near copies soon is one component for a row a member and round. A bucket whose members are one component is finished. What is left is searched in
+tiles of bounded size: pairs of different components under the signature distance, that a longer
 signature (LONG slots, distance LONG_RADIUS) doesn't rule out either, each emitted from one of its
 buckets only, and confirmed on the full sets. No bucket is capped.
 
@@ -22,11 +22,13 @@ result row per input row; a row with a null doc_id gives none. Other columns are
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ SHINGLE = 5
 SLOTS, CHUNKS, RADIUS, BITS = 64, 11, 21, 16
 #: Slots of 8 bits of the longer signature; at s = 0.85 a pair exceeds LONG_RADIUS with probability below 1e-4.
 LONG, LONG_RADIUS = 512, 111
-ROUNDS = 3
+ROUNDS = 2
 #: Members of a bucket's block; two blocks meet in a task.
 BLOCK = 1024
 _UPPER = str.maketrans({c: c + 32 for c in range(65, 91)})
@@ -122,46 +124,47 @@ def first_shared_slot(differ: np.ndarray) -> np.ndarray:
     return best
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import hashlib
-
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """doc_id and shingles of a few texts at a time."""
     for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            s = shingle_hashes(text)
-            if len(s):
-                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s).tobytes()))
-            else:
-                rows.append((doc_id, 0, None, None))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_hash", "sig"])
+        for a in range(0, batch.num_rows, 128):
+            part = batch.slice(a, 128)
+            yield part.column("doc_id"), [shingle_hashes(t) for t in part.column("text").to_pylist()]
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, sets in _texts(batches):
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s).tobytes()) if len(s) else (0, None, None) for s in sets]
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], ["doc_id", "n_shingles", "set_hash", "sig"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    return docs.mapInPandas(_signed, "doc_id long, n_shingles long, set_hash binary, sig binary")
+    return docs.mapInArrow(_signed, "doc_id long, n_shingles long, set_hash binary, sig binary")
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        sets = [shingle_hashes(t) for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [s.tobytes() for s in sets], "long_sig": [long_signature(s).tobytes() for s in sets]})
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, sets in _texts(batches):
+        columns = [[s.tobytes() for s in sets], [long_signature(s).tobytes() for s in sets]]
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.binary()) for x in columns)], ["doc_id", "shingles", "long_sig"])
 
 
-def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if len(batch):
-            keys = keys_of(np.stack([np.frombuffer(x, np.uint16) for x in batch["sig"]]))
-            yield pd.DataFrame({"key": keys.ravel(), "doc_id": np.repeat(batch["doc_id"].to_numpy(), SLOTS)})
+        sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
+        ids = np.repeat(batch.column("doc_id").to_numpy(), SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array(keys_of(sigs).ravel()), pa.array(ids)], ["key", "doc_id"])
 
 
-def _linked(percent: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _linked(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps pairs whose full sets satisfy 100 * |A and B| >= percent * |A or B|."""
     for batch in batches:
         keep = []
-        for x, y in zip(batch["a_set"], batch["b_set"]):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for k in range(batch.num_rows):
+            x, y = (np.frombuffer(batch.column(c)[k].as_py(), np.uint64) for c in ("a_set", "b_set"))
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield batch.loc[keep, ["a", "b"]]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def components(nodes_edges: DataFrame) -> DataFrame:
@@ -199,37 +202,55 @@ def components(nodes_edges: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("b_set")), "b")
     joined = joined.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("a_set")), "a")
-    return joined.select("a", "b", "a_set", "b_set").mapInPandas(lambda x: _linked(percent, x), "a long, b long")
+    return joined.select("a", "b", "a_set", "b_set").mapInArrow(lambda x: _linked(percent, x), "a long, b long")
+
 
+def across(key: np.ndarray, tile: np.ndarray, block: np.ndarray, component: np.ndarray, ids: np.ndarray, sig: np.ndarray, long_sig: np.ndarray) -> np.ndarray:
+    """(a, b) of pairs within a tile (rows with equal tile, side by side) that may be links.
 
-def across(left: pd.DataFrame, right: pd.DataFrame, same: bool, slot: int) -> np.ndarray:
-    """(a, b) of pairs of different components under both distances whose first shared key is this bucket's."""
-    unpack = lambda p, c, t: np.stack([np.frombuffer(x, t) for x in p[c]])
-    short, wide = unpack(right, "sig", np.uint16), unpack(right, "long_sig", np.uint8)
-    component, ids = right["component_id"].to_numpy(), right["doc_id"].to_numpy()
+    Kept are pairs of different components under both distances whose first shared key is the tile's;
+    a tile of two blocks pairs rows across them only. All tiles are worked on at once, by the distance
+    between the two rows.
+    """
+    _, first, size = np.unique(tile, return_index=True, return_counts=True)
+    two = np.zeros(len(tile), bool)
+    for f, n in zip(first[size > 1], size[size > 1]):
+        two[f : f + n] = block[f : f + n].min() != block[f : f + n].max()
     out = [np.empty((0, 2), np.int64)]
-    for own, sig, long_sig, c in zip(left["doc_id"], unpack(left, "sig", np.uint16), unpack(left, "long_sig", np.uint8), left["component_id"]):
-        at = np.flatnonzero((component != c) & (ids > own if same else True))
-        differ = short[at] != sig
-        ok = (differ.sum(1) <= RADIUS) & (first_shared_slot(differ) == slot)
-        at = at[ok]
-        hit = ids[at[(wide[at] != long_sig).sum(1) <= LONG_RADIUS]]
-        out.append(np.stack([np.minimum(hit, own), np.maximum(hit, own)], 1))
+    at = np.arange(len(tile))
+    for d in range(1, int(size.max(initial=0))):
+        at = at[at + d < len(tile)]
+        at = at[tile[at] == tile[at + d]]
+        if not len(at):
+            break
+        x = at[(component[at] != component[at + d]) & (~two[at] | (block[at] != block[at + d]))]
+        for x in np.array_split(x, max(1, len(x) // 65536)):
+            differ = sig[x] != sig[x + d]
+            ok = differ.sum(1) <= RADIUS
+            ok[ok] = first_shared_slot(differ[ok]) == (key[x[ok]] & 63)
+            x = x[ok]
+            x = x[(long_sig[x] != long_sig[x + d]).sum(1) <= LONG_RADIUS]
+            out.append(np.stack([np.minimum(ids[x], ids[x + d]), np.maximum(ids[x], ids[x + d])], 1))
     return np.concatenate(out)
 
 
 def links_within(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links that connect all linked documents; members: (key, doc_id) of shared buckets."""
     links = members.sparkSession.createDataFrame([], "a long, b long")
-    members = members.withColumn("component_id", F.col("doc_id"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # who has many documents in its buckets is close to many: the likeliest to be linked
+    weights = members.join(sizes, "key").groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    members = common.materialize(members.join(weights, "doc_id").select("key", "doc_id", "weight", F.col("doc_id").alias("component_id")), "weighed")
     for r in range(ROUNDS):
-        heads = _open(members, F.min_by(F.struct("doc_id", "component_id"), F.xxhash64("doc_id", F.lit(r))).alias("head"), F.count(F.lit(1)).alias("n"))
+        # another quarter of the documents goes first in each later round
+        turn = F.lit(r == 0) | (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == r)
+        heads = _open(members, F.max_by(F.struct("doc_id", "component_id"), F.struct(turn, "weight", "doc_id")).alias("head"), F.count(F.lit(1)).alias("n"))
         others = members.join(heads, "key").filter("component_id <> head.component_id")
         offers = others.groupBy("doc_id").agg(F.max_by("head.doc_id", F.struct("n", "key")).alias("to"))
         pairs = offers.select(F.least("doc_id", "to").alias("a"), F.greatest("doc_id", "to").alias("b")).distinct()
         links = common.materialize(links.union(confirm(pairs, sets, percent)), "links")
         labels = components(links)
-        own = members.drop("component_id").join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+        own = members.drop("component_id").join(labels, "doc_id", "left").select("key", "doc_id", "weight", F.coalesce("component_id", "doc_id").alias("component_id"))
         own = common.materialize(own, "placed")
         members = common.materialize(own.join(_open(own), "key", "left_semi"), "members")
         if members.isEmpty():
@@ -243,21 +264,46 @@ def _open(members: DataFrame, *more: Column) -> DataFrame:
 
 
 def _blocked(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that across() finds in what is left of the buckets, block by block."""
+    """The pairs that across() finds in what is left of the buckets, in tiles of two blocks at most."""
     size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = members.join(size, "key").join(sigs, "doc_id").join(sets.select("doc_id", "long_sig"), "doc_id")
     own = own.withColumn("block", F.expr("int(pmod(xxhash64(doc_id), blocks))")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    own = own.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    own = own.withColumn("tile", F.struct("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    own = own.select("tile", "block", "component_id", "doc_id", "sig", "long_sig").repartition("tile").sortWithinPartitions("tile")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_tiles(batches):
+            tiles = rows.column("tile").combine_chunks()
+            key, i, j = (tiles.field(k).to_numpy() for k in range(3))
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            unpack = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t).reshape(rows.num_rows, -1)
+            plain = [rows.column(c).to_numpy() for c in ("block", "component_id", "doc_id")]
+            got = across(key, np.cumsum(new), *plain, unpack("sig", np.uint16), unpack("long_sig", np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        got = np.empty((0, 2), np.int64)
-        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        if len(left) and len(right):
-            got = across(left, right, i == j, int(pdf["key"].iloc[0]) & 63)
-        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+    return common.materialize(own.mapInArrow(search, "a long, b long"), "blocked")
 
-    return common.materialize(own.groupBy("key", "i", "j").applyInPandas(search, "a long, b long"), "blocked")
+
+def whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by tile, regrouped so that no tile is cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = batch.column("tile")[batch.num_rows - 1]
+        cut = batch.num_rows
+        while cut and batch.column("tile")[cut - 1] == last:
+            cut -= 1
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        elif held and held[-1].column("tile")[0] != last:
+            yield pa.Table.from_batches(held)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,16 +314,17 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     """
     if percent < 80:
         raise ValueError("the signature radius is laid out for similarities of 0.8 or more")
+    common.small_batches(docs.sparkSession)
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("doc_id IS NOT NULL")
     signed = common.materialize(signatures(docs), "signed")
     classes = signed.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = common.materialize(classes, "classes")
     sigs = classes.select(F.col("rep").alias("doc_id"), "sig")
-    keys = common.materialize(sigs.mapInPandas(_keyed, "key long, doc_id long"), "keys")
+    keys = common.materialize(sigs.mapInArrow(_keyed, "key long, doc_id long"), "keys")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = common.materialize(keys.join(shared, "key"), "members")
     wanted = members.select("doc_id").distinct()
-    sets = common.materialize(common.join_ids(docs, wanted, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, shingles binary, long_sig binary"), "sets")
+    sets = common.materialize(common.join_ids(docs, wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary, long_sig binary"), "sets")
     labels = components(links_within(members, sigs.join(wanted, "doc_id", "left_semi"), sets, percent))
     labels = labels.select(F.col("doc_id").alias("rep"), "component_id")
     classes = classes.select("set_hash", "rep").join(labels, "rep", "left").select("set_hash", F.coalesce("component_id", "rep").alias("component_id"))
