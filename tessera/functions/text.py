@@ -88,23 +88,26 @@ def best_fragment(text: Column, pattern: str, size: int = 300) -> Column:
     return F.array_max(parts)
 
 
-def bigrams(text: Column) -> Column:
-    """Pairs of neighbouring characters, white space removed, case kept."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
-    return F.when(
-        F.length(bare) > 1, F.transform(F.sequence(F.lit(1), F.length(bare) - 1), lambda i: F.substring(bare, i, F.lit(2)))
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def dice(left: Column, right: Column) -> Column:
-    """Dice similarity of two texts' bigram multisets: 2 * shared / all."""
-    a, b = bigrams(left), bigrams(right)
-    shared = F.aggregate(
-        F.array_distinct(a),
-        F.lit(0),
-        lambda s, g: s + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g))),
-    )
-    return F.when(F.size(a) + F.size(b) > 0, 2.0 * shared / (F.size(a) + F.size(b))).otherwise(0.0)
+def bare(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
+
+
+def bigram_count(text: Column, gram: Column) -> Column:
+    """Places where two characters stand, overlapping ones included."""
+    apart = ((F.length(text) - F.length(F.replace(text, gram, F.lit("")))) / 2).cast("int")
+    return F.when(F.substring(gram, 1, 1) != F.substring(gram, 2, 1), apart).otherwise(F.regexp_count(text, F.concat(F.lit("(?=\\Q"), gram, F.lit("\\E)"))))
+
+
+def dice(a: Column, b: Column) -> Column:
+    """Dice similarity of the bigram multisets of two bare() texts: 2 * shared / all.
+
+    Each distinct bigram of b is counted in both, so b is the shorter text.
+    """
+    pairs = F.greatest(F.length(b) - 1, F.lit(0))
+    grams = F.when(pairs > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(pairs, F.lit(1))), lambda i: F.substring(b, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    shared = F.aggregate(grams, F.lit(0), lambda s, g: s + F.least(bigram_count(a, g), bigram_count(b, g)))
+    total = pairs + F.greatest(F.length(a) - 1, F.lit(0))
+    return F.when(total > 0, F.try_divide(2.0 * shared, total)).otherwise(0.0)
 
 
 def json_candidate(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import globs, text
+from . import bounded
 
 # -- predicates -------------------------------------------------------------------------------
 
@@ -124,7 +125,7 @@ def directory_status(directories: DataFrame, catalog: DataFrame) -> DataFrame:
     Each path is expanded to its ancestor directories, which join by equality; no theta join.
     """
     above = catalog.select("state", F.explode(ancestors(F.col("file_path"))).alias("directory_path"))
-    counted = above.join(F.broadcast(directories.select("directory_path")), "directory_path").groupBy("directory_path")
+    counted = above.join(bounded.broadcast(directories.select("directory_path")), "directory_path").groupBy("directory_path")
     counted = counted.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("state") == schemas.INDEXED).alias("indexed"), F.count_if(F.col("state") == schemas.ERROR).alias("failed")
     )
@@ -182,7 +183,7 @@ def worker_page(catalog: DataFrame, worker: int, workers: int = 4, size: int = 1
 def longest_prefix(paths: DataFrame, handlers: DataFrame, default: str, path_col: str = "file_path") -> DataFrame:
     """paths with the handler of the longest registered path_prefix (ending in a slash) above them."""
     above = paths.withColumn("__a", F.explode(ancestors(F.col(path_col))))
-    hit = above.join(F.broadcast(handlers.select(F.col("path_prefix").alias("__a"), "handler")), "__a", "left")
+    hit = above.join(bounded.broadcast(handlers.select(F.col("path_prefix").alias("__a"), "handler")), "__a", "left")
     keys = [c for c in paths.columns]
     best = hit.groupBy(*keys).agg(F.max_by("handler", F.when(F.col("handler").isNotNull(), F.length("__a"))).alias("handler"))
     return best.withColumn("handler", F.coalesce("handler", F.lit(default)))
@@ -192,7 +193,7 @@ def plugin_of(paths: DataFrame, plugins: DataFrame, default: str) -> DataFrame:
     """The plugin whose path lies in the query's directory: the longest, ties by name; else the default."""
     dirs = paths.withColumn("dir", F.regexp_extract("path", r"^(.*/)[^/]*$", 1))
     dirs = dirs.withColumn("dir", F.when(F.col("dir").isin("", "/"), F.col("path")).otherwise(F.col("dir")))
-    hit = dirs.join(F.broadcast(plugins.select(F.col("path").alias("own"), "plugin")), F.col("own").startswith(F.col("dir")), "left")
+    hit = dirs.join(bounded.broadcast(plugins.select(F.col("path").alias("own"), "plugin")), F.col("own").startswith(F.col("dir")), "left")
     best = hit.groupBy("path").agg(F.min_by("plugin", F.when(F.col("own").isNotNull(), F.struct((-F.length("own")).alias("l"), "own"))).alias("plugin"))
     return best.withColumn("plugin", F.coalesce("plugin", F.lit(default)))
 

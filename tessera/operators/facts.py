@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from . import catalog, chunk
+from . import bounded, catalog, chunk
 
 #: (batch of (id, content), question) to a response text holding JSON {"answer": [{"fact": ..., "id": ...}]}.
 Extractor = Callable[[list[tuple[int, str]], str], str]
-OVERLAP, ATTEMPTS = 0.5, 3
+OVERLAP, ATTEMPTS, RUN = 0.5, 3, 10_000
 PENDING, PROCESSING, ACTIVE, FAILED = "pending", "processing", "active", "failed"
 
 
@@ -81,7 +81,7 @@ def of_similar(facts: DataFrame, paragraphs: DataFrame, documents: DataFrame, ta
 
     tasks: task_id, pos (order of likeness).
     """
-    rows = facts.join(F.broadcast(tasks), "task_id").join(paragraphs.select("para_id", "doc_id"), "para_id")
+    rows = facts.join(bounded.broadcast(tasks), "task_id").join(paragraphs.select("para_id", "doc_id"), "para_id")
     rows = rows.join(documents.filter(catalog.under(F.col("file_path"), prefix)).select("doc_id", "file_path"), "doc_id")
     first = rows.groupBy("para_id").agg(F.min(F.struct("pos", "task_id", "fact", "file_path")).alias("x"))
     return first.select("para_id", "x.task_id", "x.fact", "x.file_path").orderBy("para_id")
@@ -126,7 +126,7 @@ def refresh(tasks: DataFrame, paragraphs: DataFrame, done: DataFrame | None = No
     run that was cut short goes on where it stopped.
     """
     own = catalog.tasks_for_paths(paragraphs.select("file_path").distinct(), tasks)
-    pairs = paragraphs.join(own, "file_path").join(F.broadcast(tasks.select(F.col("id").alias("task_id"), "key_question")), "task_id")
+    pairs = paragraphs.join(own, "file_path").join(bounded.broadcast(tasks.select(F.col("id").alias("task_id"), "key_question")), "task_id")
     if done is not None:
         pairs = pairs.join(done, ["task_id", "para_id"], "left_anti")
     return extract(pairs, F.col("key_question")).select("task_id", "doc_id", "para_id", "seq", "fact")
@@ -141,13 +141,14 @@ def settle(tasks: DataFrame, outcome: DataFrame) -> DataFrame:
 
 
 def reduce_facts(facts: DataFrame, refine: Callable[[DataFrame], DataFrame], budget: int = chunk.BATCH, rounds: int = 3) -> DataFrame:
-    """Batches of facts (seq, fact) refined until their length is within budget, at most `rounds` times."""
+    """Batches of facts (g, batch, seq, fact) refined to (seq, fact) until their length is within budget, at most `rounds` times."""
     for _ in range(rounds):
         total = facts.agg(F.coalesce(F.sum(F.length("fact")), F.lit(0))).first()[0]
         if total <= budget:
             break
-        sized = facts.select(F.lit(0).alias("g"), "seq", "fact", F.length("fact").cast("long").alias("size"))
-        facts = refine(chunk.batches(sized, "g", "seq", "size", budget, sep=1).drop("g", "size"))
+        # runs of RUN facts are folded apart, so no task holds all of them
+        sized = facts.select(F.floor(F.col("seq") / RUN).alias("g"), "seq", "fact", F.length("fact").cast("long").alias("size"))
+        facts = refine(chunk.batches(sized, "g", "seq", "size", budget, sep=1).drop("size"))
     return facts
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from . import catalog
+from . import bounded, catalog
 
 K1, B, TIE = 1.2, 0.75, 0.1
 SLOP, EXPANSIONS, EDITS = 2, 50, 2
@@ -219,7 +219,7 @@ def first_of(rows: DataFrame, key: str, *order: str) -> DataFrame:
 def rerank(hits: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """hits in the order of a reranker's id list (one row, column ids); unknown and unlisted ids go."""
     order = ids.select(F.posexplode("ids").alias("pos", id_col)).groupBy(id_col).agg(F.min("pos").alias("pos"))
-    return hits.join(F.broadcast(order), id_col).orderBy("pos")
+    return hits.join(bounded.broadcast(order), id_col).orderBy("pos")
 
 
 def snippets(hits: DataFrame, terms: list[str], text_col: str = "text", size: int = 300, tag: str = "B", missing: str = "No match found") -> DataFrame:
@@ -238,14 +238,19 @@ def answers(hits: DataFrame, paragraphs: DataFrame, documents: DataFrame) -> Dat
     return rows.select("rank", "para_id", "score", "title", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("path", F.lit("URL not found")).alias("url")).orderBy("rank")
 
 
+def with_dice(rows: DataFrame, left: Column, right: Column, name: str) -> DataFrame:
+    """rows with the Dice similarity of two texts, right being the shorter."""
+    return rows.withColumns({"__l": tx.bare(left), "__r": tx.bare(right)}).withColumn(name, tx.dice(F.col("__l"), F.col("__r"))).drop("__l", "__r")
+
+
 def similar_questions(questions: DataFrame, asked: str, least: float = 0.7) -> DataFrame:
     """questions (id, question) with similarity of at least `least`, most alike first."""
-    sim = tx.dice(F.lower("question"), F.lower(F.lit(asked)))
-    return questions.withColumn("similarity", sim).filter(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id")
+    scored = with_dice(questions, F.lower("question"), F.lit(asked.lower()), "similarity")
+    return scored.filter(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id")
 
 
 def best_section(sections: DataFrame, key: str, wanted: Column) -> DataFrame:
     """Per key the section (ord, content) most like `wanted`; the first of equals, none if all are 0."""
-    scored = sections.withColumn("score", tx.dice(F.col("content"), wanted)).filter("score > 0")
+    scored = with_dice(sections, F.col("content"), wanted, "score").filter("score > 0")
     best = scored.groupBy(key).agg(F.max_by(F.struct("ord", "content", "score"), F.struct("score", (-F.col("ord")).alias("o"))).alias("b"))
     return best.select(key, "b.ord", "b.content", "b.score")

@@ -23,16 +23,16 @@ def _days(expr: str) -> str:
 
 
 def _old(c: DataFrame) -> DataFrame:
-    return c.filter("doc_id % 7 <> 0").select("file_path", "md5", F.expr(_days("0")).alias("update_time"), "state")
+    return c.filter("source <> 'src7'").select("file_path", "md5", F.expr(_days("0")).alias("update_time"), "state")
 
 
 def _new(c: DataFrame) -> DataFrame:
     md5 = F.when(F.col("doc_id") % 2 == 0, F.md5(F.concat("text", F.lit("!")))).otherwise(F.col("md5"))
-    return c.filter("doc_id % 5 <> 0").select("file_path", md5.alias("md5"), F.expr(_days("IF(doc_id % 3 = 0, 1, 0)")).alias("modified"))
+    return c.filter("source <> 'src5'").select("file_path", md5.alias("md5"), F.expr(_days("IF(doc_id % 3 = 0, 1, 0)")).alias("modified"))
 
 
-OLD_NEW = f"""{C}, o AS (SELECT file_path, md5, 0 AS t, state FROM c WHERE doc_id % 7 <> 0),
-n AS (SELECT file_path, CASE WHEN doc_id % 2 = 0 THEN md5(text || '!') ELSE md5 END AS md5, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS t FROM c WHERE doc_id % 5 <> 0)"""
+OLD_NEW = f"""{C}, o AS (SELECT file_path, md5, 0 AS t, state FROM c WHERE source <> 'src7'),
+n AS (SELECT file_path, CASE WHEN doc_id % 2 = 0 THEN md5(text || '!') ELSE md5 END AS md5, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS t FROM c WHERE source <> 'src5')"""
 
 
 def ext_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,12 +113,12 @@ SELECT doc_id, CASE WHEN hit AND state IN ('{schemas.SAVED}', '{schemas.INDEXED}
 
 
 def document_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir).select("doc_id", "file_path", "state")
-    outcome = c.filter("doc_id % 3 <> 0").select("file_path", F.when(F.col("doc_id") % 4 == 0, "unreadable").alias("error"))
+    c = corpus(spark, sf_dir).select("doc_id", "lang", "file_path", "state")
+    outcome = c.filter("lang <> 'es'").select("file_path", F.when(F.col("lang") == "de", "unreadable").alias("error"))
     return catalog.processed(c, outcome).groupBy("state").agg(F.count(F.lit(1)).alias("documents"))
 
 
-STATES_SQL = f"""WITH {C} SELECT CASE WHEN state = '{schemas.SAVED}' AND doc_id % 3 <> 0 THEN CASE WHEN doc_id % 4 = 0 THEN '{schemas.ERROR}' ELSE '{schemas.INDEXED}' END ELSE state END AS state, count(*) AS documents FROM c GROUP BY 1"""
+STATES_SQL = f"""WITH {C} SELECT CASE WHEN state = '{schemas.SAVED}' AND lang <> 'es' THEN CASE WHEN lang = 'de' THEN '{schemas.ERROR}' ELSE '{schemas.INDEXED}' END ELSE state END AS state, count(*) AS documents FROM c GROUP BY 1"""
 
 
 def dir_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,10 +178,10 @@ SELECT row_number() OVER (ORDER BY kind, path)::INT AS rank, path FROM h WHERE k
 
 
 def tasks_for_changed_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.tasks_for_paths(corpus(spark, sf_dir).filter("doc_id % 11 = 0"), values(spark, TASKS, "id long, directory_path string"))
+    return catalog.tasks_for_paths(corpus(spark, sf_dir), values(spark, TASKS, "id long, directory_path string"))
 
 
-TASKS_SQL = f"WITH {C} SELECT file_path, id::BIGINT AS task_id FROM c JOIN {values_sql(TASKS, 'id, directory_path')} ON starts_with(file_path, directory_path) WHERE doc_id % 11 = 0"
+TASKS_SQL = f"WITH {C} SELECT file_path, id::BIGINT AS task_id FROM c JOIN {values_sql(TASKS, 'id, directory_path')} ON starts_with(file_path, directory_path)"
 
 
 def wildcard_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,18 +215,18 @@ length(regexp_replace(text, '\\s+', '', 'g')) > 100 AS valid FROM x"""
 
 def index_upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    old = c.filter("doc_id % 3 <> 0").select("doc_id", "lang", F.col("source").alias("origin"))
-    new = c.filter("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "xx").alias("lang"), F.lit(True).alias("fresh"))
+    old = c.filter("source <> 'src3'").select("doc_id", "lang", F.col("source").alias("origin"))
+    new = c.filter("lang <> 'en'").select("doc_id", F.when(F.col("lang") == "fr", "xx").alias("lang"), F.lit(True).alias("fresh"))
     return tables.upsert_merge(old, new, "doc_id")
 
 
-MERGE_SQL = """WITH o AS (SELECT doc_id, lang, source AS origin FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'xx' END AS lang, true AS fresh FROM documents WHERE doc_id % 2 = 0)
+MERGE_SQL = """WITH o AS (SELECT doc_id, lang, source AS origin FROM documents WHERE source <> 'src3'), n AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN 'xx' END AS lang, true AS fresh FROM documents WHERE lang <> 'en')
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.lang, o.lang) AS lang, origin, fresh FROM o FULL JOIN n ON o.doc_id = n.doc_id"""
 
 
 def config_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select(F.col("source").alias("config_key"), F.col("lang").alias("config_value"), F.col("doc_id").alias("at"))
-    return tables.upsert_latest(d.filter("at % 2 = 0"), d.filter("at % 2 = 1"), "config_key", "at")
+    return tables.upsert_latest(d.filter("config_value = 'en'"), d.filter("config_value <> 'en'"), "config_key", "at")
 
 
 def insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,21 +236,21 @@ def insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows left after deleting ids, a path prefix, and null ids in turn."""
-    c = corpus(spark, sf_dir).select("doc_id", "file_path", F.when(F.col("doc_id") % 13 != 0, F.col("doc_id")).alias("para_id"))
-    left = tables.delete_ids(c, c.filter("doc_id % 17 = 0"), "doc_id")
+    c = corpus(spark, sf_dir).select("doc_id", "file_path", "state", F.when(F.col("state") != schemas.IGNORED, F.col("doc_id")).alias("para_id"))
+    left = tables.delete_ids(c, c.filter(F.col("state") == schemas.DELETED), "doc_id")
     return tables.delete_null_ids(tables.delete_prefix(left, "file_path", "/corp/src3/"), "para_id")[0].select("doc_id")
 
 
-DELETES_SQL = f"WITH {C} SELECT doc_id FROM c WHERE doc_id % 17 <> 0 AND NOT starts_with(file_path, '/corp/src3/') AND doc_id % 13 <> 0"
+DELETES_SQL = f"WITH {C} SELECT doc_id FROM c WHERE state NOT IN ('{schemas.DELETED}', '{schemas.IGNORED}') AND NOT starts_with(file_path, '/corp/src3/')"
 
 
 def field_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir).select("doc_id", "file_path", "state", F.lit("t1").alias("task"))
-    c = tables.clear_field(c, "task", F.col("doc_id") % 5 == 0)
+    c = corpus(spark, sf_dir).select("doc_id", "lang", "file_path", "state", F.lit("t1").alias("task"))
+    c = tables.clear_field(c, "task", F.col("lang") == "fr")
     return tables.update_where(c, catalog.under(F.col("file_path"), "/corp/src2/"), state=F.lit(schemas.DELETED)).select("doc_id", "state", "task")
 
 
-FIELD_SQL = f"WITH {C} SELECT doc_id, CASE WHEN starts_with(file_path, '/corp/src2/') THEN '{schemas.DELETED}' ELSE state END AS state, CASE WHEN doc_id % 5 <> 0 THEN 't1' END AS task FROM c"
+FIELD_SQL = f"WITH {C} SELECT doc_id, CASE WHEN starts_with(file_path, '/corp/src2/') THEN '{schemas.DELETED}' ELSE state END AS state, CASE WHEN lang <> 'fr' THEN 't1' END AS task FROM c"
 
 
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,7 +278,7 @@ SELECT CASE WHEN done AND s IN ('pending', 'ignore_triggered') THEN 'completed'
 
 
 def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).filter("doc_id < 40").select(F.col("doc_id").cast("string").alias("directory_path"), (F.col("doc_id") % 9 != 0).alias("ok"))
+    d = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("directory_path"), (F.col("doc_id") % 9 != 0).alias("ok"))
     return catalog.sync_summary(d).select("total", "success", F.array_join("failed", ",").alias("failed"))
 
 
@@ -312,5 +312,5 @@ QUERIES = {
     "cascade_delete": (cascade_delete, CASCADE_SQL),
     "catalog_page": (catalog_page, f"WITH {C} SELECT doc_id, file_path FROM c WHERE state = '{schemas.SAVED}' ORDER BY doc_id LIMIT 10 OFFSET 20"),
     "directory_states": (directory_states, DIRECTORY_SQL),
-    "sync_summary": (sync_summary, "SELECT count(*) AS total, count(*) FILTER (doc_id % 9 <> 0) AS success, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) FILTER (doc_id % 9 = 0) AS failed FROM documents WHERE doc_id < 40"),
+    "sync_summary": (sync_summary, "SELECT count(*) AS total, count(*) FILTER (doc_id % 9 <> 0) AS success, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) FILTER (doc_id % 9 = 0) AS failed FROM documents"),
 }

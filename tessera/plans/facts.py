@@ -45,31 +45,31 @@ def _task_rows(spark: SparkSession) -> DataFrame:
 
 def refinery_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tasks over the paragraphs below their directories, paragraphs done before left out."""
-    rows = corpus(spark, sf_dir).select("doc_id", "file_path", F.col("doc_id").alias("para_id"), F.col("text").alias("content"))
-    done = rows.filter("para_id % 5 = 0").select(F.lit(1).cast("long").alias("task_id"), "para_id")
+    rows = corpus(spark, sf_dir).select("doc_id", "lang", "file_path", F.col("doc_id").alias("para_id"), F.col("text").alias("content"))
+    done = rows.filter("lang = 'de'").select(F.lit(1).cast("long").alias("task_id"), "para_id")
     return facts.refresh(_task_rows(spark), rows, done).select("task_id", "para_id", "seq", "fact")
 
 
 REFRESH_SQL = f"""WITH {C}, k AS (SELECT id::BIGINT AS task_id, directory_path, {tokens_sql('q')} AS wanted FROM {values_sql(TASKS, 'id, directory_path, q')}),
-s AS (SELECT task_id, doc_id AS para_id, wanted, {_seq('text')} AS ss FROM c JOIN k ON starts_with(file_path, directory_path) WHERE NOT (task_id = 1 AND doc_id % 5 = 0)),
+s AS (SELECT task_id, doc_id AS para_id, wanted, {_seq('text')} AS ss FROM c JOIN k ON starts_with(file_path, directory_path) WHERE NOT (task_id = 1 AND lang = 'de')),
 x AS (SELECT task_id, para_id, wanted, k - 1 AS seq, ss[k] AS fact FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS k FROM s))
 SELECT task_id, para_id, seq::INT AS seq, fact FROM x WHERE len(list_intersect(list_distinct(wanted), {tokens_sql('fact')})) / len(list_distinct(wanted))::DOUBLE >= {facts.OVERLAP}"""
 
 
 def refinery_maintain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts after documents with doc_id % 4 = 0 changed to upper case and those with % 7 = 0 were deleted."""
+    """Facts after the French documents were changed to upper case and the Spanish ones deleted."""
     c = corpus(spark, sf_dir)
-    rows = c.select("doc_id", "file_path", F.col("doc_id").alias("para_id"), F.col("text").alias("content"))
+    rows = c.select("doc_id", "lang", "file_path", F.col("doc_id").alias("para_id"), F.col("text").alias("content"))
     tasks = _task_rows(spark)
     before = facts.refresh(tasks, rows).drop("seq")
-    changed = rows.filter("doc_id % 4 = 0 OR doc_id % 7 = 0")
-    now = changed.filter("doc_id % 7 <> 0").withColumn("content", F.upper("content"))
+    changed = rows.filter("lang IN ('fr', 'es')")
+    now = changed.filter("lang = 'fr'").withColumn("content", F.upper("content"))
     after = facts.maintain(before, facts.affected(changed, tasks), facts.refresh(tasks, now).drop("seq"))
     return after.groupBy("task_id").agg(F.count(F.lit(1)).alias("facts"), F.countDistinct("doc_id").alias("documents"), F.sum(F.length("fact")).alias("length"))
 
 
 MAINTAIN_SQL = f"""WITH {C}, k AS (SELECT id::BIGINT AS task_id, directory_path, {tokens_sql('q')} AS wanted FROM {values_sql(TASKS, 'id, directory_path, q')}),
-n AS (SELECT doc_id, file_path, CASE WHEN doc_id % 4 = 0 THEN upper(text) ELSE text END AS content FROM c WHERE doc_id % 7 <> 0),
+n AS (SELECT doc_id, file_path, CASE WHEN lang = 'fr' THEN upper(text) ELSE text END AS content FROM c WHERE lang <> 'es'),
 s AS (SELECT task_id, doc_id, wanted, {_seq('content')} AS ss FROM n JOIN k ON starts_with(file_path, directory_path)),
 x AS (SELECT task_id, doc_id, wanted, unnest(ss) AS fact FROM s)
 SELECT task_id, count(*) AS facts, count(DISTINCT doc_id) AS documents, sum(length(fact))::BIGINT AS length FROM x
@@ -108,10 +108,11 @@ def fact_distinct_paras(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fact_append_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = facts_extract(spark, sf_dir).withColumn("task_id", F.lit(1))
-    return tables.append_facts(own.filter("seq % 2 = 0"), own.filter("seq % 2 = 1"))
+    first = F.col("fact").contains("work")
+    return tables.append_facts(own.filter(first), own.filter(~first))
 
 
-APPEND_SQL = f"WITH {FACTS} SELECT 1 AS task_id, para_id, string_agg(fact, chr(10) ORDER BY seq % 2, seq) AS fact FROM f GROUP BY para_id"
+APPEND_SQL = f"WITH {FACTS} SELECT 1 AS task_id, para_id, string_agg(fact, chr(10) ORDER BY CASE WHEN contains(fact, 'work') THEN 0 ELSE 1 END, seq) AS fact FROM f GROUP BY para_id"
 
 
 def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,22 +130,25 @@ LEFT JOIN (SELECT doc_id % 3 AS k, count(*) AS n FROM documents GROUP BY 1) ON k
 
 
 def batch_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = docs(spark, sf_dir).select("source", "doc_id", F.length("text").cast("long").alias("size"))
-    return chunk.batches(items, "source", "doc_id", "size", 9000).select("source", "doc_id", "batch")
+    """Each document's lines in batches of at most 600 characters."""
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    items = lines.select("doc_id", "ord", F.length("line").cast("long").alias("size"))
+    return chunk.batches(items, "doc_id", "ord", "size", 600).select("doc_id", "ord", "batch")
 
 
-BATCH_SQL = """WITH RECURSIVE i AS (SELECT source, doc_id, length(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
-r AS (SELECT source, doc_id, k, size AS total, 0 AS batch FROM i WHERE k = 1 UNION ALL
-SELECT i.source, i.doc_id, i.k, CASE WHEN r.total + i.size <= 9000 THEN r.total + i.size ELSE i.size END, CASE WHEN r.total + i.size <= 9000 THEN r.batch ELSE r.batch + 1 END
-FROM r JOIN i ON i.source = r.source AND i.k = r.k + 1) SELECT source, doc_id, batch::INT AS batch FROM r"""
+BATCH_SQL = """WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents),
+i AS (SELECT doc_id, k - 1 AS ord, length(x[k]) AS size FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS k FROM l)),
+r AS (SELECT doc_id, ord, size AS total, 0 AS batch FROM i WHERE ord = 0 UNION ALL
+SELECT i.doc_id, i.ord, CASE WHEN r.total + i.size <= 600 THEN r.total + i.size ELSE i.size END, CASE WHEN r.total + i.size <= 600 THEN r.batch ELSE r.batch + 1 END
+FROM r JOIN i ON i.doc_id = r.doc_id AND i.ord = r.ord + 1) SELECT doc_id, ord::INT AS ord, batch::INT AS batch FROM r"""
 
 
 def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = docs(spark, sf_dir).filter("doc_id < 30").select(F.col("doc_id").alias("rank"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.substring("text", 1, 700).alias("content"))
+    hits = docs(spark, sf_dir).select(F.col("doc_id").alias("rank"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"))
     return chunk.prompt(hits, 4000)
 
 
-PROMPT_SQL = """WITH h AS (SELECT doc_id AS rank, '## doc ' || doc_id || chr(10) || substr(text, 1, 700) || chr(10) AS part FROM documents WHERE doc_id < 30 ORDER BY doc_id LIMIT 10),
+PROMPT_SQL = """WITH h AS (SELECT doc_id AS rank, '## doc ' || doc_id || chr(10) || text || chr(10) AS part FROM documents ORDER BY doc_id LIMIT 10),
 b AS (SELECT *, coalesce(sum(length(part)) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h)
 SELECT string_agg(substr(part, 1, (4000 - before)::INT), '' ORDER BY rank) AS prompt, count(*) AS documents FROM b WHERE before < 4000"""
 
@@ -154,9 +158,9 @@ def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = facts_extract(spark, sf_dir).orderBy("para_id", "seq").limit(8)
-    numbered = own.select(F.col("para_id").alias("seq"), "fact", F.concat(F.lit("/corp/"), F.col("para_id").cast("string")).alias("url")).dropDuplicates(["seq"])
-    return facts.result_list(numbered).select(F.size("urls").alias("urls"))
+    own = facts_by_paragraph(spark, sf_dir)
+    numbered = own.select(F.col("para_id").alias("seq"), F.col("facts").alias("fact"), F.concat(F.lit("/corp/"), F.col("para_id").cast("string")).alias("url"))
+    return facts.result_list(numbered).select("results", F.size("urls").alias("urls"))
 
 
 def chat_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,6 +220,9 @@ _HOLDS = lambda words: "count(*) FILTER (" + " OR ".join(f"list_contains(tk, '{w
 QUESTION_SQL = f"""WITH t AS (SELECT {tokens_sql('text')} AS tk FROM documents)
 SELECT 0 AS q, 'mit' AS query, {_HOLDS(['mit'])} AS documents FROM t UNION ALL SELECT 1, 'apache license', {_HOLDS(['apache', 'license'])} FROM t UNION ALL SELECT 2, 'gnu public license', {_HOLDS(['gnu', 'public', 'license'])} FROM t"""
 
+RENDER_SQL = f"""WITH {FACTS}, b AS (SELECT para_id, string_agg(fact, chr(10) ORDER BY seq) AS facts FROM f GROUP BY 1)
+SELECT string_agg(para_id || '. ' || facts || ' (/corp/' || para_id || ')', chr(10) ORDER BY para_id) AS results, count(*)::INT AS urls FROM b"""
+
 QUERIES = {
     "facts_extract": (facts_extract, f"WITH {FACTS} SELECT para_id, seq::INT AS seq, fact FROM f"),
     "facts_by_paragraph": (facts_by_paragraph, f"WITH {FACTS} SELECT para_id, string_agg(fact, chr(10) ORDER BY seq) AS facts FROM f GROUP BY 1"),
@@ -230,7 +237,7 @@ QUERIES = {
     "batch_greedy": (batch_greedy, BATCH_SQL),
     "prompt_budget": (prompt_budget, PROMPT_SQL),
     "chunk_markdown": (chunk_markdown, None),
-    "result_rendering": (result_rendering, None),
+    "result_rendering": (result_rendering, RENDER_SQL),
     "chat_page": (chat_page, "SELECT * FROM (SELECT conv_id * 1000 + turn AS \"at\", role, text FROM conversations ORDER BY 1 DESC LIMIT 5 OFFSET 10) ORDER BY 1"),
     "chat_cap200": (chat_cap200, "SELECT conv_id * 1000 + turn AS \"at\", role FROM conversations ORDER BY 1 DESC LIMIT 200"),
     "json_from_text": (json_from_text, JSON_SQL),

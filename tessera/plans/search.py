@@ -146,11 +146,11 @@ IDS = [44, 7, 99999999, 3, 21, 7]
 
 
 def rerank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = docs(spark, sf_dir).select("doc_id", "lang").filter("doc_id < 50")
+    hits = docs(spark, sf_dir).select("doc_id", "lang")
     return search.rerank(hits, values(spark, [(IDS,)], "ids array<long>"))
 
 
-RERANK_SQL = f"WITH o AS (SELECT id, min(pos) - 1 AS pos FROM {values_sql([(x, k + 1) for k, x in enumerate(IDS)], 'id, pos')} GROUP BY id) SELECT doc_id, lang, pos::INT AS pos FROM documents JOIN o ON id = doc_id WHERE doc_id < 50"
+RERANK_SQL = f"WITH o AS (SELECT id, min(pos) - 1 AS pos FROM {values_sql([(x, k + 1) for k, x in enumerate(IDS)], 'id, pos')} GROUP BY id) SELECT doc_id, lang, pos::INT AS pos FROM documents JOIN o ON id = doc_id"
 
 
 def multi_query_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,31 +176,34 @@ row_number() OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/]+)', 1) ORDE
 def hit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
     hits = values(spark, [(k + 1, x, 1.0 / (k + 1)) for k, x in enumerate([12, 5, 999999, 40])], "rank int, para_id long, score double")
-    paragraphs = c.select(F.col("doc_id").alias("para_id"), "doc_id", F.substring("text", 1, 80).alias("content")).filter("doc_id % 2 = 0")
+    paragraphs = c.filter("lang <> 'de'").select(F.col("doc_id").alias("para_id"), "doc_id", F.col("text").alias("content"))
     documents = c.select(F.col("doc_id").alias("id"), F.concat_ws(".", F.col("doc_id").cast("string"), "ext").alias("file_name"), "file_path")
     return search.answers(hits, paragraphs, documents)
 
 
 HIT_SQL = f"""WITH {C}, h AS (SELECT * FROM {values_sql([(1, 12, '1'), (2, 5, '1/2'), (3, 999999, '1/3'), (4, 40, '1/4')], 'rank, para_id, w')})
-SELECT rank, para_id, 1.0::DOUBLE / rank AS score, d.doc_id || '.' || d.ext AS title, coalesce(substr(p.text, 1, 80), '') AS content, coalesce(d.file_path, 'URL not found') AS url
-FROM h LEFT JOIN c p ON p.doc_id = h.para_id AND p.doc_id % 2 = 0 LEFT JOIN c d ON d.doc_id = p.doc_id"""
+SELECT rank, para_id, 1.0::DOUBLE / rank AS score, d.doc_id || '.' || d.ext AS title, coalesce(p.text, '') AS content, coalesce(d.file_path, 'URL not found') AS url
+FROM h LEFT JOIN c p ON p.doc_id = h.para_id AND p.lang <> 'de' LEFT JOIN c d ON d.doc_id = p.doc_id"""
 
 
 def similar_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 60).alias("question"))
-    asked = "the onal that in the license of and"
-    return rounded(search.similar_questions(b, asked, 0.2), "similarity")
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
+    return rounded(search.similar_questions(b, ASKED, 0.05), "similarity")
 
 
-def dice_sql(a: str, b: str) -> str:
-    grams = lambda x: f"list_transform(range(1, greatest(length(regexp_replace({x}, '\\s+', '', 'g')), 1)), lambda i: substr(regexp_replace({x}, '\\s+', '', 'g'), i, 2))"
-    ga, gb = grams(a), grams(b)
-    shared = f"coalesce(list_sum(list_transform(list_distinct({ga}), lambda g: least(len(list_filter({ga}, lambda y: y = g)), len(list_filter({gb}, lambda y: y = g))))), 0)"
-    return f"(CASE WHEN len({ga}) + len({gb}) > 0 THEN 2.0::DOUBLE * {shared} / (len({ga}) + len({gb})) ELSE 0 END)"
+def dice_sql(rows: str, keys: str, column: str, wanted: str) -> str:
+    """CTEs ending in `scored`: rows' columns and score, the Dice similarity of column and a text."""
+    grams = lambda t: f"unnest(list_transform(range(1, greatest(length({t}), 1)), lambda i: substr({t}, i, 2))) AS gram"
+    return f"""bare AS (SELECT {keys}, regexp_replace({column}, '\s+', '', 'g') AS t FROM {rows}),
+g AS (SELECT {keys}, gram, count(*) AS n FROM (SELECT {keys}, {grams('t')} FROM bare) GROUP BY ALL),
+w AS (SELECT gram, count(*) AS m FROM (SELECT {grams("'" + ''.join(wanted.split()) + "'")}) GROUP BY ALL),
+k AS (SELECT {keys}, sum(least(n, coalesce(m, 0))) AS shared, sum(n) AS total FROM g LEFT JOIN w USING (gram) GROUP BY {keys}),
+scored AS (SELECT {rows}.*, coalesce(2.0::DOUBLE * shared / (total + (SELECT sum(m) FROM w)), 0) AS score FROM {rows} LEFT JOIN k USING ({keys}))"""
 
 
-SIMILAR_SQL = f"""WITH b AS (SELECT item_id AS id, substr(text, 1, 60) AS question FROM benchmark),
-d AS (SELECT id, question, {dice_sql('lower(question)', "'the onal that in the license of and'")} AS s FROM b) SELECT id, question, round(s, 6) AS similarity FROM d WHERE s >= 0.2"""
+ASKED = "the onal that in the license of and"
+SIMILAR_SQL = f"""WITH b AS (SELECT item_id AS id, text AS question, lower(text) AS low FROM benchmark), {dice_sql('b', 'id', 'low', ASKED)}
+SELECT id, question, round(score, 6) AS similarity FROM scored WHERE score >= 0.05"""
 
 QUERIES = {
     "bm25_topk": (bm25_topk, BM25_SQL),

@@ -12,6 +12,9 @@ from .base import docs, rounded, table
 from .search import dice_sql
 
 
+WANTED = "the information about this"
+
+
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", web.html_text(F.col("html")).alias("text"), web.page_title(F.col("html")).alias("title"))
 
@@ -30,24 +33,24 @@ HTML_SQL = f"SELECT page_id, {_html_sql('html')} AS text, trim(regexp_extract(ht
 
 
 def best_section_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", F.split(web.html_text(F.col("html")), "\n").alias("parts")).filter("page_id < 60")
-    sections = p.select("page_id", F.posexplode("parts").alias("ord", "content")).withColumn("content", F.substring("content", 1, 120))
-    return rounded(search.best_section(sections, "page_id", F.lit("the information about this")), "score")
+    p = table(spark, sf_dir, "pages").select("page_id", F.split(web.html_text(F.col("html")), "\n").alias("parts"))
+    sections = p.select("page_id", F.posexplode("parts").alias("ord", "content"))
+    return rounded(search.best_section(sections, "page_id", F.lit(WANTED)), "score")
 
 
-DICE_SQL = f"""WITH p AS (SELECT page_id, string_split({_html_sql('html')}, chr(10)) AS parts FROM pages WHERE page_id < 60),
-s AS (SELECT page_id, k - 1 AS ord, substr(parts[k], 1, 120) AS content FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM p)),
-d AS (SELECT *, {dice_sql('content', "'the information about this'")} AS score FROM s),
-b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS n FROM d WHERE score > 0) SELECT page_id, ord::INT AS ord, content, round(score, 6) AS score FROM b WHERE n = 1"""
+DICE_SQL = f"""WITH p AS (SELECT page_id, string_split({_html_sql('html')}, chr(10)) AS parts FROM pages),
+s AS (SELECT page_id, k - 1 AS ord, parts[k] AS content FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM p)),
+{dice_sql('s', 'page_id, ord', 'content', WANTED)},
+b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS n FROM scored WHERE score > 0) SELECT page_id, ord::INT AS ord, content, round(score, 6) AS score FROM b WHERE n = 1"""
 
 
 def reference_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = docs(spark, sf_dir).filter("doc_id % 5 = 0")
-    raw = F.concat(F.lit("## <h2>"), F.col("doc_id").cast("string"), F.lit("</h2><br/>"), F.substring("text", 1, 200), F.lit("... and  more…"))
-    return p.select("doc_id", tx.reference_text(raw).alias("reference"), tx.snippet_noise(raw).alias("snippet"), tx.title(F.substring("text", 1, 200)).alias("title"))
+    p = docs(spark, sf_dir)
+    raw = F.concat(F.lit("## <h2>"), F.col("doc_id").cast("string"), F.lit("</h2><br/>"), F.col("text"), F.lit("... and  more…"))
+    return p.select("doc_id", tx.reference_text(raw).alias("reference"), tx.snippet_noise(raw).alias("snippet"), tx.title(F.col("text")).alias("title"))
 
 
-CLEAN_SQL = r"""WITH p AS (SELECT doc_id, '## <h2>' || doc_id || '</h2><br/>' || substr(text, 1, 200) || '... and  more…' AS raw, substr(text, 1, 200) AS head FROM documents WHERE doc_id % 5 = 0),
+CLEAN_SQL = r"""WITH p AS (SELECT doc_id, '## <h2>' || doc_id || '</h2><br/>' || text || '... and  more…' AS raw, text AS head FROM documents),
 x AS (SELECT doc_id, raw, trim(regexp_extract(head, '(?m)^#[ \t]*([^#\s][^\n]*)$', 1)) AS a, trim(regexp_extract(head, '(?m)^[ \t]*(\S[^\n]*)$', 1)) AS b FROM p)
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(raw, '</?h[1-6]>', '', 'g'), '\n|<br\s*/?>', ' ', 'g'), '^#+\s*', '') AS reference,
 trim(regexp_replace(raw, '(\s|\.\.\.|…)+', ' ', 'g')) AS snippet, CASE WHEN a <> '' THEN a ELSE b END AS title FROM x"""

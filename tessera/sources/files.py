@@ -47,7 +47,7 @@ def enabled_formats(spark: SparkSession, settings: DataFrame | None = None) -> D
     given = settings.select(
         F.regexp_extract("config_key", r"^filetype\.(\w+)\.enabled$", 1).alias("fmt"), (F.lower("config_value") == "true").alias("given")
     ).filter("fmt <> ''")
-    return base.join(F.broadcast(given), "fmt", "left").select("fmt", F.coalesce("given", "default").alias("enabled"))
+    return base.join(given, "fmt", "left").select("fmt", F.coalesce("given", "default").alias("enabled"))
 
 
 def readable(files: DataFrame, settings: DataFrame | None = None) -> DataFrame:

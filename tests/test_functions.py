@@ -58,7 +58,7 @@ def test_facts_of_answers(spark):
 
 
 def test_dice_counts_repeats(spark):
-    got = spark.range(1).select(text.dice(F.lit("aaaa"), F.lit("aa")), text.dice(F.lit("night"), F.lit("nacht")), text.dice(F.lit(""), F.lit("x"))).first()
+    got = spark.range(1).select(*(text.dice(F.lit(a), F.lit(b)) for a, b in (("aaaa", "aa"), ("night", "nacht"), ("", "x")))).first()
     assert list(got) == [0.5, 0.25, 0.0]
 
 
