@@ -204,6 +204,7 @@ class Pooler:
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> ByteGru:
     """A network from a bounded sample of the rows with a text and a language."""
+    common.small_batches(labelled.sparkSession)
     rows = labelled.select(labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang"), labelled[id_col].alias("id"))
     rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
