@@ -18,7 +18,6 @@ table gives an empty result; columns beside doc_id, text and, in training, lang
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,7 +33,6 @@ DOCS_PER_LANGUAGE, TYPES, LANGUAGES = 500, 60_000, 200
 STEPS, BATCH, RATE = 700, 256, 0.01
 #: Distinct words a worker remembers before it starts anew.
 REMEMBERED = 200_000
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 #: A document below this mean probability is rejected by the pipeline's stage.
 REJECT_BELOW = 0.15
@@ -181,7 +179,7 @@ class Pooler:
     def pool(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.k:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        bags = [Counter(t.split()) if t is not None and LETTER.search(t) else None for t in texts]
+        bags = [Counter(t.split()) if t is not None and any(map(str.isalpha, t)) else None for t in texts]
         if len(self.at) > REMEMBERED:
             self.at.clear()
             self.rows = self.rows[:1024].copy()
