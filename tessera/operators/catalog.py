@@ -215,6 +215,26 @@ def tasks_for_paths(changed: DataFrame, tasks: DataFrame) -> DataFrame:
     return above.join(tasks.select("directory_path", F.col("id").alias("task_id")), "directory_path").select("file_path", "task_id")
 
 
+def configured(instances: DataFrame, templates: DataFrame) -> DataFrame:
+    """Instances with their template's columns; an instance of an unknown template is left out."""
+    return instances.join(bounded.broadcast(templates), "template_id")
+
+
+def paths_by_keyword(paths: DataFrame, keyword: str, path_col: str = "file_path") -> DataFrame:
+    """Paths that contain the keyword, case aside; an empty keyword finds none."""
+    return paths.filter(F.lower(path_col).contains(keyword.lower()) & F.lit(bool(keyword)))
+
+
+def of_documents(table: DataFrame, documents: DataFrame, prefix: str) -> DataFrame:
+    """Rows of a table (doc_id) whose document lies under a prefix."""
+    return table.join(documents.filter(under(F.col("file_path"), prefix)).select("doc_id"), "doc_id", "left_semi")
+
+
+def deletions(files: DataFrame, normal: DataFrame, ignored: DataFrame) -> DataFrame:
+    """Paths of normal and of ignored documents whose file is gone, each once."""
+    return deleted_files(files, normal.select("file_path")).union(deleted_files(files, ignored.select("file_path"))).distinct()
+
+
 def orphan_templates(templates: DataFrame, instances: DataFrame) -> DataFrame:
     return templates.join(instances.select("template_id").distinct(), "template_id", "left_anti")
 

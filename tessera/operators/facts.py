@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -69,6 +69,21 @@ def parsed(responses: DataFrame) -> DataFrame:
     return rows.select("batch", "seq", F.col("x.id").alias("para_id"), F.col("x.fact").alias("fact")).filter("para_id IS NOT NULL")
 
 
+def valid(facts: DataFrame) -> DataFrame:
+    """Facts (fact, url) that have both."""
+    return facts.filter("fact IS NOT NULL AND trim(fact) <> '' AND url IS NOT NULL AND url <> ''")
+
+
+def single_batches(paragraphs: DataFrame, group: str, order: str) -> DataFrame:
+    """A batch for each paragraph, numbered from 1 within its group."""
+    return paragraphs.withColumn("batch", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+
+
+def unfinished(paragraphs: DataFrame, checkpoint: int | None) -> DataFrame:
+    """Paragraphs after a task's checkpoint."""
+    return paragraphs if checkpoint is None else paragraphs.filter(F.col("para_id") > checkpoint)
+
+
 def by_paragraph(facts: DataFrame, key: str = "para_id", order: str = "seq") -> DataFrame:
     """(key, facts): a paragraph's facts joined by line feeds, paragraphs without any left out."""
     rows = facts.filter("fact IS NOT NULL AND trim(fact) <> ''")

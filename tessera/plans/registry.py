@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, facts, search, web
+from . import catalog, facts, more, search, web
 
-ALL = search.QUERIES | catalog.QUERIES | facts.QUERIES | web.QUERIES
+ALL = search.QUERIES | catalog.QUERIES | facts.QUERIES | web.QUERIES | more.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
