@@ -89,29 +89,28 @@ def chain_marginals(unary: np.ndarray, trans: np.ndarray, counts: np.ndarray) ->
     if not longest:
         return good, np.zeros((2, 2)), 0.0
     n0 = active[0]
-    alpha = np.empty((longest, n0, 2))
-    logz = 0.0
+    alpha = np.empty((len(unary), 2))  # by line, so that one very long chain doesn't widen the others
+    up = np.stack([np.exp(np.minimum(-unary, 0)), np.exp(np.minimum(unary, 0))], 1)  # scaled by exp(-max(unary, 0))
+    logz = float(np.maximum(unary, 0).sum())
     for t in range(longest):
         n = active[t]
-        u = unary[begin[:n] + t]
-        up = np.stack([np.exp(np.minimum(-u, 0)), np.exp(np.minimum(u, 0))], 1)  # scaled by exp(-max(u, 0))
-        a = up if t == 0 else (alpha[t - 1, :n] @ e) * up
+        at = begin[:n] + t
+        a = up[at] if t == 0 else (alpha[at - 1] @ e) * up[at]
         z = a.sum(1, keepdims=True)
-        alpha[t, :n] = a / z
-        logz += float(np.log(z).sum() + np.maximum(u, 0).sum()) + (top * n if t else 0.0)
+        alpha[at] = a / z
+        logz += float(np.log(z).sum()) + (top * n if t else 0.0)
     expected = np.zeros((2, 2))
     beta = np.ones((n0, 2))
     for t in range(longest - 1, -1, -1):
         n = active[t]
-        p = alpha[t, :n] * beta[:n]
-        p /= p.sum(1, keepdims=True)
-        good[begin[:n] + t] = p[:, 1]
+        at = begin[:n] + t
+        p = alpha[at] * beta[:n]
+        good[at] = p[:, 1] / p.sum(1)
         if t:
-            u = unary[begin[:n] + t]
-            up = np.stack([np.exp(np.minimum(-u, 0)), np.exp(np.minimum(u, 0))], 1) * beta[:n]
-            pair = alpha[t - 1, :n, :, None] * e[None] * up[:, None, :]
+            onward = up[at] * beta[:n]
+            pair = alpha[at - 1][:, :, None] * e[None] * onward[:, None, :]
             expected += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
-            b = up @ e.T
+            b = onward @ e.T
             beta[:n] = b / b.sum(1, keepdims=True)
     return good, expected, logz
 
