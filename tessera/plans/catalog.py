@@ -50,7 +50,7 @@ def enabled_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.readable(rows, settings).groupBy("fmt").agg(F.count(F.lit(1)).alias("files"))
 
 
-_ON = "', '".join([k for k, v in schemas.ENABLED.items() if v and k != "pdf"] + ["other"])
+_ON = "', '".join(f for f, k in schemas.FILE_TYPE.items() if k == "other" or schemas.ENABLED[k] and k != "pdf")
 ENABLED_SQL = f"WITH {C} SELECT {_FMT.format('ext')} AS fmt, count(*) AS files FROM c WHERE {_FMT.format('ext')} IN ('{_ON}') GROUP BY 1"
 
 

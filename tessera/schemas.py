@@ -13,20 +13,29 @@ SAVED, INDEXED, ERROR, DELETED, IGNORED = "file_saved", "file_indexed", "error",
 #: Directory states.
 PENDING, COMPLETED, IGNORE_TRIGGERED = "pending", "completed", "ignore_triggered"
 
-#: File formats by extension (fixed values); others are `other`.
+# Formats by extension, file types by format, and default settings.
+#: Extensions that no format lists are `other`.
 FORMATS = {
-    "text": "txt md log csv json xml yaml yml".split(),
-    "code": "java py js mjs ts c cpp h go rs rb php sh sql".split(),
-    "config": "properties ini conf cfg toml env".split(),
-    "web": "html htm css vue jsx tsx".split(),
+    "pdf": "pdf pdfa".split(),
+    "png": "png bmp".split(),
+    "jpg": "jpg jpeg".split(),
     "docx": "docx doc".split(),
     "xlsx": "xlsx xls".split(),
     "pptx": "pptx ppt".split(),
-    "pdf": ["pdf"],
-    "jpg": "jpg jpeg".split(),
-    "png": "png bmp".split(),
-    "archive": "zip rar 7z tar gz".split(),
+    "web": "html mhtml htm".split(),
+    "config": "json yaml yml toml ini properties".split(),
+    "code": "java js ts py sh bash sql dtd xsd xml css mjs c cpp h hpp cs go rs rb php pl pm tcl r swift kt groovy scala dart lua tsv".split(),
+    "text": "csv txt md".split(),
+    "archive": "log zip tar gz bz2 xz 7z rar tar.gz tar.bz2 tar.xz tar.7z tar.rar jar war ear apk ipa deb rpm msi dmg iso".split(),
+}
+#: The setting filetype.<type>.enabled that turns a format on.
+FILE_TYPE = {
+    "pdf": "pdf", "png": "image", "jpg": "image", "docx": "text", "xlsx": "spreadsheet", "pptx": "presentation",
+    "web": "web", "config": "config", "code": "code", "text": "text", "archive": "archive", "other": "other",
 }
-#: Formats read unless a setting says otherwise.
-ENABLED = {"text": True, "code": True, "config": True, "web": True, "docx": True, "xlsx": True, "pptx": True, "pdf": True, "jpg": False, "png": False, "archive": False, "other": False}
-IGNORED_BY_DEFAULT = ["**/.git/", "**/.idea/", "**/node_modules/", "**/target/", "**/.DS_Store", "*.tmp"]
+#: Types read unless a setting says otherwise; a type without a default is off.
+ENABLED = {"text": True, "spreadsheet": True, "web": True, "code": True, "config": True, "archive": False, "presentation": True, "pdf": True, "image": True, "other": False}
+IGNORED_BY_DEFAULT = [
+    "**/node_modules/**", "**/.git/**", "**/.idea/**", "**/.vscode/**", "**/target/**", "**/build/**", "**/*.class", "**/*.log",
+    "**/.DS_Store", "**/Thumbs.db", "**/*.swp", "**/__pycache__/**", "**/*.pyc",
+]

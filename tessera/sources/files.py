@@ -40,14 +40,15 @@ def format_of(extension: Column) -> Column:
 
 
 def enabled_formats(spark: SparkSession, settings: DataFrame | None = None) -> DataFrame:
-    """(fmt, enabled): the defaults, overridden by settings filetype.<fmt>.enabled."""
-    base = spark.createDataFrame(list(schemas.ENABLED.items()), "fmt string, default boolean")
+    """(fmt, enabled): the defaults of its file type, overridden by the setting filetype.<type>.enabled."""
+    rows = [(fmt, kind, schemas.ENABLED.get(kind, False)) for fmt, kind in schemas.FILE_TYPE.items()]
+    base = spark.createDataFrame(rows, "fmt string, kind string, default boolean")
     if settings is None:
         return base.select("fmt", F.col("default").alias("enabled"))
     given = settings.select(
-        F.regexp_extract("config_key", r"^filetype\.(\w+)\.enabled$", 1).alias("fmt"), (F.lower("config_value") == "true").alias("given")
-    ).filter("fmt <> ''")
-    return base.join(given, "fmt", "left").select("fmt", F.coalesce("given", "default").alias("enabled"))
+        F.regexp_extract("config_key", r"^filetype\.(\w+)\.enabled$", 1).alias("kind"), (F.lower("config_value") == "true").alias("given")
+    ).filter("kind <> ''")
+    return base.join(given, "kind", "left").select("fmt", F.coalesce("given", "default").alias("enabled"))
 
 
 def readable(files: DataFrame, settings: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ def root(tmp_path_factory):
     (r / "a").mkdir()
     (r / "a" / "fox.md").write_text("# Fox\nThe red fox runs. A fox is an animal.")
     (r / "a" / "bear.md").write_text("# Bear\nThe brown bear sleeps. A bear is a large animal.")
-    (r / "x.tmp").write_text("ignored")
+    (r / "x.swp").write_text("ignored")
     return r
 
 
