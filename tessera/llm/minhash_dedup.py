@@ -4,16 +4,17 @@ A document's set is its distinct 5-word shingles. SLOTS minima of BITS bits each
 two sets with similarity s differ in about (1-s)*SLOTS slots. The signature is split into CHUNKS
 chunks; if two signatures differ in at most RADIUS < 2*CHUNKS slots, some chunk has at most one
 differing slot. Leaving out each slot of each chunk in turn enumerates that error, so every pair
-under the distance shares a key: at s = 0.85 a pair exceeds RADIUS with probability below 1e-4.
+under the distance shares a key: at s = 0.85 a pair exceeds RADIUS with probability below 1e-5.
 
 Documents with equal sets form one class; only class representatives are indexed. Pairs within a
-bucket aren't listed. In each of ROUNDS rounds every document makes one offer, to the head of its
-largest bucket whose head belongs to another component, a head being the member that shares buckets
-with the most documents; offers are confirmed on the full sets and the components joined, so most of
-a group of any number of near copies soon is one component for a row a member and round. A bucket whose members are one component is finished. What is left is searched in
-tiles of bounded size: pairs of different components under the signature distance, that a longer
-signature (LONG slots, distance LONG_RADIUS) doesn't rule out either, each emitted from one of its
-buckets only, and confirmed on the full sets. No bucket is capped.
+bucket aren't listed. In each of ROUNDS rounds every document makes one offer, to the one of its
+buckets' heads that shares most buckets with it and belongs to another component, a bucket's head
+being the member that shares buckets with the most documents; offers are confirmed on the full sets
+and the components joined, so most of a group of any number of near copies soon is one component for
+a row a member and round. A bucket whose members are one component is finished. What is left is
+searched in tiles of bounded size: pairs of different components under the signature distance, that
+a longer signature (LONG slots, distance LONG_RADIUS) doesn't rule out either, each emitted from one
+of its buckets only, and confirmed on the full sets. No bucket is capped.
 
 Defined results: null or wordless texts have an empty set, are linked with nothing and kept; texts
 of fewer than 5 words are one shingle; rows that share a doc_id are each judged by their own set, one
@@ -36,10 +37,10 @@ from . import common
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 5
-SLOTS, CHUNKS, RADIUS, BITS = 64, 11, 21, 16
-#: Slots of 8 bits of the longer signature; at s = 0.85 a pair exceeds LONG_RADIUS with probability below 1e-4.
-LONG, LONG_RADIUS = 512, 111
-ROUNDS = 2
+SLOTS, CHUNKS, RADIUS, BITS = 64, 13, 25, 16
+#: Slots of 8 bits of the longer signature; at s = 0.85 a pair exceeds LONG_RADIUS with probability below 1e-5.
+LONG, LONG_RADIUS = 1024, 210
+ROUNDS = 4
 #: Members of a bucket's block; two blocks meet in a task.
 BLOCK = 1024
 _UPPER = str.maketrans({c: c + 32 for c in range(65, 91)})
@@ -244,9 +245,10 @@ def links_within(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent:
     for r in range(ROUNDS):
         # another quarter of the documents goes first in each later round
         turn = F.lit(r == 0) | (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == r)
-        heads = _open(members, F.max_by(F.struct("doc_id", "component_id"), F.struct(turn, "weight", "doc_id")).alias("head"), F.count(F.lit(1)).alias("n"))
+        heads = _open(members, F.max_by(F.struct("doc_id", "component_id"), F.struct(turn, "weight", "doc_id")).alias("head"))
         others = members.join(heads, "key").filter("component_id <> head.component_id")
-        offers = others.groupBy("doc_id").agg(F.max_by("head.doc_id", F.struct("n", "key")).alias("to"))
+        met = others.groupBy("doc_id", F.col("head.doc_id").alias("to")).agg(F.count(F.lit(1)).alias("shared"))
+        offers = met.groupBy("doc_id").agg(F.max_by("to", F.struct("shared", "to")).alias("to"))
         pairs = offers.select(F.least("doc_id", "to").alias("a"), F.greatest("doc_id", "to").alias("b")).distinct()
         links = common.materialize(links.union(confirm(pairs, sets, percent)), "links")
         labels = components(links)
