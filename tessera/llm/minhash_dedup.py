@@ -38,8 +38,8 @@ from . import common
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 5
 SLOTS, CHUNKS, RADIUS, BITS = 64, 13, 25, 16
-#: Slots of 8 bits of the longer signature; at s = 0.85 a pair exceeds LONG_RADIUS with probability below 1e-5.
-LONG, LONG_RADIUS = 1024, 210
+#: Slots of 2 bits of the longer signature; at s = 0.85 a pair exceeds LONG_RADIUS with probability below 1e-5.
+LONG, LONG_RADIUS = 1024, 166
 ROUNDS = 4
 #: Members of a bucket's block; two blocks meet in a task.
 BLOCK = 1024
@@ -97,7 +97,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def long_signature(shingles: np.ndarray) -> np.ndarray:
-    return (minima(shingles, slice(SLOTS, None)) & np.uint64(255)).astype(np.uint8)
+    """LONG slots of 2 bits, packed four to a byte."""
+    slots = (minima(shingles, slice(SLOTS, None)) & np.uint64(3)).astype(np.uint8).reshape(-1, 4)
+    return slots[:, 0] | slots[:, 1] << 2 | slots[:, 2] << 4 | slots[:, 3] << 6
+
+
+def long_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing slots, row by row, of packed signatures as 64-bit words."""
+    x = a ^ b
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1)
 
 
 def keys_of(sigs: np.ndarray) -> np.ndarray:
@@ -225,12 +233,12 @@ def across(key: np.ndarray, tile: np.ndarray, block: np.ndarray, component: np.n
         if not len(at):
             break
         x = at[(component[at] != component[at + d]) & (~two[at] | (block[at] != block[at + d]))]
-        for x in np.array_split(x, max(1, len(x) // 65536)):
+        for x in np.array_split(x, max(1, len(x) // 8192)):
             differ = sig[x] != sig[x + d]
             ok = differ.sum(1) <= RADIUS
             ok[ok] = first_shared_slot(differ[ok]) == (key[x[ok]] & 63)
             x = x[ok]
-            x = x[(long_sig[x] != long_sig[x + d]).sum(1) <= LONG_RADIUS]
+            x = x[long_distance(long_sig[x], long_sig[x + d]) <= LONG_RADIUS]
             out.append(np.stack([np.minimum(ids[x], ids[x + d]), np.maximum(ids[x], ids[x + d])], 1))
     return np.concatenate(out)
 
@@ -280,7 +288,7 @@ def _blocked(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             unpack = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t).reshape(rows.num_rows, -1)
             plain = [rows.column(c).to_numpy() for c in ("block", "component_id", "doc_id")]
-            got = across(key, np.cumsum(new), *plain, unpack("sig", np.uint16), unpack("long_sig", np.uint8))
+            got = across(key, np.cumsum(new), *plain, unpack("sig", np.uint16), unpack("long_sig", np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
 
     return common.materialize(own.mapInArrow(search, "a long, b long"), "blocked")
