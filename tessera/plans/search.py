@@ -194,7 +194,7 @@ def similar_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dice_sql(rows: str, keys: str, column: str, wanted: str) -> str:
     """CTEs ending in `scored`: rows' columns and score, the Dice similarity of column and a text."""
     grams = lambda t: f"unnest(list_transform(range(1, greatest(length({t}), 1)), lambda i: substr({t}, i, 2))) AS gram"
-    return f"""bare AS (SELECT {keys}, regexp_replace({column}, '\s+', '', 'g') AS t FROM {rows}),
+    return f"""bare AS (SELECT {keys}, regexp_replace({column}, '\\s+', '', 'g') AS t FROM {rows}),
 g AS (SELECT {keys}, gram, count(*) AS n FROM (SELECT {keys}, {grams('t')} FROM bare) GROUP BY ALL),
 w AS (SELECT gram, count(*) AS m FROM (SELECT {grams("'" + ''.join(wanted.split()) + "'")}) GROUP BY ALL),
 k AS (SELECT {keys}, sum(least(n, coalesce(m, 0))) AS shared, sum(n) AS total FROM g LEFT JOIN w USING (gram) GROUP BY {keys}),
