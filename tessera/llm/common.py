@@ -76,5 +76,5 @@ def once_a_worker(key: tuple, make: Callable[[], Any]) -> Any:
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that long texts and sets don't add up in a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(key, str(min(1024, int(spark.conf.get(key, "10000")) or 1024)))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set(key, str(min(512, int(spark.conf.get(key, "10000")) or 512)))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))

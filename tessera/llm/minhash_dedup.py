@@ -86,8 +86,8 @@ def minima(shingles: np.ndarray, functions: slice) -> np.ndarray:
     a, b = MULTIPLIERS[functions], OFFSETS[functions]
     low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 2048):
-            low = np.minimum(low, (shingles[at : at + 2048, None] * a + b).min(0))
+        for at in range(0, len(shingles), 512):
+            low = np.minimum(low, (shingles[at : at + 512, None] * a + b).min(0))
         return mix(low)
 
 
