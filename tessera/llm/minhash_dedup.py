@@ -1,10 +1,11 @@
 """Near-duplicates by MinHash signatures and a multi-index Hamming join.
 
 A document's set is its distinct 5-word shingles. SLOTS minima of BITS bits each make its signature;
-two sets with similarity s differ in about (1-s)*SLOTS slots. The signature is split into CHUNKS
-chunks; if two signatures differ in at most RADIUS < 2*CHUNKS slots, some chunk has at most one
-differing slot. Leaving out each slot of each chunk in turn enumerates that error, so every pair
-under the distance shares a key: at s = 0.85 a pair exceeds RADIUS with probability below 1e-5.
+two sets with similarity s differ in about (1-s)*SLOTS slots. The signature is split into chunks; if
+two signatures differ in at most radius < 2*chunks slots, some chunk has at most one differing slot.
+Leaving out each slot of each chunk in turn enumerates that error, so every pair under the distance
+shares a key. laid_out() sets the radii by the similarity asked for: a pair at it exceeds each with
+probability below MISSED.
 
 Documents with equal sets form one class; only class representatives are indexed. Pairs within a
 bucket aren't listed. In each of ROUNDS rounds every document makes one offer, to the one of its
@@ -13,7 +14,7 @@ being the member that shares buckets with the most documents; offers are confirm
 and the components joined, so most of a group of any number of near copies soon is one component for
 a row a member and round. A bucket whose members are one component is finished. What is left is
 searched in tiles of bounded size: pairs of different components under the signature distance, that
-a longer signature (LONG slots, distance LONG_RADIUS) doesn't rule out either, each emitted from one
+a longer signature (LONG slots of 2 bits) doesn't rule out either, each emitted from one
 of its buckets only, and confirmed on the full sets. No bucket is capped.
 
 Defined results: null or wordless texts have an empty set, are linked with nothing and kept; texts
@@ -24,8 +25,10 @@ result row per input row; a row with a null doc_id gives none. Other columns are
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -37,9 +40,10 @@ from . import common
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 5
-SLOTS, CHUNKS, RADIUS, BITS = 64, 13, 25, 16
-#: Slots of 2 bits of the longer signature; at s = 0.85 a pair exceeds LONG_RADIUS with probability below 1e-5.
-LONG, LONG_RADIUS = 1024, 166
+#: Slots of the signature and bits of each; slots of 2 bits of the longer signature.
+SLOTS, BITS, LONG = 64, 16, 1024
+#: A pair at the similarity asked for exceeds either radius with a probability below this.
+MISSED = 1e-6
 ROUNDS = 4
 #: Members of a bucket's block; two blocks meet in a task.
 BLOCK = 1024
@@ -49,7 +53,31 @@ _rng = np.random.Generator(np.random.PCG64(20240131))
 #: Odd multipliers and offsets of the hash functions of both signatures (multiply-shift on 64 bits).
 MULTIPLIERS = _rng.integers(0, 2**63, SLOTS + LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 2**63, SLOTS + LONG, dtype=np.uint64)
-CHUNK_SLOTS = [list(map(int, x)) for x in np.array_split(np.arange(SLOTS), CHUNKS)]
+
+
+class Layout(NamedTuple):
+    radius: int
+    long_radius: int
+    chunk_slots: list[list[int]]
+
+
+def radius_of(slots: int, differs: float) -> int:
+    """The least radius that slots, each differing with that probability, exceed more seldom than MISSED."""
+    beyond, radius = 0.0, slots
+    while radius and (beyond := beyond + math.comb(slots, radius) * differs**radius * (1 - differs) ** (slots - radius)) < MISSED:
+        radius -= 1
+    return radius
+
+
+def laid_out(percent: int) -> Layout:
+    differs = 1 - percent / 100
+    radius = radius_of(SLOTS, differs)
+    chunks = np.array_split(np.arange(SLOTS), radius // 2 + 1)
+    return Layout(radius, radius_of(LONG, differs * 3 / 4), [list(map(int, x)) for x in chunks])
+
+
+#: The layout for a similarity of 0.85.
+RADIUS, LONG_RADIUS, CHUNK_SLOTS = laid_out(85)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -108,12 +136,12 @@ def long_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1)
 
 
-def keys_of(sigs: np.ndarray) -> np.ndarray:
+def keys_of(sigs: np.ndarray, chunk_slots: list[list[int]] = CHUNK_SLOTS) -> np.ndarray:
     """Per signature, chunk and left-out slot a hash of the chunk's other slots; the low 6 bits name the slot."""
     out = np.empty(sigs.shape, np.int64)
     with np.errstate(over="ignore"):
         wide = sigs.astype(np.uint64)
-        for slots in CHUNK_SLOTS:
+        for slots in chunk_slots:
             for gone in slots:
                 acc = np.full(len(sigs), gone + 1, np.uint64)
                 for s in slots:
@@ -123,10 +151,10 @@ def keys_of(sigs: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_shared_slot(differ: np.ndarray) -> np.ndarray:
+def first_shared_slot(differ: np.ndarray, chunk_slots: list[list[int]] = CHUNK_SLOTS) -> np.ndarray:
     """The lowest left-out slot whose key two signatures share, from (pairs, SLOTS) of differing slots; SLOTS if none."""
     best = np.full(len(differ), SLOTS)
-    for slots in reversed(CHUNK_SLOTS):
+    for slots in reversed(chunk_slots):
         part = differ[:, slots[0] : slots[-1] + 1]
         wrong = part.sum(1)
         best = np.where(wrong == 0, slots[0], np.where(wrong == 1, slots[0] + part.argmax(1), best))
@@ -158,11 +186,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.binary()) for x in columns)], ["doc_id", "shingles", "long_sig"])
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(chunk_slots: list[list[int]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
         ids = np.repeat(batch.column("doc_id").to_numpy(), SLOTS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys_of(sigs).ravel()), pa.array(ids)], ["key", "doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys_of(sigs, chunk_slots).ravel()), pa.array(ids)], ["key", "doc_id"])
 
 
 def _linked(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +242,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "a_set", "b_set").mapInArrow(lambda x: _linked(percent, x), "a long, b long")
 
 
-def across(key: np.ndarray, tile: np.ndarray, block: np.ndarray, component: np.ndarray, ids: np.ndarray, sig: np.ndarray, long_sig: np.ndarray) -> np.ndarray:
+def across(key: np.ndarray, tile: np.ndarray, block: np.ndarray, component: np.ndarray, ids: np.ndarray, sig: np.ndarray, long_sig: np.ndarray, layout: Layout) -> np.ndarray:
     """(a, b) of pairs within a tile (rows with equal tile, side by side) that may be links.
 
     Kept are pairs of different components under both distances whose first shared key is the tile's;
@@ -235,10 +263,10 @@ def across(key: np.ndarray, tile: np.ndarray, block: np.ndarray, component: np.n
         x = at[(component[at] != component[at + d]) & (~two[at] | (block[at] != block[at + d]))]
         for x in np.array_split(x, max(1, len(x) // 8192)):
             differ = sig[x] != sig[x + d]
-            ok = differ.sum(1) <= RADIUS
-            ok[ok] = first_shared_slot(differ[ok]) == (key[x[ok]] & 63)
+            ok = differ.sum(1) <= layout.radius
+            ok[ok] = first_shared_slot(differ[ok], layout.chunk_slots) == (key[x[ok]] & 63)
             x = x[ok]
-            x = x[long_distance(long_sig[x], long_sig[x + d]) <= LONG_RADIUS]
+            x = x[long_distance(long_sig[x], long_sig[x + d]) <= layout.long_radius]
             out.append(np.stack([np.minimum(ids[x], ids[x + d]), np.maximum(ids[x], ids[x + d])], 1))
     return np.concatenate(out)
 
@@ -265,7 +293,7 @@ def links_within(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent:
         members = common.materialize(own.join(_open(own), "key", "left_semi"), "members")
         if members.isEmpty():
             return links
-    return links.union(confirm(_blocked(members, sigs, sets), sets, percent))
+    return links.union(confirm(_blocked(members, sigs, sets, laid_out(percent)), sets, percent))
 
 
 def _open(members: DataFrame, *more: Column) -> DataFrame:
@@ -273,7 +301,7 @@ def _open(members: DataFrame, *more: Column) -> DataFrame:
     return members.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), *more).filter("lo < hi").drop("lo", "hi")
 
 
-def _blocked(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+def _blocked(members: DataFrame, sigs: DataFrame, sets: DataFrame, layout: Layout) -> DataFrame:
     """The pairs that across() finds in what is left of the buckets, in tiles of two blocks at most."""
     size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = members.join(size, "key").join(sigs, "doc_id").join(sets.select("doc_id", "long_sig"), "doc_id")
@@ -288,7 +316,7 @@ def _blocked(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             unpack = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t).reshape(rows.num_rows, -1)
             plain = [rows.column(c).to_numpy() for c in ("block", "component_id", "doc_id")]
-            got = across(key, np.cumsum(new), *plain, unpack("sig", np.uint16), unpack("long_sig", np.uint64))
+            got = across(key, np.cumsum(new), *plain, unpack("sig", np.uint16), unpack("long_sig", np.uint64), layout)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
 
     return common.materialize(own.mapInArrow(search, "a long, b long"), "blocked")
@@ -319,18 +347,19 @@ def whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
-    Links are pairs of sets with 100 * intersection >= percent * union; percent is at least 80, the
-    similarity for which RADIUS is laid out. component_id is the smallest doc_id reachable.
+    Links are pairs of sets with 100 * intersection >= percent * union; percent is at least 80,
+    so that keys are of three slots or more. component_id is the smallest doc_id reachable.
     """
     if percent < 80:
-        raise ValueError("the signature radius is laid out for similarities of 0.8 or more")
+        raise ValueError("the signature is laid out for similarities of 0.8 or more")
     common.small_batches(docs.sparkSession)
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("doc_id IS NOT NULL")
     signed = common.materialize(signatures(docs), "signed")
     classes = signed.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = common.materialize(classes, "classes")
     sigs = classes.select(F.col("rep").alias("doc_id"), "sig")
-    keys = common.materialize(sigs.mapInArrow(_keyed, "key long, doc_id long"), "keys")
+    chunk_slots = laid_out(percent).chunk_slots
+    keys = common.materialize(sigs.mapInArrow(lambda x: _keyed(chunk_slots, x), "key long, doc_id long"), "keys")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = common.materialize(keys.join(shared, "key"), "members")
     wanted = members.select("doc_id").distinct()

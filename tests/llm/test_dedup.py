@@ -132,3 +132,46 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 60), (7, 7)]
     got = {r.doc_id: r.component_id for r in mh.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {50: 50, 60: 50, 100: 50}
+
+
+@pytest.mark.parametrize("percent", [80, 83, 85, 90])
+def test_radii_suit_the_similarity(percent):
+    """A pair at the limit is missed seldom by either signature."""
+    layout = mh.laid_out(percent)
+    rng = np.random.default_rng(percent)
+    for slots, radius, differs in ((mh.SLOTS, layout.radius, 1 - percent / 100), (mh.LONG, layout.long_radius, 0.75 * (1 - percent / 100))):
+        assert (rng.binomial(slots, differs, 1_000_000) > radius).sum() <= 10
+    assert layout.radius < 2 * len(layout.chunk_slots) and sum(layout.chunk_slots, []) == list(range(mh.SLOTS))
+
+
+def pairs_at(percent, n, seed):
+    """n pairs of texts that share exactly percent of their shingles: cut at both ends, nothing else is alike."""
+    rng = np.random.default_rng(seed)
+    for k in range(n):
+        # two windows of one text of 200 shingles in all, percent of them in both
+        words = [f"p{k}w{x}" for x in rng.permutation(204)]
+        alone = 2 * (100 - percent)
+        yield " ".join(words[: 204 - alone // 2]), " ".join(words[alone // 2 :])
+
+
+def test_long_signature_passes_pairs_at_80():
+    layout, far = mh.laid_out(80), 0
+    for a, b in pairs_at(80, 300, 5):
+        x, y = mh.shingle_hashes(a), mh.shingle_hashes(b)
+        both = len(np.intersect1d(x, y))
+        assert 100 * both == 80 * (len(x) + len(y) - both)
+        long = [mh.long_signature(s).view(np.uint64)[None] for s in (x, y)]
+        short = [mh.signature(s) for s in (x, y)]
+        far += bool(mh.long_distance(*long)[0] > layout.long_radius or (short[0] != short[1]).sum() > layout.radius)
+    assert far == 0
+
+
+def test_near_at_80_equals_brute_force(spark, monkeypatch):
+    """Without offers every link must pass the final search of the tiles."""
+    monkeypatch.setattr(mh, "ROUNDS", 0)
+    rows = near_rows(2)
+    for a, b in pairs_at(80, 60, 6):
+        rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = mh.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
+    want = brute(rows, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and want != brute(rows, 85)
