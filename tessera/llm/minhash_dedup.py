@@ -375,8 +375,8 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay, one of each component; documents without an id stay."""
-    decided = common.materialize(near_dedup(docs), "near-decided")
+    """The documents that stay, one of each component at similarity 0.8; documents without an id stay."""
+    decided = common.materialize(near_dedup(docs, percent=80), "near-decided")
     return common.join_ids(docs, decided.filter("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
 
 

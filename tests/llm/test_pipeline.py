@@ -4,7 +4,7 @@ import hashlib
 
 import corpus_pipeline
 from tessera.llm import language_id
-from tests.llm.test_dedup import brute, lower
+from tests.llm.test_dedup import brute, lower, pairs_at
 
 
 def test_stages_on_tables(spark, sf):
@@ -53,3 +53,11 @@ def test_registered(spark):
 
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11))
+
+
+def test_near_copies_from_80_on_are_removed(spark):
+    texts = [t for percent in (79, 80, 82, 84, 86) for pair in pairs_at(percent, 6, percent) for t in pair]
+    rows = list(enumerate(texts))
+    want = {i for i, (_, c) in brute(rows, 80).items() if i == c}
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == want and want < {i for i, (_, c) in brute(rows).items() if i == c}
