@@ -1,7 +1,7 @@
 """Secret scans: wide candidate patterns, and a random forest that removes false positives.
 
-Every key-like run of a text (MIN_LENGTH or more of letters, digits and + / _ -, at least one digit)
-is a candidate. Features: its length, changes of character class, share of frequent letter pairs,
+Every key-like run of a text (MIN_LENGTH or more of letters, digits and + / _ -, with digits or
+without) is a candidate. Features: its length, changes of character class, share of frequent letter pairs,
 dictionary coverage, the document's path and the words before and after. A random forest trained on
 labelled findings gives each candidate the probability of being a secret; those at THRESHOLD or more
 are findings. Everything is DataFrame and SQL expressions; the forest is the engine's own.
@@ -27,7 +27,7 @@ from . import common, pii
 MIN_LENGTH, THRESHOLD, LABELLED = 16, 0.5, 6_000
 TREES, DEPTH, SEED = 24, 7, 13
 BEFORE, AFTER = 40, 20
-CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}+"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}+"
 #: Words whose letters count as covered by a dictionary.
 WORDS = (
     "about account address admin after again also answer api back base before between build button cache change class client code "
@@ -73,7 +73,7 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str = "source"
     p = pii._quote(CANDIDATE)
     path = docs[path_col].cast("string") if path_col in docs.columns else F.lit("")
     out = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("doc_id"), common.text_of(docs, text_col).alias("t"), F.coalesce(path, F.lit("")).alias("path"))
-    out = out.withColumn("m", F.expr(f"IF(t RLIKE '[0-9]', regexp_extract_all(t, {p}, 0), cast(array() as array<string>))"))
+    out = out.withColumn("m", F.expr(f"regexp_extract_all(t, {p}, 0)"))
     out = out.withColumn("g", F.expr(f"IF(size(m) > 0, transform(slice(split(t, {p}, -1), 1, size(m)), x -> length(x)), cast(array() as array<int>))"))
     out = out.withColumn("n", F.expr("zip_with(g, m, (a, b) -> a + length(b))"))
     out = out.withColumn("b", F.expr(f"IF(size(m) > 0, {pii._running('n')}, cast(array() as array<int>))"))
@@ -96,6 +96,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     r = "sha2(concat('finding', id), 256)"
     wide = f"translate(base64(unhex(concat({r}, sha2(concat('more', id), 256)))), '=', '')"
     alnum = f"regexp_replace({wide}, '[^A-Za-z0-9]', '')"
+    letters = f"regexp_replace({wide}, '[^A-Za-z]', '')"
     word = lambda k: f"element_at(array({', '.join(repr(w) for w in WORDS)}), 1 + int(pmod(xxhash64(id, {k}), {len(WORDS)})))"
     pick = lambda k, *xs: f"element_at(array({', '.join(repr(x) for x in xs)}), 1 + int(pmod(xxhash64(id, {k}), {len(xs)})))"
     prose = f"concat({word(11)}, ' ', {word(12)}, ' ')"
@@ -114,6 +115,16 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (0, f"concat({word(4)}, {word(5)}, {word(6)}, cast(pmod(xxhash64(id), 100) as string))", f"IF(id % 4 = 0, {named}, {neutral})"),
         (0, f"concat('AKIA', {pick(13, 'IOSFODNN7EXAMPLE', '0000000000000000', 'XXXXXXXXXXXX1234')})", f"IF(id % 2 = 0, {named}, {prose})"),
         (0, f"concat({word(7)}, '_', {word(8)}, '_', cast(pmod(xxhash64(id), 90) + 10 as string))", named),
+        (0, f"substring({r}, 1, {pick(8, '32', '40', '64')})", f"concat({prose}, {pick(9, 'sha256: ', 'md5: ', 'checksum=', 'digest: ', 'commit = ', 'sha-1: ')})"),
+        # without digits
+        (1, f"concat('AKIA', upper(substring({letters}, 1, 16)))", f"IF(id % 5 = 0, {named}, {prose})"),
+        (1, f"concat({pick(7, 'ghp_', 'sk_live_', 'AIza', 'xoxb-')}, substring({letters}, 1, 30))", f"IF(id % 3 = 0, {named}, {prose})"),
+        (1, f"substring({letters}, 1, 16 + int(pmod(xxhash64(id), 25)))", named),
+        (1, f"lower(substring({letters}, 1, 16 + int(pmod(xxhash64(id), 15))))", named),
+        (0, f"IF(id % 3 = 0, initcap(substring({letters}, 1, 16 + int(pmod(xxhash64(id), 9)))), lower(substring({letters}, 1, 16 + int(pmod(xxhash64(id), 9)))))", neutral),
+        (0, f"concat({word(16)}, {word(17)}, {word(18)}, {word(19)})", f"IF(id % 4 = 0, {named}, {neutral})"),
+        (0, f"concat({word(20)}, initcap({word(21)}), initcap({word(22)}), initcap({word(23)}))", f"IF(id % 3 = 0, {named}, {neutral})"),
+        (0, f"concat({word(24)}, {pick(25, '/', '_', '-')}, {word(26)}, {pick(27, '/', '_', '-')}, {word(28)}, '-', {word(29)})", f"IF(id % 3 = 0, {named}, {neutral})"),
     ]
     ones, zeros = [k for k in kinds if k[0]], [k for k in kinds if not k[0]]
     choose = lambda field: "CASE " + " ".join(
