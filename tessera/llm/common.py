@@ -15,16 +15,19 @@ from pyspark.sql import functions as F
 # Executors get these functions by value, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules["tessera"])
 
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only where the session names no shared folder and driver and executors are one local process, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tessera"
 #: Id sets up to this many rows (8 bytes each) may be broadcast after counting them.
 BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir)."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = LOCAL_CHECKPOINTS
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -39,7 +42,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what materialize() wrote for these frames; nothing that still is to run may read it."""
+    for path in filter(None, (getattr(df, "scratch_path", None) for df in frames)):
+        delete(frames[0].sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df lacks."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
 
 
 def lower_ascii(column: Column) -> Column:
@@ -65,6 +89,12 @@ def join_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
 
 
+def join_counted(df: DataFrame, side: DataFrame, on: str | list[str], how: str, bound: int) -> DataFrame:
+    """Join with a side that is broadcast only after counting at most bound rows, else sort-merged."""
+    small = side.limit(bound + 1).count() <= bound
+    return df.join(F.broadcast(side) if small else side.hint("merge"), on, how)
+
+
 def once_a_worker(key: tuple, make: Callable[[], Any]) -> Any:
     """make(), kept for later tasks of the same Python worker."""
     kept = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker")).__dict__

@@ -1,15 +1,14 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of one white-space-delimited word (with a blank on either side; longer
-words in windows of WINDOW bytes) in both directions and labels every byte with a distribution over
-the languages. A document pools them over all bytes of its whole text: the language with the largest
-sum of log probabilities is predicted, its score is its mean probability. As the state starts anew at
-each word, a word's labels are the same wherever it stands, so each worker computes a distinct word
-once and weighs it by its count; that changes no result.
+The network reads the bytes of a text in both directions and labels every byte with a distribution
+over the languages. Long texts are read in windows of WINDOW bytes: the forward direction starts
+CONTEXT bytes before its window and the backward direction CONTEXT bytes after it, so a byte is judged
+by the text on either side, across words and windows. A document pools all bytes of its whole text:
+the language with the largest sum of log probabilities is predicted, its score is its mean probability.
 
-Training is backpropagation through time in numpy on the driver, on a bounded sample: at most
-DOCS_PER_LANGUAGE documents a language (by hash), of these at most TYPES word types. The LANGUAGES
-most frequent labels are learned.
+Training is backpropagation through time in numpy, in one executor task, on a bounded sample: at most
+about DOCS_PER_LANGUAGE documents a language (by hash) and SPANS spans of SPAN bytes of each.
+Every language of the rows is learned.
 
 Defined results: `und` and score 0 if the text is null or has no letter, or if nothing could be
 learned; every input row gives one row, null (held_out false) and repeated doc_ids included; an empty
@@ -18,7 +17,7 @@ table gives an empty result; columns beside doc_id, text and, in training, lang
 
 from __future__ import annotations
 
-from collections import Counter
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +27,19 @@ from pyspark.sql import functions as F
 
 from . import common
 
-HIDDEN, WINDOW = 16, 30
-DOCS_PER_LANGUAGE, TYPES, LANGUAGES = 500, 60_000, 200
-STEPS, BATCH, RATE = 700, 256, 0.01
-#: Distinct words a worker remembers before it starts anew.
-REMEMBERED = 200_000
+HIDDEN, WINDOW, CONTEXT = 12, 160, 16
+#: The training sample: documents a language, spans a document, bytes of a span.
+DOCS_PER_LANGUAGE, SPANS, SPAN = 500, 12, 48
+STEPS, BATCH, RATE = 400, 128, 0.015
+#: Windows computed side by side.
+ABREAST = 1024
 UNKNOWN = "und"
-#: A document below this mean probability is rejected by the pipeline's stage.
-REJECT_BELOW = 0.15
+BLANK = 32
 
 
-def windows(word: str) -> list[bytes]:
-    raw = word.encode("utf-8", "surrogatepass")
-    return [b" " + raw[k : k + WINDOW] + b" " for k in range(0, len(raw), WINDOW)]
+def reject_below(languages: int) -> float:
+    """A document below this mean probability is rejected by the pipeline's stage: half as much again as a guess."""
+    return min(0.5, 1.5 / max(1, languages))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -48,98 +47,141 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class ByteGru:
-    """Two directions of gated recurrent units over bytes and a softmax at every byte."""
+    """Two directions of gated recurrent units over bytes and a softmax at every byte.
+
+    Arrays have features first and windows last. A gate's bias is part of its bytes' columns.
+    """
 
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.languages, self.h = languages, hidden
         n = len(languages)
-        small = lambda *s: (rng.normal(size=s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"V": small(2 * hidden, n), "d": np.zeros(n, np.float32)}
+        small = lambda *s: (rng.normal(size=s) / np.sqrt(s[1])).astype(np.float32)
+        self.p = {"V": small(n, 2 * hidden), "d": np.zeros(n, np.float32)}
         for k in "fb":
-            self.p |= {f"W{k}": rng.normal(size=(256, 3 * hidden)).astype(np.float32) * 0.3, f"U{k}": small(hidden, 3 * hidden), f"c{k}": np.zeros(3 * hidden, np.float32)}
-
-    def _run(self, x: np.ndarray, k: str, keep: list | None) -> np.ndarray:
-        """States after each byte of x (length, words), shape (length, words, hidden)."""
-        W, U, c, n = self.p[f"W{k}"], self.p[f"U{k}"], self.p[f"c{k}"], self.h
-        s = np.zeros((x.shape[1], n), np.float32)
-        out = np.empty((*x.shape, n), np.float32)
+            self.p |= {f"W{k}": rng.normal(size=(3 * hidden, 256)).astype(np.float32) * 0.3, f"U{k}": small(3 * hidden, hidden)}
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **self.p)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, languages: list[str], raw: bytes) -> ByteGru:
+        with np.load(io.BytesIO(raw)) as kept:
+            p = dict(kept)
+        net = cls(languages, p["Uf"].shape[1])
+        net.p = p
+        return net
+
+    def _read(self, x: np.ndarray, k: str) -> np.ndarray:
+        """States after each byte of x (length, windows), shape (length, hidden, windows)."""
+        n = self.h
+        half = np.where(np.arange(3 * n) < 2 * n, 0.5, 1).astype(np.float32)[:, None]  # a sigmoid is a tanh of half
+        W, U = self.p[f"W{k}"] * half, self.p[f"U{k}"] * half
+        g, u = (np.empty((3 * n, x.shape[1]), np.float32) for _ in range(2))
+        s = np.zeros((n, x.shape[1]), np.float32)
+        out = np.empty((len(x), n, x.shape[1]), np.float32)
+        gates, cand = g[: 2 * n], u[2 * n :]
         for t in range(len(x)):
-            g, u = W[x[t]], s @ U + c
-            zr = _sigmoid(g[:, : 2 * n] + u[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            cand = np.tanh(g[:, 2 * n :] + r * u[:, 2 * n :])
-            if keep is not None:
-                keep.append((s, z, r, cand, u[:, 2 * n :]))
-            s = cand + z * (s - cand)
+            np.take(W, x[t], axis=1, out=g, mode="clip")
+            np.dot(U, s, out=u)
+            gates += u[: 2 * n]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            cand *= gates[n:]
+            cand += g[2 * n :]
+            np.tanh(cand, out=cand)
+            s -= cand
+            s *= gates[:n]
+            s += cand
             out[t] = s
         return out
 
+    def _kept(self, x: np.ndarray, k: str) -> tuple[np.ndarray, list]:
+        """As _read, with what its gradient needs."""
+        W, U, n = self.p[f"W{k}"], self.p[f"U{k}"], self.h
+        s, states, kept = np.zeros((n, x.shape[1]), W.dtype), [], []
+        for t in range(len(x)):
+            g, u = W[:, x[t]], U @ s
+            zr = _sigmoid(g[: 2 * n] + u[: 2 * n])
+            z, r = zr[:n], zr[n:]
+            cand = np.tanh(g[2 * n :] + r * u[2 * n :])
+            kept.append((s, z, r, cand, u[2 * n :]))
+            s = cand + z * (s - cand)
+            states.append(s)
+        return np.stack(states), kept
+
     def _back(self, x: np.ndarray, k: str, kept: list, d_out: np.ndarray, grad: dict) -> None:
         U, n = self.p[f"U{k}"], self.h
         d_s = np.zeros_like(kept[0][0])
-        d_g = np.empty((*x.shape, 3 * n), np.float32)
-        dU, dc = np.zeros_like(U), np.zeros(3 * n, np.float32)
+        d_g = np.empty((3 * n, *x.shape), U.dtype)
+        dU = np.zeros_like(U)
         for t in range(len(x) - 1, -1, -1):
             s, z, r, cand, u_n = kept[t]
             d = d_s + d_out[t]
             d_cand = d * (1 - z) * (1 - cand**2)
             d_z = d * (s - cand) * z * (1 - z)
             d_r = d_cand * u_n * r * (1 - r)
-            d_g[t] = np.concatenate([d_z, d_r, d_cand], 1)
-            d_u = np.concatenate([d_z, d_r, d_cand * r], 1)
-            d_s = d * z + d_u @ U.T
-            dU += s.T @ d_u
-            dc += d_u.sum(0)
-        hot = np.zeros((256, x.size), np.float32)
-        hot[x.ravel(), np.arange(x.size)] = 1
-        grad |= {f"W{k}": hot @ d_g.reshape(-1, 3 * n), f"U{k}": dU, f"c{k}": dc}
-
-    def log_probabilities(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """(length, words, languages) for bytes x (length, words)."""
-        kf, kb = (None, None) if keep is None else ([], [])
-        h = np.concatenate([self._run(x, "f", kf), self._run(x[::-1], "b", kb)[::-1]], 2)
-        o = h @ self.p["V"] + self.p["d"]
-        o -= o.max(2, keepdims=True)
-        o -= np.log(np.exp(o).sum(2, keepdims=True))
-        if keep is not None:
-            keep |= {"h": h, "f": kf, "b": kb}
+            d_g[:, t] = np.concatenate([d_z, d_r, d_cand])
+            d_u = np.concatenate([d_z, d_r, d_cand * r])
+            d_s = d * z + U.T @ d_u
+            dU += d_u @ s.T
+        hot = np.zeros((x.size, 256), U.dtype)
+        hot[np.arange(x.size), x.ravel()] = 1
+        grad |= {f"W{k}": d_g.reshape(3 * n, -1) @ hot, f"U{k}": dU}
+
+    def _softmax(self, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+        V = self.p["V"]
+        o = np.matmul(V[:, : self.h], forward)
+        o += np.matmul(V[:, self.h :], backward)
+        o += self.p["d"][:, None]
+        o -= o.max(1, keepdims=True)
+        o -= np.log(np.exp(o).sum(1, keepdims=True))
         return o
 
-    def gradients(self, x: np.ndarray, labels: np.ndarray) -> tuple[float, dict]:
-        """Mean cross-entropy over the bytes of x (length, words) and its gradients."""
-        kept: dict = {}
-        lp = self.log_probabilities(x, kept)
-        inner = slice(1, len(x) - 1)  # the blanks on either side carry no label
-        d_o = np.zeros_like(lp)
-        d_o[inner] = np.exp(lp[inner])
-        d_o[inner, np.arange(x.shape[1]), labels] -= 1
-        count = x.shape[1] * (len(x) - 2)
-        d_o /= count
-        loss = -lp[inner, np.arange(x.shape[1]), labels].sum() / count
-        n = self.h
-        grad = {"V": np.tensordot(kept["h"], d_o, ([0, 1], [0, 1])), "d": d_o.sum((0, 1))}
-        d_h = d_o @ self.p["V"].T
-        self._back(x, "f", kept["f"], d_h[..., :n], grad)
-        self._back(x[::-1], "b", kept["b"], d_h[::-1, :, n:], grad)
+    def log_probabilities(self, x: np.ndarray, context: int = CONTEXT) -> np.ndarray:
+        """(length, languages, windows) for bytes x (context + length + context, windows)."""
+        n = len(x) - 2 * context
+        forward = self._read(x[: context + n], "f")[context:]
+        backward = self._read(x[context:][::-1], "b")[context:][::-1]
+        return self._softmax(forward, backward)
+
+    def gradients(self, x: np.ndarray, labels: np.ndarray, context: int = CONTEXT) -> tuple[float, dict]:
+        """Mean cross-entropy over the labelled bytes of x (context + length + context, windows) and its gradients."""
+        n, h = len(x) - 2 * context, self.h
+        xf, xb = x[: context + n], x[context:][::-1]
+        (sf, kf), (sb, kb) = self._kept(xf, "f"), self._kept(xb, "b")
+        forward, backward = sf[context:], sb[context:][::-1]
+        lp = self._softmax(forward, backward)
+        at = np.arange(x.shape[1])
+        loss = -lp[:, labels, at].mean()
+        d_o = np.exp(lp)
+        d_o[:, labels, at] -= 1
+        d_o /= n * x.shape[1]
+        both = np.concatenate([forward, backward], 1)
+        grad = {"V": np.einsum("tlb,thb->lh", d_o, both, optimize=True), "d": d_o.sum((0, 2))}
+        d_h = np.matmul(self.p["V"].T, d_o)
+        none = np.zeros((context, h, x.shape[1]), d_h.dtype)
+        self._back(xf, "f", kf, np.concatenate([none, d_h[:, :h]]), grad)
+        self._back(xb, "b", kb, np.concatenate([none, d_h[::-1, h:]]), grad)
         return float(loss), grad
 
-    def train(self, words: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> float:
-        """Adam on batches of words of one length, drawn by weight with the languages balanced."""
+    def train(self, spans: np.ndarray, labels: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, context: int = CONTEXT, seed: int = 11) -> float:
+        """Adam on batches of spans (rows of bytes), the languages balanced; some lose their context, as texts begin and end."""
         rng = np.random.default_rng(seed)
-        weights = weights / np.bincount(labels, weights, minlength=len(self.languages))[labels]
-        lengths = np.array([len(w) for w in words])
-        groups = [(np.flatnonzero(lengths == n), n) for n in np.unique(lengths)]
-        mass = np.array([weights[g].sum() * n for g, n in groups])
-        arrays = [np.frombuffer(b"".join(words[i] for i in g), np.uint8).reshape(-1, n).T for g, n in groups]
-        odds = [np.cumsum(weights[g]) / weights[g].sum() for g, _ in groups]
+        weights = 1 / np.bincount(labels, minlength=len(self.languages))[labels]
+        odds = np.cumsum(weights) / weights.sum()
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         loss = 0.0
         for step in range(1, steps + 1):
-            k = rng.choice(len(groups), p=mass / mass.sum())
-            pick = np.minimum(np.searchsorted(odds[k], rng.random(batch)), len(odds[k]) - 1)
-            now, grad = self.gradients(arrays[k][:, pick], labels[groups[k][0][pick]])
+            pick = np.minimum(np.searchsorted(odds, rng.random(batch)), len(labels) - 1)
+            x = spans[pick].T.copy()
+            x[:context, rng.random(batch) < 0.1] = BLANK
+            x[len(x) - context :, rng.random(batch) < 0.1] = BLANK
+            now, grad = self.gradients(x, labels[pick], context)
             loss = now if step == 1 else 0.98 * loss + 0.02 * now
             lr = rate * min(1.0, 1.5 * (1 - step / (steps + 1)))
             for name, g in grad.items():
@@ -149,83 +191,85 @@ class ByteGru:
         return loss
 
 
+def windows_of(raw: bytes, window: int = WINDOW, context: int = CONTEXT) -> np.ndarray:
+    """(windows, context + window + context) bytes of a text, blank beyond its ends."""
+    count = -(-len(raw) // window)
+    padded = np.full(2 * context + count * window, BLANK, np.uint8)
+    padded[context : context + len(raw)] = np.frombuffer(raw, np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(padded, window + 2 * context)[::window]
+
+
 class Pooler:
-    """Pools byte labels over texts, remembering what a distinct word adds."""
+    """Labels every byte of texts and pools them by text."""
 
     def __init__(self, net: ByteGru):
         self.net, self.k = net, len(net.languages)
-        self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, 2 * self.k + 1), np.float32)
-
-    def _learn(self, words: list[str]) -> None:
-        first = len(self.at)
-        if first + len(words) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((first + len(words), self.rows.shape[1]), np.float32)])
-        self.at.update(zip(words, range(first, first + len(words))))
-        self.rows[first : first + len(words)] = 0
-        by_length: dict[int, tuple[list[int], list[bytes]]] = {}
-        for i, word in enumerate(words, first):
-            for w in windows(word):
-                rows, raws = by_length.setdefault(len(w), ([], []))
-                rows.append(i)
-                raws.append(w)
-        for n, (rows, raws) in by_length.items():
-            for a in range(0, len(raws), 2048):
-                x = np.frombuffer(b"".join(raws[a : a + 2048]), np.uint8).reshape(-1, n).T
-                lp = self.net.log_probabilities(x)[1 : n - 1]
-                added = np.concatenate([lp.sum(0), np.exp(lp).sum(0), np.full((x.shape[1], 1), n - 2, np.float32)], 1)
-                np.add.at(self.rows, rows[a : a + 2048], added)
+
+    def _add(self, windows: np.ndarray, left: np.ndarray, of: np.ndarray, total: np.ndarray) -> None:
+        lp = self.net.log_probabilities(windows.T)
+        p = np.exp(lp)
+        if left.min() < WINDOW:
+            inside = np.arange(WINDOW)[:, None, None] < left
+            lp *= inside
+            p *= inside
+        np.add.at(total, of, np.concatenate([lp.sum(0), p.sum(0)]).T)
 
     def pool(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        if not self.k:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        bags = [Counter(t.split()) if t is not None and any(map(str.isalpha, t)) else None for t in texts]
-        if len(self.at) > REMEMBERED:
-            self.at.clear()
-            self.rows = self.rows[:1024].copy()
-        new = set().union(*(b for b in bags if b)).difference(self.at)
-        if new:
-            self._learn(sorted(new))
-        langs, scores = [], []
-        for bag in bags:
-            if not bag:
-                langs.append(UNKNOWN)
-                scores.append(0.0)
+        raws = [t.encode("utf-8", "surrogatepass") if self.k and t is not None and any(map(str.isalpha, t)) else b"" for t in texts]
+        total = np.zeros((len(texts), 2 * self.k))
+        held: list[np.ndarray] = []
+        left: list[np.ndarray] = []
+        of: list[np.ndarray] = []
+        count = 0
+        for i, raw in enumerate(raws):
+            if not raw:
                 continue
-            rows = np.fromiter(map(self.at.__getitem__, bag), np.int64, len(bag))
-            total = np.fromiter(bag.values(), np.float64, len(bag)) @ self.rows[rows]
-            best = int(np.argmax(total[: self.k]))
-            langs.append(self.net.languages[best])
-            scores.append(float(min(1.0, max(0.0, total[self.k + best] / total[-1]))))
+            w = windows_of(raw)
+            for a in range(0, len(w), ABREAST):
+                part = w[a : a + ABREAST]
+                held.append(part)
+                left.append(np.minimum(WINDOW, len(raw) - WINDOW * np.arange(a, a + len(part))))
+                of.append(np.full(len(part), i))
+                count += len(part)
+                if count >= ABREAST:
+                    self._add(np.concatenate(held), np.concatenate(left), np.concatenate(of), total)
+                    held, left, of, count = [], [], [], 0
+        if held:
+            self._add(np.concatenate(held), np.concatenate(left), np.concatenate(of), total)
+        langs, scores = [], []
+        for raw, row in zip(raws, total):
+            best = int(np.argmax(row[: self.k])) if raw else -1
+            langs.append(self.net.languages[best] if raw else UNKNOWN)
+            scores.append(float(min(1.0, max(0.0, row[self.k + best] / len(raw)))) if raw else 0.0)
         return langs, scores
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> ByteGru:
-    """A network from a bounded sample of the rows with a text and a language."""
+    """A network from a bounded sample of the rows with a text and a language; only its weights reach the driver."""
     common.small_batches(labelled.sparkSession)
-    rows = labelled.select(labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang"), labelled[id_col].alias("id"))
+    rows = labelled.select(labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang"), labelled[id_col].cast("string").alias("id"))
     rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
-    if not languages:
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
+    if not counts:
         return ByteGru([])
+    languages = [r["lang"] for r in counts]
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, DOCS_PER_LANGUAGE / r["count"]))))
     chosen = rows.filter((F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003) < share[F.col("lang")])
-    words = chosen.select("lang", F.explode(F.split("text", r"\s+")).alias("word")).filter("word <> ''").groupBy("lang", "word").count()
-    # a weighted draw without replacement, weight sqrt(count), settled by hash
-    drawn = words.withColumn("u", (F.pmod(F.xxhash64("lang", "word"), F.lit(1_000_003)) + 0.5) / 1_000_003)
-    drawn = drawn.orderBy(-F.log("u") / F.sqrt("count"), "lang", "word").limit(TYPES).toPandas()
-    raw, labels, weights = [], [], []
+    size = SPAN + 2 * CONTEXT
+    place = f"1 + pmod(xxhash64(id, k), greatest(1, length(text) - {size - 1}))"
+    chosen = chosen.select("lang", F.explode(F.expr(f"transform(sequence(1, {SPANS}), k -> substring(text, int({place}), {size}))")).alias("span"))
     number = {x: k for k, x in enumerate(languages)}
-    for lang, word, count in zip(drawn["lang"], drawn["word"], drawn["count"]):
-        for w in windows(word):
-            raw.append(w)
-            labels.append(number[lang])
-            weights.append(float(count) ** 0.5)
-    net = ByteGru(languages)
-    if raw:
-        net.train(raw, np.array(labels), np.array(weights))
-    return net
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(x for b in batches for x in zip(b.column("span").to_pylist(), b.column("lang").to_pylist()))
+        got = [(s.encode("utf-8", "surrogatepass"), number[lang]) for s, lang in got if s.strip()]
+        net = ByteGru(languages)
+        if got:
+            spans = np.frombuffer(b"".join(s[:size].ljust(size) for s, _ in got), np.uint8).reshape(-1, size)
+            net.train(spans, np.array([k for _, k in got]))
+        yield pa.RecordBatch.from_arrays([pa.array([net.to_bytes()], pa.binary())], ["weights"])
+
+    return ByteGru.from_bytes(languages, chosen.repartition(1).mapInArrow(fit, "weights binary").first()["weights"])
 
 
 def trainable(docs: DataFrame) -> DataFrame:
@@ -254,12 +298,13 @@ def identified(docs: DataFrame, net: ByteGru) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language is known: not `und`, mean probability at least REJECT_BELOW."""
+    """The documents whose language is known: not `und`, mean probability at least reject_below()."""
     net = train(trainable(docs))
+    floor = reject_below(len(net.languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, langs, scores in _judged(net, batches, "text"):
-            yield part.filter(pa.array([x != UNKNOWN and y >= REJECT_BELOW for x, y in zip(langs, scores)]))
+            yield part.filter(pa.array([x != UNKNOWN and y >= floor for x, y in zip(langs, scores)]))
 
     return docs.mapInArrow(run, docs.schema)
 
