@@ -7,8 +7,8 @@ consecutive labels. Forward-backward gives each line's probability of being good
 their mean weighted by line length, brought to a probability by a logistic fit on the training rows.
 
 Training is by gradient on the exact conditional likelihood, in numpy on the driver, from a bounded
-sample of labelled rows: at most DOCS documents a class and LINES lines in all, chosen by hash. Each
-line's label is its document's. Long documents count as chains of CHAIN lines in training; a score
+sample of labelled rows: at most DOCS documents a class and LINES lines in all, chosen by hash; a
+document that would exceed the lines is left out, those behind it are not. Each line's label is its document's. Long documents count as chains of CHAIN lines in training; a score
 uses the whole document as one chain.
 
 Defined results: a null, empty or blank text has no lines and gets the share of good training rows;
@@ -215,11 +215,16 @@ def train(docs: DataFrame, labels: DataFrame) -> LineCrf:
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter("text IS NOT NULL")
     rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("lines", F.size(F.split("text", "\n")))
     rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit(1)))
-    sizes = rows.select("h", "lines").toPandas().sort_values("h")
-    within = sizes[sizes["lines"].cumsum() <= LINES]
-    if not len(within):
+    sizes = rows.select("h", "lines").toPandas().sort_values(["h", "lines"])
+    taken, used = [], 0
+    for h, n in zip(sizes["h"], sizes["lines"]):
+        if used + n <= LINES:
+            taken.append((int(h), int(n)))
+            used += n
+    if not taken:
         return LineCrf(base)
-    got = rows.filter(F.col("h") <= int(within["h"].iloc[-1])).select("doc_id", "text", "quality").toPandas().sort_values(["doc_id", "text"])
+    within = docs.sparkSession.createDataFrame(sorted(set(taken)), "h long, lines int")
+    got = rows.join(F.broadcast(within), ["h", "lines"]).select("doc_id", "text", "quality").toPandas().sort_values(["doc_id", "text"])
     return LineCrf(base).fit(got["text"].tolist(), got["quality"].to_numpy())
 
 
