@@ -14,21 +14,71 @@ from tessera.llm import quality_crf as qc
 
 def test_gru_gradients():
     net = li.ByteGru(["a", "b"], hidden=3, seed=1)
-    x = np.frombuffer(b" ab  cd  xy ", np.uint8).reshape(3, 4).T
-    y = np.array([0, 1, 0])
-    _, grad = net.gradients(x, y)
-    for name, at in [("V", (2, 1)), ("d", (0,)), ("Uf", (1, 4)), ("Ub", (0, 8)), ("cf", (7,)), ("cb", (2,)), ("Wf", (ord("b"), 5)), ("Wb", (ord(" "), 1))]:
+    x = np.frombuffer(b"ab  cdefxyz ghijklmn", np.uint8).reshape(2, 10).T
+    y = np.array([0, 1])
+    _, grad = net.gradients(x, y, context=2)
+    for name, at in [("V", (1, 2)), ("d", (0,)), ("Uf", (4, 1)), ("Ub", (8, 0)), ("Uf", (7, 2)), ("Wf", (5, ord("b"))), ("Wb", (1, ord(" "))), ("Wb", (0, ord("n")))]:
         kept, step = net.p[name], 1e-3
         net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
         losses = []
         for sign in (1, -1):
             net.p[name][at] += sign * step
-            losses.append(net.gradients(x, y)[0])
+            losses.append(net.gradients(x, y, context=2)[0])
             net.p[name][at] -= sign * step
         assert abs((losses[0] - losses[1]) / (2 * step) - grad[name][at]) < 2e-3, name
         net.p[name] = kept
 
 
+def plainly(net, text):
+    """Language and score of a text by one step a byte and direction, window by window."""
+    raw = text.encode()
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    n, total, mass = net.h, np.zeros(len(net.languages)), np.zeros(len(net.languages))
+
+    def states(bytes_, k):
+        s, out = np.zeros(n), []
+        for b in bytes_:
+            g, u = p[f"W{k}"][:, b], p[f"U{k}"] @ s
+            z, r = sig(g[:n] + u[:n]), sig(g[n : 2 * n] + u[n : 2 * n])
+            s = z * s + (1 - z) * np.tanh(g[2 * n :] + r * u[2 * n :])
+            out.append(s)
+        return out
+
+    at = lambda i: raw[i] if 0 <= i < len(raw) else 32
+    for a in range(0, len(raw), li.WINDOW):
+        b = a + li.WINDOW
+        f = states([at(i) for i in range(a - li.CONTEXT, b)], "f")[li.CONTEXT :]
+        g = states([at(i) for i in range(b + li.CONTEXT - 1, a - 1, -1)], "b")[li.CONTEXT :][::-1]
+        for i in range(a, min(b, len(raw))):
+            o = p["V"] @ np.concatenate([f[i - a], g[i - a]]) + p["d"]
+            o -= np.log(np.exp(o).sum())
+            total += o
+            mass += np.exp(o)
+    best = int(total.argmax())
+    return net.languages[best], mass[best] / len(raw)
+
+
+def test_pooling_equals_a_plain_pass(monkeypatch):
+    monkeypatch.setattr(li, "ABREAST", 3)
+    net = li.ByteGru(["a", "b", "c"], seed=2)
+    texts = ["one two two", "x" * li.WINDOW, "é one " * 150, None, "12 34", "y" * (li.WINDOW + 1), "", "a b " * 400]
+    langs, scores = li.Pooler(net).pool(texts)
+    for t, lang, score in zip(texts, langs, scores):
+        want = ("und", 0.0) if t is None or not any(c.isalpha() for c in t) else plainly(net, t)
+        assert lang == want[0] and abs(score - want[1]) < 1e-4
+    again = li.ByteGru.from_bytes(net.languages, net.to_bytes())
+    assert li.Pooler(again).pool(texts) == (langs, scores)
+
+
+def test_a_byte_is_judged_by_the_words_around_it():
+    net = li.ByteGru(["a", "b"], seed=3)
+    row = lambda text: net.log_probabilities(li.windows_of(text).T)
+    assert abs(row(b"aaa mid bbb")[4:7] - row(b"xyz mid qrs")[4:7]).max() > 1e-3
+    long = b"w" * (li.WINDOW - 2) + b" next words"
+    assert abs(row(long)[0, :, 1] - row(b"v" * (li.WINDOW - 2) + b" next words")[0, :, 1]).max() > 1e-4
+
+
 def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = li.op5_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
@@ -37,17 +87,6 @@ def test_held_out_accuracy(spark, sf):
     assert (held["lang_pred"] == held["lang"]).mean() > 0.95 and got["score"].between(0, 1).all()
 
 
-def test_pooling_remembers_without_changing(monkeypatch):
-    net = li.ByteGru(["a", "b"], seed=2)
-    texts = ["one two two", "x" * 100, None, "12 34", "é one"]
-    want = li.Pooler(net).pool(texts)
-    monkeypatch.setattr(li, "REMEMBERED", 1)
-    pooler = li.Pooler(net)
-    got = [pooler.pool([t]) for t in texts]
-    assert [g[0][0] for g in got] == want[0] and np.allclose([g[1][0] for g in got], want[1])
-    assert want[0][2:4] == ["und", "und"] and want[1][2:4] == [0.0, 0.0]
-
-
 def test_language_of_odd_rows(spark, odd, none, monkeypatch):
     monkeypatch.setattr(li, "STEPS", 40)
     net = li.train(li.trainable(odd))
@@ -118,6 +157,15 @@ def test_quality_of_tables(spark, sf, odd, none):
     assert {r.score for r in qc.scored(odd, one).collect()} == {1.0}
 
 
+def test_a_document_of_too_many_lines_costs_no_other(spark, monkeypatch):
+    monkeypatch.setattr(qc, "LINES", 200)
+    rows = [(k, ("Fine words here.\n" if k % 2 else "!! BAD | 77 !!\n") * 3) for k in range(40)] + [(100 + k, "long\n" * 500) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = qc.train(docs, docs.selectExpr("doc_id", "int(doc_id % 2) AS quality"))
+    assert model.edges is not None
+    assert model.score(["Fine words here.\n" * 3])[0] > 0.7 > 0.3 > model.score(["!! BAD | 77 !!\n" * 3])[0]
+
+
 # -- nearest neighbours -----------------------------------------------------------------------
 
 
@@ -133,21 +181,35 @@ def exact(x, q, k=10):
 
 
 def test_radius_search_finds_every_code():
+    """Each once over the substrings."""
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(2000, 20))
-    coder = ann.Coder(x[:500])
-    block = ann.Block(np.arange(2000), x, coder)
-    codes = coder.codes(x)
-    for q in range(0, 2000, 97):
-        for r in (0, 3, 7):
-            want = np.flatnonzero(np.unpackbits(codes ^ codes[q], axis=1).sum(1) <= r)
-            assert block.within(codes[q], r).tolist() == want.tolist()
-
-
-def test_recall(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 900)
-    monkeypatch.setattr(ann, "QUERIES", 12)
-    x = np.random.default_rng(2).normal(size=(3000, 32))
+    for d in (20, 40, 64):
+        x = rng.normal(size=(2000, d))
+        coder = ann.Coder(x[:500])
+        codes = coder.codes(x)
+        orders = [np.argsort(codes[:, p], kind="stable") for p in range(coder.parts)]
+        blocks = [ann.Block(p, o, x[o], codes[o]) for p, o in enumerate(orders)]
+        for q in range(0, 2000, 97):
+            for r in (0, 3, 7, 19, d):
+                want = np.flatnonzero(np.bitwise_count(codes ^ codes[q]).sum(1) <= r)
+                got = np.concatenate([block.ids[block.within(codes[q], r)[0]] for block in blocks])
+                assert sorted(got.tolist()) == want.tolist()
+
+
+def test_masks_reach_every_cell_within_the_distance():
+    assert ann.masks(0, 3) == [0] and ann.masks(3, 1) == [0, 1, 2, 4] and len(ann.masks(4, 4)) == 16
+    assert [ann.prefix_bits(n) for n in (0, 1, ann.BLOCK, ann.BLOCK + 1, 8 * ann.BLOCK, 1 << 60)] == [0, 0, 0, 1, 3, ann.WIDTH]
+
+
+def clusters(n, d, spread=0.12, seed=4):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(n // 30, d))[rng.integers(0, n // 30, n)] + spread * rng.normal(size=(n, d))
+
+
+@pytest.mark.parametrize("kind", ["without structure", "in clusters"])
+def test_recall(spark, monkeypatch, kind):
+    monkeypatch.setattr(ann, "BLOCK", 300)
+    x = clusters(3000, 64) if kind == "in clusters" else np.random.default_rng(2).normal(size=(3000, 32))
     got = ann.search(frame(spark, x), "vec_id % 100 = 0").toPandas()
     hit = 0
     for q, g in got.groupby("query_id"):
@@ -156,6 +218,22 @@ def test_recall(spark, monkeypatch):
         assert g["rank"].tolist() == list(range(1, 11)) and np.array_equal(d[g["vec_id"]], g["score"]) and g["score"].is_monotonic_increasing
         hit += len(set(near) & set(g["vec_id"]))
     assert got["query_id"].nunique() == 30 and hit / 300 >= 0.9
+    parts = -(-min(64, x.shape[1]) // ann.WIDTH)
+    share = got.groupby("query_id")["probed"].first().mean() / (parts * len(x))
+    assert 0 < share < (0.1 if kind == "in clusters" else 0.9)
+
+
+def test_a_common_vector_and_ties(spark, monkeypatch):
+    """A third of the rows is one vector: blocks stay bounded, and of equals the smallest ids come first."""
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    x = np.random.default_rng(6).normal(size=(600, 16))
+    x[::3] = x[0]
+    got = ann.search(frame(spark, x), "vec_id % 100 = 0").toPandas()
+    for q, g in got.groupby("query_id"):
+        near, d = exact(x, q)
+        if q % 3 == 0:
+            assert g.sort_values("rank")["vec_id"].tolist() == near.tolist()
+    assert got["query_id"].nunique() == 6
 
 
 def test_ann_of_odd_rows(spark):
