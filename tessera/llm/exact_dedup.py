@@ -2,7 +2,10 @@
 
 The index is a Parquet table bucketed and sorted by digest. A batch of new documents is reduced to
 its distinct digests (with map-side partial aggregates, so a group of copies of any size is a few
-rows by the time it is shuffled), sort-merge anti-joined with the index and appended.
+rows by the time it is shuffled), sort-merge anti-joined with the index and appended, after the batch's
+decisions have been written. A document that the index holds under its own id stays, so a batch that
+is run again after its result was lost, or after a lost append, is decided as before. Each append
+adds a file a bucket; compact() writes a new generation of one sorted file a bucket.
 
 Defined results: a null text counts as empty; texts are equal after lower-casing A-Z only; of equal
 texts the largest doc_id stays, a null doc_id before any other; rows that repeat both doc_id and
@@ -12,25 +15,43 @@ beside the id and the text are carried nowhere and may have any names.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-INDEX_SCHEMA = "digest BINARY, keep_id BIGINT, keep_row BIGINT, group_size BIGINT"
+INDEX_SCHEMA = "digest BINARY, keep_id BIGINT"
 
 
 class DigestIndex:
-    """Digests seen so far, bucketed and sorted by digest, at a location that outlives the session."""
+    """Digests seen so far, bucketed and sorted by digest, at a location that outlives the session.
+
+    The location holds generations; the newest complete one (that of `_SUCCESS`, or the first) is read.
+    """
 
     def __init__(self, spark: SparkSession, location: str, buckets: int = 64):
-        self.spark, self.buckets = spark, buckets
-        self.table = "digest_index_" + location.rstrip("/").rpartition("/")[2].replace("-", "_")
+        self.spark, self.location, self.buckets = spark, location.rstrip("/"), buckets
+        self.generation = max([0, *self._complete()])
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} ({INDEX_SCHEMA}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{location}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self._path(self.generation)}'"
         )
 
+    def _path(self, generation: int) -> str:
+        return f"{self.location}/generation-{generation:06d}"
+
+    def _complete(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        done = path(f"{self.location}/generation-*/_SUCCESS")
+        found = done.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(done)
+        return [int(x.getPath().getParent().getName().rpartition("-")[2]) for x in found or []]
+
+    @property
+    def table(self) -> str:
+        return f"digest_index_{re.sub(r'[^0-9a-zA-Z]', '_', self.location.rpartition('/')[2])}_{self.generation}"
+
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -39,13 +60,27 @@ class DigestIndex:
         return groups.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
 
     def append(self, groups: DataFrame) -> None:
+        self._sorted(groups).write.insertInto(self.table)
+
+    def _sorted(self, groups: DataFrame) -> DataFrame:
         columns = [c.split()[0] for c in INDEX_SCHEMA.split(", ")]
-        (
-            groups.select(*columns)
-            .repartition(self.buckets, "digest")
-            .sortWithinPartitions("digest")
-            .write.insertInto(self.table)
-        )
+        return groups.select(*columns).repartition(self.buckets, "digest").sortWithinPartitions("digest")
+
+    def compact(self) -> None:
+        """One sorted file a bucket, as a new generation; the one before it is kept for its readers, older ones go."""
+        old, before = self.table, self.generation
+        rows = self._sorted(self.read())
+        self.generation += 1
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        common.delete(self.spark, self._path(self.generation))  # an incomplete one
+        rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self._path(self.generation)).saveAsTable(self.table)
+        self.spark.sql(f"DROP TABLE IF EXISTS {old}")
+        for k in range(before):
+            common.delete(self.spark, self._path(k))
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        common.delete(self.spark, self.location)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,30 +100,37 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     With an index that has seen earlier batches, a document whose digest it holds is dropped in
-    favour of the indexed keep_id; group_size counts this batch's rows with the digest.
+    favour of the indexed keep_id, unless that is its own; group_size counts this batch's rows with
+    the digest. Without one, a new index serves this batch only.
     """
     spark = docs.sparkSession
+    own = index is None
     index = index or DigestIndex(spark, common.scratch(spark, "digest-index"))
     each = digests(docs, id_col, text_col)
     best = F.max(F.struct("doc_id", "row"))
     groups = each.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+    groups = common.materialize(groups.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"), "groups")
     fresh = common.materialize(index.fresh(groups), "fresh")
-    known = common.materialize(
-        groups.drop("keep_id", "keep_row").hint("merge").join(index.read().select("digest", "keep_id"), "digest")
-        .select("digest", "keep_id", F.lit(None).cast("long").alias("keep_row"), "group_size"),
-        "known",
-    )
-    index.append(fresh)
+    decided = fresh
+    if fresh.count() < groups.count():
+        known = groups.drop("keep_id", "keep_row").hint("merge").join(index.read().select("digest", "keep_id"), "digest")
+        known = common.materialize(known, "known")
+        again = each.join(known.select("digest", "keep_id"), "digest").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        again = again.groupBy("digest").agg(F.max("row").alias("keep_row"))
+        decided = fresh.unionByName(known.join(again, "digest", "left"))
+        decided = common.materialize(decided, "decided")
     # Both sides are plain Parquet, so AQE splits the partition of a digest with very many rows.
-    return (
-        each.join(fresh.unionByName(known), "digest")
-        .select(
-            "doc_id", "keep_id", "group_size",
-            F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
-            F.lower(F.hex("digest")).alias("text_sha256"),
-        )
+    out = each.join(decided, "digest").select(
+        "doc_id", "keep_id", "group_size",
+        F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
+    out = common.materialize(out, "exact")
+    index.append(fresh)  # the decisions are written before the index knows the batch
+    common.discard(each, groups, fresh, decided)
+    if own:
+        index.drop()
+    return out
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -97,18 +139,20 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Texts are shuffled only where an id repeats or is null, or where the ids to drop exceed the
     counted broadcast bound.
     """
-    decided = common.materialize(exact_dedup(docs).select("doc_id", "kept", "text_sha256"), "exact-decided")
+    decided = exact_dedup(docs).select("doc_id", "kept", "text_sha256")
     odd = decided.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select("doc_id")
     odd = common.materialize(odd, "exact-odd")
-    dropped = decided.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").union(odd.filter("doc_id IS NOT NULL")).distinct()
+    named = odd.filter("doc_id IS NOT NULL")
+    dropped = decided.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").union(named).distinct()
     plain = common.join_ids(docs.filter(docs["doc_id"].isNotNull()), dropped, "doc_id", "left_anti")
     if odd.isEmpty():
         return plain
-    again = common.join_ids(docs, odd.filter("doc_id IS NOT NULL"), "doc_id", "left_semi").unionByName(docs.filter(docs["doc_id"].isNull()))
-    again = again.withColumn("__sha", F.sha2(common.lower_ascii(common.text_of(again)).cast("binary"), 256))
-    kept = decided.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha"))
-    same = (F.col("__sha") == F.col("__kept_sha")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    return plain.unionByName(again.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__sha"]).drop("__sha"))
+    sha, of, wanted = (common.unused(docs, x) for x in ("exact_sha", "exact_of", "exact_wanted"))
+    again = common.join_ids(docs, named, "doc_id", "left_semi").unionByName(docs.filter(docs["doc_id"].isNull()))
+    again = again.withColumn(sha, F.sha2(common.lower_ascii(common.text_of(again)).cast("binary"), 256))
+    kept = decided.filter("kept").select(F.col("doc_id").alias(of), F.col("text_sha256").alias(wanted))
+    same = (F.col(sha) == F.col(wanted)) & F.col("doc_id").eqNullSafe(F.col(of))
+    return plain.unionByName(again.join(kept, same, "left_semi").dropDuplicates(["doc_id", sha]).drop(sha))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

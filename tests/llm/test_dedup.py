@@ -46,14 +46,36 @@ def test_same_id_with_other_text_stays(spark):
 def test_index_outlives_a_batch(spark, tmp_path):
     at = str(tmp_path / "digest-index-1")
     make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
-    first = ex.exact_dedup(make([(1, "a"), (2, "A"), (3, "b")]), ex.DigestIndex(spark, at, 4))
+    index = lambda: ex.DigestIndex(spark, at, 4)
+    first = ex.exact_dedup(make([(1, "a"), (2, "A"), (3, "b")]), index())
     assert {r.doc_id: r.kept for r in first.collect()} == {1: False, 2: True, 3: True}
-    second = ex.exact_dedup(make([(4, "a"), (5, "c"), (6, "B")]), ex.DigestIndex(spark, at, 4))
+    second = ex.exact_dedup(make([(4, "a"), (5, "c"), (6, "B")]), index())
     assert {r.doc_id: (r.keep_id, r.kept) for r in second.collect()} == {4: (2, False), 5: (5, True), 6: (3, False)}
-    index = ex.DigestIndex(spark, at, 4)
-    assert index.read().count() == 3
-    plan = index.fresh(index.read())._jdf.queryExecution().toString()
+    assert index().read().count() == 3
+    index().compact()
+    index().compact()
+    assert index().generation == 2 and index().read().count() == 3
+    plan = index().fresh(index().read())._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    third = ex.exact_dedup(make([(7, "C"), (8, "d")]), index())
+    assert {r.doc_id: (r.keep_id, r.kept) for r in third.collect()} == {7: (5, False), 8: (8, True)}
+    index().drop()
+
+
+def test_a_batch_run_again_loses_nothing(spark, tmp_path):
+    """The result of a batch is lost after the append: the second run decides as the first did."""
+    at = str(tmp_path / "digest-index-2")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, "A"), (None, "c"), (None, "d"), (4, "d")], "doc_id long, text string")
+    runs = [sorted(map(str, ex.exact_dedup(rows, ex.DigestIndex(spark, at, 4)).select("doc_id", "keep_id", "kept").collect())) for _ in range(2)]
+    assert runs[0] == runs[1] and sum("kept=True" in r for r in runs[0]) == 4
+    tables = [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+    ex.exact_dedup(rows)
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index")] == tables
+
+
+def test_stage_with_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "x", 0, 1), (1, "y", 2, 3)], "doc_id long, text string, exact_sha int, Exact_Of int")
+    assert sorted(map(tuple, ex.exact_dedup_stage(spark, rows, "").collect())) == [(1, "x", 0, 1), (1, "y", 2, 3)]
 
 
 def brute(rows, percent=85):
@@ -93,9 +115,10 @@ def near_rows(seed=1):
     return [(int(i), str(t)) for i, t in rows]
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_near_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(mh, "BLOCK", block)
+@pytest.mark.parametrize("block, offsets, size", [(1024, 8, 1 << 24), (7, 1, 1 << 24), (1024, 2, 3000)])
+def test_near_equals_brute_force(spark, monkeypatch, block, offsets, size):
+    for name, x in (("BLOCK", block), ("NEIGHBOURS", offsets), ("BLOCK_BYTES", size), ("ROUNDS", int(block == 1024))):
+        monkeypatch.setattr(mh, name, x)
     rows = near_rows()
     got = mh.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute(rows)
@@ -106,16 +129,34 @@ def test_near_equals_brute_force(spark, monkeypatch, block):
 
 def test_near_on_odd_rows(spark, odd, none):
     got = mh.near_dedup(odd).collect()
-    assert mh.near_dedup(none).count() == 0 and len(got) == sum(r.doc_id is not None for r in odd.collect())
-    by = {r.doc_id: r for r in got}
+    assert mh.near_dedup(none).count() == 0 and len(got) == odd.count()
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
     assert (by[3].n_shingles, by[3].component_id, by[3].kept) == (0, 3, True)
     assert [by[i].component_id for i in (1, 2, 5)] == [1, 1, 1] and by[6].component_id == 6 and by[9].n_shingles == 7
+    # of the null ids one is a copy of document 1, one stands alone
+    assert sorted(map(str, [(r.component_id, r.kept, r.stays) for r in got if r.doc_id is None])) == ["(1, False, False)", "(None, True, True)"]
     kept = mh.near_dedup_stage(spark, odd, "")
-    assert kept.columns == odd.columns and sum(r.doc_id is None for r in kept.collect()) == 2
+    assert kept.columns == odd.columns and [r.text for r in kept.collect() if r.doc_id is None] == ["a null id of its own"]
+    assert mh.near_dedup_stage(spark, none, "").count() == 0
     with pytest.raises(ValueError):
         mh.near_dedup(odd, percent=60)
 
 
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    """No text is lost because another one bears its id."""
+    a, b = "first " + " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(0, a), (1, a + " tail"), (1, b), (2, a), (None, b + " end"), (None, "short"), (None, "short"), (3, ""), (3, None), (4, b), (4, b)]
+    got = mh.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    seen = sorted(map(str, [(r.doc_id, r.component_id, r.kept, r.stays) for r in got.collect()]))
+    want = [(0, 0, True, True), (1, 0, False, False), (1, 1, True, True), (2, 0, False, False), (None, 1, False, False), (None, None, True, True), (None, None, False, False)]
+    want += [(3, 3, True, True)] * 2 + [(4, 1, False, False)] * 2
+    assert seen == sorted(map(str, want))
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, near_set int")
+    kept = mh.near_dedup_stage(spark, frame, "")
+    assert kept.columns == frame.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == [("0", a), ("1", b), ("3", ""), ("3", ""), ("None", "short")]
+
+
 def test_every_pair_within_the_radius_shares_a_key():
     rng = np.random.default_rng(3)
     for _ in range(300):
@@ -130,7 +171,7 @@ def test_every_pair_within_the_radius_shares_a_key():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 60), (7, 7)]
-    got = {r.doc_id: r.component_id for r in mh.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in mh.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {50: 50, 60: 50, 100: 50}
 
 
