@@ -4,7 +4,7 @@ Documents are tokenised where they lie; only (doc_id, piece, start, length, crc)
 dealt by hash into groups of about GROUP pieces, a bounded amount of work and memory whatever the
 size of the corpus; each group is packed best-fit decreasing, then a local search over its underfull
 bins moves documents or exchanges one for one and two for one wherever that raises the sum of squared
-fills, so that the emptiest bins drain and vanish. The bins that are still underfull in all groups
+fills, until no step does, so that the emptiest bins drain and vanish. The bins that are still underfull in all groups
 are pooled, and their pieces packed again in fewer groups, until one group would hold them or pooling
 saves nothing.
 
@@ -29,10 +29,6 @@ from . import common
 CAPACITY = 1024
 END_ID = 2
 GROUP = 16_384
-#: Local-search passes over a group's underfull bins.
-PASSES = 6
-#: Bins that a group's local search looks into; beyond it the packing stands as it is.
-PROBES = 400_000
 PIECE_SCHEMA = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -60,7 +56,7 @@ class Encoder:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = None
-        if spec["model"]["type"] == "BPE" and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec.get("normalizer"):
+        if ranked(spec):
             back = {v: k for k, v in byte_letters().items()}
             ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
             self.fast = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -82,6 +78,19 @@ class Encoder:
         return self.exact.encode(text, add_special_tokens=False).ids
 
 
+def ranked(spec: dict) -> bool:
+    """Whether ids alone tell a tokenizers file's merges: byte-level BPE with nothing beside it, each merge's result next in the vocabulary."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return False
+    if spec.get("normalizer") or model.get("ignore_merges") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("byte_fallback"):
+        return False
+    if (spec.get("post_processor") or {}).get("type") not in (None, "ByteLevel"):
+        return False
+    made = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    return None not in made and made == sorted(set(made)) and min(made, default=256) >= 256
+
+
 #: The split pattern of byte-level BPE vocabularies of this kind.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -147,89 +156,120 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY, passes: int = PASSES) -> list[list[int]]:
-    """Drain the emptiest underfull bins into fuller ones.
+class Underfull:
+    """Bins with a gap, found by what they take and give back.
+
+    An item of n tokens fits a bin of gap g in exchange for s < n of its tokens if n <= g + s, and then
+    leaves g + s - n. So offers[k] (s is one item for k = 0, a pair for k = 1) keeps for each g + s the s
+    as bits of a number, and holders[k] the bins behind each (g, s): the best exchange in any number of
+    bins is a walk over at most `capacity` numbers.
+    """
+
+    def __init__(self, capacity: int):
+        self.gaps = 0
+        self.by_gap: dict[int, dict[int, None]] = {}
+        self.offers = [[0] * (2 * capacity + 1) for _ in range(2)]
+        self.holders: list[dict[tuple[int, int], dict[int, None]]] = [{}, {}]
+        self.kept: dict[int, tuple[int, tuple[set[int], set[int]]]] = {}
+
+    def enter(self, b: int, gap: int, sizes: list[int]) -> None:
+        if gap <= 0 or not sizes:
+            return
+        seen: set[int] = set()
+        sums: set[int] = set()
+        for n in sizes:
+            sums.update([n + x for x in seen])
+            seen.add(n)
+        sums.update(2 * n for n in seen if sizes.count(n) > 1)
+        self.kept[b] = (gap, (seen, sums))
+        self.by_gap.setdefault(gap, {})[b] = None
+        self.gaps |= 1 << gap
+        for k, gives in enumerate((seen, sums)):
+            for x in gives:
+                self.holders[k].setdefault((gap, x), {})[b] = None
+                self.offers[k][gap + x] |= 1 << x
+
+    def leave(self, b: int) -> None:
+        gap, both = self.kept.pop(b, (0, ((), ())))
+        if not gap:
+            return
+        del self.by_gap[gap][b]
+        if not self.by_gap[gap]:
+            self.gaps &= ~(1 << gap)
+        for k, gives in enumerate(both):
+            for x in gives:
+                own = self.holders[k][gap, x]
+                del own[b]
+                if not own:
+                    del self.holders[k][gap, x]
+                    self.offers[k][gap + x] &= ~(1 << x)
+
+    def taker(self, n: int, gap: int) -> int | None:
+        """The fullest bin that takes n tokens, its gap at most the one given."""
+        fits = self.gaps >> n
+        found = n + ((fits & -fits).bit_length() - 1) if fits else gap + 1
+        return next(iter(self.by_gap[found])) if found <= gap else None
+
+    def exchange(self, n: int, gap: int) -> tuple[int, int, int] | None:
+        """(bin, tokens given back, 0 for one item or 1 for a pair) that fills a bin of at most that gap best."""
+        for v in range(n, n + gap):
+            least = max(1, v - gap)
+            for k in (0, 1):
+                give = (self.offers[k][v] & ((1 << n) - 1)) >> least
+                if give:
+                    s = least + give.bit_length() - 1
+                    return next(iter(self.holders[k][v - s, s])), s, k
+        return None
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
+    """Drain the emptiest underfull bins into fuller ones until no step is left.
 
     A step moves a document, or exchanges one for one or two for one, from an emptier bin A to a
-    fuller bin B; B gains d tokens and fits, so the squared fill rises by 2d(B - A + d) > 0.
+    fuller bin B; B gains d tokens and fits, so the squared fill rises by 2d(B - A + d) > 0 and the
+    search ends.
     """
     size = [int(x) for x in lengths]
     fill = [sum(size[i] for i in b) for b in bins]
-    probes = [PROBES]
-    for _ in range(passes):
-        order = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: (fill[k], k))
-        if len(order) < 2 or probes[0] <= 0:
-            break
-        by_gap: dict[int, list[int]] = {}
-        for k in order:
-            by_gap.setdefault(capacity - fill[k], []).append(k)
+    under = Underfull(capacity)
+    enter = lambda k: under.enter(k, capacity - fill[k], [size[i] for i in bins[k]])
+    for k in range(len(bins)):
+        enter(k)
+    changed = True
+    while changed:
         changed = False
-        for a in order:
+        for a in sorted(under.kept, key=lambda k: (fill[k], k)):
+            if a not in under.kept:  # filled or emptied meanwhile
+                continue
+            under.leave(a)
             for i in sorted(bins[a], key=lambda x: -size[x]):
-                b, out = _place(i, a, bins, fill, size, by_gap, probes)
+                gap = capacity - fill[a]
+                b, out = under.taker(size[i], gap), []
                 if b is None:
-                    continue
+                    found = under.exchange(size[i], gap)
+                    if found is None:
+                        continue
+                    b, s, pair = found
+                    out = _pair_of(bins[b], size, s) if pair else [next(j for j in bins[b] if size[j] == s)]
                 changed = True
-                gap = capacity - fill[b]
-                bins[a].remove(i)
-                bins[b].append(i)
-                for j in out:
-                    bins[b].remove(j)
-                    bins[a].append(j)
+                under.leave(b)
+                bins[a] = [*(x for x in bins[a] if x != i), *out]
+                bins[b] = [*(x for x in bins[b] if x not in out), i]
                 gain = size[i] - sum(size[j] for j in out)
                 fill[a] -= gain
                 fill[b] += gain
-                by_gap[gap].remove(b)
-                if not by_gap[gap]:
-                    del by_gap[gap]
-                if fill[b] < capacity:
-                    by_gap.setdefault(capacity - fill[b], []).append(b)
-            # a's own gap changed; it is re-entered in the next pass
-            for g, ks in list(by_gap.items()):
-                if a in ks and g != capacity - fill[a]:
-                    ks.remove(a)
-                    if not ks:
-                        del by_gap[g]
-                    if bins[a] and fill[a] < capacity:
-                        by_gap.setdefault(capacity - fill[a], []).append(a)
-                    break
-        if not changed:
-            break
+                enter(b)
+            enter(a)
     return [b for b in bins if b]
 
 
-def _place(i: int, a: int, bins: list, fill: list, size: list, by_gap: dict, probes: list) -> tuple[int | None, list[int]]:
-    """A bin for item i of bin a, and the items it gives back (none, one or two)."""
-    n = size[i]
-    for gap in sorted(by_gap):
-        if gap >= n:
-            for b in by_gap[gap]:
-                probes[0] -= 1
-                if b != a and fill[b] >= fill[a]:
-                    return b, []
-    if probes[0] <= 0:
-        return None, []
-    for gap in sorted(by_gap, reverse=True):
-        for b in by_gap[gap][:8]:
-            if b == a or fill[b] < fill[a]:
-                continue
-            probes[0] -= 1
-            # one for one: the exchange that fills b most
-            least, best = n - gap, None
-            for j in bins[b]:
-                if least <= size[j] < n and (best is None or size[j] < size[best]):
-                    best = j
-            pair = None
-            small = sorted((j for j in bins[b] if size[j] < n), key=lambda j: size[j])[:16]
-            for x, j in enumerate(small):
-                for k in small[x + 1 :]:
-                    if least <= size[j] + size[k] < n and (pair is None or size[j] + size[k] < size[pair[0]] + size[pair[1]]):
-                        pair = (j, k)
-            if pair and (best is None or size[pair[0]] + size[pair[1]] < size[best]):
-                return b, list(pair)
-            if best is not None:
-                return b, [best]
-    return None, []
+def _pair_of(items: list[int], size: list[int], total: int) -> list[int]:
+    seen: dict[int, int] = {}
+    for j in items:
+        if total - size[j] in seen:
+            return [seen[total - size[j]], j]
+        seen.setdefault(size[j], j)
+    raise AssertionError("no such pair")
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
