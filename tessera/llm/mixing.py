@@ -2,12 +2,13 @@
 
 Token counts are summed to cells (source, language, topic); their weights are raked in turn to the
 source, language and topic marginals until every marginal is within TOLERANCE of its target or ROUNDS
-rounds have passed. Documents then are sampled with probability min(1, scale * weight) by a hash of
+rounds have passed (then a warning tells the error left). Documents then are sampled with probability min(1, scale * weight) by a hash of
 their id; the scale makes the expected tokens KEEP of all tokens. A target is a table of shares over a
 margin's values, by default each value's token share raised to POWER (and made to sum to one).
 
-Cells are few beside documents: their number is bounded by the margins' values. The cells are joined
-to documents by a broadcast only after counting them, else by sort-merge.
+Cells are few beside documents: their number is bounded by the margins' values. Cells and targets are
+joined by a broadcast only after counting them, else by sort-merge; sums over all cells are aggregates,
+of which only the number reaches the driver.
 
 Defined results: null source or language is the value `(none)`; a null text counts as empty (no
 tokens, topic `general`) and, like all documents without tokens, carries its cell's probability, or 0
@@ -18,6 +19,7 @@ their cells do. An empty table gives an empty result. Other columns are kept unt
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,6 +30,8 @@ from . import common
 MARGINS = ("source", "lang", "topic")
 ROUNDS, TOLERANCE, POWER, KEEP = 24, 1e-9, 0.7, 0.6
 NONE = "(none)"
+#: A marginal that is further off after the last round is told by a warning.
+UNCONVERGED = 1e-4
 #: Cells up to this number may be broadcast after counting them.
 BROADCAST_CELLS = 100_000
 #: A document's topic is the first whose pattern its text holds.
@@ -54,7 +58,11 @@ def with_margins(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def default_target(cells: DataFrame, margin: str, power: float = POWER) -> DataFrame:
     """(margin, share): token shares raised to a power."""
     shares = cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("p"))
-    return shares.select(margin, F.coalesce(F.try_divide("p", F.sum("p").over(Window.partitionBy())), F.lit(0.0)).alias("share"))
+    return shares.select(margin, F.coalesce(F.try_divide("p", F.lit(_total(shares, "p"))), F.lit(0.0)).alias("share"))
+
+
+def _total(rows: DataFrame, column: str) -> float:
+    return float(rows.agg(F.sum(F.col(column).cast("double"))).first()[0] or 0.0)
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -64,9 +72,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     bounds the plan, and the worst marginal error decides whether to go on.
     """
     names = list(targets)
-    cells = cells.filter("tokens > 0").withColumn("mass", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()).cast("double"))
+    cells = cells.filter("tokens > 0")
+    cells = cells.withColumn("mass", F.col("tokens") / F.lit(_total(cells, "tokens")))
     for m in names:
-        cells = cells.join(F.broadcast(targets[m].withColumnRenamed("share", f"t_{m}")), m, "left").fillna(0.0, [f"t_{m}"])
+        cells = common.join_counted(cells, targets[m].withColumnRenamed("share", f"t_{m}"), m, "left", BROADCAST_CELLS).fillna(0.0, [f"t_{m}"])
     cells = common.materialize(cells, "cells-0")
     for k in range(rounds):
         for m in names:
@@ -76,27 +85,35 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
             cells = common.materialize(cells, f"cells-{k + 1}")
             worst = [cells.groupBy(m).agg(F.abs(F.sum("mass") - F.first(f"t_{m}")).alias("e")) for m in names]
             errors = reduce(DataFrame.union, [w.select(F.max("e").alias("e")) for w in worst])
-            if (errors.agg(F.max("e")).first()[0] or 0.0) <= tolerance:
+            worst_error = errors.agg(F.max("e")).first()[0] or 0.0
+            if worst_error <= tolerance:
                 break
+    else:
+        if rounds and worst_error > UNCONVERGED:
+            warnings.warn(f"raking stopped after {rounds} rounds with a marginal {worst_error:.2g} off its target", stacklevel=2)
     return cells
 
 
 def probabilities(cells: DataFrame, keep: float = KEEP) -> DataFrame:
     """cells with weight (raked share over actual share) and probability min(1, scale * weight).
 
-    Taking cells by falling weight, the scale is the largest that leaves the expected tokens at the
-    budget once the cells above it are certain: a running sum over cells settles it without a loop.
+    The scale leaves the expected tokens at the budget once the cells above it are certain. Fixing it
+    makes more cells certain, which raises it, until no cell is added: two sums over the cells a step.
     """
-    everything = Window.partitionBy()
-    sized = cells.withColumn("all", F.sum("tokens").over(everything).cast("double"))
-    sized = sized.withColumn("weight", F.col("mass") * F.col("all") / F.col("tokens"))
-    falling = Window.partitionBy().orderBy(F.desc("weight"), *MARGINS)
-    before = falling.rowsBetween(Window.unboundedPreceding, -1)
-    sized = sized.withColumn("certain", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("double"))
-    sized = sized.withColumn("rest", F.sum("mass").over(falling.rowsBetween(0, Window.unboundedFollowing)) * F.col("all"))
-    sized = sized.withColumn("scale", F.when(F.col("rest") > 0, (keep * F.col("all") - F.col("certain")) / F.col("rest")))
-    fits = sized.withColumn("fits", F.when(F.col("scale") * F.col("weight") <= 1, F.col("scale")))
-    scaled = fits.withColumn("scale", F.coalesce(F.max("fits").over(everything), F.lit(1e300)))
+    everything = _total(cells, "tokens")
+    scaled = cells.withColumn("weight", F.col("mass") * everything / F.col("tokens"))
+    scale, certain = 0.0, -1.0
+    while True:
+        sure = F.col("weight") * F.lit(scale) > 1
+        got = scaled.agg(F.sum(F.when(sure, F.col("tokens")).otherwise(0)), F.sum(F.when(sure, 0.0).otherwise(F.col("mass")))).first()
+        sum_certain, rest = float(got[0] or 0), float(got[1] or 0)
+        if sum_certain <= certain or rest <= 0:
+            break
+        certain = sum_certain
+        scale = (keep * everything - certain) / (rest * everything)
+    if rest <= 0:
+        scale = 1e300
+    scaled = scaled.withColumn("scale", F.lit(scale))
     p = F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.col("scale") * F.col("weight"))).otherwise(0.0)
     return scaled.select(*MARGINS, "tokens", "mass", "weight", p.alias("probability"))
 
@@ -114,9 +131,7 @@ def fitted(rows: DataFrame, targets: dict[str, DataFrame] | None = None, keep: f
 
 
 def with_probability(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    cells = cells.select(*MARGINS, "weight", "probability")
-    small = cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
-    joined = rows.join(F.broadcast(cells) if small else cells.hint("merge"), list(MARGINS), "left")
+    joined = common.join_counted(rows, cells.select(*MARGINS, "weight", "probability"), list(MARGINS), "left", BROADCAST_CELLS)
     return joined.fillna(0.0, ["weight", "probability"])
 
 
@@ -132,8 +147,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     cells = fitted(with_margins(docs))
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *(c.alias(f"__{m}") for m, c in _margin_columns(docs).items()))
     cells = cells.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("probability").alias("__p"))
-    small = cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
-    joined = own.join(F.broadcast(cells) if small else cells.hint("merge"), [f"__{m}" for m in MARGINS])
+    joined = common.join_counted(own, cells, [f"__{m}" for m in MARGINS], "inner", BROADCAST_CELLS)
     return joined.filter(draw(F.col("doc.doc_id")) < F.col("__p")).select("doc.*")
 
 

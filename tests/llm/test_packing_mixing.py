@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import duckdb
@@ -53,6 +54,55 @@ def test_exchange_empties_a_bin():
     assert len(got) == 2 and sum(fill) == 20
 
 
+def fewest(sizes, capacity):
+    """The least number of bins, over all subsets."""
+    best = [(0, 0)] + [(99, 0)] * ((1 << len(sizes)) - 1)  # bins, and the fill of the last
+    for mask in range(1, 1 << len(sizes)):
+        for i, n in enumerate(sizes):
+            if mask >> i & 1:
+                bins, full = best[mask & ~(1 << i)]
+                best[mask] = min(best[mask], (bins, full + n) if bins and full + n <= capacity else (bins + 1, n))
+    return best[-1][0]
+
+
+def steps_left(bins, lengths, capacity):
+    """Whether some move or exchange to a bin at least as full would raise the squared fill."""
+    fill = [int(lengths[b].sum()) for b in bins]
+    for a, b in itertools.permutations(range(len(bins)), 2):
+        if fill[a] <= fill[b] < capacity:
+            for i in bins[a]:
+                outs = [0, *(lengths[j] for j in bins[b]), *(lengths[j] + lengths[k] for j, k in itertools.combinations(bins[b], 2))]
+                if any(0 < lengths[i] - x <= capacity - fill[b] for x in outs):
+                    return True
+    return False
+
+
+def test_local_search_against_the_optimum():
+    rng = np.random.default_rng(3)
+    over = 0
+    for _ in range(120):
+        sizes = rng.integers(1, 16, rng.integers(1, 10))
+        start = [[int(i)] for i in rng.permutation(len(sizes))]
+        for bins in (start, pk.best_fit(sizes, 20)):
+            got = pk.local_search([list(b) for b in bins], sizes, 20)
+            assert not steps_left(got, sizes, 20)
+            assert sum(int(sizes[b].sum()) ** 2 for b in got) >= sum(int(sizes[b].sum()) ** 2 for b in bins)
+        most = fewest(sizes.tolist(), 20)
+        assert most <= len(got) <= most + 1
+        over += len(got) - most
+    assert over <= 3
+
+
+def test_only_plain_vocabularies_are_ranked():
+    import json
+
+    spec = json.load(open(pk.default_tokenizer()))
+    assert pk.ranked(spec)
+    turned = spec | {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}
+    for other in (turned, spec | {"normalizer": {"type": "NFC"}}, spec | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, spec | {"model": spec["model"] | {"ignore_merges": True}}):
+        assert not pk.ranked(other)
+
+
 def test_pack_of_awkward_lengths(spark, monkeypatch):
     monkeypatch.setattr(pk, "GROUP", 50)
     rows = [(k, k, 0, 0, 600, 0) for k in range(180)] + [(1000 + k, k, 0, 0, 1024, 0) for k in range(3)]
@@ -108,6 +158,22 @@ def test_stated_targets(spark):
     assert not gone[gone["lang"] == "de"]["sampled"].any()
 
 
+def test_certain_cells_take_their_share_of_the_budget(spark):
+    rows = [("a", "x", "t", 10, 0.5), ("b", "x", "t", 20, 0.3), ("c", "x", "t", 970, 0.2)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, mass double")
+    got = {r.source: r.probability for r in mx.probabilities(cells, 0.1).collect()}
+    assert got["a"] == got["b"] == 1.0 and np.isclose(got["c"], 70 / 970)
+    assert all(np.isclose(r.probability, 1.0) for r in mx.probabilities(cells, 1.0).collect())
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    rows = [("a", "en", "t", 10), ("b", "de", "t", 10)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    share = lambda m, **x: spark.createDataFrame(list(x.items()), f"{m} string, share double")
+    with pytest.warns(UserWarning, match="off its target"):
+        mx.rake(cells, {"source": share("source", a=0.5, b=0.5), "lang": share("lang", en=0.9, de=0.1)}, rounds=5)
+
+
 def test_mixing_of_odd_rows(spark, odd, none):
     got = mx.mix(odd)
     assert got.count() == odd.count() and mx.mix(none).count() == 0
