@@ -1,10 +1,13 @@
 """Secret scans: wide candidate patterns, and a random forest that removes false positives.
 
 Every key-like run of a text (MIN_LENGTH or more of letters, digits and + / _ -, with digits or
-without) is a candidate. Features: its length, changes of character class, share of frequent letter pairs,
-dictionary coverage, the document's path and the words before and after. A random forest trained on
-labelled findings gives each candidate the probability of being a secret; those at THRESHOLD or more
-are findings. Everything is DataFrame and SQL expressions; the forest is the engine's own.
+without) is a candidate. Features: its length, its character transitions (the mean log ratio, in
+secrets against look-alikes, of the pairs of neighbouring characters, learned from the labelled
+findings, beside counts of class changes), the share of it that dictionary words cover (the corpus's
+DICTIONARY most frequent words, counted over all its texts, and WORDS), the document's path and the
+words before and after. A random forest trained on labelled findings gives each candidate the
+probability of being a secret; those at THRESHOLD or more are findings. Everything is DataFrame and
+SQL expressions; the forest is the engine's own.
 
 Labelled findings are a table (value, before, after, path, label); without one, labelled_findings()
 makes LABELLED examples of secrets and look-alikes from a seed.
@@ -16,6 +19,9 @@ other columns are not read.
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -25,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common, pii
 
 MIN_LENGTH, THRESHOLD, LABELLED = 16, 0.5, 6_000
+#: Words of a corpus that count as its dictionary.
+DICTIONARY = 1_000
 TREES, DEPTH, SEED = 24, 7, 13
 BEFORE, AFTER = 40, 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}+"
@@ -40,10 +48,13 @@ WORDS = (
     "state static status step store string style super support system table tag target task template test text that the this time "
     "title token tool type update upload url user value version video view web week width window with word work world www year"
 ).split()
-PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce".split()
+#: Characters of a run as transitions see them: small letters, and one each for capitals, digits and marks.
+ALPHABET = "abcdefghijklmnopqrstuvwxyzA0-"
+SHAPE = f"translate(value, 'BCDEFGHIJKLMNOPQRSTUVWXYZ123456789+/_', '{'A' * 25}{'0' * 9}---')"
 KEYWORDS = r"key|secret|token|passw|pwd|credential|auth|bearer|private|access"
 BENIGN = r"sha-?[0-9]|md5|checksum|digest|commit|revision|uuid|guid|version|isbn|example|sample|dummy|placeholder|card|phone"
-TEST_PATH = r"test|spec|example|sample|mock|fixture|demo"
+TEST_PATH = r"test|spec|example|sample|mock|fixture|demo|doc"
+CONFIG_PATH = r"conf|env|secret|credential|deploy|settings"
 ASSIGNED = r"[=:]\s*[\"']?$"
 KNOWN = r"^(AKIA|ASIA|gh[pousr]_|xox[abpr]-|sk_live_|AIza|eyJ)"
 
@@ -51,8 +62,6 @@ _LOW = "lower(value)"
 FEATURES = {
     "length": "double(length(value))",
     "transitions": "regexp_count(value, '(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]') / length(value)",
-    "pairs": f"regexp_count({_LOW}, '(?=({'|'.join(PAIRS)}))') / length(value)",
-    "covered": f"1 - length(regexp_replace({_LOW}, '{'|'.join(sorted((w for w in WORDS if len(w) > 2), key=lambda w: (-len(w), w)))}', '')) / length(value)",
     "digits": "regexp_count(value, '[0-9]') / length(value)",
     "uppers": "regexp_count(value, '[A-Z]') / length(value)",
     "hex": "regexp_count(value, '[0-9a-f]') / length(value)",
@@ -65,9 +74,49 @@ FEATURES = {
     "benign": f"double(lower(concat(before, ' ', after)) RLIKE '{BENIGN}')",
     "address": "double(before RLIKE '[@.]$' OR after RLIKE '^[@.][A-Za-z0-9]')",
     "test_path": f"double(lower(path) RLIKE '{TEST_PATH}')",
+    "config_path": f"double(lower(path) RLIKE '{CONFIG_PATH}')",
 }
 
 
+class Model(NamedTuple):
+    forest: RandomForestClassificationModel
+    #: Log ratios of pairs of ALPHABET, row by row.
+    transitions: list[float]
+    words: list[str]
+
+    def features(self) -> dict[str, str]:
+        return features(self.transitions, self.words)
+
+
+def features(transitions: list[float], words: list[str]) -> dict[str, str]:
+    n = len(ALPHABET)
+    place = lambda i: f"instr('{ALPHABET}', substring(shape, {i}, 1))"
+    ratio = f"element_at(array({', '.join(f'{x}D' for x in transitions)}), ({place('i')} - 1) * {n} + {place('i + 1')})"
+    known = "|".join(sorted((w for w in set(words) if len(w) > 2), key=lambda w: (-len(w), w)))
+    return FEATURES | {
+        "pairs": f"IF(length(shape) > 1, aggregate(sequence(1, length(shape) - 1), 0D, (s, i) -> s + {ratio}) / (length(shape) - 1), 0D)",
+        "covered": f"1 - length(regexp_replace({_LOW}, '{known}', '')) / length(value)" if known else "0D",
+    }
+
+
+def learned_transitions(labelled: DataFrame) -> list[float]:
+    """Log ratios of each pair's share in secrets and in look-alikes, each pair counted once more."""
+    pairs = labelled.filter("length(value) > 1").select("label", F.explode(F.expr(f"transform(sequence(1, length(value) - 1), i -> substring({SHAPE}, i, 2))")).alias("pair"))
+    counts = pairs.groupBy("pair").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("of"), F.count(F.lit(1)).alias("all"))
+    got = {r["pair"]: (r["of"], r["all"] - r["of"]) for r in counts.filter(F.col("pair").rlike("^[a-zA0-]{2}$")).collect()}
+    size = len(ALPHABET) ** 2
+    secret, other = (sum(x[k] for x in got.values()) + size for k in (0, 1))
+    ratio = lambda x: math.log((x[0] + 1) / secret) - math.log((x[1] + 1) / other)
+    return [round(ratio(got.get(a + b, (0, 0))), 6) for a in ALPHABET for b in ALPHABET]
+
+
+def dictionary(docs: DataFrame, text_col: str = "text", n: int = DICTIONARY) -> list[str]:
+    """The n most frequent words of 4 to 12 letters a-z, over all texts; of equal counts the first by name."""
+    words = F.filter(F.split(F.lower(common.text_of(docs, text_col)), "[^a-z]+"), lambda w: F.length(w).between(4, 12))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").count()
+    return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(n).collect()]
+
+
 def candidates(docs: DataFrame, text_col: str = "text", path_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """(row, doc_id, start, stop, value, before, after, path) of each candidate; one row with null value if none."""
     p = pii._quote(CANDIDATE)
@@ -85,10 +134,10 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str = "source"
     return out.select("row", "doc_id", "path", F.explode_outer(F.expr(found)).alias("c")).select("row", "doc_id", "path", "c.*")
 
 
-def with_features(found: DataFrame) -> DataFrame:
-    safe = found.withColumns({c: F.coalesce(F.col(c), F.lit("-" if c == "value" else "")) for c in ("value", "before", "after")})
-    rows = safe.withColumns({f"f_{k}": F.expr(f"cast({v} AS double)") for k, v in FEATURES.items()})
-    return VectorAssembler(inputCols=[f"f_{k}" for k in FEATURES], outputCol="features").transform(rows)
+def with_features(found: DataFrame, exprs: dict[str, str]) -> DataFrame:
+    safe = found.withColumns({c: F.coalesce(F.col(c), F.lit("-" if c == "value" else "")) for c in ("value", "before", "after", "path")})
+    rows = safe.withColumn("shape", F.expr(SHAPE)).withColumns({f"f_{k}": F.expr(f"cast({v} AS double)") for k, v in exprs.items()})
+    return VectorAssembler(inputCols=[f"f_{k}" for k in exprs], outputCol="features").transform(rows)
 
 
 def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
@@ -134,25 +183,31 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     return base.select(
         F.expr(choose(1)).alias("value"), F.expr(choose(2)).alias("before"),
         F.expr(pick(14, '"', " ", ".", "@mail.example.com", " and ", "\n")).alias("after"),
-        F.expr(f"concat({pick(15, 'src', 'test', 'docs', 'examples', 'lib')}, '/', {word(9)})").alias("path"),
+        # look-alikes more often lie in tests and examples, secrets in settings
+        F.expr(
+            f"concat(CASE WHEN pmod(xxhash64(id, 30), 10) < 5 THEN {pick(15, 'src', 'test', 'docs', 'examples', 'lib', 'config')} "
+            f"WHEN id % 2 = 1 THEN {pick(31, 'src', 'config', 'deploy', '.env')} ELSE {pick(32, 'test', 'examples', 'docs', 'src')} END, '/', {word(9)})"
+        ).alias("path"),
         F.expr("double(id % 2)").alias("label"),
     ).filter(f"length(value) >= {MIN_LENGTH - 1}")
 
 
-def train(labelled: DataFrame) -> RandomForestClassificationModel:
+def train(labelled: DataFrame, words: list[str] | None = None) -> Model:
+    """A forest on labelled findings (value, before, after, path, label); words are the corpus's dictionary."""
+    transitions, words = learned_transitions(labelled), sorted({*WORDS, *(words or [])})
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="features", minInstancesPerNode=4)
-    return forest.fit(with_features(labelled).select("features", "label"))
+    return Model(forest.fit(with_features(labelled, features(transitions, words)).select("features", "label")), transitions, words)
 
 
-def judged(found: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
+def judged(found: DataFrame, model: Model) -> DataFrame:
     """found with the probability of being a secret."""
-    out = model.transform(with_features(found))
+    out = model.forest.transform(with_features(found, model.features()))
     return out.withColumn("score", F.when(F.col("start").isNotNull(), F.round(vector_to_array("probability")[1], 6)))
 
 
-def secret_scan(docs: DataFrame, model: RandomForestClassificationModel | None = None, path_col: str = "source") -> DataFrame:
+def secret_scan(docs: DataFrame, model: Model | None = None, path_col: str = "source") -> DataFrame:
     """One row per document: doc_id, n_candidates, n_findings, findings (start:stop joined by commas), max_score."""
-    model = model or train(labelled_findings(docs.sparkSession))
+    model = model or train(labelled_findings(docs.sparkSession), dictionary(docs))
     each = judged(candidates(docs, path_col=path_col), model).select("row", "doc_id", "start", "stop", "score")
     hit = F.col("score") >= THRESHOLD
     spans = F.array_sort(F.collect_list(F.when(hit, F.struct("start", "stop"))))

@@ -14,8 +14,9 @@ def test_stages_on_tables(spark, sf):
     assert list(stages) == ["language", "exact_dedup", "near_dedup", "mixing", "packing"]
 
     known = stages["language"](spark, docs, sf).cache()
-    judged = {r.doc_id: r for r in language_id.identified(docs, language_id.train(language_id.trainable(docs))).collect()}
-    kept = {i for i, r in judged.items() if r.lang_pred != "und" and r.score >= language_id.REJECT_BELOW}
+    net = language_id.train(language_id.trainable(docs))
+    judged = {r.doc_id: r for r in language_id.identified(docs, net).collect()}
+    kept = {i for i, r in judged.items() if r.lang_pred != "und" and r.score >= language_id.reject_below(len(net.languages))}
     assert {r.doc_id for r in known.collect()} == kept and known.columns == columns
 
     single = stages["exact_dedup"](spark, known, sf).cache()
@@ -26,7 +27,7 @@ def test_stages_on_tables(spark, sf):
     assert sorted(r.doc_id for r in single.collect()) == sorted(last.values()) and single.columns == columns
 
     apart = stages["near_dedup"](spark, single, sf).cache()
-    want = {i for i, (_, c) in brute([(r.doc_id, r.text) for r in single.collect()]).items() if i == c}
+    want = {i for i, (_, c) in brute([(r.doc_id, r.text) for r in single.collect()], 80).items() if i == c}
     assert {r.doc_id for r in apart.collect()} == want and apart.columns == columns
 
     mixed = stages["mixing"](spark, apart, sf).cache()
