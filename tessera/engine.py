@@ -3,104 +3,213 @@
 from __future__ import annotations
 
 import dataclasses
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import plugins, schemas
 from .jobs import Jobs
-from .operators import catalog, chunk, facts, search, tables
+from .operators import bounded, catalog, chunk, facts, index, search
+from .operators.tables import Change, Store, Table
 from .sources import files
 
 STRATEGIES = ("DIRECT_CONTENT", "NEW_QUESTION", "SIMILAR_QUESTION")
+#: Called with an event's name and the (file_path, op) of the documents concerned.
+Listener = Callable[[str, DataFrame], None]
+BEFORE, AFTER = "before_change", "after_change"
+
+TABLES = {
+    "documents": Table("doc_id LONG, file_path STRING, md5 STRING, update_time TIMESTAMP, create_time TIMESTAMP, state STRING", "doc_id"),
+    "paragraphs": Table("para_id LONG, doc_id LONG, ord INT, content STRING", "doc_id"),
+    "facts": Table("pair STRING, task_id LONG, doc_id LONG, para_id LONG, seq INT, fact STRING", "pair"),
+    "tasks": Table(schemas.TASK, "id"),
+    "settings": Table("config_key STRING, config_value STRING, at LONG", "config_key"),
+    **index.TABLES,
+}
 
 
 class Engine:
-    """documents: doc_id, file_path, create_time; paragraphs: para_id, doc_id, ord, content."""
+    """documents, their paragraphs, an index of paragraphs, standing tasks and their facts, in one store.
+
+    Every call reads one state of the store and makes its changes visible by one commit.
+    """
 
-    def __init__(self, spark: SparkSession, location: str, model: plugins.LanguageModel | None = None):
+    def __init__(self, spark: SparkSession, location: str, model: plugins.LanguageModel | None = None, analyzer: search.Analyzer = search.STEMMED, listeners: list[Listener] | None = None):
         self.spark = spark
         self.location = location.rstrip("/")
         self.model = model
+        self.analyzer = analyzer
+        self.listeners = list(listeners or [])
         self.jobs = Jobs(spark)
-        table = lambda name: tables.Published(spark, f"{self.location}/{name}")
-        self._documents, self._paragraphs, self._tasks, self._facts, self._settings, self._directories = map(table, ("documents", "paragraphs", "tasks", "facts", "settings", "directories"))
-
-    DOCUMENTS = "doc_id LONG, file_path STRING, md5 STRING, update_time TIMESTAMP, create_time TIMESTAMP, state STRING"
-    PARAGRAPHS = "para_id LONG, doc_id LONG, ord INT, content STRING"
-    FACTS = "task_id LONG, doc_id LONG, para_id LONG, seq INT, fact STRING"
-    SETTINGS = "config_key STRING, config_value STRING, at LONG"
+        self.store = Store(spark, self.location, TABLES)
+        self.index = index.TextIndex(spark, self.location, store=self.store, analyzer=analyzer)
+        self._settings = plugins.Expiring(lambda: self.store.read("settings"), 30)
 
     def documents(self) -> DataFrame:
-        return self._documents.read(self.DOCUMENTS)
+        return self.store.read("documents")
 
     def paragraphs(self) -> DataFrame:
-        return self._paragraphs.read(self.PARAGRAPHS)
+        return self.store.read("paragraphs")
 
     def tasks(self) -> DataFrame:
-        return self._tasks.read(schemas.TASK)
+        return self.store.read("tasks")
 
     def facts(self) -> DataFrame:
-        return self._facts.read(self.FACTS)
+        return self.store.read("facts")
 
     # -- ingestion ----------------------------------------------------------------------------
 
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        """df written once beside the tables, so that its uses agree and its sources are read once."""
+        path = f"{self.location}/_work/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _tell(self, event: str, changes: DataFrame) -> None:
+        for listener in self.listeners:
+            listener(event, changes)
+
     def ingest(self, root: str, ignore: list[str] | None = None) -> DataFrame:
-        """Scan a folder, bring documents and paragraphs up to date, keep standing tasks; the changes made."""
+        """Bring the documents below a folder up to date, with paragraphs, index and standing tasks; the changes (file_path, op).
+
+        Files are listed with their times; only new and later ones are opened. What is found is written
+        once, and one commit makes all of it visible, so a run that fails is simply run again.
+        """
         ignore = schemas.IGNORED_BY_DEFAULT if ignore is None else ignore
-        listed = files.readable(files.unignored(files.listing(self.spark, root, content=True), ignore), self._settings.read(self.SETTINGS))
-        parsed = files.parsed(listed).join(listed.select("path", "modified"), "path")
+        state = self.store.state()
         base = root.rstrip("/") + "/"
-        now = parsed.select(F.concat(F.lit(base), "path").alias("file_path"), "md5", "modified", "markdown", "error")
-        here = catalog.under(F.col("file_path"), base)
-        old = self.documents()
-        mine, others = old.filter(here), old.filter(~here)
-        changes = catalog.snapshot_diff(now, mine)
-        written = now.join(changes.filter("op IN ('create', 'modify')"), "file_path")
-        state = F.when(F.col("error").isNull(), schemas.INDEXED).otherwise(schemas.ERROR)
-        fresh = written.select(
-            F.xxhash64("file_path").alias("doc_id"), "file_path", "md5", F.col("modified").alias("update_time"), F.col("modified").alias("create_time"), state.alias("state")
+        listed = files.readable(files.unignored(files.listing(self.spark, root), ignore), self._settings.get()).withColumn("file_path", F.concat(F.lit(base), "path"))
+        old = self.store.read("documents", state).filter(catalog.under(F.col("file_path"), base))
+        known = old.select("file_path", "doc_id", F.col("md5").alias("old_md5"), "update_time", F.col("create_time").alias("old_create"), F.col("state").alias("old_state"))
+        later = F.col("doc_id").isNull() | (F.col("modified") > F.col("update_time")) | (F.col("old_state") == schemas.SAVED)
+        due = self._written(listed.join(known, "file_path", "left").filter(later).select(*listed.columns, "doc_id", "old_md5", "old_create", "old_state"), "due")
+        parsed = files.parsed(files.contents(self.spark, root, due))
+        same = F.col("md5").eqNullSafe(F.col("old_md5")) & (F.col("old_state") != schemas.SAVED)
+        op = F.when(F.col("doc_id").isNull(), "create").when(same, "touch").otherwise("modify")
+        found = due.drop("extension", "fmt", "length").join(parsed.select("path", "md5", "markdown", "error"), "path").withColumn("op", op)
+        found = found.withColumn("doc_id", F.coalesce("doc_id", F.xxhash64("file_path")))
+        lost = old.filter(F.col("state") != schemas.IGNORED).join(listed.select("file_path"), "file_path", "left_anti").select("file_path", "doc_id", F.lit("delete").alias("op"))
+        found = self._written(found.unionByName(lost, allowMissingColumns=True), "changes")
+        return self._apply(state, found)
+
+    def _apply(self, state: tuple[int, dict], found: DataFrame) -> DataFrame:
+        """One commit for found changes: file_path, doc_id, op, modified, md5, old_md5, old_create, markdown, error."""
+        changes = found.select("file_path", "op")
+        if found.isEmpty():
+            return changes
+        self._tell(BEFORE, changes)
+        read = lambda name: self.store.read(name, state)
+        fresh = found.filter("op IN ('create', 'modify')")
+        status = F.when(F.col("error").isNull(), schemas.INDEXED).otherwise(schemas.ERROR)
+        documents = fresh.select("doc_id", "file_path", "md5", F.col("modified").alias("update_time"), F.coalesce("old_create", "modified").alias("create_time"), status.alias("state"))
+        touched = read("documents").join(found.filter("op = 'touch'").select("doc_id", "modified"), "doc_id").withColumn("update_time", F.col("modified")).drop("modified")
+        moved = found.filter("op <> 'create'").select("doc_id")
+        gone = found.filter("op IN ('modify', 'delete')").select("doc_id")
+        cut = chunk.chunks(fresh.select("doc_id", F.col("markdown").alias("text")))
+        para = self._written(cut.select(F.xxhash64("doc_id", "ord").alias("para_id"), "doc_id", "ord", "content"), "paragraphs")
+        old_para = read("paragraphs").join(gone, "doc_id", "left_semi").select(F.col("para_id").alias("doc_id"))
+        own, tasks = self._maintained(state, found, para)
+        self.store.commit(
+            {
+                "documents": Change(documents.unionByName(touched.select(documents.columns)), moved),
+                "paragraphs": Change(para, gone),
+                **self.index.changes(para, old_para, "para_id", "content"),
+                "facts": Change(own, read("facts").join(gone, "doc_id", "left_semi").select("pair")),
+                "tasks": Change(tasks, tasks.select("id")),
+            },
+            state,
         )
-        kept = mine.join(changes.filter("op IN ('create', 'modify', 'delete')"), "file_path", "left_anti")
-        cut = chunk.chunks(written.select(F.xxhash64("file_path").alias("doc_id"), F.col("markdown").alias("text")))
-        para = cut.select(F.xxhash64("doc_id", "ord").alias("para_id"), "doc_id", "ord", "content")
-        gone = changes.filter("op IN ('modify', 'delete')").select("file_path").join(mine.select("file_path", "doc_id"), "file_path").select("doc_id")
-        before = self.paragraphs()
-        self._paragraphs.publish(before.join(gone, "doc_id", "left_anti").unionByName(para))
-        self._facts.publish(self.facts().join(gone, "doc_id", "left_anti"))
-        found = changes.collect()  # a changed path each; read before the catalog moves on
-        self._documents.publish(others.unionByName(kept).unionByName(fresh))
-        return self.spark.createDataFrame(found, "file_path string, op string")
+        self._tell(AFTER, changes)
+        return changes
+
+    def _maintained(self, state: tuple[int, dict], found: DataFrame, para: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(facts of the changed documents, the tasks whose counters change): the affected (task, document) pairs only."""
+        active = self.store.read("tasks", state).filter(F.col("status") == facts.ACTIVE)
+        pairs = facts.affected(found.filter("op <> 'touch'").select("doc_id", "file_path", "op"), active)
+        pairs = self._written(pairs.join(found.select("doc_id", "op"), "doc_id"), "pairs")
+        asked = pairs.filter("op <> 'delete'").join(bounded.broadcast(active.select(F.col("id").alias("task_id"), "key_question")), "task_id")
+        rows = para.join(asked.select("task_id", "doc_id", "key_question"), "doc_id")
+        fresh = self._written(self._extracted(rows), "facts")
+        delta = pairs.groupBy("task_id").agg(F.sum(F.when(F.col("op") == "create", 1).when(F.col("op") == "delete", -1).otherwise(0)).cast("int").alias("more"))
+        cost = facts.cost_of(rows, fresh)
+        out = active.join(delta.withColumnRenamed("task_id", "id"), "id").join(cost.withColumnRenamed("task_id", "id"), "id", "left")
+        out = out.withColumns({
+            "covered_file_count": F.greatest(F.coalesce("covered_file_count", F.lit(0)) + F.col("more"), F.lit(0)),
+            "incremental_cost": F.coalesce("incremental_cost", F.lit(0).cast("long")) + F.coalesce("cost", F.lit(0).cast("long")),
+        })
+        return fresh, self._written(out.select(active.columns), "tasks")
+
+    @staticmethod
+    def _extracted(rows: DataFrame) -> DataFrame:
+        """facts of rows (task_id, doc_id, para_id, content, key_question)."""
+        got = facts.extract(rows, F.col("key_question"))
+        return got.select(F.concat_ws(":", "task_id", "doc_id").alias("pair"), "task_id", "doc_id", "para_id", "seq", "fact")
+
+    def reapply_ignore(self, patterns: list[str], root: str = "") -> DataFrame:
+        """After a change of ignore rules: matching documents leave paragraphs, index and facts; others wait for the next ingest; the moved (file_path, op)."""
+        state = self.store.state()
+        base = root.rstrip("/") + "/" if root else ""
+        before = self.store.read("documents", state).filter(catalog.under(F.col("file_path"), base))
+        short = before.withColumn("file_path", F.substring("file_path", len(base) + 1, 1 << 20))
+        after = catalog.reignore(short, patterns).withColumn("file_path", F.concat(F.lit(base), "file_path"))
+        moved = after.join(before.select("doc_id", F.col("state").alias("was")), "doc_id").filter("state <> was").drop("was")
+        moved = self._written(moved.select(before.columns), "ignored")
+        changes = moved.select("file_path", F.when(F.col("state") == schemas.IGNORED, "ignore").otherwise("restore").alias("op"))
+        if moved.isEmpty():
+            return changes
+        self._tell(BEFORE, changes)
+        gone = moved.filter(F.col("state") == schemas.IGNORED).select("doc_id")
+        self.store.commit({"documents": Change(moved, moved.select("doc_id")), **self._without(state, gone)}, state)
+        self._tell(AFTER, changes)
+        return changes
+
+    def _without(self, state: tuple[int, dict], gone: DataFrame) -> dict[str, Change]:
+        """What goes with documents (doc_id): paragraphs, postings, facts."""
+        read = lambda name: self.store.read(name, state)
+        para = read("paragraphs").join(gone, "doc_id", "left_semi").select(F.col("para_id").alias("doc_id"))
+        return {"paragraphs": Change(None, gone), **self.index.changes(None, para), "facts": Change(None, read("facts").join(gone, "doc_id", "left_semi").select("pair"))}
+
+    def upload(self, root: str, name: str, content: bytes) -> str:
+        """Put a file into a folder that ingest() reads; its path. A name that is taken is refused."""
+        return files.put(self.spark, root, name, content)
 
     # -- search -------------------------------------------------------------------------------
 
+    def _live(self) -> DataFrame:
+        """(doc_id, file_path, create_time) of searchable documents."""
+        return self.documents().filter(F.col("state") == schemas.INDEXED).select("doc_id", "file_path", "create_time")
+
     def _corpus(self) -> DataFrame:
-        live = self.documents().filter(F.col("state") == schemas.INDEXED)
-        return self.paragraphs().join(live.select("doc_id", "file_path", "create_time"), "doc_id").withColumnRenamed("content", "text")
+        return self.paragraphs().join(self._live(), "doc_id").withColumnRenamed("content", "text")
+
+    def _placed(self, hits: DataFrame, query: search.SearchQuery) -> DataFrame:
+        """Index hits (doc_id being a paragraph's, score) as (para_id, score, file_path, create_time) within the query's prefix and days."""
+        of = self.paragraphs().select("para_id", "doc_id").join(self._live(), "doc_id").select("para_id", "file_path", "create_time")
+        return search.restricted(hits.withColumnRenamed("doc_id", "para_id").join(of, "para_id"), query)
 
     def search(self, query: search.SearchQuery | str) -> DataFrame:
-        """rank, para_id, score, title, snippet, url; filled up to top_n by a plain search of the question."""
-        q = search.rewrite(query) if isinstance(query, str) else query
-        rows = self._corpus().select("para_id", "text", "file_path", "create_time")
-        words = [t for x in (*q.exact, *q.required, *q.optional) for t in search.analyze(x)]
-        first = search.strategy(rows, q, "para_id")
-        second = search.bm25(rows, search.analyze(q.original) or words) if q.original or words else first
-        if q.path_prefix:
-            second = second.filter(catalog.under(F.col("file_path"), q.path_prefix))
-        if q.last_n_days:
-            second = second.filter(catalog.recent(F.col("create_time"), F.to_timestamp(F.lit(q.as_of)), q.last_n_days))
-        best = search.top_up(first, second, q.top_n, "para_id")
-        hits = rows.join(F.broadcast(best), "para_id")  # top_n rows
-        order = [F.desc("create_time"), F.col("para_id")] if q.last_n_days else [F.col("part"), F.desc("score"), F.col("para_id")]
-        shown = search.snippets(hits, words or search.analyze(q.original)) if words or q.original else hits.withColumn("snippet", F.lit(""))
+        """rank, para_id, score, title, snippet, url; filled up to top_n by the plain query of the question where the strategy finds fewer."""
+        q = search.rewrite(query, self.analyzer) if isinstance(query, str) else query
+        first = self._placed(self.index.strategy(q), q)
+        by_time = q.last_n_days > 0
+        best = search.top(first, q.top_n, "para_id", by_time).withColumn("part", F.lit(0)).drop("rank")
+        words = q.terms(self.analyzer)
+        if q.original and best.count() < q.top_n:
+            second = self._placed(self.index.fallback(q.original), q)
+            best = search.top_up(first, second, q.top_n, "para_id").join(second.select("para_id", "file_path", "create_time").union(first.select("para_id", "file_path", "create_time")).distinct(), "para_id")
+        hits = self.paragraphs().select("para_id", F.col("content").alias("text")).join(F.broadcast(best), "para_id")  # top_n rows
+        order = [F.desc("create_time"), F.col("para_id")] if by_time else [F.col("part"), F.desc("score"), F.col("para_id")]
+        marked = list(dict.fromkeys([*words, *search.analyze(q.original)]))
+        shown = search.snippets(hits, marked) if marked else hits.withColumn("snippet", F.lit(""))
         name = F.regexp_extract("file_path", r"([^/]*)$", 1)
         return shown.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "para_id", "score", name.alias("title"), "snippet", F.col("file_path").alias("url"))
 
     def simple_search(self, question: str, prefix: str = "", top_n: int = 30) -> DataFrame:
-        """Content search with a prefix; matches in <em>, else the first 150 characters."""
-        rows = self._corpus().select("para_id", "text", "file_path")
-        hits = search.bm25(rows, search.analyze(question)).filter(catalog.under(F.col("file_path"), prefix))
-        best = search.top(hits, top_n, "para_id").join(rows.select("para_id", "text"), "para_id")
+        """Content search with a prefix, ranked; matches in <em>, else the first 150 characters."""
+        hits = self._placed(self.index.bm25(self.analyzer.query(question)), search.SearchQuery(path_prefix=prefix))
+        best = search.top(hits, top_n, "para_id").join(self.paragraphs().select("para_id", F.col("content").alias("text")), "para_id")
         shown = search.snippets(best, search.analyze(question), tag="em", missing="")
         return shown.select("rank", "para_id", "score", F.when(F.col("snippet") == "", F.substring("text", 1, 150)).otherwise(F.col("snippet")).alias("snippet"), "file_path")
 
@@ -120,12 +229,13 @@ class Engine:
         """search: hits; quickSearch: one row, the prompt of the reranked best; deepSearch: facts by paragraph."""
         if mode == "deepSearch":
             return self.collect_facts(question, path)[1]
-        query = plugins.rewrite_with(self.model, question) if self.model else search.rewrite(question)
+        query = plugins.rewrite_with(self.model, question, self.analyzer) if self.model else search.rewrite(question, self.analyzer)
         hits = self.search(dataclasses.replace(query, path_prefix=path))
         if mode == "search":
             return hits
         full = hits.join(self.paragraphs().select("para_id", "content"), "para_id")
-        ranked = search.rerank(full.drop("rank"), plugins.overlap_rerank(full, question, "para_id"), "para_id").withColumnRenamed("pos", "rank")
+        order = plugins.rerank_with(self.model, full, question, "para_id") if self.model else plugins.overlap_rerank(full, question, "para_id")
+        ranked = search.rerank(full.drop("rank"), order, "para_id").withColumnRenamed("pos", "rank")
         return chunk.prompt(ranked.select("rank", "title", "content"), budget)
 
     # -- facts --------------------------------------------------------------------------------
@@ -136,10 +246,14 @@ class Engine:
             hit = catalog.wildcard(F.col("file_path"), path) if "*" in path else F.col("file_path") == path
             rows = self._corpus().filter(hit).select("doc_id", "para_id", F.col("text").alias("content"))
             return STRATEGIES[0], facts.by_paragraph(facts.extract(rows, F.lit(question)))
-        above = self.tasks().filter((F.col("status") == facts.ACTIVE) & F.lit(path).startswith(F.col("directory_path")))
-        like = search.similar_questions(above.select("id", F.col("key_question").alias("question")), question)
+        state = self.store.state()
+        above = catalog.tasks_above(self.store.read("tasks", state).filter(F.col("status") == facts.ACTIVE), path)
+        asked = above.select("id", F.col("key_question").alias("question"))
+        like = plugins.similar_with(self.model, asked, question) if self.model else search.similar_questions(asked, question)
         if not like.isEmpty():
             order = like.select(F.col("id").alias("task_id"), (F.row_number().over(Window.orderBy(F.desc("similarity"), "id")) - 1).alias("pos"))
+            used = facts.hits_by_task(order.select("task_id"), above).select(above.columns)
+            self.store.commit({"tasks": Change(self._written(used.join(order, F.col("id") == F.col("task_id"), "left_semi"), "hits"), order.select(F.col("task_id").alias("id")))}, state)
             stored = self.facts().select("task_id", "para_id", "fact")
             return STRATEGIES[2], facts.of_similar(stored, self.paragraphs(), self.documents(), order, path).select("para_id", F.col("fact").alias("facts"))
         rows = self._corpus().filter(catalog.under(F.col("file_path"), path)).select("doc_id", "para_id", F.col("text").alias("content"))
@@ -155,42 +269,72 @@ class Engine:
             F.xxhash64("directory_path", "key_question").alias("id"), "directory_path", "key_question", F.lit(0).alias("covered_file_count"), F.lit(0).cast("long").alias("full_cost"),
             F.lit(0).cast("long").alias("incremental_cost"), F.lit(0).alias("hit_count"), F.lit(facts.PENDING).alias("status"), F.lit(None).cast("long").alias("checkpoint"), F.lit(None).cast("string").alias("error"),
         )
-        self._tasks.publish(tables.insert_absent(self.tasks(), new, ["directory_path", "key_question"]))
+        state = self.store.state()
+        old = self.store.read("tasks", state)
+        absent = new.join(old.select("directory_path", "key_question"), ["directory_path", "key_question"], "left_anti").select(old.columns)
+        self.store.commit({"tasks": Change(absent)}, state)
+
+    def has_task(self, directory: str) -> bool:
+        return catalog.exists(self.tasks(), F.col("directory_path") == directory.rstrip("/") + "/")
 
     def refresh_tasks(self, full: bool = False) -> None:
-        """Extract what standing tasks lack (everything if full) and make them active."""
-        done = None if full else self.facts().select("task_id", "para_id").distinct()
-        rows = self._corpus().select("doc_id", "file_path", "para_id", F.col("text").alias("content"))
-        fresh = facts.refresh(self.tasks(), rows, done)
-        self._facts.publish(fresh if full else self.facts().unionByName(fresh))
-        cover = facts.refresh(self.tasks(), rows).groupBy("task_id").agg(F.countDistinct("doc_id").cast("int").alias("n"), F.sum(F.length("fact")).alias("cost"))
-        settled = facts.settle(self.tasks(), self.tasks().select("id", F.lit(None).cast("string").alias("error")))
-        both = settled.join(cover.withColumnRenamed("task_id", "id"), "id", "left")
-        out = both.withColumns({"covered_file_count": F.coalesce("n", F.lit(0)), "full_cost": F.coalesce("cost", F.lit(0).cast("long"))})
-        self._tasks.publish(out.select(*self.tasks().columns))
+        """Extract what open tasks lack (everything of all tasks if full) and make them active; a run cut short goes on where it stopped."""
+        state = self.store.state()
+        read = lambda name: self.store.read(name, state)
+        live = read("documents").filter(F.col("state") == schemas.INDEXED).select("doc_id", "file_path")
+        open_ = read("tasks") if full else read("tasks").filter(F.col("status").isin(facts.PENDING, facts.PROCESSING, facts.FAILED))
+        own = catalog.tasks_for_paths(live, open_).join(live, "file_path").join(bounded.broadcast(open_.select(F.col("id").alias("task_id"), "key_question", "checkpoint")), "task_id")
+        rows = read("paragraphs").join(own, "doc_id")
+        if not full:
+            rows = rows.filter("checkpoint IS NULL OR para_id > checkpoint")
+        fresh = self._written(self._extracted(rows), "facts")
+        cost = facts.cost_of(rows, fresh).withColumnRenamed("task_id", "id")
+        cover = own.groupBy(F.col("task_id").alias("id")).agg(F.countDistinct("doc_id").cast("int").alias("n"))
+        reached = rows.groupBy(F.col("task_id").alias("id")).agg(F.max("para_id").alias("reached"))
+        done = facts.settle(open_, open_.select("id", F.lit(None).cast("string").alias("error")))
+        for more in (cost, cover, reached):
+            done = done.join(more, "id", "left")
+        done = done.withColumns({
+            "covered_file_count": F.coalesce("n", F.lit(0)),
+            "full_cost": F.coalesce("cost", F.lit(0).cast("long")) + (F.lit(0) if full else F.coalesce("full_cost", F.lit(0).cast("long"))),
+            "checkpoint": F.greatest("reached", "checkpoint"),
+        })
+        tasks = self._written(done.select(open_.columns), "tasks")
+        replaced = read("facts").join(open_.select(F.col("id").alias("task_id")), "task_id", "left_semi").select("pair") if full else None
+        self.store.commit({"facts": Change(fresh, replaced), "tasks": Change(tasks, tasks.select("id"))}, state)
 
     def delete_task(self, task_id: int) -> None:
-        self._facts.publish(self.facts().filter(F.col("task_id") != task_id))
-        self._tasks.publish(self.tasks().filter(F.col("id") != task_id))
+        state = self.store.state()
+        read = lambda name: self.store.read(name, state)
+        self.store.commit({"facts": Change(None, read("facts").filter(F.col("task_id") == task_id).select("pair")), "tasks": Change(None, read("tasks").filter(F.col("id") == task_id).select("id"))}, state)
+
+    def progress(self) -> DataFrame:
+        """Standing tasks with their documents, facts and status."""
+        held = self.facts().groupBy(F.col("task_id").alias("id")).agg(F.count(F.lit(1)).alias("facts"))
+        return self.tasks().join(held, "id", "left").fillna(0, ["facts"]).select("id", "directory_path", "key_question", "status", "covered_file_count", "facts", "full_cost", "incremental_cost", "hit_count", "error")
 
     # -- settings and directories -------------------------------------------------------------
 
     def set(self, key: str, value: str) -> None:
-        old = self._settings.read(self.SETTINGS)
-        at = F.lit((old.agg(F.max("at")).first()[0] or 0) + 1).cast("long")
-        new = self.spark.createDataFrame([(key, value)], "config_key string, config_value string").withColumn("at", at)
-        self._settings.publish(tables.upsert_latest(old, new, "config_key", "at"))
+        state = self.store.state()
+        at = (self.store.read("settings", state).agg(F.max("at")).first()[0] or 0) + 1
+        new = self.spark.createDataFrame([(key, value, at)], TABLES["settings"].schema)
+        self.store.commit({"settings": Change(new, new.select("config_key"))}, state)
+        self._settings.forget()
 
     def get(self, key: str, kind: str, default: object) -> object:
-        return files.setting(self._settings.read(self.SETTINGS), key, kind, default).first().value
+        return files.setting(self._settings.get(), key, kind, default).first().value
+
+    def settings(self) -> DataFrame:
+        return self.store.read("settings").select("config_key", "config_value").orderBy("config_key")
 
     def delete(self, condition: Column) -> None:
-        """Documents that meet the condition go, with their paragraphs and facts."""
-        gone = self.documents().filter(condition).select("doc_id")
-        para, held = catalog.cascade(gone, (self.paragraphs(), "doc_id"), (self.facts(), "doc_id"))
-        self._facts.publish(held.select(*self.facts().columns))
-        self._paragraphs.publish(para.select(*self.paragraphs().columns))
-        self._documents.publish(self.documents().join(gone, "doc_id", "left_anti").select(*self.documents().columns))
+        """Documents that meet the condition go, with their paragraphs, postings and facts; tasks above them cover fewer."""
+        state = self.store.state()
+        lost = self.store.read("documents", state).filter(condition).select("file_path", "doc_id", F.lit("delete").alias("op"))
+        kind = "modified timestamp, md5 string, old_create timestamp, markdown string, error string"
+        empty = self.spark.createDataFrame([], f"file_path string, doc_id long, op string, {kind}")
+        self._apply(state, self._written(empty.unionByName(lost, allowMissingColumns=True), "deletions"))
 
     def directory_status(self, directories: list[str]) -> DataFrame:
         rows = self.spark.createDataFrame([(d.rstrip("/") + "/",) for d in directories], "directory_path string")

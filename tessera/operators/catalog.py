@@ -33,6 +33,17 @@ def recent(time: Column, as_of: Column, days: int) -> Column:
     return time.between(as_of - F.expr(f"INTERVAL '{int(days)}' DAY"), as_of) if days > 0 else F.lit(True)
 
 
+def before(table: DataFrame, column: str, time: Column, status: Column | None = None) -> DataFrame:
+    """Rows of a time before `time`, of a status if one is given."""
+    hit = F.col(column) < time
+    return table.filter(hit if status is None else hit & status)
+
+
+def within(table: DataFrame, column: str, start: Column, end: Column) -> DataFrame:
+    """Rows of a time from start to end, both included."""
+    return table.filter(F.col(column).between(start, end))
+
+
 def stale(directories: DataFrame, before: Column) -> DataFrame:
     return directories.filter((F.col("index_status") == "indexing") & (F.col("submit_time") < before))
 
@@ -190,11 +201,16 @@ def longest_prefix(paths: DataFrame, handlers: DataFrame, default: str, path_col
 
 
 def plugin_of(paths: DataFrame, plugins: DataFrame, default: str) -> DataFrame:
-    """The plugin whose path lies in the query's directory: the longest, ties by name; else the default."""
+    """The plugin whose path lies in the query's directory: the longest, ties by name; else the default.
+
+    Plugins are listed under each directory above them, or their own path, and join by equality.
+    """
     dirs = paths.withColumn("dir", F.regexp_extract("path", r"^(.*/)[^/]*$", 1))
     dirs = dirs.withColumn("dir", F.when(F.col("dir").isin("", "/"), F.col("path")).otherwise(F.col("dir")))
-    hit = dirs.join(bounded.broadcast(plugins.select(F.col("path").alias("own"), "plugin")), F.col("own").startswith(F.col("dir")), "left")
-    best = hit.groupBy("path").agg(F.min_by("plugin", F.when(F.col("own").isNotNull(), F.struct((-F.length("own")).alias("l"), "own"))).alias("plugin"))
+    starts = F.transform(F.sequence(F.lit(0), F.length("path")), lambda k: F.substring("path", F.lit(1), k))
+    under_ = plugins.select(F.explode(starts).alias("dir"), F.col("path").alias("own"), "plugin")
+    first = under_.groupBy("dir").agg(F.min_by("plugin", F.struct((-F.length("own")).alias("l"), "own")).alias("plugin"))
+    best = dirs.join(bounded.broadcast(first), "dir", "left").groupBy("path").agg(F.first("plugin").alias("plugin"))
     return best.withColumn("plugin", F.coalesce("plugin", F.lit(default)))
 
 
@@ -215,6 +231,17 @@ def tasks_for_paths(changed: DataFrame, tasks: DataFrame) -> DataFrame:
     return above.join(tasks.select("directory_path", F.col("id").alias("task_id")), "directory_path").select("file_path", "task_id")
 
 
+def tasks_above(tasks: DataFrame, path: str) -> DataFrame:
+    """Tasks whose directory is a query path or above it."""
+    parts = path.rstrip("/").split("/")
+    above = ["/".join(parts[:k]) + "/" for k in range(1, len(parts) + 1)]
+    return tasks.filter(F.col("directory_path").isin(above))
+
+
+def exists(table: DataFrame, condition: Column) -> bool:
+    return not table.filter(condition).isEmpty()
+
+
 def configured(instances: DataFrame, templates: DataFrame) -> DataFrame:
     """Instances with their template's columns; an instance of an unknown template is left out."""
     return instances.join(bounded.broadcast(templates), "template_id")

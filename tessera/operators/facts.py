@@ -113,6 +113,18 @@ def token_cost(calls: DataFrame) -> DataFrame:
     return calls.groupBy("task_id").agg(F.sum(F.length("prompt") + F.length("response")).alias("cost"))
 
 
+def cost_of(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(task_id, cost): characters of the paragraphs asked about, of the question each time, and of the facts found."""
+    sent = rows.groupBy("task_id").agg(F.sum(F.length("content") + F.length("key_question")).alias("sent"))
+    got = found.groupBy("task_id").agg(F.sum(F.length("fact")).alias("got"))
+    return sent.join(got, "task_id", "left").select("task_id", (F.col("sent") + F.coalesce("got", F.lit(0))).cast("long").alias("cost"))
+
+
+def paragraphs_of_task(facts: DataFrame, task_id: int) -> DataFrame:
+    """The distinct paragraphs with facts of a task."""
+    return facts.filter(F.col("task_id") == task_id).select("para_id").distinct()
+
+
 def status_counts(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("status").agg(F.count(F.lit(1)).alias("tasks"))
 

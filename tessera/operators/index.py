@@ -1,70 +1,174 @@
-"""The inverted index as tables: postings bucketed by term, document lengths and term statistics.
+"""The inverted index as tables: postings bucketed by term, document lengths and a term dictionary.
 
-A query reads the buckets of its terms only and joins nothing but lengths; an update replaces the
-postings of the documents it touches.
+A query reads its terms' buckets and joins nothing but the keys of documents that went. An update adds
+a segment for the documents it touches and takes effect at one commit, alone (TextIndex.update) or with
+the other tables of a store (TextIndex.changes).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import search
-from .tables import Published
+from .tables import Change, Store, Table
 
 BUCKETS = 64
-POSTINGS = "doc_id LONG, term STRING, tf INT, dl INT, positions ARRAY<INT>, bucket INT"
+#: Files that share a bucket's terms, so that a common term's postings aren't in one.
+SPLITS = 8
+
+TABLES = {
+    "postings": Table("doc_id LONG, term STRING, tf INT, dl INT, positions ARRAY<INT>, bucket INT", "doc_id", ("bucket",), ("bucket", f"pmod(xxhash64(doc_id), {SPLITS})"), ("term", "doc_id")),
+    "lengths": Table("doc_id LONG, dl INT", "doc_id"),
+    "terms": Table("term STRING", "term"),
+}
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
 
+def postings(docs: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", terms: list[str] | None = None, tokens: Callable[[Column], Column] = tx.tokens) -> DataFrame:
+    """(doc_id, term, tf, dl, positions, bucket), of the given terms only or of all.
 
-def postings(docs: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf, dl, positions, bucket): positions are gathered within the row, so nothing is shuffled."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), tx.tokens(F.col(text_col)).alias("t"))
-    pairs = F.array_sort(F.zip_with(F.col("t"), F.sequence(F.lit(0), F.size("t") - 1), lambda x, k: F.struct(x.alias("term"), k.alias("pos"))))
-    flat = rows.filter(F.size("t") > 0).select("doc_id", F.size("t").alias("dl"), F.explode(pairs).alias("p"))
-    grouped = flat.groupBy("doc_id", "dl", F.col("p.term").alias("term")).agg(F.array_sort(F.collect_list("p.pos")).alias("positions"))
-    return grouped.select(
-        "doc_id", "term", F.size("positions").alias("tf"), "dl", "positions", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-    )
+    Given terms are picked within the row. For all, documents are dealt by id before their tokens are
+    listed, so that gathering positions shuffles texts once and no tokens.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
+    if terms is None:
+        rows = rows.repartition("doc_id")
+    rows = rows.select("doc_id", tokens(F.col("__text")).alias("t")).filter(F.size("t") > 0)
+    if terms is None:
+        each = F.posexplode("t").alias("pos", "term")
+        grouped = rows.select("doc_id", F.size("t").alias("dl"), each).groupBy("doc_id", "dl", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    else:
+        pairs = F.array(*(F.struct(F.lit(t).alias("term"), search.positions_in(F.col("t"), t).alias("positions")) for t in dict.fromkeys(terms)))
+        grouped = rows.select("doc_id", F.size("t").alias("dl"), F.explode(F.filter(pairs, lambda x: F.size(x["positions"]) > 0)).alias("p")).select("doc_id", "dl", "p.*")
+    return grouped.select("doc_id", "term", F.size("positions").alias("tf"), "dl", "positions", bucket_of(F.col("term"), buckets).alias("bucket"))
 
 
 class TextIndex:
-    """postings/ partitioned by term bucket, lengths/ and statistics, under one location."""
+    """postings, lengths and terms of documents, in a store of their own or of their owner."""
 
-    def __init__(self, spark: SparkSession, location: str, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
-        self.location = location.rstrip("/")
-        self.lengths = Published(spark, f"{self.location}/lengths")
-        self.terms = Published(spark, f"{self.location}/terms")
+    def __init__(self, spark: SparkSession, location: str, buckets: int = BUCKETS, store: Store | None = None, analyzer: search.Analyzer = search.LATIN):
+        self.spark, self.buckets, self.analyzer = spark, buckets, analyzer
+        self.tokens = analyzer.column
+        self.store = store or Store(spark, location, TABLES)
+
+    # -- writing ------------------------------------------------------------------------------
+
+    def changes(self, docs: DataFrame | None, gone: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", everything: bool = False) -> dict[str, Change]:
+        """What a commit that adds docs and removes the doc_ids of gone does to the index."""
+        if docs is None:
+            return {name: Change(None, gone, everything) for name in ("postings", "lengths")}
+        rows = postings(docs, self.buckets, id_col, text_col, tokens=self.tokens)
+        lengths = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(self.tokens(F.col(text_col))).alias("dl"))
+        # one row a term: the dictionary that fuzzy and prefix terms are looked up in
+        terms = docs.select(F.explode(F.array_distinct(self.tokens(F.col(text_col)))).alias("term")).distinct()
+        return {"postings": Change(rows, gone, everything), "lengths": Change(lengths, gone, everything), "terms": Change(terms, None, everything)}
 
     def build(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        rows = postings(docs, self.buckets, id_col, text_col)
-        rows.repartition(self.buckets, "bucket").sortWithinPartitions("term", "doc_id").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.location}/postings")
-        self.lengths.publish(docs.select(F.col(id_col).alias("doc_id"), F.size(tx.tokens(F.col(text_col))).alias("dl")))
-        self.terms.publish(self.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")))
+        self.store.commit(self.changes(docs, None, id_col, text_col, everything=True))
+
+    def update(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+        """Add documents, in place of those with their ids."""
+        self.store.commit(self.changes(docs, docs.select(F.col(id_col).alias("doc_id")), id_col, text_col))
+
+    def delete(self, ids: DataFrame) -> None:
+        self.store.commit(self.changes(None, ids.select("doc_id")))
+
+    # -- reading ------------------------------------------------------------------------------
 
     def postings(self) -> DataFrame:
-        return self.spark.read.schema(POSTINGS).parquet(f"{self.location}/postings")
+        return self.store.read("postings")
 
     def of_terms(self, terms: list[str]) -> DataFrame:
         """Postings of the terms: their partitions only, terms pushed to the scan."""
-        at = self.spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(self.buckets)).cast("int") for t in terms)).first()
-        return self.postings().filter(F.col("bucket").isin(*set(at)) & F.col("term").isin(terms))
+        if not terms:
+            return self.postings().limit(0)
+        at = self.spark.range(1).select(*(bucket_of(F.lit(t), self.buckets) for t in terms)).first()
+        return self.store.read("postings", only=F.col("bucket").isin(*set(at)) & F.col("term").isin(terms))
+
+    def near(self, term: str, edits: int) -> DataFrame:
+        """(d, term) of the dictionary's terms within some edits of a term; some may be of documents that went."""
+        d = F.levenshtein("term", F.lit(term), edits)
+        return self.store.read("terms", only=d >= 0).distinct().select(d.alias("d"), "term")
+
+    def with_prefix(self, prefix: str) -> DataFrame:
+        """(doc_id) of documents that hold a term with the prefix."""
+        return self.store.read("postings", only=F.col("term").startswith(prefix)).select("doc_id").distinct()
+
+    def sized(self) -> DataFrame:
+        """One row: n, avgdl."""
+        return self.store.read("lengths").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("dl"), F.lit(0.0)), F.lit(1e-9)).alias("avgdl"))
+
+    def counted(self, terms: list[str]) -> DataFrame:
+        """(doc_id, dl, tf_k and pos_k of the terms) of the documents that hold any: one shuffle of their postings."""
+        rows = self.of_terms(terms).groupBy("doc_id").agg(
+            F.max("dl").alias("dl"), *(F.coalesce(F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True), F.array().cast("array<int>")).alias(f"pos_{k}") for k, t in enumerate(terms))
+        )
+        return rows.select("doc_id", "dl", *(F.size(f"pos_{k}").alias(f"tf_{k}") for k in range(len(terms))), *(f"pos_{k}" for k in range(len(terms))))
 
     def bm25(self, terms: list[str]) -> DataFrame:
         """(doc_id, score)."""
-        sized = self.lengths.read("doc_id LONG, dl INT").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1e-9)).alias("avgdl"))
-        used = self.terms.read("term STRING, df LONG, tf LONG").filter(F.col("term").isin(terms)).select("term", "df")
-        rows = self.of_terms(terms).join(F.broadcast(used), "term").join(F.broadcast(sized))  # the query's terms; one row
+        rows = self.of_terms(terms)
+        df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        rows = rows.join(F.broadcast(df), "term").join(F.broadcast(self.sized()))  # the query's terms; one row
         one = search.idf(F.col("n"), F.col("df")) * search.weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
         return rows.groupBy("doc_id").agg(F.sum(one).alias("score"))
 
+    def strategy(self, query: search.SearchQuery) -> DataFrame:
+        """(doc_id, score): the same as search.strategy, from postings; prefix and recency are the caller's."""
+        terms = query.terms(self.analyzer)
+        if not terms:
+            return self.spark.createDataFrame([], "doc_id long, score double")
+        counted = self.counted(terms)
+        sized = self.sized().join(F.broadcast(search.document_counts(counted, len(terms))))  # one row
+        return search.scored(counted, sized, query, self.analyzer).select("doc_id", "score")
+
+    def fallback(self, query: str) -> DataFrame:
+        """(doc_id, score): the same as search.fallback."""
+        return search.fallback(self, query, self.analyzer)
+
     def statistics(self) -> DataFrame:
-        t = self.terms.read("term STRING, df LONG, tf LONG").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("total_tf"))
-        return self.lengths.read("doc_id LONG, dl INT").agg(F.count(F.lit(1)).alias("documents")).join(t)
+        t = self.postings().groupBy("term").agg(F.sum("tf").alias("tf")).agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("tf"), F.lit(0)).alias("total_tf"))
+        return self.store.read("lengths").agg(F.count(F.lit(1)).alias("documents")).join(F.broadcast(t))  # one row
+
+
+class Committer:
+    """Collects single updates and deletes and commits them together, at OPS of them or every SECONDS."""
+
+    OPS, SECONDS = 50, 5.0
+
+    def __init__(self, index: TextIndex, clock: Callable[[], float] = time.monotonic):
+        self.index, self.clock = index, clock
+        self.pending: dict[int, str | None] = {}
+        self.count, self.since = 0, clock()
+
+    def put(self, doc_id: int, text: str) -> None:
+        self._add(doc_id, text)
+
+    def delete(self, doc_id: int) -> None:
+        self._add(doc_id, None)
+
+    def _add(self, doc_id: int, text: str | None) -> None:
+        self.pending[doc_id] = text
+        self.count += 1
+        self.tick()
 
+    def tick(self) -> bool:
+        """Commit if it is time; whether it was."""
+        if self.count >= self.OPS or self.count and self.clock() - self.since >= self.SECONDS:
+            self.flush()
+            return True
+        return False
 
-def merge_postings(old: DataFrame, new: DataFrame, removed: DataFrame) -> DataFrame:
-    """The index after an update: postings of removed or replaced documents go, new ones come."""
-    gone = removed.select("doc_id").unionByName(new.select("doc_id")).distinct()
-    return old.join(gone, "doc_id", "left_anti").unionByName(new)
+    def flush(self) -> None:
+        if self.pending:
+            rows = self.index.spark.createDataFrame(list(self.pending.items()), "doc_id long, text string")
+            self.index.store.commit(self.index.changes(rows.filter("text IS NOT NULL"), rows.select("doc_id")))
+        self.pending, self.count, self.since = {}, 0, self.clock()

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bounded
+
 
 def upsert_merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows by key: new fields override, fields that new lacks or has as null stay."""
@@ -67,6 +72,149 @@ def page_back(table: DataFrame, order: str, offset: int = 0, limit: int = 5) ->
     return table.orderBy(F.desc(order)).offset(offset).limit(limit).orderBy(order)
 
 
+class ConcurrentCommit(RuntimeError):
+    """Another writer committed since the state that a change was made from."""
+
+
+def create_exclusively(spark: SparkSession, path: str, content: str) -> bool:
+    """Write a small file that must not exist yet, whole or not at all; whether it was written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    target, draft = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.draft")
+    fs = target.getFileSystem(conf)
+    if fs.exists(target):
+        return False
+    out = fs.create(draft, False)
+    out.write(bytearray(content.encode()))
+    out.close()
+    context = hadoop.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf)
+    try:
+        context.rename(fs.makeQualified(draft), fs.makeQualified(target), spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+    except Exception as e:  # a Java exception; only the target's existence is expected
+        fs.delete(draft, False)
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return True
+
+
+@dataclass
+class Change:
+    """What a commit does to a table: rows whose key is in `gone` go, then `new` ones come; `everything` replaces all."""
+
+    new: DataFrame | None = None
+    gone: DataFrame | None = None
+    everything: bool = False
+
+
+@dataclass(frozen=True)
+class Table:
+    schema: str
+    key: str
+    partition: tuple[str, ...] = ()
+    #: Expressions that rows are dealt to files by, and columns that they are sorted by.
+    cluster: tuple[str, ...] = ()
+    order: tuple[str, ...] = ()
+    columns: list[str] = field(init=False)
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "columns", [c.split()[0] for c in self.schema.split(", ")])
+
+
+class Store:
+    """Tables whose changes become visible together.
+
+    A commit writes what changed (new rows, and the keys of rows that went) and then one manifest that
+    names all parts of all tables. The manifest's number is taken exclusively, so of two writers one
+    fails; a writer that fails before it leaves nothing that readers see. Reading unions a table's
+    segments and leaves out rows whose key a later commit removed. A table of more than MERGE parts
+    is written anew by the commit that adds to it.
+    """
+
+    MERGE = 8
+
+    def __init__(self, spark: SparkSession, location: str, tables: dict[str, Table]):
+        self.spark, self.location, self.tables = spark, location.rstrip("/"), tables
+
+    def _fs(self):  # noqa: ANN202
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path(self.location).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _manifests(self) -> list[int]:
+        fs, path = self._fs()
+        found = fs.globStatus(path(f"{self.location}/manifest-*.json")) or []
+        return sorted(int(x.getPath().getName()[9:-5]) for x in found)
+
+    def _load(self, number: int) -> dict:
+        rows = self.spark.read.text(f"{self.location}/manifest-{number:012d}.json", wholetext=True)
+        return json.loads(rows.first()[0])
+
+    def state(self) -> tuple[int, dict]:
+        """(number, {table: {"segments": [[path, number]], "gone": [[path, number]]}}) of the newest commit."""
+        found = self._manifests()
+        return (found[-1], self._load(found[-1])) if found else (-1, {})
+
+    def read(self, name: str, state: tuple[int, dict] | None = None, only: Column | None = None) -> DataFrame:
+        """The table's rows; `only` filters its segments, before anything is joined."""
+        table = self.tables[name]
+        parts = (state or self.state())[1].get(name, {"segments": [], "gone": []})
+        if not parts["segments"]:
+            return self.spark.createDataFrame([], table.schema).select(table.columns)
+        one = lambda path: self.spark.read.schema(table.schema).parquet(path)
+        filtered = lambda df: df if only is None else df.filter(only)
+        rows = reduce(DataFrame.unionByName, [filtered(one(p)).withColumn("__at", F.lit(at)) for p, at in parts["segments"]])
+        first = min(at for _, at in parts["segments"])
+        gone = [self.spark.read.parquet(p).select(table.key, F.lit(at).alias("__gone")) for p, at in parts["gone"] if at > first]
+        if gone:
+            last = reduce(DataFrame.unionByName, gone).groupBy(table.key).agg(F.max("__gone").alias("__gone"))
+            rows = rows.join(bounded.broadcast(last), table.key, "left").filter("__gone IS NULL OR __at >= __gone")
+        return rows.select(table.columns)
+
+    def commit(self, changes: dict[str, Change], state: tuple[int, dict] | None = None) -> int:
+        """Make changes visible at once; they were made from `state`, the newest one unless given."""
+        number, parts = state or self.state()
+        parts = {k: {"segments": list(v["segments"]), "gone": list(v["gone"])} for k, v in parts.items()}
+        at = number + 1
+        for name, change in changes.items():
+            table, own = self.tables[name], parts.setdefault(name, {"segments": [], "gone": []})
+            new, gone = change.new, change.gone
+            if change.everything or len(own["segments"]) + len(own["gone"]) >= self.MERGE:
+                if not change.everything:
+                    kept = self.read(name, (number, parts))
+                    kept = kept if gone is None else kept.join(gone.select(table.key), table.key, "left_anti")
+                    new = kept.select(table.columns) if new is None else kept.select(table.columns).unionByName(new.select(table.columns))
+                own["segments"], own["gone"], gone = [], [], None
+            if gone is not None and own["segments"]:
+                path = f"{self.location}/{name}/gone-{uuid.uuid4().hex}"
+                gone.select(table.key).distinct().write.parquet(path)
+                own["gone"].append([path, at])
+            if new is not None:
+                path = f"{self.location}/{name}/rows-{uuid.uuid4().hex}"
+                rows = new.select(*(F.col(c).cast(kind).alias(c) for c, kind in (x.split(" ", 1) for x in table.schema.split(", "))))
+                if table.cluster:
+                    rows = rows.repartition(*map(F.expr, table.cluster)).sortWithinPartitions(*table.partition, *table.order)
+                rows.write.partitionBy(*table.partition).parquet(path)
+                own["segments"].append([path, at])
+        if not create_exclusively(self.spark, f"{self.location}/manifest-{at:012d}.json", json.dumps(parts)):
+            raise ConcurrentCommit(f"commit {at} was taken by another writer")
+        self._forget(at)
+        return at
+
+    def _forget(self, newest: int) -> None:
+        """Delete manifests but the last two, and the parts that only they named."""
+        fs, path = self._fs()
+        found = self._manifests()
+        old = [n for n in found if n < newest - 1]
+        if not old:
+            return
+        named = lambda n: {p for t in self._load(n).values() for kind in t.values() for p, _ in kind}
+        alive = set().union(*(named(n) for n in found if n not in old))
+        for n in old:
+            for p in named(n) - alive:
+                fs.delete(path(p), True)
+            fs.delete(path(f"{self.location}/manifest-{n:012d}.json"), False)
+
+
 class Published:
     """A table of Parquet versions: writers add a version and name it current, readers never see half of one.
 
@@ -96,9 +244,17 @@ class Published:
         found = self.versions()
         return self.spark.read.schema(schema).parquet(found[-1][1]) if found else self.spark.createDataFrame([], schema)
 
+    def _free(self, number: int) -> int:
+        """The next number that no other writer has taken; a writer that failed leaves a gap."""
+        while not create_exclusively(self.spark, f"{self.location}/taken-{number:012d}", ""):
+            number += 1
+        return number
+
     def publish(self, table: DataFrame, keep: int = 2) -> None:
         found = self.versions()
         number = found[-1][0] + 1 if found else 0
+        if not create_exclusively(self.spark, f"{self.location}/taken-{number:012d}", ""):
+            number = self._free(number)
         table.write.parquet(f"{self.location}/v{number:012d}-{uuid.uuid4().hex[:8]}")
         fs, Path = self._fs()
         for _, old in found[: max(0, len(found) + 1 - keep)]:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..operators import index, search
-from .base import C, corpus, docs, rounded, table, tokens_sql, values, values_sql
+from .base import C, corpus, docs, rounded, scratch, table, tokens_sql, values, values_sql
 
 TERMS = ["license", "apache", "version"]
 PHRASE, REQUIRED, OPTIONAL, PREFIX = "public license", "license", "version", "/corp/src1"
@@ -47,41 +44,93 @@ SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC,
 
 
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same ranking from term postings, as an index holds them."""
-    rows = index.postings(docs(spark, sf_dir).select("doc_id", "text"))
-    lengths = docs(spark, sf_dir).select(F.size(tx.tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    own = rows.filter(F.col("term").isin(TERMS))
+    """The same ranking from postings of the query's terms, picked within the rows."""
+    source = search.Scan(docs(spark, sf_dir))
+    own = source.of_terms(TERMS)
     df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     one = search.idf(F.col("n"), F.col("df")) * search.weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    scored = own.join(F.broadcast(df), "term").join(F.broadcast(lengths)).groupBy("doc_id").agg(F.sum(one).alias("score"))
+    scored = own.join(F.broadcast(df), "term").join(F.broadcast(source.sized())).groupBy("doc_id").agg(F.sum(one).alias("score"))
     return rounded(scored, "score", places=5)
 
 
 BM25_ALL_SQL = f"WITH {_counted(TERMS)}, h AS (SELECT doc_id, {_score([0, 1, 2])} AS score FROM s, g) SELECT doc_id, round(score, 5) AS score FROM h WHERE score > 0"
 
 
+STRATEGY = search.SearchQuery(exact=(PHRASE,), required=(REQUIRED,), optional=(OPTIONAL,), path_prefix=PREFIX)
+
+
 def search_strategy_dismax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = search.SearchQuery(exact=(PHRASE,), required=(REQUIRED,), optional=(OPTIONAL,), path_prefix=PREFIX)
-    hits = search.strategy(corpus(spark, sf_dir).select("doc_id", "text", "file_path"), q)
+    hits = search.strategy(corpus(spark, sf_dir).select("doc_id", "text", "file_path"), STRATEGY)
     return rounded(search.top(hits, 30), "score")
 
 
+def _windows_sql(source: str, words: list[str], slop: int) -> str:
+    """CTEs ev and f (doc_id, pf): the sloppy frequency of a phrase of two words in t (doc_id, tk)."""
+    slot = " ".join(f"WHEN '{w}' THEN {k}" for k, w in enumerate(words))
+    return f"""ev AS (SELECT doc_id, i - s AS at, s FROM (SELECT doc_id, i, CASE tk[i + 1] {slot} END AS s FROM (SELECT doc_id, tk, unnest(range(len(tk))) AS i FROM {source})) WHERE s IS NOT NULL),
+lagged AS (SELECT doc_id, at, s, lag(at) OVER w AS lo, lag(s) OVER w AS ls FROM ev WINDOW w AS (PARTITION BY doc_id ORDER BY at, s)),
+f AS (SELECT doc_id, sum(1 / (1 + moves)::DOUBLE) AS pf FROM (SELECT doc_id, lo, min(at - lo) AS moves FROM lagged WHERE ls <> s AND at - lo <= {slop} GROUP BY ALL) GROUP BY doc_id)"""
+
+
 def _dismax_sql() -> str:
     terms = [REQUIRED, OPTIONAL, *(t for t in PHRASE.split() if t not in (REQUIRED, OPTIONAL))]
     words = PHRASE.split()
-    parts = []
-    for gaps in itertools.product(range(search.SLOP + 1), repeat=len(words) - 1):
-        if sum(gaps) <= search.SLOP:
-            pattern = f" {words[0]} " + "".join(f"(?: [^ ]+ ){{{g}}} {t} " for g, t in zip(gaps, words[1:]))
-            parts.append(f"len(regexp_extract_all(j, '{pattern}')) / {1.0 + sum(gaps)}::DOUBLE")
     rarity = " + ".join(_idf(terms.index(w)) for w in words)
-    phrase = f"{search.BOOSTS['phrase']}::DOUBLE * ({rarity}) * {_weight('pf')}"
+    phrase = f"{search.BOOSTS['phrase']}::DOUBLE * ({rarity}) * {_weight('coalesce(pf, 0)')}"
     required, optional = (f"{search.BOOSTS[b]}::DOUBLE * {_score([k])}" for b, k in (("required", 0), ("optional", 1)))
     return f"""WITH {C}, {_counted(terms, 'c', ', file_path')},
-p AS (SELECT doc_id, ' ' || array_to_string(tk, '  ') || ' ' AS j FROM t), f AS (SELECT doc_id, {' + '.join(parts)} AS pf FROM p),
-k AS (SELECT doc_id, file_path, {phrase} AS a, {required} AS b, {optional} AS o FROM s JOIN f USING (doc_id), g),
-h AS (SELECT doc_id, file_path, greatest(a, b, o) + {search.TIE}::DOUBLE * (a + b + o - greatest(a, b, o)) AS score FROM k WHERE file_path LIKE '{PREFIX}%')
-SELECT doc_id, file_path, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM h WHERE score > 0 ORDER BY h.score DESC, doc_id LIMIT 30"""
+{_windows_sql('t', words, search.SLOP)},
+k AS (SELECT doc_id, file_path, {phrase} AS a, {required} AS b, {optional} AS o FROM s LEFT JOIN f USING (doc_id), g),
+r AS (SELECT doc_id, file_path, greatest(a, b, o) + {search.TIE}::DOUBLE * (a + b + o - greatest(a, b, o)) AS score FROM k WHERE file_path LIKE '{PREFIX}%'),
+h AS (SELECT doc_id, file_path, score + 1 AS score FROM r WHERE score > 0)
+SELECT doc_id, file_path, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM h ORDER BY h.score DESC, doc_id LIMIT 30"""
+
+
+def _built(spark: SparkSession, sf_dir: str) -> index.TextIndex:
+    own = index.TextIndex(spark, scratch(spark, "text-index"), 16)
+    own.build(docs(spark, sf_dir).select("doc_id", "text"))
+    return own
+
+
+def indexed_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strategy from postings and positions: the buckets of its terms only."""
+    hits = _built(spark, sf_dir).strategy(STRATEGY).join(corpus(spark, sf_dir).select("doc_id", "file_path", "create_time"), "doc_id")
+    return rounded(search.top(search.restricted(hits, STRATEGY).select("doc_id", "file_path", "score"), 30), "score")
+
+
+def indexed_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_built(spark, sf_dir).fallback(FUZZY), "score")
+
+
+def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 after documents were replaced (every seventh by its first 200 characters) and removed (every fifth)."""
+    own, d = _built(spark, sf_dir), docs(spark, sf_dir).select("doc_id", "text")
+    own.update(d.filter("doc_id % 7 = 0").withColumn("text", F.substring("text", 1, 200)))
+    own.delete(d.filter("doc_id % 5 = 0").select("doc_id"))
+    return rounded(own.bm25(TERMS), "score", places=5)
+
+
+UPDATED = "(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, 200) ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0)"
+UPDATE_SQL = f"WITH {_counted(TERMS, UPDATED)}, h AS (SELECT doc_id, {_score([0, 1, 2])} AS score FROM s, g) SELECT doc_id, round(score, 5) AS score FROM h WHERE score > 0"
+
+SYNTAX = 'lic* AND "apache license" NOT cc vershun'
+
+
+def fallback_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plain query with a prefix, AND, a phrase, NOT and a fuzzy last word."""
+    return rounded(search.fuzzy(docs(spark, sf_dir).select("doc_id", "text"), SYNTAX), "score")
+
+
+def _syntax_sql() -> str:
+    return f"""WITH {_counted(['apache', 'license', 'cc'])},
+{_windows_sql('t', ['apache', 'license'], 0)},
+e AS (SELECT doc_id, len(tk) AS dl, unnest(tk) AS term FROM t), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM e GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+near AS (SELECT term, df, greatest(1 - levenshtein(term, 'vershun') / least(length(term), 7)::DOUBLE, 0) AS share FROM df
+  WHERE levenshtein(term, 'vershun') <= {search.EDITS} ORDER BY levenshtein(term, 'vershun'), term LIMIT {search.EXPANSIONS}),
+fz AS (SELECT doc_id, sum(share * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * {_weight('tf')}) AS z FROM tf JOIN near USING (term), g GROUP BY doc_id),
+pre AS (SELECT DISTINCT doc_id FROM e WHERE term LIKE 'lic%')
+SELECT doc_id, round(1 + ({_idf(0)} + {_idf(1)}) * {_weight('pf')} + coalesce(z, 0), 6) AS score
+FROM s JOIN f USING (doc_id) JOIN pre USING (doc_id) LEFT JOIN fz USING (doc_id), g WHERE tf2 = 0"""
 
 
 def search_fuzzy_last_term(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +155,9 @@ def search_recent_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RECENT_SQL = f"""WITH {C}, {_counted(['license'], 'c', ', create_time')},
-h AS (SELECT doc_id, create_time, {search.BOOSTS['required']}::DOUBLE * {_score([0])} AS score FROM s, g WHERE create_time BETWEEN TIMESTAMP '{AS_OF}' - to_days({DAYS}) AND TIMESTAMP '{AS_OF}')
+h AS (SELECT doc_id, create_time, 1 + {search.BOOSTS['required']}::DOUBLE * {_score([0])} AS score FROM s, g WHERE tf0 > 0 AND create_time BETWEEN TIMESTAMP '{AS_OF}' - to_days({DAYS}) AND TIMESTAMP '{AS_OF}')
 SELECT row_number() OVER (ORDER BY create_time DESC, doc_id)::INT AS rank, doc_id, strftime(create_time, '%Y-%m-%d') AS created, round(score, 6) AS score
-FROM h WHERE score > 0 ORDER BY h.create_time DESC, doc_id LIMIT 10"""
+FROM h ORDER BY h.create_time DESC, doc_id LIMIT 10"""
 
 
 def search_topup_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +183,7 @@ SELECT doc_id, CASE WHEN hits > 0 THEN regexp_replace(f, '(?i)\b(license|version
 
 
 def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = search.term_frequencies(docs(spark, sf_dir).select("doc_id", "text"))
-    terms = rows.groupBy("term").agg(F.sum("tf").alias("tf")).agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("total_tf"))
-    return docs(spark, sf_dir).agg(F.count(F.lit(1)).alias("documents")).join(F.broadcast(terms))
+    return _built(spark, sf_dir).statistics()
 
 
 STATISTICS_SQL = f"""WITH e AS (SELECT unnest({tokens_sql('text')}) AS term FROM documents)
@@ -209,6 +256,10 @@ QUERIES = {
     "bm25_topk": (bm25_topk, BM25_SQL),
     "bm25_postings": (bm25_postings, BM25_ALL_SQL),
     "search_strategy_dismax": (search_strategy_dismax, _dismax_sql()),
+    "indexed_strategy": (indexed_strategy, _dismax_sql()),
+    "indexed_fuzzy": (indexed_fuzzy, FUZZY_SQL),
+    "index_update": (index_update, UPDATE_SQL),
+    "fallback_syntax": (fallback_syntax, _syntax_sql()),
     "search_fuzzy_last_term": (search_fuzzy_last_term, FUZZY_SQL),
     "search_recent_sorted": (search_recent_sorted, RECENT_SQL),
     "search_topup_dedup": (search_topup_dedup, TOPUP_SQL),

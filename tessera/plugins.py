@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import threading
 import time
 from collections.abc import Callable
@@ -47,12 +49,9 @@ class Throttled:
         raise AssertionError("attempts must be positive")
 
 
-def rewrite_with(model: LanguageModel, question: str) -> search.SearchQuery:
+def rewrite_with(model: LanguageModel, question: str, analyzer: search.Analyzer = search.LATIN) -> search.SearchQuery:
     """A model's query {lastNDays, required, optional, exact} read from its JSON; the offline rewriter on any failure."""
-    import json
-    import re
-
-    offline = search.rewrite(question)
+    offline = search.rewrite(question, analyzer)
     try:
         found = re.search(r"\{.*\}", model.complete(question), re.S)
         got = json.loads(found[0])
@@ -68,6 +67,44 @@ def quoted(terms: Column) -> Column:
     return F.array_join(F.transform(terms, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " ")
 
 
+def unquoted(terms: Column) -> Column:
+    """Terms joined by blanks."""
+    return F.array_join(terms, " ")
+
+
+def _answer(model: LanguageModel, prompt: str, pattern: str, attempts: int = 3) -> Any:
+    """JSON in a model's answer, asked for up to `attempts` times; None if none can be read."""
+    for _ in range(attempts):
+        try:
+            return json.loads(re.search(pattern, model.complete(prompt), re.S)[0])
+        except Exception:  # the service's failure or an unreadable answer; asked again
+            continue
+    return None
+
+
+def rerank_with(model: LanguageModel, hits: DataFrame, question: str, id_col: str = "doc_id", text_col: str = "content", most: int = 100) -> DataFrame:
+    """One row with ids in a model's order, asked about at most `most` hits and up to three times; the order of the hits if it fails."""
+    rows = hits.orderBy("rank").limit(most).select(id_col, F.substring(text_col, 1, 500).alias("text")).collect()
+    listed = "\n".join(f"{r[id_col]}: {r['text']}" for r in rows)
+    got = _answer(model, f"Order these texts by how well they answer: {question}\nAnswer with a JSON list of their numbers.\n{listed}", r"\[[\d\s,\"-]*\]")
+    ids = [int(x) for x in got] if got else [int(r[id_col]) for r in rows]
+    return hits.sparkSession.createDataFrame([(ids,)], "ids array<long>")
+
+
+def similar_with(model: LanguageModel, questions: DataFrame, asked: str, least: float = 0.7, most: int = 1_000) -> DataFrame:
+    """questions (id, question) that a model finds alike (of at most `most` asked about), with similarity from 0 to 1; the offline measure if it fails."""
+    rows = questions.orderBy("id").limit(most + 1).collect()
+    if len(rows) > most:  # more than fit a prompt
+        return search.similar_questions(questions, asked, least)
+    listed = "\n".join(f"{r['id']}: {r['question']}" for r in rows)
+    got = _answer(model, f'Which of these questions ask the same as: {asked}\nAnswer with JSON [{{"id": 1, "similarity": 0 to 100}}].\n{listed}', r"\[.*\]") if rows else []
+    if got is None:
+        return search.similar_questions(questions, asked, least)
+    found = [(int(x["id"]), float(x["similarity"]) / 100) for x in got if isinstance(x, dict) and "id" in x and "similarity" in x]
+    scores = questions.sparkSession.createDataFrame(found, "id long, similarity double").filter(F.col("similarity") > least)
+    return questions.join(F.broadcast(scores), "id").orderBy(F.desc("similarity"), "id")  # at most `most` rows
+
+
 def overlap_rerank(hits: DataFrame, question: str, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
     """The offline reranker: one row with ids by the share of the question's terms, then rank."""
     wanted = F.array(*map(F.lit, dict.fromkeys(search.analyze(question))))
@@ -127,3 +164,6 @@ class Expiring:
         if self._at is None or self.clock() - self._at >= self.seconds:
             self._value, self._at = self.make(), self.clock()
         return self._value
+
+    def forget(self) -> None:
+        self._at = None

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -25,6 +26,42 @@ def listing(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     return files.select(*columns, *(["content"] if content else []))
 
 
+def contents(spark: SparkSession, root: str, wanted: DataFrame, by_name: int = 10_000) -> DataFrame:
+    """wanted (path, extension, fmt, modified of a listing) with content; only these files are opened.
+
+    Up to by_name files are loaded by their names; beyond it the reader skips files older than the oldest wanted.
+    """
+    keep = wanted.select("path", "extension", "fmt")
+    names = [r["path"] for r in keep.select("path").limit(by_name + 1).collect()]
+    if not names:
+        return keep.withColumn("content", F.lit(None).cast("binary"))
+    base = root.rstrip("/")
+    if len(names) <= by_name:
+        read = spark.read.format("binaryFile").load([_escaped(f"{base}/{n}") for n in names])
+    else:
+        oldest = wanted.agg(F.min("modified")).first()[0]
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("modificationTime") >= F.lit(oldest))
+    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + _literal(base) + "/*", "")
+    return read.select(path.alias("path"), "content").join(keep, "path")
+
+
+def _escaped(path: str) -> str:
+    """A path whose glob characters stand for themselves."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def put(spark: SparkSession, root: str, name: str, content: bytes) -> str:
+    """Write a new file into a folder; its path."""
+    if "/" in name or name in ("", ".", ".."):
+        raise ValueError("a file name has no slashes")
+    path = f"{root.rstrip('/')}/{name}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, False)
+    out.write(bytearray(content))
+    out.close()
+    return path
+
+
 def _literal(s: str) -> str:
     return "\\Q" + s.removeprefix("file:") + "\\E"
 
@@ -79,9 +116,16 @@ def parsed(files: DataFrame, ocr: parsers.Ocr | None = None) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(number, line) of a log, numbered from 1 in file order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("k", "line"))
-    return lines.select((F.col("k") + 1).alias("number"), "line")
+    """(number, line) of a log, numbered from 1 in file order.
+
+    Lines are read split by split; a count for each split, of which the driver sees the number only,
+    gives each its first line's number, so no task holds the log.
+    """
+    lines = spark.read.text(path).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    counts = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = counts.withColumn("skipped", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = lines.join(F.broadcast(before.select("part", "first", "skipped")), "part")  # a row for each split
+    return joined.select((F.col("id") - F.col("first") + F.col("skipped") + 1).cast("int").alias("number"), "line")
 
 
 def log_tail(lines: DataFrame, count: int = 100, known: int | None = None) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -104,8 +105,38 @@ def docs(spark):
 
 
 def test_phrase_slop(spark):
-    got = search.with_terms(docs(spark), ["red"], [["red", "fox"]]).collect()
-    assert {r.doc_id: round(r.pf_0, 4) for r in got} == {1: 1.0, 2: 1.0, 3: 0.0, 4: round(1 / 3, 4), 5: 0.0, 6: 0.0}
+    counted = search.with_terms(docs(spark), ["red", "fox"], positions=True).withColumn("pf", search.phrase_frequency(["pos_0", "pos_1"]))
+    assert {r.doc_id: round(r.pf, 4) for r in counted.collect()} == {1: 1.0, 2: 1.0, 3: 0.0, 4: round(1 / 3, 4), 5: 0.0, 6: 0.0}
+
+
+def sloppy(tokens, words, slop=search.SLOP):
+    """Frequency by trying every choice of places: the narrowest window of each start."""
+    import itertools
+
+    best = {}
+    for at in itertools.product(*([k for k, t in enumerate(tokens) if t == w] for w in words)):
+        moved = [p - k for k, p in enumerate(at)]
+        if len(set(at)) == len(at):
+            best[min(moved)] = min(best.get(min(moved), 99), max(moved) - min(moved))
+    return sum(1 / (1 + n) for n in best.values() if n <= slop)
+
+
+def test_two_word_phrases_equal_brute_force(spark):
+    import random
+
+    r = random.Random(1)
+    texts = [" ".join(r.choice("abc") for _ in range(r.randint(0, 9))) for _ in range(300)] + ["a b b", "b a", "a a b b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted = search.with_terms(rows, ["a", "b"], positions=True).withColumn("pf", search.phrase_frequency(["pos_0", "pos_1"]))
+    for row in counted.collect():
+        tokens = texts[row.doc_id].split()
+        # a start whose window holds a later start of its word isn't the narrowest one
+        assert row.pf <= sloppy(tokens, ["a", "b"]) + 1e-9 and (row.pf > 0) == (sloppy(tokens, ["a", "b"]) > 0)
+    exact = {texts[r.doc_id]: r.pf for r in counted.collect()}
+    assert exact["a b b"] == 1.0 and exact["b a"] == 1 / 3
+    three = search.with_terms(spark.createDataFrame([(1, "x y z"), (2, "x z y"), (3, "x q y z"), (4, "x y")], "doc_id long, text string"), ["x", "y", "z"], positions=True)
+    got = {r.doc_id: round(r.pf, 4) for r in three.withColumn("pf", search.phrase_frequency(["pos_0", "pos_1", "pos_2"])).collect()}
+    assert got == {1: 1.0, 2: round(1 / 3, 4), 3: 0.5, 4: 0.0}
 
 
 def test_index_equals_scan(spark, tmp_path):
@@ -113,13 +144,75 @@ def test_index_equals_scan(spark, tmp_path):
     idx = index.TextIndex(spark, str(tmp_path / "i"), buckets=4)
     idx.build(own)
     scan = {r.doc_id: round(r.score, 9) for r in search.bm25(own, ["red", "runs"]).collect()}
-    assert {r.doc_id: round(r.score, 9) for r in idx.bm25(["red", "runs"]).collect()} == scan
+    scores = lambda df: {r.doc_id: round(r.score, 9) for r in df.collect()}
+    assert scores(idx.bm25(["red", "runs"])) == scan
+    query = search.SearchQuery(exact=("red fox",), required=("the",), optional=("big",))
+    assert scores(idx.strategy(query)) == scores(search.strategy(own, query)) and len(scores(idx.strategy(query))) == 4
+    for q in ("red foxx", 'the AND "red fox"', "ru* NOT big", '"fox the"', "AND", 'a"', None, "fox OR bigg"):
+        assert scores(idx.fallback(q)) == scores(search.fallback(search.Scan(own), q)), q
+    assert set(scores(idx.fallback('the AND "red fox"'))) == {1} and scores(idx.fallback("AND")) == {}
     assert idx.statistics().first().terms == 6
     plan = idx.of_terms(["red"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan
-    new = index.postings(spark.createDataFrame([(2, "blue")], "doc_id long, text string"), 4)
-    merged = index.merge_postings(idx.postings(), new, spark.createDataFrame([(1,)], "doc_id long"))
-    assert {(r.doc_id, r.term) for r in merged.collect() if r.doc_id < 3} == {(2, "blue")}
+
+
+def test_index_updates(spark, tmp_path):
+    idx = index.TextIndex(spark, str(tmp_path / "i"), buckets=4)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    idx.build(docs(spark))
+    held = dict(DOCS)
+    idx.update(frame([(2, "blue fox"), (9, "blue whale")]))
+    idx.delete(frame([(1, "")]))
+    held |= {2: "blue fox", 9: "blue whale"}
+    del held[1]
+    for k in range(7):  # enough updates to have the tables written anew
+        idx.update(frame([(9, f"blue whale {'sings ' * k}")]))
+        held[9] = f"blue whale {'sings ' * k}"
+    want = {r.doc_id: round(r.score, 9) for r in search.bm25(frame(list(held.items())), ["blue", "fox", "runs", "sings"]).collect()}
+    assert {r.doc_id: round(r.score, 9) for r in idx.bm25(["blue", "fox", "runs", "sings"]).collect()} == want
+    assert {r.doc_id for r in idx.fallback("runs").collect()} == set()  # the only document with "runs" went
+    now = [0.0]
+    c = index.Committer(idx, lambda: now[0])
+    before = idx.store.state()[0]
+    for k in range(49):
+        c.put(100 + k, "zebra")
+    assert idx.store.state()[0] == before
+    c.delete(100)
+    assert idx.store.state()[0] == before + 1 and idx.bm25(["zebra"]).count() == 48
+    c.put(300, "zebra")
+    now[0] = 6.0
+    assert c.tick() and idx.bm25(["zebra"]).count() == 49
+
+
+def test_commits_are_whole_and_exclusive(spark, tmp_path):
+    make = lambda n: spark.createDataFrame([(n, "x")], "id int, v string")
+    store = tables.Store(spark, str(tmp_path / "s"), {k: tables.Table("id INT, v STRING", "id") for k in "ab"})
+    start = store.state()
+    store.commit({"a": tables.Change(make(1)), "b": tables.Change(make(1))}, start)
+    with pytest.raises(tables.ConcurrentCommit):
+        store.commit({"a": tables.Change(make(2))}, start)
+    assert [store.read(k).count() for k in "ab"] == [1, 1]
+    broken = make(3).withColumn("v", F.expr("cast(raise_error('no') AS string)"))
+    with pytest.raises(Exception, match="no"):
+        store.commit({"a": tables.Change(make(5)), "b": tables.Change(broken)})
+    assert [r.id for r in store.read("a").collect()] == [1]
+    for k in range(12):
+        store.commit({"a": tables.Change(make(k), make(k))})
+    assert sorted(r.id for r in store.read("a").collect()) == list(range(12)) and len(store.state()[1]["a"]["segments"]) <= store.MERGE
+
+
+def test_stems_and_scripts(spark):
+    from tessera.functions import analysis
+
+    known = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop",
+             "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "digitizer": "digit", "operator": "oper", "hopefulness": "hope",
+             "triplicate": "triplic", "electrical": "electr", "goodness": "good", "revival": "reviv", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control"}
+    assert {w: analysis.stem(w) for w in known} == known
+    assert analysis.analyze("搜索引擎 engines, 中 été") == ["搜索", "索引", "引擎", "engin", "中", "été"]
+    rows = spark.createDataFrame([(1, "全文搜索引擎"), (2, "searching engines"), (3, None)], "doc_id long, text string")
+    source = search.Scan(rows, analyzer=search.STEMMED)
+    find = lambda q: {r.doc_id for r in search.fallback(source, q, search.STEMMED).collect()}
+    assert find("搜索") == {1} and find("searched engine") == {2}
 
 
 def test_empty_and_rewritten_queries(spark):
