@@ -147,6 +147,15 @@ class Engine:
         got = facts.extract(rows, F.col("key_question"))
         return got.select(F.concat_ws(":", "task_id", "doc_id").alias("pair"), "task_id", "doc_id", "para_id", "seq", "fact")
 
+    def put(self, rows: DataFrame) -> DataFrame:
+        """Bring documents given as (file_path, markdown, modified) up to date, like the files of ingest(); the changes (file_path, op)."""
+        state = self.store.state()
+        known = self.store.read("documents", state).select("file_path", "doc_id", F.col("md5").alias("old_md5"), "update_time", F.col("create_time").alias("old_create"))
+        new = rows.select("file_path", "markdown", "modified", F.md5(F.coalesce("markdown", F.lit(""))).alias("md5")).join(known, "file_path", "left")
+        op = F.when(F.col("doc_id").isNull(), "create").when(F.col("modified") > F.col("update_time"), F.when(F.col("md5").eqNullSafe(F.col("old_md5")), "touch").otherwise("modify"))
+        found = new.withColumn("op", op).filter("op IS NOT NULL").withColumns({"doc_id": F.coalesce("doc_id", F.xxhash64("file_path")), "error": F.lit(None).cast("string")})
+        return self._apply(state, self._written(found, "changes"))
+
     def reapply_ignore(self, patterns: list[str], root: str = "") -> DataFrame:
         """After a change of ignore rules: matching documents leave paragraphs, index and facts; others wait for the next ingest; the moved (file_path, op)."""
         state = self.store.state()

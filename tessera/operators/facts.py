@@ -167,11 +167,15 @@ def settle(tasks: DataFrame, outcome: DataFrame) -> DataFrame:
     return both.withColumn("status", status).drop("__e")
 
 
+def length_of(facts: DataFrame, budget: int = chunk.BATCH) -> DataFrame:
+    """One row: the facts' total length and whether it is within the budget."""
+    return facts.agg(F.coalesce(F.sum(F.length("fact")), F.lit(0)).alias("total")).withColumn("within", F.col("total") <= budget)
+
+
 def reduce_facts(facts: DataFrame, refine: Callable[[DataFrame], DataFrame], budget: int = chunk.BATCH, rounds: int = 3) -> DataFrame:
     """Batches of facts (g, batch, seq, fact) refined to (seq, fact) until their length is within budget, at most `rounds` times."""
     for _ in range(rounds):
-        total = facts.agg(F.coalesce(F.sum(F.length("fact")), F.lit(0))).first()[0]
-        if total <= budget:
+        if length_of(facts, budget).first()["within"]:
             break
         # runs of RUN facts are folded apart, so no task holds all of them
         sized = facts.select(F.floor(F.col("seq") / RUN).alias("g"), "seq", "fact", F.length("fact").cast("long").alias("size"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import plugins, schemas
+from ..engine import Engine
+from ..functions import globs
 from ..functions import text as tx
-from ..operators import catalog, facts, search
+from ..operators import catalog, chunk, facts, search
+from ..operators.tables import Change
 from ..sources import files, web
-from .base import C, corpus, docs, table, tokens_sql, values, values_sql
-from .facts import FACTS, facts_extract
+from .base import C, corpus, docs, rounded, scratch, table, tokens_sql, values, values_sql
+from .facts import BATCH_SQL, FACTS, TASKS, facts_extract
+from .search import counted_sql, score_sql
 
 TEMPLATES = [("src0", "a"), ("src1", "b"), ("src2", "c"), ("unused", "d")]
 SETTINGS = [("n", "5"), ("s", '"quoted"'), ("bad", "five"), ("flag", "true")]
@@ -73,23 +77,165 @@ def setting_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one("n", "int", 1).union(one("s", "string", "")).union(one("bad", "int", 7)).union(one("flag", "boolean", False)).union(one("none", "int", 8))
 
 
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine whose catalog, paragraphs (one a document) and index are the documents table."""
+    c = corpus(spark, sf_dir)
+    own = Engine(spark, scratch(spark, "engine"), analyzer=search.LATIN)
+    para = c.select(F.col("doc_id").alias("para_id"), "doc_id", F.lit(0).alias("ord"), F.col("text").alias("content"))
+    own.store.commit({
+        "documents": Change(c.withColumn("update_time", F.col("create_time"))),
+        "paragraphs": Change(para),
+        **own.index.changes(para, None, "para_id", "content"),
+    })
+    return own
+
+
 def fetched_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = values(spark, list(enumerate(ASKED)), "pos int, doc_id long")
-    return asked.join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "left").select("pos", "doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    return _engine(spark, sf_dir).fetch_content(ASKED)
 
 
 def simple_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of two terms under a prefix, in tags, or the first 150 characters."""
-    c = corpus(spark, sf_dir).select("doc_id", "text", "file_path")
-    hits = search.bm25(c, ["released", "rights"]).filter(catalog.under(F.col("file_path"), "/corp/src1")).select("doc_id").join(c, "doc_id")
-    shown = search.snippets(hits, ["released"], tag="em", missing="")
-    return shown.select("doc_id", F.when(F.col("snippet") == "", F.substring("text", 1, 150)).otherwise(F.col("snippet")).alias("snippet"))
+    """Hits of two terms under a prefix, ranked, in tags, or the first 150 characters."""
+    return rounded(_engine(spark, sf_dir).simple_search("released rights", "/corp/src1", 40), "score")
 
 
-SIMPLE_SQL = rf"""WITH {C}, d AS (SELECT doc_id, text FROM c WHERE starts_with(file_path, '/corp/src1') AND len(list_intersect({tokens_sql('text')}, ['released', 'rights'])) > 0),
+SIMPLE_SQL = rf"""WITH {C}, {counted_sql(['released', 'rights'], 'c', ', file_path, state, text')},
+h AS (SELECT doc_id, file_path, text, 1 + {score_sql([0, 1])} AS score FROM s, g WHERE (tf0 > 0 OR tf1 > 0) AND starts_with(file_path, '/corp/src1') AND state = '{schemas.INDEXED}'),
+d AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM h ORDER BY h.score DESC, doc_id LIMIT 40),
 k AS (SELECT doc_id, text, k, substr(text, k * 300 + 1, 300) AS f FROM (SELECT *, unnest(range(0, ceil(greatest(length(text), 1) / 300)::INT)) AS k FROM d)),
-h AS (SELECT *, len(regexp_extract_all(f, '(?i)\b(released)\b')) AS hits FROM k), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, k) AS n FROM h)
-SELECT doc_id, CASE WHEN hits > 0 THEN regexp_replace(f, '(?i)\b(released)\b', '<em>\1</em>', 'g') ELSE substr(text, 1, 150) END AS snippet FROM b WHERE n = 1"""
+x AS (SELECT *, len(regexp_extract_all(f, '(?i)\b(released|rights)\b')) AS hits FROM k), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, k) AS n FROM x)
+SELECT rank, doc_id AS para_id, round(score, 6) AS score, CASE WHEN hits > 0 THEN regexp_replace(f, '(?i)\b(released|rights)\b', '<em>\1</em>', 'g') ELSE substr(b.text, 1, 150) END AS snippet, file_path
+FROM b JOIN d USING (doc_id) WHERE n = 1"""
+
+
+TASK = ("/corp/src1/", "all rights reserved")
+
+
+def task_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A standing task kept up to date: extracted, French documents changed, Spanish ones deleted, answered from twice."""
+    own = _engine(spark, sf_dir)
+    own.create_task(*TASK)
+    own.refresh_tasks()
+    own.put(corpus(spark, sf_dir).filter(_CHANGED).select("file_path", F.concat("text", F.lit(" All rights reserved again.")).alias("markdown"), F.expr("create_time + INTERVAL 1 DAY").alias("modified")))
+    own.delete(F.col("file_path").contains("/es/"))
+    for _ in range(2):
+        own.collect_facts(TASK[1], TASK[0])
+    columns = ["directory_path", "status", "covered_file_count", "facts", "full_cost", "incremental_cost", "hit_count"]
+    return own.progress().select(*columns)
+
+
+_CHANGED = f"lang = 'fr' AND state = '{schemas.INDEXED}' AND length(text) < 4900"
+_HAS = f"len(list_intersect(['all', 'reserved', 'rights'], {tokens_sql('fact')})) / 3::DOUBLE >= {facts.OVERLAP}"
+_FACTS_OF = "list_filter(list_filter(list_transform(regexp_extract_all(content, '[^.!?\n]+[.!?]*'), lambda s: trim(s)), lambda s: s <> ''), lambda fact: " + _HAS + ")"
+TASK_SQL = f"""WITH {C}, d AS (SELECT doc_id, lang, text, {_CHANGED} AS changed FROM c WHERE state = '{schemas.INDEXED}' AND starts_with(file_path, '{TASK[0]}')),
+b AS (SELECT *, {_FACTS_OF} AS fs FROM (SELECT *, text AS content FROM d)),
+a AS (SELECT *, {_FACTS_OF} AS fs FROM (SELECT *, text || ' All rights reserved again.' AS content FROM d WHERE changed)),
+cost AS (SELECT 0 AS k, length(content) + {len(TASK[1])} + coalesce(list_sum(list_transform(fs, lambda x: length(x))), 0) AS n FROM b
+  UNION ALL SELECT 1, length(content) + {len(TASK[1])} + coalesce(list_sum(list_transform(fs, lambda x: length(x))), 0) FROM a)
+SELECT '{TASK[0]}' AS directory_path, 'active' AS status, (SELECT count(*) FROM d WHERE lang <> 'es')::INT AS covered_file_count,
+  ((SELECT coalesce(sum(len(fs)), 0) FROM b WHERE lang <> 'es' AND NOT changed) + (SELECT coalesce(sum(len(fs)), 0) FROM a))::BIGINT AS facts,
+  (SELECT sum(n) FROM cost WHERE k = 0)::BIGINT AS full_cost, coalesce((SELECT sum(n) FROM cost WHERE k = 1), 0)::BIGINT AS incremental_cost, 2 AS hit_count"""
+
+
+def tasks_above_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks at or above a query path."""
+    return catalog.tasks_above(values(spark, TASKS, "id long, directory_path string, key_question string"), "/corp/src1/en/7.md").select("id", "directory_path")
+
+
+def time_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by time: before, before with a state, and between."""
+    c = corpus(spark, sf_dir).select("doc_id", "create_time", "state")
+    at = lambda s: F.to_timestamp(F.lit(s))
+    kinds = {
+        "before": catalog.before(c, "create_time", at("2024-03-01")),
+        "state_before": catalog.before(c, "create_time", at("2024-06-01"), F.col("state") == schemas.SAVED),
+        "within": catalog.within(c, "create_time", at("2024-05-01"), at("2024-05-31")),
+    }
+    return catalog.union_all([rows.select(F.lit(kind).alias("kind"), "doc_id") for kind, rows in kinds.items()])
+
+
+def directories_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    return values(spark, [(p, catalog.exists(c, catalog.below(F.col("file_path"), p))) for p in ("/corp/src1", "/corp/none", "/corp/src1/en/")], "path string, present boolean")
+
+
+PATTERNS = [" build ", "", "*.tmp", "build", "a|b", "-x", "src/**", "?"]
+
+
+def pattern_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, bad = globs.validate(PATTERNS)
+    return values(spark, [(p, True) for p in good] + [(p, False) for p in bad], "pattern string, valid boolean")
+
+
+PATTERN_SQL = f"""SELECT DISTINCT trim(p) AS pattern, regexp_matches(trim(p), '^[A-Za-z0-9_*./\[]') AND regexp_full_match(trim(p), '[A-Za-z0-9_*./\[\]\-!? ]+') AS valid
+FROM {values_sql([(p,) for p in PATTERNS], 'p')} WHERE trim(p) <> ''"""
+
+
+def worker_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each worker's first ten saved documents."""
+    c = corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat_ws(".", F.col("doc_id").cast("string"), "ext").alias("file_name"), "state")
+    return catalog.union_all([catalog.worker_page(c, w).select("id", F.lit(w).alias("worker")) for w in range(4)])
+
+
+WORKER_SQL = f"""WITH {C}, w AS (SELECT doc_id AS id, (('0x' || substr(md5(doc_id || '.' || ext), 1, 8))::BIGINT % 4)::INT AS worker FROM c WHERE state = '{schemas.SAVED}')
+SELECT id, worker FROM (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY id) AS k FROM w) WHERE k <= 10"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    return lines.select("doc_id", "ord", F.length("line").cast("long").alias("size"))
+
+
+def batch_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that stay below the cap."""
+    return chunk.batches(_lines(spark, sf_dir), "doc_id", "ord", "size", 600, strict=True).select("doc_id", "ord", "batch")
+
+
+def batch_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches whose joined length counts a separator between lines."""
+    return chunk.batches(_lines(spark, sf_dir), "doc_id", "ord", "size", 600, sep=1).select("doc_id", "ord", "batch")
+
+
+BATCH_STRICT_SQL = BATCH_SQL.replace("<= 600", "< 600")
+BATCH_SEPARATOR_SQL = BATCH_SQL.replace("r.total + i.size", "r.total + 1 + i.size")
+
+
+def facts_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.length_of(facts_extract(spark, sf_dir), 2_000)
+
+
+def reduced_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts cut by half, batch by batch, until they fit or three rounds have passed."""
+    rows = facts_extract(spark, sf_dir).orderBy("para_id", "seq").select((F.row_number().over(Window.orderBy("para_id", "seq")) - 1).alias("seq"), "fact")
+    refine = lambda b: b.select("seq", F.expr("substring(fact, 1, int(ceil(length(fact) / 2)))").alias("fact"))
+    return facts.reduce_facts(rows, refine, budget=4_000)
+
+
+HALVED = lambda x: f"substr({x}, 1, ceil(length({x}) / 2)::INT)"
+REDUCED_SQL = f"""WITH {FACTS}, r0 AS (SELECT row_number() OVER (ORDER BY para_id, seq) - 1 AS seq, fact FROM f),
+r1 AS (SELECT seq, CASE WHEN (SELECT sum(length(fact)) FROM r0) > 4000 THEN {HALVED('fact')} ELSE fact END AS fact FROM r0),
+r2 AS (SELECT seq, CASE WHEN (SELECT sum(length(fact)) FROM r1) > 4000 THEN {HALVED('fact')} ELSE fact END AS fact FROM r1),
+r3 AS (SELECT seq, CASE WHEN (SELECT sum(length(fact)) FROM r2) > 4000 THEN {HALVED('fact')} ELSE fact END AS fact FROM r2)
+SELECT seq::INT AS seq, fact FROM r3"""
+
+
+def result_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two result lists one behind the other, what both hold twice."""
+    b = table(spark, sf_dir, "benchmark").select("item_id")
+    return search.bag_union([b.filter("item_id % 2 = 0"), b.filter("item_id % 3 = 0")])
+
+
+def distinct_fact_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = facts_extract(spark, sf_dir).withColumn("task_id", F.col("seq") % 4)
+    return facts.paragraphs_of_task(own, 1)
+
+
+def cleaned_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", tx.clean_query(F.col("text")).alias("query"))
+
+
+def unquoted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", plugins.unquoted(tx.tokens(F.col("text"))).alias("terms"))
 
 
 def quoted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,8 +270,22 @@ QUERIES = {
     "single_batches": (single_batches, "SELECT doc_id, k - 1 AS ord, k AS batch FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS k FROM documents)"),
     "unfinished_paragraphs": (unfinished_paragraphs, "SELECT doc_id AS para_id, lang FROM documents WHERE doc_id > 500"),
     "setting_values": (setting_values, f"SELECT * FROM {values_sql([('n', '5'), ('s', 'quoted'), ('bad', '7'), ('flag', 'true'), ('none', '8')], 'config_key, value')}"),
-    "fetched_content": (fetched_content, f"SELECT pos, id::BIGINT AS doc_id, coalesce(text, '') AS content FROM {values_sql(list(enumerate(ASKED)), 'pos, id')} LEFT JOIN documents ON doc_id = id"),
+    "fetched_content": (fetched_content, f"SELECT pos, id::BIGINT AS para_id, 0 AS ord, coalesce(text, '') AS content FROM {values_sql(list(enumerate(ASKED)), 'pos, id')} LEFT JOIN documents ON doc_id = id"),
     "simple_search": (simple_search, SIMPLE_SQL),
+    "task_counters": (task_counters, TASK_SQL),
+    "tasks_above_path": (tasks_above_path, f"SELECT id::BIGINT AS id, directory_path FROM {values_sql(TASKS, 'id, directory_path, q')} WHERE starts_with('/corp/src1/en/7.md', directory_path)"),
+    "time_predicates": (time_predicates, f"WITH {C} SELECT 'before' AS kind, doc_id FROM c WHERE create_time < TIMESTAMP '2024-03-01' UNION ALL SELECT 'state_before', doc_id FROM c WHERE create_time < TIMESTAMP '2024-06-01' AND state = '{schemas.SAVED}' UNION ALL SELECT 'within', doc_id FROM c WHERE create_time BETWEEN TIMESTAMP '2024-05-01' AND TIMESTAMP '2024-05-31'"),
+    "directories_exist": (directories_exist, f"WITH {C} SELECT p AS path, EXISTS (SELECT 1 FROM c WHERE starts_with(file_path, rtrim(p, '/') || '/')) AS present FROM (VALUES ('/corp/src1'), ('/corp/none'), ('/corp/src1/en/')) v(p)"),
+    "pattern_validation": (pattern_validation, PATTERN_SQL),
+    "worker_pages": (worker_pages, WORKER_SQL),
+    "batch_strict": (batch_strict, BATCH_STRICT_SQL),
+    "batch_separator": (batch_separator, BATCH_SEPARATOR_SQL),
+    "facts_length": (facts_length, f"WITH {FACTS} SELECT coalesce(sum(length(fact)), 0)::BIGINT AS total, coalesce(sum(length(fact)), 0) <= 2000 AS within FROM f"),
+    "reduced_facts": (reduced_facts, REDUCED_SQL),
+    "result_bag": (result_bag, "SELECT item_id, 0 AS q FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, 1 FROM benchmark WHERE item_id % 3 = 0"),
+    "distinct_fact_paragraphs": (distinct_fact_paragraphs, f"WITH {FACTS} SELECT DISTINCT para_id FROM f WHERE seq % 4 = 1"),
+    "cleaned_queries": (cleaned_queries, "SELECT item_id, trim(regexp_replace(coalesce(text, ''), '[,.]+', ' ', 'g')) AS query FROM benchmark"),
+    "unquoted_terms": (unquoted_terms, f"SELECT item_id, array_to_string({tokens_sql('text')}, ' ') AS terms FROM benchmark"),
     "quoted_terms": (quoted_terms, f"SELECT item_id, array_to_string(list_transform({tokens_sql('text')}, lambda t: '\"' || t || '\"'), ' ') AS quoted FROM benchmark"),
     "overlap_rerank": (overlap_rerank, RERANK_SQL),
     "directory_times": (directory_times, f"WITH {C} SELECT doc_id FROM c WHERE lang = 'en' AND create_time < TIMESTAMP '2024-06-01'"),

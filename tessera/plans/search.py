@@ -14,7 +14,7 @@ FUZZY = "released, licence"
 AS_OF, DAYS = "2024-12-31 00:00:00", 180
 
 
-def _counted(terms: list[str], source: str = "documents", extra: str = "") -> str:
+def counted_sql(terms: list[str], source: str = "documents", extra: str = "") -> str:
     """CTEs t (doc_id, tk), s (tf per term) and g (statistics)."""
     tf = ", ".join(f"len(list_filter(tk, lambda x: x = '{t}')) AS tf{k}" for k, t in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (tf{k} > 0) AS df{k}" for k in range(len(terms)))
@@ -31,7 +31,7 @@ def _idf(k: int) -> str:
     return f"ln(1 + (n - df{k} + 0.5::DOUBLE) / (df{k} + 0.5::DOUBLE))"
 
 
-def _score(ks: list[int]) -> str:
+def score_sql(ks: list[int]) -> str:
     return "(" + " + ".join(["0.0::DOUBLE", *(f"{_idf(k)} * {_weight(f'tf{k}')}" for k in ks)]) + ")"
 
 
@@ -39,7 +39,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.top(search.bm25(docs(spark, sf_dir).select("doc_id", "text"), TERMS), 10), "score")
 
 
-BM25_SQL = f"""WITH {_counted(TERMS)}, h AS (SELECT doc_id, {_score([0, 1, 2])} AS score FROM s, g)
+BM25_SQL = f"""WITH {counted_sql(TERMS)}, h AS (SELECT doc_id, {score_sql([0, 1, 2])} AS score FROM s, g)
 SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM h WHERE score > 0 ORDER BY h.score DESC, doc_id LIMIT 10"""
 
 
@@ -53,7 +53,7 @@ def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scored, "score", places=5)
 
 
-BM25_ALL_SQL = f"WITH {_counted(TERMS)}, h AS (SELECT doc_id, {_score([0, 1, 2])} AS score FROM s, g) SELECT doc_id, round(score, 5) AS score FROM h WHERE score > 0"
+BM25_ALL_SQL = f"WITH {counted_sql(TERMS)}, h AS (SELECT doc_id, {score_sql([0, 1, 2])} AS score FROM s, g) SELECT doc_id, round(score, 5) AS score FROM h WHERE score > 0"
 
 
 STRATEGY = search.SearchQuery(exact=(PHRASE,), required=(REQUIRED,), optional=(OPTIONAL,), path_prefix=PREFIX)
@@ -67,9 +67,9 @@ def search_strategy_dismax(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _windows_sql(source: str, words: list[str], slop: int) -> str:
     """CTEs ev and f (doc_id, pf): the sloppy frequency of a phrase of two words in t (doc_id, tk)."""
     slot = " ".join(f"WHEN '{w}' THEN {k}" for k, w in enumerate(words))
-    return f"""ev AS (SELECT doc_id, i - s AS at, s FROM (SELECT doc_id, i, CASE tk[i + 1] {slot} END AS s FROM (SELECT doc_id, tk, unnest(range(len(tk))) AS i FROM {source})) WHERE s IS NOT NULL),
-lagged AS (SELECT doc_id, at, s, lag(at) OVER w AS lo, lag(s) OVER w AS ls FROM ev WINDOW w AS (PARTITION BY doc_id ORDER BY at, s)),
-f AS (SELECT doc_id, sum(1 / (1 + moves)::DOUBLE) AS pf FROM (SELECT doc_id, lo, min(at - lo) AS moves FROM lagged WHERE ls <> s AND at - lo <= {slop} GROUP BY ALL) GROUP BY doc_id)"""
+    return f"""ev AS (SELECT doc_id, i - s AS spot, s FROM (SELECT doc_id, i, CASE tk[i + 1] {slot} END AS s FROM (SELECT doc_id, tk, unnest(range(len(tk))) AS i FROM {source})) WHERE s IS NOT NULL),
+lagged AS (SELECT doc_id, spot, s, lag(spot) OVER w AS lo, lag(s) OVER w AS ls FROM ev WINDOW w AS (PARTITION BY doc_id ORDER BY spot, s)),
+f AS (SELECT doc_id, sum(1 / (1 + moves)::DOUBLE) AS pf FROM (SELECT doc_id, lo, min(spot - lo) AS moves FROM lagged WHERE ls <> s AND spot - lo <= {slop} GROUP BY ALL) GROUP BY doc_id)"""
 
 
 def _dismax_sql() -> str:
@@ -77,8 +77,8 @@ def _dismax_sql() -> str:
     words = PHRASE.split()
     rarity = " + ".join(_idf(terms.index(w)) for w in words)
     phrase = f"{search.BOOSTS['phrase']}::DOUBLE * ({rarity}) * {_weight('coalesce(pf, 0)')}"
-    required, optional = (f"{search.BOOSTS[b]}::DOUBLE * {_score([k])}" for b, k in (("required", 0), ("optional", 1)))
-    return f"""WITH {C}, {_counted(terms, 'c', ', file_path')},
+    required, optional = (f"{search.BOOSTS[b]}::DOUBLE * {score_sql([k])}" for b, k in (("required", 0), ("optional", 1)))
+    return f"""WITH {C}, {counted_sql(terms, 'c', ', file_path')},
 {_windows_sql('t', words, search.SLOP)},
 k AS (SELECT doc_id, file_path, {phrase} AS a, {required} AS b, {optional} AS o FROM s LEFT JOIN f USING (doc_id), g),
 r AS (SELECT doc_id, file_path, greatest(a, b, o) + {search.TIE}::DOUBLE * (a + b + o - greatest(a, b, o)) AS score FROM k WHERE file_path LIKE '{PREFIX}%'),
@@ -111,7 +111,7 @@ def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 UPDATED = "(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, 200) ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0)"
-UPDATE_SQL = f"WITH {_counted(TERMS, UPDATED)}, h AS (SELECT doc_id, {_score([0, 1, 2])} AS score FROM s, g) SELECT doc_id, round(score, 5) AS score FROM h WHERE score > 0"
+UPDATE_SQL = f"WITH {counted_sql(TERMS, UPDATED)}, h AS (SELECT doc_id, {score_sql([0, 1, 2])} AS score FROM s, g) SELECT doc_id, round(score, 5) AS score FROM h WHERE score > 0"
 
 SYNTAX = 'lic* AND "apache license" NOT cc vershun'
 
@@ -122,7 +122,7 @@ def fallback_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _syntax_sql() -> str:
-    return f"""WITH {_counted(['apache', 'license', 'cc'])},
+    return f"""WITH {counted_sql(['apache', 'license', 'cc'])},
 {_windows_sql('t', ['apache', 'license'], 0)},
 e AS (SELECT doc_id, len(tk) AS dl, unnest(tk) AS term FROM t), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM e GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 near AS (SELECT term, df, greatest(1 - levenshtein(term, 'vershun') / least(length(term), 7)::DOUBLE, 0) AS share FROM df
@@ -154,8 +154,8 @@ def search_recent_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("rank", "doc_id", F.date_format("create_time", "yyyy-MM-dd").alias("created"), F.round("score", 6).alias("score"))
 
 
-RECENT_SQL = f"""WITH {C}, {_counted(['license'], 'c', ', create_time')},
-h AS (SELECT doc_id, create_time, 1 + {search.BOOSTS['required']}::DOUBLE * {_score([0])} AS score FROM s, g WHERE tf0 > 0 AND create_time BETWEEN TIMESTAMP '{AS_OF}' - to_days({DAYS}) AND TIMESTAMP '{AS_OF}')
+RECENT_SQL = f"""WITH {C}, {counted_sql(['license'], 'c', ', create_time')},
+h AS (SELECT doc_id, create_time, 1 + {search.BOOSTS['required']}::DOUBLE * {score_sql([0])} AS score FROM s, g WHERE tf0 > 0 AND create_time BETWEEN TIMESTAMP '{AS_OF}' - to_days({DAYS}) AND TIMESTAMP '{AS_OF}')
 SELECT row_number() OVER (ORDER BY create_time DESC, doc_id)::INT AS rank, doc_id, strftime(create_time, '%Y-%m-%d') AS created, round(score, 6) AS score
 FROM h ORDER BY h.create_time DESC, doc_id LIMIT 10"""
 
@@ -165,7 +165,7 @@ def search_topup_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.top_up(search.bm25(d, ["gnu"]), search.bm25(d, ["license"]), 30), "score")
 
 
-TOPUP_SQL = f"""WITH {_counted(['gnu', 'license'])}, h AS (SELECT doc_id, 0 AS part, {_score([0])} AS score FROM s, g UNION ALL SELECT doc_id, 1, {_score([1])} FROM s, g),
+TOPUP_SQL = f"""WITH {counted_sql(['gnu', 'license'])}, h AS (SELECT doc_id, 0 AS part, {score_sql([0])} AS score FROM s, g UNION ALL SELECT doc_id, 1, {score_sql([1])} FROM s, g),
 b AS (SELECT doc_id, part, score, row_number() OVER (PARTITION BY doc_id ORDER BY part, score DESC) AS k FROM h WHERE score > 0)
 SELECT doc_id, part::INT AS part, round(score, 6) AS score FROM b WHERE k = 1 ORDER BY part, b.score DESC, doc_id LIMIT 30"""
 
