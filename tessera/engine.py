@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import uuid
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,7 +37,7 @@ class Engine:
     Every call reads one state of the store and makes its changes visible by one commit.
     """
 
-    def __init__(self, spark: SparkSession, location: str, model: plugins.LanguageModel | None = None, analyzer: search.Analyzer = search.STEMMED, listeners: list[Listener] | None = None):
+    def __init__(self, spark: SparkSession, location: str, model: plugins.LanguageModel | None = None, analyzer: search.Analyzer = search.STEMMED, listeners: list[Listener] | None = None, buckets: int = index.BUCKETS):
         self.spark = spark
         self.location = location.rstrip("/")
         self.model = model
@@ -44,7 +45,7 @@ class Engine:
         self.listeners = list(listeners or [])
         self.jobs = Jobs(spark)
         self.store = Store(spark, self.location, TABLES)
-        self.index = index.TextIndex(spark, self.location, store=self.store, analyzer=analyzer)
+        self.index = index.TextIndex(spark, self.location, buckets, self.store, analyzer)
         self._settings = plugins.Expiring(lambda: self.store.read("settings"), 30)
 
     def documents(self) -> DataFrame:
@@ -94,6 +95,18 @@ class Engine:
         found = self._written(found.unionByName(lost, allowMissingColumns=True), "changes")
         return self._apply(state, found)
 
+    def sync(self, roots: list[str], ignore: list[str] | None = None) -> DataFrame:
+        """ingest() of several folders; one row: total, success and the sorted failed ones. A folder that fails doesn't keep the others from being read."""
+        done = []
+        for root in roots:
+            try:
+                self.ingest(root, ignore)
+                done.append((root, True))
+            except Exception as e:  # told in the result; the folder is read again at the next sync
+                warnings.warn(f"{root}: {type(e).__name__} {e}"[:500], stacklevel=2)
+                done.append((root, False))
+        return catalog.sync_summary(self.spark.createDataFrame(done, "directory_path string, ok boolean"))
+
     def _apply(self, state: tuple[int, dict], found: DataFrame) -> DataFrame:
         """One commit for found changes: file_path, doc_id, op, modified, md5, old_md5, old_create, markdown, error."""
         changes = found.select("file_path", "op")

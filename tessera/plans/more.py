@@ -80,7 +80,7 @@ def setting_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _engine(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine whose catalog, paragraphs (one a document) and index are the documents table."""
     c = corpus(spark, sf_dir)
-    own = Engine(spark, scratch(spark, "engine"), analyzer=search.LATIN)
+    own = Engine(spark, scratch(spark, "engine"), analyzer=search.LATIN, buckets=8)
     para = c.select(F.col("doc_id").alias("para_id"), "doc_id", F.lit(0).alias("ord"), F.col("text").alias("content"))
     own.store.commit({
         "documents": Change(c.withColumn("update_time", F.col("create_time"))),
@@ -167,7 +167,7 @@ def pattern_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, [(p, True) for p in good] + [(p, False) for p in bad], "pattern string, valid boolean")
 
 
-PATTERN_SQL = f"""SELECT DISTINCT trim(p) AS pattern, regexp_matches(trim(p), '^[A-Za-z0-9_*./\[]') AND regexp_full_match(trim(p), '[A-Za-z0-9_*./\[\]\-!? ]+') AS valid
+PATTERN_SQL = rf"""SELECT DISTINCT trim(p) AS pattern, regexp_matches(trim(p), '^[A-Za-z0-9_*./\[]') AND regexp_full_match(trim(p), '[A-Za-z0-9_*./\[\]\-!? ]+') AS valid
 FROM {values_sql([(p,) for p in PATTERNS], 'p')} WHERE trim(p) <> ''"""
 
 

@@ -6,6 +6,7 @@ import json
 import re
 import threading
 import time
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, Protocol, runtime_checkable
@@ -153,6 +154,39 @@ class Registry:
         return [self.handlers[p] for p in found]
 
 
+@dataclass
+class Templates:
+    """Handlers made from named templates and configured instances; code is registered, never evaluated.
+
+    instances: (path_prefix, template_id, config), config being JSON. One of an unknown template, or
+    whose handler lacks a method, is left out with a warning.
+    """
+
+    registry: Registry
+    factories: dict[str, Callable[[dict], IndexHandler]] = field(default_factory=dict)
+
+    def add(self, template_id: str, factory: Callable[[dict], IndexHandler]) -> None:
+        self.factories[template_id] = factory
+
+    def load(self, instances: DataFrame, most: int = 1_000) -> list[str]:
+        """Register the instances; the prefixes that were."""
+        loaded = []
+        for row in instances.select("path_prefix", "template_id", "config").orderBy("path_prefix").limit(most).collect():
+            try:
+                handler = self.factories[row["template_id"]](json.loads(row["config"] or "{}"))
+                self.registry.register(row["path_prefix"], handler)
+                loaded.append(row["path_prefix"])
+            except (KeyError, TypeError, ValueError) as e:
+                warnings.warn(f"{row['path_prefix']} is left out: {type(e).__name__} {e}", stacklevel=2)
+        return loaded
+
+    def remove(self, template_id: str, instances: DataFrame) -> bool:
+        """Forget a template that no instance uses; whether it was forgotten."""
+        if not instances.filter(F.col("template_id") == template_id).isEmpty():
+            return False
+        return self.factories.pop(template_id, None) is not None
+
+
 class Expiring:
     """A value made anew when older than `seconds`."""
 

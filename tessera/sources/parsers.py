@@ -1,16 +1,17 @@
-"""Binary formats to Markdown, with the standard library only; OCR and PDF text are pluggable."""
+"""Binary formats to Markdown, with the standard library only; OCR, and another PDF reader, are pluggable."""
 
 from __future__ import annotations
 
 import io
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 from xml.etree import ElementTree
 
+from . import binary
+
 SLIDE_TEXT, PAGE_TEXT, IMAGE_SIDE = 50, 100, 800
-MAX_XML = 256 * 1024 * 1024
 
 
 class Ocr(Protocol):
@@ -19,7 +20,7 @@ class Ocr(Protocol):
     def recognise(self, image: bytes) -> str: ...
 
 
-#: Page texts of a PDF; set by the deployment, empty otherwise.
+#: Page texts of a PDF; set by the deployment in place of the reader here.
 PDF_PAGES: Callable[[bytes], list[str]] | None = None
 
 
@@ -28,11 +29,18 @@ def _local(tag: str) -> str:
 
 
 def _xml(z: zipfile.ZipFile, name: str) -> ElementTree.Element:
-    if z.getinfo(name).file_size > MAX_XML:
-        raise ValueError(f"{name} is too large")
     return ElementTree.fromstring(z.read(name))
 
 
+def _elements(z: zipfile.ZipFile, name: str, tag: str) -> Iterator[ElementTree.Element]:
+    """Elements of a tag one by one; what has been read is let go, so the member's size doesn't matter."""
+    with z.open(name) as f:
+        for _, node in ElementTree.iterparse(f):
+            if _local(node.tag) == tag:
+                yield node
+                node.clear()
+
+
 def _text(node: ElementTree.Element) -> str:
     return "".join(x.text or "" for x in node.iter() if _local(x.tag) == "t")
 
@@ -42,19 +50,23 @@ def enough(text: str, least: int) -> bool:
 
 
 def docx(data: bytes, ocr: Ocr | None = None) -> str:
+    if data.startswith(binary.OLE_MAGIC):
+        return "\n\n".join(binary.word_text(data))
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        paragraphs = [_text(p) for p in _xml(z, "word/document.xml").iter() if _local(p.tag) == "p"]
+        paragraphs = [_text(p) for p in _elements(z, "word/document.xml", "p")]
     return "\n\n".join(p for p in paragraphs if p)
 
 
 def xlsx(data: bytes, ocr: Ocr | None = None) -> str:
     """The first sheet, a line per row, cells joined by bars."""
+    if data.startswith(binary.OLE_MAGIC):
+        return "\n".join(" | ".join(row) for row in binary.sheet_rows(data))
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
-        shared = [_text(s) for s in _xml(z, "xl/sharedStrings.xml") if _local(s.tag) == "si"] if "xl/sharedStrings.xml" in names else []
+        shared = [_text(s) for s in _elements(z, "xl/sharedStrings.xml", "si")] if "xl/sharedStrings.xml" in names else []
         first = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
         lines = []
-        for row in (r for r in _xml(z, first).iter() if _local(r.tag) == "row"):
+        for row in _elements(z, first, "row"):
             cells = []
             for c in (c for c in row if _local(c.tag) == "c"):
                 value = next((v.text or "" for v in c if _local(v.tag) == "v"), "")
@@ -65,6 +77,8 @@ def xlsx(data: bytes, ocr: Ocr | None = None) -> str:
 
 
 def pptx(data: bytes, ocr: Ocr | None = None) -> str:
+    if data.startswith(binary.OLE_MAGIC):
+        return "\n\n".join(f"## Slide {k}\n{body}" for k, body in enumerate(binary.slide_texts(data), 1))
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         slides = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
         out = []
@@ -80,12 +94,31 @@ def pptx(data: bytes, ocr: Ocr | None = None) -> str:
 
 
 def pdf(data: bytes, ocr: Ocr | None = None) -> str:
-    pages = PDF_PAGES(data) if PDF_PAGES else []
-    return "\n\n".join(f"## Page {k}\n{p}" for k, p in enumerate(pages, 1))
+    """Pages with their text; where a page has too little and OCR is on, what its images show."""
+    if PDF_PAGES:
+        return "\n\n".join(f"## Page {k}\n{p}" for k, p in enumerate(PDF_PAGES(data), 1))
+    file = binary.Pdf(data)
+    out = []
+    for k, page in enumerate(file.pages(), 1):
+        body = file.text(page)
+        if ocr and not enough(body, PAGE_TEXT):
+            body = "\n".join(filter(None, (ocr.recognise(fit(x)) for x in file.images(page)))) or body
+        out.append(f"## Page {k}\n{body}")
+    return "\n\n".join(out)
 
 
 def image(data: bytes, ocr: Ocr | None = None) -> str:
-    return ocr.recognise(data) if ocr else ""
+    return ocr.recognise(fit(data)) if ocr else ""
+
+
+def fit(data: bytes) -> bytes:
+    """An image brought within IMAGE_SIDE for OCR; formats that aren't decoded here stay as they are."""
+    pixels = binary.png_pixels(data)
+    if pixels is None:
+        return data
+    height, width = pixels.shape[:2]
+    size = fitted(width, height)
+    return data if size == (width, height) else binary.png_of(binary.scaled(pixels, *size))
 
 
 def fitted(width: int, height: int, side: int = IMAGE_SIDE) -> tuple[int, int]:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -35,6 +37,31 @@ def hit_id(url: Column) -> Column:
     return F.xxhash64(url)
 
 
+def fetched(urls: DataFrame, fetch: Callable[[str], tuple[str, str]], attempts: int = 3, delay: float = 1.0) -> DataFrame:
+    """(url, final_url, html, error) of urls (url) by a fetcher (url to final url and page).
+
+    A page is asked for up to `attempts` times with linearly growing delays; a page that fails is empty, its last error a column.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for url in frame["url"]:
+                final, page, error = url, "", None
+                for k in range(1, attempts + 1):
+                    try:
+                        (final, page), error = fetch(url), None
+                        break
+                    except Exception as e:  # the network's failure, kept as a column after the last attempt
+                        error = f"{type(e).__name__}: {e}"[:500]
+                        if k < attempts:
+                            time.sleep(delay * k)
+                out.append((url, final, page, error))
+            yield pd.DataFrame(out, columns=["url", "final_url", "html", "error"])
+
+    return urls.select("url").mapInPandas(run, "url string, final_url string, html string, error string")
+
+
 def results(pages: DataFrame, wanted: int | None = None) -> DataFrame:
     """Result rows (position, title, url, description, date, is_ad) without ads and nulls, first of each url.
 

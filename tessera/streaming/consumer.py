@@ -1,0 +1,50 @@
+"""Workers that take saved documents page by page until none is left."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..operators import catalog
+
+#: A page of saved documents to (file_path, error) of each.
+Handler = Callable[[DataFrame], DataFrame]
+
+
+def attempted(handle: Handler, page: DataFrame, attempts: int = 3, delay: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """handle(page), tried again with linearly growing delays; after the last attempt every document has the error."""
+    for k in range(1, attempts + 1):
+        try:
+            out = handle(page)
+            rows = out.select("file_path", F.col("error").cast("string").alias("error")).collect()  # a page of bounded size
+            return page.sparkSession.createDataFrame(rows, "file_path string, error string")
+        except Exception as e:  # the handler's failure, kept as the documents' error
+            error = f"{type(e).__name__}: {e}"[:500]
+            if k < attempts:
+                sleep(delay * k)
+    return page.select("file_path", F.lit(error).alias("error"))
+
+
+def drain(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], handle: Handler, workers: int = 4, size: int = 10, **retry: object) -> int:
+    """Pages handled until no worker's share of the catalog has a saved document.
+
+    read gives the catalog (id, file_name, file_path, state), write publishes it with the new states.
+    """
+    pages = 0
+    while True:
+        busy = False
+        for worker in range(workers):
+            now = read()
+            page = catalog.worker_page(now, worker, workers, size)
+            if page.isEmpty():
+                continue
+            busy = True
+            outcome = attempted(handle, page, **retry)
+            write(catalog.processed(now, outcome))
+            pages += 1
+        if not busy:
+            return pages

@@ -75,3 +75,39 @@ def test_search_source(spark):
     got = web.results(rows).collect()
     assert [(r.title, r.url, r.description) for r in got] == [("One x", "http://a/1", "d & e"), ("Two", "http://b/2", "")]
     assert web.results(rows, 1).count() == 1
+
+
+def test_pages_are_asked_for_again(spark):
+    def fetch(url):
+        if url == "http://bad":
+            raise OSError("down")
+        return url + "/end", "<p>hi</p>"
+
+    urls = spark.createDataFrame([("http://a",), ("http://bad",)], "url string")
+    got = {r.url: r for r in web.fetched(urls, fetch, delay=0.0).collect()}
+    assert (got["http://a"].final_url, got["http://a"].html, got["http://a"].error) == ("http://a/end", "<p>hi</p>", None)
+    assert got["http://bad"].html == "" and "down" in got["http://bad"].error
+
+
+def test_log_numbers_over_many_splits(spark, tmp_path):
+    (tmp_path / "big.log").write_text("".join(f"line {i}\r\n" for i in range(1, 2001)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = files.log_lines(spark, str(tmp_path / "big.log"))
+        assert lines.rdd.getNumPartitions() > 2
+        assert all(r.line == f"line {r.number}" for r in lines.collect()) and lines.count() == 2000
+        assert [r.line for r in files.log_tail(lines, 2).collect()] == ["line 1999", "line 2000"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_only_wanted_files_are_opened(spark, tmp_path):
+    for k in range(4):
+        (tmp_path / f"f{k} [x].md").write_text(f"text {k}")
+    listed = files.readable(files.listing(spark, str(tmp_path)))
+    wanted = listed.filter("path LIKE 'f1%' OR path LIKE 'f3%'")
+    for by_name in (10, 1):
+        got = {r.path: bytes(r.content) for r in files.contents(spark, str(tmp_path), wanted, by_name).collect()}
+        assert got == {"f1 [x].md": b"text 1", "f3 [x].md": b"text 3"}
+    assert files.contents(spark, str(tmp_path), wanted.limit(0)).count() == 0
