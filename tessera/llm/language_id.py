@@ -38,8 +38,8 @@ BLANK = 32
 
 
 def reject_below(languages: int) -> float:
-    """A document below this mean probability is rejected by the pipeline's stage: half as much again as a guess."""
-    return min(0.5, 1.5 / max(1, languages))
+    """A document below this mean probability is rejected by the pipeline's stage: little better than a guess among the languages."""
+    return min(0.5, 1.2 / max(1, languages))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
