@@ -8,39 +8,52 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..functions import globs
-from ..operators import index
-from ..operators.tables import Published
+from ..operators import index, search
+from ..operators.tables import Change, Store, Table
 
 EVENT = "seq LONG, op STRING, doc_id LONG, file_path STRING, md5 STRING, modified TIMESTAMP, text STRING"
 CATALOG = "doc_id LONG, file_path STRING, md5 STRING, update_time TIMESTAMP, state STRING, text STRING, batch LONG"
 
 
-def apply_events(catalog: DataFrame, events: DataFrame, batch: int, ignore: list[str]) -> DataFrame:
-    """The catalog after events: the last event of each path decides. Applying a batch again changes nothing."""
+def settled(events: DataFrame, batch: int, ignore: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows to write, paths that change) of events: the last event of each path decides."""
     last = F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("seq")))
     final = events.withColumn("__k", last).filter("__k = 1")
     state = F.when(globs.ignored(F.col("file_path"), ignore), schemas.IGNORED).otherwise(schemas.INDEXED)
     written = final.filter("op <> 'delete'").select("doc_id", "file_path", "md5", F.col("modified").alias("update_time"), state.alias("state"), "text", F.lit(batch).cast("long").alias("batch"))
-    return catalog.join(final.select("file_path"), "file_path", "left_anti").unionByName(written)
+    return written, final.select("file_path")
 
 
 class CatalogStream:
-    """foreachBatch maintenance of a published catalog; each micro-batch is one atomic version."""
+    """foreachBatch maintenance of a catalog and its index: a micro-batch writes what its paths change, visible by one commit.
 
-    def __init__(self, spark: SparkSession, location: str, ignore: list[str] | None = None):
+    A batch that is replayed replaces the same paths by the same rows, so it changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, location: str, ignore: list[str] | None = None, analyzer: search.Analyzer = search.LATIN, buckets: int = index.BUCKETS):
         self.spark = spark
         self.location = location.rstrip("/")
         self.ignore = schemas.IGNORED_BY_DEFAULT if ignore is None else ignore
-        self.catalog = Published(spark, f"{self.location}/catalog")
+        self.store = Store(spark, f"{self.location}/tables", {"catalog": Table(CATALOG, "file_path"), **index.TABLES})
+        self.index = index.TextIndex(spark, self.location, buckets, self.store, analyzer)
 
     def read(self) -> DataFrame:
-        return self.catalog.read(CATALOG)
+        return self.store.read("catalog")
 
     def postings(self) -> DataFrame:
-        return index.postings(self.read().filter(F.col("state") == schemas.INDEXED))
+        return self.index.postings()
 
     def _batch(self, events: DataFrame, number: int) -> None:
-        self.catalog.publish(apply_events(self.read(), events, number, self.ignore))
+        state = self.store.state()
+        events.persist()
+        try:
+            new, paths = settled(events, number, self.ignore)
+            old = self.store.read("catalog", state).join(paths, "file_path", "left_semi").select("doc_id")
+            gone = old.union(new.select("doc_id")).distinct()
+            searchable = new.filter(F.col("state") == schemas.INDEXED)
+            self.store.commit({"catalog": Change(new, paths), **self.index.changes(searchable, gone)}, state)
+        finally:
+            events.unpersist()
 
     def start(self, events: DataFrame, available_now: bool = True, period: str = "5 seconds") -> StreamingQuery:
         writer = events.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.location}/checkpoint")

@@ -26,3 +26,6 @@ def test_catalog_stream(spark, tmp_path):
     stream.start(catalog_stream.file_events(spark, str(source))).awaitTermination()
     assert {(r.file_path, r.md5, r.state) for r in stream.read().collect()} == {("/a.md", "n", "file_indexed"), ("/b.tmp", "m", "ignored")}
     assert {r.term for r in stream.postings().collect()} == {"blue"}
+    assert [r.doc_id for r in stream.index.bm25(["blue"]).collect()] == [1] and stream.index.sized().first().n == 1
+    stream._batch(spark.read.schema(catalog_stream.EVENT).json(str(source / "2.json")), 1)  # replayed
+    assert stream.read().count() == 2 and [r.doc_id for r in stream.index.bm25(["blue"]).collect()] == [1]
