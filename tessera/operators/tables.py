@@ -127,8 +127,8 @@ class Store:
     A commit writes what changed (new rows, and the keys of rows that went) and then one manifest that
     names all parts of all tables. The manifest's number is taken exclusively, so of two writers one
     fails; a writer that fails before it leaves nothing that readers see. Reading unions a table's
-    segments and leaves out rows whose key a later commit removed. A table of more than MERGE parts
-    is written anew by the commit that adds to it.
+    segments and leaves out rows whose key a later commit removed. MERGE segments of a level are merged
+    into one of the next by the commit that completes them, so a row is rewritten once a level.
     """
 
     MERGE = 8
@@ -150,26 +150,36 @@ class Store:
         return json.loads(rows.first()[0])
 
     def state(self) -> tuple[int, dict]:
-        """(number, {table: {"segments": [[path, number]], "gone": [[path, number]]}}) of the newest commit."""
+        """(number, {table: {"segments": [[path, number, level]], "gone": [[path, number]]}}) of the newest commit."""
         found = self._manifests()
         return (found[-1], self._load(found[-1])) if found else (-1, {})
 
     def read(self, name: str, state: tuple[int, dict] | None = None, only: Column | None = None) -> DataFrame:
         """The table's rows; `only` filters its segments, before anything is joined."""
-        table = self.tables[name]
         parts = (state or self.state())[1].get(name, {"segments": [], "gone": []})
-        if not parts["segments"]:
+        return self._rows(self.tables[name], parts["segments"], parts["gone"], only)
+
+    def _rows(self, table: Table, segments: list, removed: list, only: Column | None = None) -> DataFrame:
+        if not segments:
             return self.spark.createDataFrame([], table.schema).select(table.columns)
         one = lambda path: self.spark.read.schema(table.schema).parquet(path)
         filtered = lambda df: df if only is None else df.filter(only)
-        rows = reduce(DataFrame.unionByName, [filtered(one(p)).withColumn("__at", F.lit(at)) for p, at in parts["segments"]])
-        first = min(at for _, at in parts["segments"])
-        gone = [self.spark.read.parquet(p).select(table.key, F.lit(at).alias("__gone")) for p, at in parts["gone"] if at > first]
+        rows = reduce(DataFrame.unionByName, [filtered(one(p)).withColumn("__at", F.lit(at)) for p, at, _ in segments])
+        first = min(at for _, at, _ in segments)
+        gone = [self.spark.read.parquet(p) for p, at in removed if at > first]
         if gone:
             last = reduce(DataFrame.unionByName, gone).groupBy(table.key).agg(F.max("__gone").alias("__gone"))
             rows = rows.join(bounded.broadcast(last), table.key, "left").filter("__gone IS NULL OR __at >= __gone")
         return rows.select(table.columns)
 
+    def _write(self, name: str, rows: DataFrame) -> str:
+        table, path = self.tables[name], f"{self.location}/{name}/rows-{uuid.uuid4().hex}"
+        rows = rows.select(*(F.col(c).cast(kind).alias(c) for c, kind in (x.split(" ", 1) for x in table.schema.split(", "))))
+        if table.cluster:
+            rows = rows.repartition(*map(F.expr, table.cluster)).sortWithinPartitions(*table.partition, *table.order)
+        rows.write.partitionBy(*table.partition).parquet(path)
+        return path
+
     def commit(self, changes: dict[str, Change], state: tuple[int, dict] | None = None) -> int:
         """Make changes visible at once; they were made from `state`, the newest one unless given."""
         number, parts = state or self.state()
@@ -177,29 +187,35 @@ class Store:
         at = number + 1
         for name, change in changes.items():
             table, own = self.tables[name], parts.setdefault(name, {"segments": [], "gone": []})
-            new, gone = change.new, change.gone
-            if change.everything or len(own["segments"]) + len(own["gone"]) >= self.MERGE:
-                if not change.everything:
-                    kept = self.read(name, (number, parts))
-                    kept = kept if gone is None else kept.join(gone.select(table.key), table.key, "left_anti")
-                    new = kept.select(table.columns) if new is None else kept.select(table.columns).unionByName(new.select(table.columns))
-                own["segments"], own["gone"], gone = [], [], None
-            if gone is not None and own["segments"]:
+            if change.everything:
+                own["segments"], own["gone"] = [], []
+            if change.gone is not None and own["segments"]:
                 path = f"{self.location}/{name}/gone-{uuid.uuid4().hex}"
-                gone.select(table.key).distinct().write.parquet(path)
+                change.gone.select(table.key).distinct().withColumn("__gone", F.lit(at)).write.parquet(path)
                 own["gone"].append([path, at])
-            if new is not None:
-                path = f"{self.location}/{name}/rows-{uuid.uuid4().hex}"
-                rows = new.select(*(F.col(c).cast(kind).alias(c) for c, kind in (x.split(" ", 1) for x in table.schema.split(", "))))
-                if table.cluster:
-                    rows = rows.repartition(*map(F.expr, table.cluster)).sortWithinPartitions(*table.partition, *table.order)
-                rows.write.partitionBy(*table.partition).parquet(path)
-                own["segments"].append([path, at])
+            if change.new is not None:
+                own["segments"].append([self._write(name, change.new), at, 0])
+            self._merge(name, own, at)
         if not create_exclusively(self.spark, f"{self.location}/manifest-{at:012d}.json", json.dumps(parts)):
             raise ConcurrentCommit(f"commit {at} was taken by another writer")
         self._forget(at)
         return at
 
+    def _merge(self, name: str, own: dict, at: int) -> None:
+        """Merge levels that are full, and the lists of removed keys; drop those that concern no segment."""
+        table, level = self.tables[name], 0
+        while len(full := [x for x in own["segments"] if x[2] == level]) >= self.MERGE:
+            merged = [self._write(name, self._rows(table, full, own["gone"])), at, level + 1]
+            own["segments"] = [x for x in own["segments"] if x[2] != level] + [merged]
+            level += 1
+        oldest = min((x[1] for x in own["segments"]), default=at)
+        own["gone"] = [x for x in own["gone"] if x[1] > oldest]
+        if len(own["gone"]) >= self.MERGE:
+            path = f"{self.location}/{name}/gone-{uuid.uuid4().hex}"
+            gone = reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p, _ in own["gone"]])
+            gone.groupBy(table.key).agg(F.max("__gone").alias("__gone")).write.parquet(path)
+            own["gone"] = [[path, max(x[1] for x in own["gone"])]]
+
     def _forget(self, newest: int) -> None:
         """Delete manifests but the last two, and the parts that only they named."""
         fs, path = self._fs()
@@ -207,7 +223,7 @@ class Store:
         old = [n for n in found if n < newest - 1]
         if not old:
             return
-        named = lambda n: {p for t in self._load(n).values() for kind in t.values() for p, _ in kind}
+        named = lambda n: {p for t in self._load(n).values() for kind in t.values() for p, *_ in kind}
         alive = set().union(*(named(n) for n in found if n not in old))
         for n in old:
             for p in named(n) - alive:

@@ -184,7 +184,7 @@ def test_index_updates(spark, tmp_path):
     assert c.tick() and idx.bm25(["zebra"]).count() == 49
 
 
-def test_commits_are_whole_and_exclusive(spark, tmp_path):
+def test_commits_are_whole_and_exclusive(spark, tmp_path, monkeypatch):
     make = lambda n: spark.createDataFrame([(n, "x")], "id int, v string")
     store = tables.Store(spark, str(tmp_path / "s"), {k: tables.Table("id INT, v STRING", "id") for k in "ab"})
     start = store.state()
@@ -196,9 +196,16 @@ def test_commits_are_whole_and_exclusive(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         store.commit({"a": tables.Change(make(5)), "b": tables.Change(broken)})
     assert [r.id for r in store.read("a").collect()] == [1]
-    for k in range(12):
-        store.commit({"a": tables.Change(make(k), make(k))})
-    assert sorted(r.id for r in store.read("a").collect()) == list(range(12)) and len(store.state()[1]["a"]["segments"]) <= store.MERGE
+    monkeypatch.setattr(tables.Store, "MERGE", 3)
+    held = {1: "x"}
+    for k in range(14):  # rows come, are replaced, go and come again, over merges of several levels
+        new = spark.createDataFrame([(k, f"v{k}"), (k % 4, f"w{k}")], "id int, v string").dropDuplicates(["id"])
+        gone = spark.createDataFrame([(k,), (k % 4,), (k - 5,)], "id int")
+        held = {i: v for i, v in held.items() if i not in (k, k % 4, k - 5)} | {r.id: r.v for r in new.collect()}
+        store.commit({"a": tables.Change(new, gone)})
+        assert {r.id: r.v for r in store.read("a").collect()} == held and store.read("a").count() == len(held)
+    parts = store.state()[1]["a"]
+    assert len(parts["segments"]) <= 6 and len(parts["gone"]) < 3 and max(x[2] for x in parts["segments"]) == 2
 
 
 def test_stems_and_scripts(spark):
