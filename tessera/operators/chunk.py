@@ -75,22 +75,22 @@ def chunks(docs: DataFrame, max_size: int = MAX_SIZE, id_col: str = "doc_id", te
     return one.unionByName(rows.filter(~short).mapInPandas(run, "doc_id long, ord int, content string"))
 
 
-def batches_of(sizes: Column, cap: int, sep: int = 0, strict: bool = False) -> Column:
-    """Batch numbers of consecutive items by a greedy fold over their sizes.
+def starts_of(sizes: Column, cap: int, sep: int = 0, strict: bool = False) -> Column:
+    """Where batches of consecutive items start, by a greedy fold over their sizes.
 
     An item joins the running batch if the total, with sep between items, stays within cap (below it
     if strict); an item larger than cap is a batch of its own and no batch is empty.
     """
     fits = lambda total: total < cap if strict else total <= cap
-    start = F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("total"), F.array().cast("array<int>").alias("ks"))
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<int>").alias("starts"))
+    items = F.transform(sizes, lambda n, i: F.struct(n.alias("n"), i.alias("i")))
 
-    def step(s: Column, n: Column) -> Column:
-        joined = s["total"] + sep + n
-        same = (s["k"] >= 0) & fits(joined)
-        k = F.when(same, s["k"]).otherwise(s["k"] + 1)
-        return F.struct(k.alias("k"), F.when(same, joined).otherwise(n).cast("long").alias("total"), F.array_append(s["ks"], k).alias("ks"))
+    def step(s: Column, x: Column) -> Column:
+        joined = s["total"] + sep + x["n"]
+        same = (x["i"] > 0) & fits(joined)
+        return F.struct(F.when(same, joined).otherwise(x["n"]).cast("long").alias("total"), F.when(same, s["starts"]).otherwise(F.array_append(s["starts"], x["i"])).alias("starts"))
 
-    return F.aggregate(sizes, start, step, lambda s: s["ks"])
+    return F.aggregate(items, start, step, lambda s: s["starts"])
 
 
 def batches(items: DataFrame, group: str, order: str, size: str, cap: int = BATCH, sep: int = 0, strict: bool = False) -> DataFrame:
@@ -98,9 +98,12 @@ def batches(items: DataFrame, group: str, order: str, size: str, cap: int = BATC
     others = [c for c in items.columns if c != group]
     ordered = F.array_sort(F.collect_list(F.struct(order, size, *(c for c in others if c not in (order, size)))))
     grouped = items.groupBy(group).agg(ordered.alias("rows"))
-    numbered = grouped.withColumn("ks", batches_of(F.transform("rows", lambda r: r[size].cast("long")), cap, sep, strict))
-    flat = numbered.select(group, F.explode(F.arrays_zip("rows", "ks")).alias("x"))
-    return flat.select(group, *(F.col(f"x.rows.{c}").alias(c) for c in others), F.col("x.ks").alias("batch"))
+    numbered = grouped.withColumn("starts", starts_of(F.transform("rows", lambda r: r[size].cast("long")), cap, sep, strict))
+    ends = F.transform("starts", lambda x, k: F.coalesce(F.try_element_at("starts", k + 2), F.size("rows")))
+    cut = F.transform(F.arrays_zip("starts", "ends"), lambda x: F.slice("rows", x["starts"] + 1, x["ends"] - x["starts"]))
+    parts = numbered.withColumn("ends", ends).select(group, F.posexplode(cut).alias("batch", "part"))
+    flat = parts.select(group, "batch", F.explode("part").alias("x"))
+    return flat.select(group, *(F.col(f"x.{c}").alias(c) for c in others), "batch")
 
 
 def prompt(hits: DataFrame, budget: int, documents: int = 10) -> DataFrame:
