@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import threading
 import uuid
 import warnings
 from collections.abc import Callable
@@ -44,6 +45,7 @@ class Engine:
         self.analyzer = analyzer
         self.listeners = list(listeners or [])
         self.jobs = Jobs(spark)
+        self._own = threading.local()  # each thread, a background job's too, clears up after itself
         self.store = Store(spark, self.location, TABLES)
         self.index = index.TextIndex(spark, self.location, buckets, self.store, analyzer)
         self._settings = plugins.Expiring(lambda: self.store.read("settings"), 30)
@@ -66,8 +68,19 @@ class Engine:
         """df written once beside the tables, so that its uses agree and its sources are read once."""
         path = f"{self.location}/_work/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        self._own.__dict__.setdefault("work", []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _clean(self, results: int = 4) -> None:
+        """Delete what was written beside the tables, but for the last few lists of changes, which callers may still read."""
+        work = self._own.__dict__.get("work", [])
+        told = [p for p in work if p.rpartition("/")[2].startswith(("changes-", "deletions-", "ignored-"))][-results:]
+        fs, path = self.store._fs()
+        for p in work:
+            if p not in told:
+                fs.delete(path(p), True)
+        self._own.work = told
+
     def _tell(self, event: str, changes: DataFrame) -> None:
         for listener in self.listeners:
             listener(event, changes)
@@ -134,6 +147,7 @@ class Engine:
             },
             state,
         )
+        self._clean()
         self._tell(AFTER, changes)
         return changes
 
@@ -184,6 +198,7 @@ class Engine:
         self._tell(BEFORE, changes)
         gone = moved.filter(F.col("state") == schemas.IGNORED).select("doc_id")
         self.store.commit({"documents": Change(moved, moved.select("doc_id")), **self._without(state, gone)}, state)
+        self._clean()
         self._tell(AFTER, changes)
         return changes
 
@@ -276,6 +291,7 @@ class Engine:
             order = like.select(F.col("id").alias("task_id"), (F.row_number().over(Window.orderBy(F.desc("similarity"), "id")) - 1).alias("pos"))
             used = facts.hits_by_task(order.select("task_id"), above).select(above.columns)
             self.store.commit({"tasks": Change(self._written(used.join(order, F.col("id") == F.col("task_id"), "left_semi"), "hits"), order.select(F.col("task_id").alias("id")))}, state)
+            self._clean()
             stored = self.facts().select("task_id", "para_id", "fact")
             return STRATEGIES[2], facts.of_similar(stored, self.paragraphs(), self.documents(), order, path).select("para_id", F.col("fact").alias("facts"))
         rows = self._corpus().filter(catalog.under(F.col("file_path"), path)).select("doc_id", "para_id", F.col("text").alias("content"))
@@ -324,6 +340,7 @@ class Engine:
         tasks = self._written(done.select(open_.columns), "tasks")
         replaced = read("facts").join(open_.select(F.col("id").alias("task_id")), "task_id", "left_semi").select("pair") if full else None
         self.store.commit({"facts": Change(fresh, replaced), "tasks": Change(tasks, tasks.select("id"))}, state)
+        self._clean()
 
     def delete_task(self, task_id: int) -> None:
         state = self.store.state()
