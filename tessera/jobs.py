@@ -6,7 +6,7 @@ import threading
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark import InheritableThread
@@ -58,11 +58,12 @@ class Jobs:
             thread.join()
 
     def poll(self, job_id: str) -> Job | None:
+        """The job as it is now; its end is told once."""
         with self._lock:
             job = self._jobs.get(job_id)
             if job is not None and job.status != RUNNING:
                 del self._jobs[job_id]
-            return job
+            return job and replace(job)
 
     def cancel(self, job_id: str) -> bool:
         with self._lock:
