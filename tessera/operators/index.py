@@ -20,6 +20,8 @@ from .tables import Change, Store, Table
 BUCKETS = 64
 #: Files that share a bucket's terms, so that a common term's postings aren't in one.
 SPLITS = 8
+#: Terms that are looked for one by one in a row's tokens.
+FEW = 4
 
 TABLES = {
     "postings": Table("doc_id LONG, term STRING, tf INT, dl INT, positions ARRAY<INT>, bucket INT", "doc_id", ("bucket",), ("bucket", f"pmod(xxhash64(doc_id), {SPLITS})"), ("term", "doc_id")),
@@ -35,7 +37,7 @@ def bucket_of(term: Column, buckets: int) -> Column:
 def postings(docs: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", terms: list[str] | None = None, tokens: Callable[[Column], Column] = tx.tokens) -> DataFrame:
     """(doc_id, term, tf, dl, positions, bucket), of the given terms only or of all.
 
-    Given terms are picked within the row. For all, documents are dealt by id before their tokens are
+    Given terms are picked within the row, more than FEW by one pass over its tokens. For all, documents are dealt by id before their tokens are
     listed, so that gathering positions shuffles texts once and no tokens.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
@@ -45,6 +47,10 @@ def postings(docs: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", te
     if terms is None:
         each = F.posexplode("t").alias("pos", "term")
         grouped = rows.select("doc_id", F.size("t").alias("dl"), each).groupBy("doc_id", "dl", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    elif len(terms) > FEW:
+        placed = F.transform("t", lambda x, k: F.struct(x.alias("term"), k.alias("pos")))
+        picked = rows.select("doc_id", F.size("t").alias("dl"), F.explode(F.filter(placed, lambda p: p["term"].isin(terms))).alias("p"))
+        grouped = picked.groupBy("doc_id", "dl", F.col("p.term").alias("term")).agg(F.array_sort(F.collect_list("p.pos")).alias("positions"))
     else:
         pairs = F.array(*(F.struct(F.lit(t).alias("term"), search.positions_in(F.col("t"), t).alias("positions")) for t in dict.fromkeys(terms)))
         grouped = rows.select("doc_id", F.size("t").alias("dl"), F.explode(F.filter(pairs, lambda x: F.size(x["positions"]) > 0)).alias("p")).select("doc_id", "dl", "p.*")
@@ -83,6 +89,9 @@ class TextIndex:
 
     # -- reading ------------------------------------------------------------------------------
 
+    #: The dictionary may name terms of documents that went.
+    exact_dictionary = False
+
     def postings(self) -> DataFrame:
         return self.store.read("postings")
 

@@ -211,6 +211,9 @@ def top(hits: DataFrame, n: int, id_col: str = "doc_id", by_time: bool = False)
 class Source(Protocol):
     """Postings to search in: an index, or Scan over texts."""
 
+    #: Whether near() gives only terms that documents hold.
+    exact_dictionary: bool
+
     def of_terms(self, terms: list[str]) -> DataFrame: ...
 
     def near(self, term: str, edits: int) -> DataFrame: ...
@@ -223,6 +226,8 @@ class Source(Protocol):
 class Scan:
     """A Source over texts: terms are picked within the rows, at each lookup."""
 
+    exact_dictionary = True
+
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: Analyzer = LATIN):
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         self.analyzer = analyzer
@@ -235,13 +240,11 @@ class Scan:
             return self.docs.sparkSession.createDataFrame([], "doc_id long, term string, tf int, dl int, positions array<int>")
         return index.postings(self.docs, terms=terms, tokens=self.analyzer.column)
 
-    def _distinct(self, keep: Callable[[Column], Column]) -> DataFrame:
-        return self.docs.select("doc_id", F.explode(F.filter(F.array_distinct(self.tokens), keep)).alias("term"))
-
     def near(self, term: str, edits: int) -> DataFrame:
         d = F.levenshtein("term", F.lit(term), edits)
         # lengths that are further apart can't be within the edits
-        rows = self._distinct(lambda x: F.length(x).between(len(term) - edits, len(term) + edits)).select("term").distinct()
+        fits = lambda x: F.length(x).between(len(term) - edits, len(term) + edits)
+        rows = self.docs.select(F.explode(F.array_distinct(F.filter(self.tokens, fits))).alias("term")).distinct()
         return rows.select(d.alias("d"), "term").filter("d >= 0")
 
     def with_prefix(self, prefix: str) -> DataFrame:
@@ -300,12 +303,15 @@ def parsed_fallback(query: str | None, analyzer: Analyzer = LATIN) -> list[Claus
 def expansions(source: Source, term: str, edits: int = EDITS, most: int = EXPANSIONS) -> dict[str, float]:
     """The nearest terms that documents hold, by distance, then name, with 1 - distance / the shorter length."""
     order, found, at = source.near(term, edits).orderBy("d", "term"), {}, 0
+    share = lambda r: max(0.0, 1 - r["d"] / min(len(r["term"]), len(term)))
+    if source.exact_dictionary:
+        return {r["term"]: share(r) for r in order.limit(most).collect()}
     while len(found) < most:
         some = order.offset(at).limit(CANDIDATES).collect()
         held = {r["term"] for r in source.of_terms([r["term"] for r in some]).select("term").distinct().collect()} if some else set()
         for r in some:
             if r["term"] in held and len(found) < most:
-                found[r["term"]] = max(0.0, 1 - r["d"] / min(len(r["term"]), len(term)))
+                found[r["term"]] = share(r)
         if len(some) < CANDIDATES:
             break
         at += CANDIDATES
