@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_mih, exact_dedup, language_id, license_scan, minhash_dedup, mixing, packing, pii, quality_crf, secret_scan
+from . import ann_mih, centroids, chat_format, exact_dedup, language_id, license_scan, minhash_dedup, mixing, packing, pii, prefix_trie, quality_crf, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,9 +23,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         exact_dedup.op8_exact_dedup,
         quality_crf.op9_quality_classifier,
         ann_mih.op10_ann_mih,
+        chat_format.op11_chat_format,
+        prefix_trie.op12_prefix_trie,
+        centroids.op13_centroids,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing_weights": mixing.OP3_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {
+        "op3_mixing_weights": mixing.OP3_SQL,
+        "op8_exact_dedup": exact_dedup.OP8_SQL,
+        "op11_chat_format": chat_format.OP11_SQL,
+        "op12_prefix_trie": prefix_trie.OP12_SQL,
+        "op13_centroids": centroids.OP13_SQL,
+    }
