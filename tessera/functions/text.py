@@ -110,29 +110,72 @@ def dice(a: Column, b: Column) -> Column:
     return F.when(total > 0, F.try_divide(2.0 * shared, total)).otherwise(0.0)
 
 
+def json_values(text: Column) -> Column:
+    """The whole JSON objects and arrays within free text, in order; what is within one is not listed again.
+
+    A bracket automaton folds over the text's pieces: it keeps the places of open brackets, and is aware of strings and
+    escapes within them. Every balanced pair is a candidate; those are taken from the left that parse. A closing
+    bracket of the wrong kind, or a line's end within a string, ends what is open: no JSON goes on there.
+    """
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r'[^"\\{}\[\]\n]+|[\s\S]'), F.lit(0))
+    places, pairs = F.array().cast("array<int>"), F.array().cast("array<struct<start: int, end: int>>")
+    off = F.lit(False)
+    start = F.struct(F.lit(0).alias("at"), places.alias("open"), F.lit("").alias("kinds"), off.alias("quoted"), off.alias("escaped"), pairs.alias("pairs"))
+
+    def step(s: Column, p: Column) -> Column:
+        out = ~s["quoted"]
+        opens, closes = out & p.isin("{", "["), out & p.isin("}", "]")
+        fits = closes & (F.right(s["kinds"], F.lit(1)) == F.when(p == "}", "{").otherwise("["))
+        lost = (closes & ~fits) | (s["quoted"] & (p == "\n"))
+        depth = F.size(s["open"])
+        return F.struct(
+            (s["at"] + F.length(p)).alias("at"),
+            F.when(lost, places).when(opens, F.array_append(s["open"], s["at"])).when(fits, F.slice(s["open"], 1, depth - 1)).otherwise(s["open"]).alias("open"),
+            F.when(lost, "").when(opens, F.concat(s["kinds"], p)).when(fits, F.left(s["kinds"], depth - 1)).otherwise(s["kinds"]).alias("kinds"),
+            F.when(lost, off).when((p == '"') & ~s["escaped"], out & (depth > 0)).otherwise(s["quoted"]).alias("quoted"),
+            (s["quoted"] & ~s["escaped"] & (p == "\\")).alias("escaped"),
+            F.when(fits, F.array_append(s["pairs"], F.struct(F.element_at(s["open"], -1).alias("start"), s["at"].alias("end")))).otherwise(s["pairs"]).alias("pairs"),
+        )
+
+    def take(s: Column, x: Column) -> Column:
+        value = F.substring(text, x["start"] + 1, x["end"] - x["start"] + 1)
+        new = F.struct(x["end"].alias("upto"), F.array_append(s["found"], value).alias("found"))
+        return F.when(x["start"] < s["upto"], s).when(F.try_parse_json(value).isNotNull(), new).otherwise(s)
+
+    none = F.struct(F.lit(-1).alias("upto"), F.array().cast("array<string>").alias("found"))
+    return F.aggregate(F.sort_array(F.aggregate(pieces, start, step)["pairs"]), none, take, lambda s: s["found"])
+
+
+SCALAR = r'(?s)^("([^"\\]|\\.)*"|-?\d[\d.eE+-]*|true|false|null)$'
+
+
+def fenced_json(text: Column) -> Column:
+    """What a ```json block holds, else empty."""
+    return F.regexp_extract(text, r"(?s)```json\s*(.*?)\s*```", 1)
+
+
 def json_candidate(text: Column) -> Column:
-    """JSON within free text: a fenced block, else the text if bracketed, else an array, else an object."""
-    fenced = F.regexp_extract(text, r"(?s)```json\s*(.*?)\s*```", 1)
-    bare = F.trim(text)
-    array = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
-    wrapped = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    valid = lambda c: F.try_parse_json(c).isNotNull() & (c != "")
-    return (
-        F.when(valid(fenced), fenced)
-        .when(bare.rlike(r"(?s)^(\[.*\]|\{.*\})$") & valid(bare), bare)
-        .when(valid(array), array)
-        .when(valid(wrapped), wrapped)
-    )
+    """JSON within free text: the first whole value of a fenced block, else of the text."""
+    fenced = fenced_json(text)
+    scalar = F.when(fenced.rlike(SCALAR) & F.try_parse_json(fenced).isNotNull(), fenced)
+    return F.coalesce(F.get(json_values(fenced), F.lit(0)), scalar, F.get(json_values(text), F.lit(0)))
 
 
 ANSWER = "answer ARRAY<STRUCT<fact: STRING, id: STRING>>"
 
 
 def parsed_facts(response: Column) -> Column:
-    """(fact, id) of a response; unknown keys are ignored, quoted ids are read, unparsable text is empty."""
-    body = json_candidate(response)
-    rows = F.when(F.substring(body, 1, 1) == "[", F.from_json(body, "ARRAY<STRUCT<fact: STRING, id: STRING>>")).otherwise(F.from_json(body, f"STRUCT<{ANSWER}>")["answer"])
-    return F.transform(
-        F.filter(F.coalesce(rows, F.array()), lambda x: x["fact"].isNotNull() & (F.trim(x["fact"]) != "")),
-        lambda x: F.struct(x["fact"].alias("fact"), x["id"].try_cast("long").alias("id")),
-    )
+    """(fact, id) of the first whole value of a response that holds facts, a fenced block before the rest.
+
+    Unknown keys are ignored, quoted ids are read; a response without facts is empty.
+    """
+
+    def facts(body: Column) -> Column:
+        rows = F.when(F.left(body, F.lit(1)) == "[", F.from_json(body, "ARRAY<STRUCT<fact: STRING, id: STRING>>")).otherwise(F.from_json(body, f"STRUCT<{ANSWER}>")["answer"])
+        return F.transform(
+            F.filter(F.coalesce(rows, F.array()), lambda x: x["fact"].isNotNull() & (F.trim(x["fact"]) != "")),
+            lambda x: F.struct(x["fact"].alias("fact"), x["id"].try_cast("long").alias("id")),
+        )
+
+    found = F.filter(F.transform(F.concat(json_values(fenced_json(response)), json_values(response)), facts), lambda x: F.size(x) > 0)
+    return F.coalesce(F.get(found, F.lit(0)), F.array().cast("array<struct<fact: string, id: bigint>>"))

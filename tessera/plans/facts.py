@@ -175,17 +175,24 @@ def chat_cap200(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "props")
-    k = F.col("event_id") % 4
+    k = F.col("event_id") % 9
+    around = lambda before, after="": F.concat(F.lit(before), "props", F.lit(after))
     text = (
-        F.when(k == 0, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\nDone.")))
+        F.when(k == 0, around("Here:\n```json\n", "\n```\nDone."))
         .when(k == 1, F.col("props"))
-        .when(k == 2, F.concat(F.lit("The list is ["), "props", F.lit("] as asked.")))
-        .otherwise(F.concat(F.lit("Value: "), "props", F.lit(" end")))
+        .when(k == 2, around("The list is [", "] as asked."))
+        .when(k == 3, around("Value: ", " end"))
+        .when(k == 4, around("Use ", ' or {"b": 2} here'))
+        .when(k == 5, around("see [1] and ", " ok"))
+        .when(k == 6, around('a } stray { brace "\n[', "] and [3]"))
+        .when(k == 7, around('{"s": "} ] \\" {", "t": [', "]} {}"))
+        .otherwise(around("```json\n", " and more\n``` [2]"))
     )
     return e.select("event_id", tx.json_candidate(text).alias("json"))
 
 
-JSON_SQL = "SELECT event_id, CASE WHEN event_id % 4 = 2 THEN '[' || props || ']' ELSE trim(props) END AS json FROM events"
+JSON_SQL = """SELECT event_id, CASE event_id % 9 WHEN 2 THEN '[' || props || ']' WHEN 5 THEN '[1]' WHEN 6 THEN '[' || props || ']'
+WHEN 7 THEN '{"s": "} ] \\" {", "t": [' || props || ']}' ELSE trim(props) END AS json FROM events"""
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

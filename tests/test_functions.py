@@ -1,3 +1,6 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +41,15 @@ def test_glob_validation():
         (lambda: text.json_candidate(F.lit(' [1, {"a": {}}] ')), '[1, {"a": {}}]'),
         (lambda: text.json_candidate(F.lit('so {"a": {"b": 1}} then')), '{"a": {"b": 1}}'),
         (lambda: text.json_candidate(F.lit("none")), None),
+        (lambda: text.json_candidate(F.lit('Use {"a":1} or {"b":2} here')), '{"a":1}'),
+        (lambda: text.json_candidate(F.lit('see [1] {"answer":[]} ok')), "[1]"),
+        (lambda: text.json_candidate(F.lit('x [a] {"s": "]} \\" {"} y')), '{"s": "]} \\" {"}'),
+        (lambda: text.json_candidate(F.lit('{ open "never\n[1, {"a": [2]}] }')), '[1, {"a": [2]}]'),
+        (lambda: text.json_candidate(F.lit('```json\n{"a": 1} trailing\n``` [2]')), '{"a": 1}'),
+        (lambda: text.json_candidate(F.lit("```json\n42\n``` [2]")), "42"),
+        (lambda: text.json_candidate(F.lit("```json\n42 x\n``` [2]")), "[2]"),
+        (lambda: text.json_candidate(F.lit('{"a": 1')), None),
+        (lambda: text.json_candidate(F.lit(None).cast("string")), None),
         (lambda: text.valid_text(F.lit(" a b\n"), 1), True),
         (lambda: text.valid_text(F.lit(None).cast("string"), 0), False),
     ],
@@ -57,6 +69,40 @@ def test_facts_of_answers(spark):
     assert [[(y.fact, y.id) for y in r.x] for r in got] == [[("f", 7), ("g", None)], [], []]
 
 
+def test_json_values_equal_a_decoder_at_every_place(spark):
+    """Prose with stray brackets; quotes stand in values only."""
+    r = random.Random(6)
+    value = lambda n: r.choice([r.randint(0, 9), "a]}", 'q"[{\\', None, [], {}] + ([[value(n - 1) for _ in range(2)], {"k[": value(n - 1), "é": 1.5}] if n else []))
+    texts = []
+    for _ in range(400):
+        texts.append(r.choice(["", " ", "\n"]).join(r.choice(["say", "🙂", "[", "]", "{", "}", "x: y,", json.dumps([value(2)]), json.dumps({"z": value(2)}, ensure_ascii=False)]) for _ in range(r.randint(0, 7))))
+
+    def decoded(t):
+        out, k = [], 0
+        while k < len(t):
+            if t[k] in "[{":
+                try:
+                    end = json.JSONDecoder().raw_decode(t, k)[1]
+                except ValueError:
+                    end = None
+                if end:
+                    out.append(t[k:end])
+                    k = end
+                    continue
+            k += 1
+        return out
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", text.json_values(F.col("t")).alias("v")).collect()
+    for row in rows:
+        assert row.v == decoded(texts[row.k]), texts[row.k]
+
+
+def test_facts_of_the_value_that_has_some(spark):
+    answers = ['[1] says {"answer": [{"fact": "f", "id": 3}]} and {"answer": [{"fact": "g", "id": 4}]}', '```json\n{"answer": []}\n``` [{"fact": "h", "id": "5"}]', '{"answer": 7} {"other": []}']
+    got = spark.createDataFrame([(a,) for a in answers], "r string").select(text.parsed_facts(F.col("r")).alias("x")).collect()
+    assert [[(y.fact, y.id) for y in r.x] for r in got] == [[("f", 3)], [("h", 5)], []]
+
+
 def test_dice_counts_repeats(spark):
     got = spark.range(1).select(*(text.dice(F.lit(a), F.lit(b)) for a, b in (("aaaa", "aa"), ("night", "nacht"), ("", "x")))).first()
     assert list(got) == [0.5, 0.25, 0.0]
