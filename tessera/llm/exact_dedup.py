@@ -15,7 +15,7 @@ beside the id and the text are carried nowhere and may have any names.
 
 from __future__ import annotations
 
-import re
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,15 +29,26 @@ class DigestIndex:
     """Digests seen so far, bucketed and sorted by digest, at a location that outlives the session.
 
     The location holds generations; the newest complete one (that of `_SUCCESS`, or the first) is read.
+    One writer appends or compacts at a time; readers may be many.
     """
 
     def __init__(self, spark: SparkSession, location: str, buckets: int = 64):
-        self.spark, self.location, self.buckets = spark, location.rstrip("/"), buckets
+        path = spark._jvm.org.apache.hadoop.fs.Path(location)
+        self.spark, self.buckets = spark, buckets
+        self.location = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
         self.generation = max([0, *self._complete()])
+        self._open()
+
+    def _open(self) -> None:
+        """The table of the generation, created unless it exists; it must lie where this index does."""
+        spark, buckets = self.spark, self.buckets
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} ({INDEX_SCHEMA}) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self._path(self.generation)}'"
         )
+        lies = spark.sql(f"DESCRIBE TABLE EXTENDED {self.table}").filter("col_name = 'Location'").first().data_type
+        if lies.rstrip("/").split(":", 1)[-1].lstrip("/") != self._path(self.generation).split(":", 1)[-1].lstrip("/"):
+            raise ValueError(f"{self.table} lies at {lies}, not at {self._path(self.generation)}")
 
     def _path(self, generation: int) -> str:
         return f"{self.location}/generation-{generation:06d}"
@@ -50,9 +61,14 @@ class DigestIndex:
 
     @property
     def table(self) -> str:
-        return f"digest_index_{re.sub(r'[^0-9a-zA-Z]', '_', self.location.rpartition('/')[2])}_{self.generation}"
+        """Named by the whole location: indexes of one base name are tables of their own."""
+        return f"digest_index_{hashlib.sha256(self.location.encode()).hexdigest()[:32]}_{self.generation}"
 
     def read(self) -> DataFrame:
+        newest = max([self.generation, *self._complete()])
+        if newest != self.generation:  # another session compacted
+            self.generation = newest
+            self._open()
         return self.spark.table(self.table)
 
     def fresh(self, groups: DataFrame) -> DataFrame:

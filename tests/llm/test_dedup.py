@@ -62,6 +62,29 @@ def test_index_outlives_a_batch(spark, tmp_path):
     index().drop()
 
 
+def test_indexes_of_one_base_name_are_apart(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (ex.DigestIndex(spark, str(tmp_path / x / "index"), 4) for x in ("one", "two"))
+    ex.exact_dedup(make([(1, "a"), (2, "b")]), one)
+    assert {r.doc_id: r.kept for r in ex.exact_dedup(make([(7, "a")]), two).collect()} == {7: True}
+    assert one.read().count() == 2 and two.read().count() == 1 and one.table != two.table
+    same = ex.DigestIndex(spark, f"file://{tmp_path}/one/index/", 4)
+    assert same.table == one.table and same.read().count() == 2
+    one.compact()
+    assert same.read().count() == 2 and same.generation == 1  # a session that held the generation before
+    for index in (one, two):
+        index.drop()
+
+
+def test_a_table_that_lies_elsewhere_is_refused(spark, tmp_path, monkeypatch):
+    one = ex.DigestIndex(spark, str(tmp_path / "one"), 4)
+    monkeypatch.setattr(ex.DigestIndex, "table", one.table)
+    with pytest.raises(ValueError):
+        ex.DigestIndex(spark, str(tmp_path / "two"), 4)
+    monkeypatch.undo()
+    one.drop()
+
+
 def test_a_batch_run_again_loses_nothing(spark, tmp_path):
     """The result of a batch is lost after the append: the second run decides as the first did."""
     at = str(tmp_path / "digest-index-2")
