@@ -181,6 +181,54 @@ def test_repeated_and_misplaced_passages_break_no_chain(scanner):
     assert [x[1:3] for x in sorted(got, key=lambda x: x[1])] == [(0, len(words(" ".join(mit))) - 1), (len(words(" ".join(mit))) + 50, 2 * len(words(" ".join(mit))) + 49)]
 
 
+def text_of(label, k=0):
+    return [t for l, t in ls.TEMPLATES if l == label][k]
+
+
+def test_kindred_licences_are_told_apart(scanner):
+    lgpl3 = text_of("gpl").replace("General", "Lesser General")
+    notices = {
+        lgpl3: "lgpl", text_of("lgpl"): "lgpl", text_of("agpl"): "agpl", text_of("gpl"): "gpl", text_of("0bsd"): "0bsd", text_of("isc"): "isc", text_of("bsl"): "bsl", text_of("unlicense"): "unlicense",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "cc-by-nd",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc-sa",
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 2.0 Generic License.": "cc-by-nc-nd",
+        "Licensed under CC BY-NC-SA 4.0.": "cc-by,cc-by-nc-sa",
+        "Licensed under the House Public License, version 3": "", "This work is licensed under the House Public License, version 3.": "",
+        "This work is licensed under a Creative Commons Attribution-Sampling 4.0 International License.": "",
+    }
+    for text, want in notices.items():
+        row = scanner.row(f"x y {text} z z".encode())
+        assert [l for l in row[5].split(",") if l not in row[4].split(",") or l in want.split(",")] == want.split(","), text
+    both = scanner.row((text_of("mit") + " and also " + text_of("0bsd")).encode())
+    assert both[5] == "0bsd,mit" and both[6] == 1.0
+
+
+def test_spans_that_stand_do_not_overlap(scanner):
+    r = random.Random(12)
+    texts = [t for _, t in ls.TEMPLATES]
+    for _ in range(30):
+        flat = " ".join(r.choice(texts) if r.random() < 0.5 else " ".join(r.choice(texts).split()[: r.randint(3, 40)]) for _ in range(r.randint(1, 4)))
+        got = scanner.scan(flat.encode())
+        spans = sorted(scanner.standing(got["parts"], got["named"]), key=lambda x: x[1])
+        assert all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
+
+
+def test_parts_are_each_templates_own_matches(scanner):
+    """Whatever matches longer in another template, each template gets the matches it would have alone."""
+    r = random.Random(3)
+    few = [(f"l{k}", " ".join(r.choice("abc") for _ in range(14))) for k in range(4)]
+    own = ls.Scanner(few, {})
+    for _ in range(150):
+        text = " ".join(r.choice("abcx" if r.random() < 0.2 else "abc") for _ in range(40)).encode()
+        parts = own.scan(text)["parts"]
+        for k, t in enumerate(few):
+            alone = ls.Scanner([t], {}).scan(text)["matches"]
+            credited = {(a, b) for a, b, v in parts if any(x == k for x, _ in own.automaton.ends[v])}
+            assert {(a, b) for a, b, _ in alone} <= credited
+            assert all(any(x <= a and b <= y for x, y, _ in alone) for a, b in credited)
+
+
 def test_other_templates(spark):
     rows = spark.createDataFrame([(1, "all rights are reserved by the house of letters")], "doc_id long, text string")
     got = ls.scan_licences(rows, templates=[("own", "rights are reserved by the house")]).collect()
