@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import plugins, schemas
 from .jobs import Jobs
-from .operators import bounded, catalog, chunk, facts, index, search
+from .operators import bounded, catalog, chunk, facts, index, search, words
 from .operators.tables import Change, Store, Table
 from .sources import files
 
@@ -28,6 +28,7 @@ TABLES = {
     "facts": Table("pair STRING, task_id LONG, doc_id LONG, para_id LONG, seq INT, fact STRING", "pair"),
     "tasks": Table(schemas.TASK, "id"),
     "settings": Table("config_key STRING, config_value STRING, at LONG", "config_key"),
+    "words": Table("word STRING, n DOUBLE", "word"),
     **index.TABLES,
 }
 
@@ -42,14 +43,29 @@ class Engine:
         self.spark = spark
         self.location = location.rstrip("/")
         self.model = model
-        self.analyzer = analyzer
         self.listeners = list(listeners or [])
         self.jobs = Jobs(spark)
         self._own = threading.local()  # each thread, a background job's too, clears up after itself
         self.store = Store(spark, self.location, TABLES)
+        if analyzer is search.STEMMED:  # an index by learned words is read by them
+            analyzer = search.segmented({r.word: r.n for r in self.store.read("words").limit(words.VOCABULARY).collect()})
         self.index = index.TextIndex(spark, self.location, buckets, self.store, analyzer)
         self._settings = plugins.Expiring(lambda: self.store.read("settings"), 30)
 
+    @property
+    def analyzer(self) -> search.Analyzer:
+        return self.index.analyzer
+
+    def learn_words(self, **options: float) -> int:
+        """Learn the words of scripts without blanks from all paragraphs (words.learn) and index anew by them, in one commit; their number."""
+        state = self.store.state()
+        para = self.store.read("paragraphs", state)
+        known = words.learn(para, "content", **options)
+        self.index.use(search.segmented(known))
+        rows = self.spark.createDataFrame(list(known.items()), TABLES["words"].schema)
+        self.store.commit({"words": Change(rows, everything=True), **self.index.changes(para, None, "para_id", "content", everything=True)}, state)
+        return len(known)
+
     def documents(self) -> DataFrame:
         return self.store.read("documents")
 
@@ -232,13 +248,13 @@ class Engine:
         first = self._placed(self.index.strategy(q), q)
         by_time = q.last_n_days > 0
         best = search.top(first, q.top_n, "para_id", by_time).withColumn("part", F.lit(0)).drop("rank")
-        words = q.terms(self.analyzer)
+        terms = q.terms(self.analyzer)
         if q.original and best.count() < q.top_n:
             second = self._placed(self.index.fallback(q.original), q)
             best = search.top_up(first, second, q.top_n, "para_id").join(second.select("para_id", "file_path", "create_time").union(first.select("para_id", "file_path", "create_time")).distinct(), "para_id")
         hits = self.paragraphs().select("para_id", F.col("content").alias("text")).join(F.broadcast(best), "para_id")  # top_n rows
         order = [F.desc("create_time"), F.col("para_id")] if by_time else [F.col("part"), F.desc("score"), F.col("para_id")]
-        marked = list(dict.fromkeys([*words, *search.analyze(q.original)]))
+        marked = list(dict.fromkeys([*terms, *search.analyze(q.original)]))
         shown = search.snippets(hits, marked) if marked else hits.withColumn("snippet", F.lit(""))
         name = F.regexp_extract("file_path", r"([^/]*)$", 1)
         return shown.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "para_id", "score", name.alias("title"), "snippet", F.col("file_path").alias("url"))

@@ -1,19 +1,26 @@
-"""Text analysis beyond Latin runs: stems of English words, and two-character terms of scripts without blanks.
+"""Text analysis beyond Latin runs: stems of English words, and words of scripts without blanks.
 
-One Python function serves queries and, in Arrow batches with a cache of words, columns of documents.
+Those words are cut by a dictionary learned from the corpus (operators/words.py); without one, all pairs of
+neighbouring characters are terms. One Python function serves queries and, in Arrow batches with a cache of words and runs,
+columns of documents.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A run of Latin letters and digits, or of Han, kana or Hangul.
-RUN = re.compile(r"[a-z0-9à-ÿœ]+|[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]+")
+from .segmentation import Segmenter
+
+#: Han, kana and Hangul.
+IDEOGRAPHS = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af"
+#: A run of Latin letters and digits, or of characters of a script without blanks.
+RUN = re.compile(f"[a-z0-9à-ÿœ]+|[{IDEOGRAPHS}]+")
 
 # Suffixes of Porter's published algorithm, by step, with what they become.
 STEP_2 = {
@@ -90,24 +97,34 @@ def stem(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
 
 
-def analyze(text: str | None) -> list[str]:
-    """Terms of a text in order."""
+def pairs(run: str) -> list[str]:
+    """All pairs of neighbouring characters."""
+    return [run] if len(run) == 1 else [run[k : k + 2] for k in range(len(run) - 1)]
+
+
+def analyze(text: str | None, cut: Callable[[str], list[str]] = pairs) -> list[str]:
+    """Terms of a text in order; cut gives those of a run without blanks."""
     out: list[str] = []
     for run in RUN.findall((text or "").lower()):
         if run[0] < "\u3040":
             out.append(stem(run))
-        elif len(run) == 1:
-            out.append(run)
         else:
-            out += [run[k : k + 2] for k in range(len(run) - 1)]
+            out += cut(run)
     return out
 
 
-def tokens(text: Column) -> Column:
+def cutter(words: dict[str, float] | None) -> Callable[[str], list[str]]:
+    """How runs without blanks are cut: by the dictionary, with a cache, or into pairs."""
+    return lru_cache(maxsize=100_000)(Segmenter(words).best) if words else pairs
+
+
+def tokens(text: Column, words: dict[str, float] | None = None) -> Column:
     """analyze() over a column."""
 
     @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(analyze)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cut = cutter(words)
+        for texts in batches:
+            yield texts.map(lambda t: analyze(t, cut))
 
     return run(text)

@@ -1,8 +1,13 @@
-"""The inverted index as tables: postings bucketed by term, document lengths and a term dictionary.
+"""The inverted index as tables: postings bucketed by term, document lengths, a term dictionary and its neighbourhoods.
 
 A query reads its terms' buckets and joins nothing but the keys of documents that went. An update adds
 a segment for the documents it touches and takes effect at one commit, alone (TextIndex.update) or with
-the other tables of a store (TextIndex.changes).
+the other tables of a store (TextIndex.changes). Texts are tokenised once: lengths, terms and neighbourhoods are taken
+from the postings as written.
+
+Terms near a term are looked up by keys, not by comparing with the dictionary. Two terms within EDITS edits share what is
+left of both after at most as many deletions, so a term of up to SHORT characters is kept under all of these; of a longer one, cut into
+EDITS + 1 pieces, some piece stands unchanged in the other, moved by at most EDITS places, so it is kept under its pieces.
 """
 
 from __future__ import annotations
@@ -10,6 +15,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +24,22 @@ from . import search
 from .tables import Change, Store, Table
 
 BUCKETS = 64
-#: Files that share a bucket's terms, so that a common term's postings aren't in one.
-SPLITS = 8
 #: Terms that are looked for one by one in a row's tokens.
 FEW = 4
+#: Longest term that is kept under what deletions leave of it.
+SHORT = 12
+EDITS = search.EDITS
+
+
+def summed(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
 
 TABLES = {
-    "postings": Table("doc_id LONG, term STRING, tf INT, dl INT, positions ARRAY<INT>, bucket INT", "doc_id", ("bucket",), ("bucket", f"pmod(xxhash64(doc_id), {SPLITS})"), ("term", "doc_id")),
+    "postings": Table("doc_id LONG, term STRING, tf INT, dl INT, positions ARRAY<INT>, bucket INT", "doc_id", ("bucket",), ("bucket", "pmod(xxhash64(doc_id), {splits})"), ("term", "doc_id"), parts=BUCKETS),
     "lengths": Table("doc_id LONG, dl INT", "doc_id"),
-    "terms": Table("term STRING", "term"),
+    "terms": Table("term STRING, df LONG, tf LONG", "term", merged=summed),
+    "neighbours": Table("key STRING, term STRING, bucket INT", "term", ("bucket",), ("bucket", "pmod(xxhash64(key), {splits})"), ("key",), merged=DataFrame.distinct, parts=BUCKETS),
 }
 
 
@@ -34,6 +47,12 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def bucket_number(value: str, buckets: int) -> int:
+    """bucket_of() a constant, without a job: XXH64 with Spark's seed, as a signed number."""
+    unsigned = xxhash.xxh64_intdigest(value.encode(), seed=42)
+    return (unsigned - (1 << 64) if unsigned >> 63 else unsigned) % buckets
+
+
 def postings(docs: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", terms: list[str] | None = None, tokens: Callable[[Column], Column] = tx.tokens) -> DataFrame:
     """(doc_id, term, tf, dl, positions, bucket), of the given terms only or of all.
 
@@ -57,14 +76,50 @@ def postings(docs: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", te
     return grouped.select("doc_id", "term", F.size("positions").alias("tf"), "dl", "positions", bucket_of(F.col("term"), buckets).alias("bucket"))
 
 
+def _deleted(term: Column) -> Column:
+    """What deleting one character of a term leaves, an array."""
+    return F.transform(F.sequence(F.lit(1), F.length(term)), lambda i: F.concat(F.left(term, i - 1), F.substring(term, i + 1, F.length(term))))
+
+
+def keys_of(term: Column) -> Column:
+    """The keys that a term is kept under."""
+    left = shorter = F.array(term)
+    for _ in range(EDITS):
+        shorter = F.array_distinct(F.flatten(F.transform(F.filter(shorter, lambda x: F.length(x) > 0), _deleted)))
+        left = F.concat(left, shorter)
+    cut = lambda k: F.floor(F.length(term) * k / (EDITS + 1)).cast("int")
+    pieces = F.array(*(F.concat(F.lit(f"{k}:"), F.length(term).cast("string"), F.lit(":"), F.substring(term, cut(k) + 1, cut(k + 1) - cut(k))) for k in range(EDITS + 1)))
+    return F.when(F.length(term) <= SHORT, F.transform(F.array_distinct(left), lambda x: F.concat(F.lit(":"), x))).otherwise(pieces)
+
+
+def keys_near(term: str) -> set[str]:
+    """The keys under which all terms within EDITS edits of a term are kept."""
+    n, out = len(term), set()
+    if n - EDITS <= SHORT:
+        left = {term}
+        out |= {":" + term}
+        for _ in range(EDITS):
+            left = {x[:i] + x[i + 1 :] for x in left for i in range(len(x))}
+            out |= {":" + x for x in left}
+    for size in range(max(SHORT + 1, n - EDITS), n + EDITS + 1):
+        for k in range(EDITS + 1):
+            start, end = size * k // (EDITS + 1), size * (k + 1) // (EDITS + 1)
+            for at in range(max(0, start - EDITS), min(n - (end - start), start + EDITS) + 1):
+                out.add(f"{k}:{size}:{term[at : at + end - start]}")
+    return out
+
+
 class TextIndex:
-    """postings, lengths and terms of documents, in a store of their own or of their owner."""
+    """postings, lengths, terms and neighbours of documents, in a store of their own or of their owner."""
 
     def __init__(self, spark: SparkSession, location: str, buckets: int = BUCKETS, store: Store | None = None, analyzer: search.Analyzer = search.LATIN):
-        self.spark, self.buckets, self.analyzer = spark, buckets, analyzer
-        self.tokens = analyzer.column
+        self.spark, self.buckets = spark, buckets
+        self.use(analyzer)
         self.store = store or Store(spark, location, TABLES)
 
+    def use(self, analyzer: search.Analyzer) -> None:
+        self.analyzer, self.tokens = analyzer, analyzer.column
+
     # -- writing ------------------------------------------------------------------------------
 
     def changes(self, docs: DataFrame | None, gone: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", everything: bool = False) -> dict[str, Change]:
@@ -72,10 +127,20 @@ class TextIndex:
         if docs is None:
             return {name: Change(None, gone, everything) for name in ("postings", "lengths")}
         rows = postings(docs, self.buckets, id_col, text_col, tokens=self.tokens)
-        lengths = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(self.tokens(F.col(text_col))).alias("dl"))
-        # one row a term: the dictionary that fuzzy and prefix terms are looked up in
-        terms = docs.select(F.explode(F.array_distinct(self.tokens(F.col(text_col)))).alias("term")).distinct()
-        return {"postings": Change(rows, gone, everything), "lengths": Change(lengths, gone, everything), "terms": Change(terms, None, everything)}
+        ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+
+        def lengths(written: dict[str, DataFrame]) -> DataFrame:
+            held = written["postings"].groupBy("doc_id").agg(F.max("dl").alias("dl"))
+            return ids.join(held, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+
+        def terms(written: dict[str, DataFrame]) -> DataFrame:
+            return written["postings"].groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+        def neighbours(written: dict[str, DataFrame]) -> DataFrame:
+            keys = written["terms"].select("term", F.explode(keys_of(F.col("term"))).alias("key"))
+            return keys.select("key", "term", bucket_of(F.col("key"), self.buckets).alias("bucket"))
+
+        return {"postings": Change(rows, gone, everything), "lengths": Change(lengths, gone, everything), "terms": Change(terms, None, everything), "neighbours": Change(neighbours, None, everything)}
 
     def build(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         self.store.commit(self.changes(docs, None, id_col, text_col, everything=True))
@@ -99,13 +164,19 @@ class TextIndex:
         """Postings of the terms: their partitions only, terms pushed to the scan."""
         if not terms:
             return self.postings().limit(0)
-        at = self.spark.range(1).select(*(bucket_of(F.lit(t), self.buckets) for t in terms)).first()
-        return self.store.read("postings", only=F.col("bucket").isin(*set(at)) & F.col("term").isin(terms))
+        return self.store.read("postings", only=self._within("term", terms))
+
+    def _within(self, column: str, values: list[str]) -> Column:
+        """The rows of some values, in the buckets that hold them only."""
+        at = {bucket_number(v, self.buckets) for v in values}
+        return F.col("bucket").isin(*at) & F.col(column).isin(values)
 
     def near(self, term: str, edits: int) -> DataFrame:
-        """(d, term) of the dictionary's terms within some edits of a term; some may be of documents that went."""
+        """(d, term) of the dictionary's terms within some edits (at most EDITS) of a term, looked up by their shared keys; some may be of documents that went."""
+        if not 0 <= edits <= EDITS:
+            raise ValueError(f"terms are kept for up to {EDITS} edits")
         d = F.levenshtein("term", F.lit(term), edits)
-        return self.store.read("terms", only=d >= 0).distinct().select(d.alias("d"), "term")
+        return self.store.read("neighbours", only=self._within("key", sorted(keys_near(term)))).select("term").distinct().select(d.alias("d"), "term").filter("d >= 0")
 
     def with_prefix(self, prefix: str) -> DataFrame:
         """(doc_id) of documents that hold a term with the prefix."""
@@ -144,8 +215,13 @@ class TextIndex:
         return search.fallback(self, query, self.analyzer)
 
     def statistics(self) -> DataFrame:
-        t = self.postings().groupBy("term").agg(F.sum("tf").alias("tf")).agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("tf"), F.lit(0)).alias("total_tf"))
-        return self.store.read("lengths").agg(F.count(F.lit(1)).alias("documents")).join(F.broadcast(t))  # one row
+        """One row: documents, terms, total_tf; by the dictionary's counts as long as nothing was removed."""
+        state = self.store.state()
+        counts = self.store.read("terms", state).select("term", "tf")
+        if state[1].get("postings", {}).get("gone"):
+            counts = self.store.read("postings", state).select("term", "tf")
+        t = counts.groupBy("term").agg(F.sum("tf").alias("tf")).agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("tf"), F.lit(0)).alias("total_tf"))
+        return self.store.read("lengths", state).agg(F.count(F.lit(1)).alias("documents")).join(F.broadcast(t))  # one row
 
 
 class Committer:

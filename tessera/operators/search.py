@@ -65,6 +65,14 @@ LATIN = Analyzer(tx.tokens, analyze)
 STEMMED = Analyzer(analysis.tokens, analysis.analyze)
 
 
+def segmented(words: dict[str, float]) -> Analyzer:
+    """Stems, and words of scripts without blanks by a learned dictionary (operators/words.py)."""
+    if not words:
+        return STEMMED
+    cut = analysis.cutter(words)
+    return Analyzer(lambda text: analysis.tokens(text, words), lambda text: analysis.analyze(text, cut))
+
+
 def rewrite(question: str, analyzer: Analyzer = LATIN, known_stop: frozenset[str] = frozenset("a an and are for in is of on or the to what when where who why how with".split())) -> SearchQuery:
     """The offline query rewriter: quoted parts are exact, other terms required unless very common."""
     exact = tuple(x.strip() for x in re.findall(r'"([^"]+)"', question) if x.strip())

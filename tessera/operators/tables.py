@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -100,9 +102,12 @@ def create_exclusively(spark: SparkSession, path: str, content: str) -> bool:
 
 @dataclass
 class Change:
-    """What a commit does to a table: rows whose key is in `gone` go, then `new` ones come; `everything` replaces all."""
+    """What a commit does to a table: rows whose key is in `gone` go, then `new` ones come; `everything` replaces all.
 
-    new: DataFrame | None = None
+    new may be a function of the new rows, as written, of the tables that the commit names before this one.
+    """
+
+    new: DataFrame | Callable[[dict[str, DataFrame]], DataFrame] | None = None
     gone: DataFrame | None = None
     everything: bool = False
 
@@ -112,9 +117,13 @@ class Table:
     schema: str
     key: str
     partition: tuple[str, ...] = ()
-    #: Expressions that rows are dealt to files by, and columns that they are sorted by.
+    #: Expressions that rows are dealt to files by ({splits}: as many as the session's shuffle partitions give each value of the partition), and columns that they are sorted by.
     cluster: tuple[str, ...] = ()
     order: tuple[str, ...] = ()
+    #: What becomes of rows when segments are merged, e.g. of those that several hold.
+    merged: Callable[[DataFrame], DataFrame] = lambda rows: rows
+    #: Values that the partition's columns have, about.
+    parts: int = 1
     columns: list[str] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -129,12 +138,16 @@ class Store:
     fails; a writer that fails before it leaves nothing that readers see. Reading unions a table's
     segments and leaves out rows whose key a later commit removed. MERGE segments of a level are merged
     into one of the next by the commit that completes them, so a row is rewritten once a level.
+
+    A state that was superseded stays readable for `keep` seconds, which must be longer than the longest query.
     """
 
     MERGE = 8
+    #: Files of a table's partition at least; more where the session has more shuffle partitions.
+    SPLITS = 8
 
-    def __init__(self, spark: SparkSession, location: str, tables: dict[str, Table]):
-        self.spark, self.location, self.tables = spark, location.rstrip("/"), tables
+    def __init__(self, spark: SparkSession, location: str, tables: dict[str, Table], keep: float = 24 * 3600):
+        self.spark, self.location, self.tables, self.keep = spark, location.rstrip("/"), tables, keep
 
     def _fs(self):  # noqa: ANN202
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -146,8 +159,12 @@ class Store:
         return sorted(int(x.getPath().getName()[9:-5]) for x in found)
 
     def _load(self, number: int) -> dict:
-        rows = self.spark.read.text(f"{self.location}/manifest-{number:012d}.json", wholetext=True)
-        return json.loads(rows.first()[0])
+        fs, path = self._fs()
+        source = fs.open(path(f"{self.location}/manifest-{number:012d}.json"))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        finally:
+            source.close()
 
     def state(self) -> tuple[int, dict]:
         """(number, {table: {"segments": [[path, number, level]], "gone": [[path, number]]}}) of the newest commit."""
@@ -176,15 +193,20 @@ class Store:
         table, path = self.tables[name], f"{self.location}/{name}/rows-{uuid.uuid4().hex}"
         rows = rows.select(*(F.col(c).cast(kind).alias(c) for c, kind in (x.split(" ", 1) for x in table.schema.split(", "))))
         if table.cluster:
-            rows = rows.repartition(*map(F.expr, table.cluster)).sortWithinPartitions(*table.partition, *table.order)
+            by = [F.expr(x.format(splits=self._splits(table))) for x in table.cluster]
+            rows = rows.repartition(*by).sortWithinPartitions(*table.partition, *table.order)
         rows.write.partitionBy(*table.partition).parquet(path)
         return path
 
+    def _splits(self, table: Table) -> int:
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(self.SPLITS, -(-tasks // max(1, table.parts)))
+
     def commit(self, changes: dict[str, Change], state: tuple[int, dict] | None = None) -> int:
         """Make changes visible at once; they were made from `state`, the newest one unless given."""
         number, parts = state or self.state()
         parts = {k: {"segments": list(v["segments"]), "gone": list(v["gone"])} for k, v in parts.items()}
-        at = number + 1
+        at, written, made = number + 1, {}, []
         for name, change in changes.items():
             table, own = self.tables[name], parts.setdefault(name, {"segments": [], "gone": []})
             if change.everything:
@@ -194,10 +216,17 @@ class Store:
                 change.gone.select(table.key).distinct().withColumn("__gone", F.lit(at)).write.parquet(path)
                 own["gone"].append([path, at])
             if change.new is not None:
-                own["segments"].append([self._write(name, change.new), at, 0])
+                path = self._write(name, change.new(written) if callable(change.new) else change.new)
+                written[name] = self.spark.read.schema(table.schema).parquet(path)
+                made.append(path)
+                own["segments"].append([path, at, 0])
             self._merge(name, own, at)
         if not create_exclusively(self.spark, f"{self.location}/manifest-{at:012d}.json", json.dumps(parts)):
             raise ConcurrentCommit(f"commit {at} was taken by another writer")
+        named = {p for t in parts.values() for kind in t.values() for p, *_ in kind}
+        fs, path = self._fs()
+        for p in set(made) - named:  # merged by the commit that wrote it
+            fs.delete(path(p), True)
         self._forget(at)
         return at
 
@@ -205,7 +234,7 @@ class Store:
         """Merge levels that are full, and the lists of removed keys; drop those that concern no segment."""
         table, level = self.tables[name], 0
         while len(full := [x for x in own["segments"] if x[2] == level]) >= self.MERGE:
-            merged = [self._write(name, self._rows(table, full, own["gone"])), at, level + 1]
+            merged = [self._write(name, table.merged(self._rows(table, full, own["gone"]))), at, level + 1]
             own["segments"] = [x for x in own["segments"] if x[2] != level] + [merged]
             level += 1
         oldest = min((x[1] for x in own["segments"]), default=at)
@@ -217,10 +246,16 @@ class Store:
             own["gone"] = [[path, max(x[1] for x in own["gone"])]]
 
     def _forget(self, newest: int) -> None:
-        """Delete manifests but the last two, and the parts that only they named."""
+        """Delete manifests that were superseded `keep` seconds ago or more, but for the last two, and the parts that only they named."""
         fs, path = self._fs()
+        name = lambda n: path(f"{self.location}/manifest-{n:012d}.json")
         found = self._manifests()
-        old = [n for n in found if n < newest - 1]
+        old = []
+        for n, after in zip(found, found[1:]):
+            # a manifest is superseded when the next one is written; later ones are younger still
+            if n >= newest - 1 or time.time() - fs.getFileStatus(name(after)).getModificationTime() / 1000 < self.keep:
+                break
+            old.append(n)
         if not old:
             return
         named = lambda n: {p for t in self._load(n).values() for kind in t.values() for p, *_ in kind}
@@ -228,7 +263,7 @@ class Store:
         for n in old:
             for p in named(n) - alive:
                 fs.delete(path(p), True)
-            fs.delete(path(f"{self.location}/manifest-{n:012d}.json"), False)
+            fs.delete(name(n), False)
 
 
 class Published:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import index, search
+from ..functions import segmentation
+from ..operators import index, search, words
 from .base import C, corpus, docs, rounded, scratch, table, tokens_sql, values, values_sql
 
 TERMS = ["license", "apache", "version"]
@@ -189,6 +190,32 @@ def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATISTICS_SQL = f"""WITH e AS (SELECT unnest({tokens_sql('text')}) AS term FROM documents)
 SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT term) AS terms, count(*) AS total_tf FROM e"""
 
+STEMS = "licensed releases rights"
+
+
+def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking by stems: any form of the query's words."""
+    own = index.TextIndex(spark, scratch(spark, "text-index"), 16, analyzer=search.STEMMED)
+    own.build(docs(spark, sf_dir).select("doc_id", "text"))
+    return rounded(own.bm25(search.STEMMED.query(STEMS)), "score", places=5)
+
+
+#: The forms of the query's words that have their stems.
+FORMS = ["licens(e|es|ed|ing|er|ers|able)?", "releas(e|es|ed|ing|er|ers|able)?", "right(s|ed|ing|er|ers|ful|fully)?"]
+_FORM_TF = ", ".join(f"len(list_filter(tk, lambda x: regexp_full_match(x, '{f}'))) AS tf{k}" for k, f in enumerate(FORMS))
+STEMMED_SQL = f"""WITH t AS (SELECT doc_id, {tokens_sql('text')} AS tk FROM documents), s AS (SELECT doc_id, len(tk) AS dl, {_FORM_TF} FROM t),
+g AS (SELECT count(*) AS n, greatest(avg(dl), 1e-9) AS avgdl, {', '.join(f'count(*) FILTER (tf{k} > 0) AS df{k}' for k in range(3))} FROM s),
+h AS (SELECT doc_id, {score_sql([0, 1, 2])} AS score FROM s, g) SELECT doc_id, round(score, 5) AS score FROM h WHERE score > 0"""
+
+
+def segmented_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of conversations without their blanks, cut into words by a dictionary learned from them."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(F.lower("text"), "[^a-zà-ÿœ.,
+]", "").alias("text"))
+    known = words.learn(rows, pattern="[a-zà-ÿœ]+", longest=6, least=8)
+    return rows.select("conv_id", "turn", segmentation.cut(F.col("text"), known, "[a-zà-ÿœ]+").alias("terms"))
+
+
 IDS = [44, 7, 99999999, 3, 21, 7]
 
 
@@ -265,6 +292,8 @@ QUERIES = {
     "search_topup_dedup": (search_topup_dedup, TOPUP_SQL),
     "snippet_highlight": (snippet_highlight, SNIPPET_SQL),
     "index_statistics": (index_statistics, STATISTICS_SQL),
+    "stemmed_search": (stemmed_search, STEMMED_SQL),
+    "segmented_terms": (segmented_terms, None),
     "rerank_order": (rerank_order, RERANK_SQL),
     "multi_query_quota": (multi_query_quota, QUOTA_SQL),
     "dedup_url_first": (dedup_url_first, FIRST_SQL),
