@@ -210,8 +210,7 @@ h AS (SELECT doc_id, {score_sql([0, 1, 2])} AS score FROM s, g) SELECT doc_id, r
 
 def segmented_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of conversations without their blanks, cut into words by a dictionary learned from them."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(F.lower("text"), "[^a-zà-ÿœ.,
-]", "").alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(F.lower("text"), r"[^a-zà-ÿœ.,\n]", "").alias("text"))
     known = words.learn(rows, pattern="[a-zà-ÿœ]+", longest=6, least=8)
     return rows.select("conv_id", "turn", segmentation.cut(F.col("text"), known, "[a-zà-ÿœ]+").alias("terms"))
 
