@@ -24,9 +24,12 @@ BEFORE, AFTER = "before_change", "after_change"
 
 TABLES = {
     "documents": Table("doc_id LONG, file_path STRING, md5 STRING, update_time TIMESTAMP, create_time TIMESTAMP, state STRING", "doc_id"),
-    "paragraphs": Table("para_id LONG, doc_id LONG, ord INT, content STRING", "doc_id"),
+    "paragraphs": Table("para_id LONG, doc_id LONG, ord INT, content STRING, bucket INT", "doc_id", ("bucket",), ("bucket", "pmod(xxhash64(doc_id), {splits})"), ("doc_id", "ord"), parts=index.BUCKETS),
     "facts": Table("pair STRING, task_id LONG, doc_id LONG, para_id LONG, seq INT, fact STRING", "pair"),
     "tasks": Table(schemas.TASK, "id"),
+    #: Buckets of documents whose facts a task has, and the calls that were made for them.
+    "progress": Table("step STRING, task_id LONG, bucket INT", "step"),
+    "calls": Table("task_id LONG, bucket INT, g INT, batch INT, cost LONG, attempts INT, error STRING, question STRING", "task_id"),
     "settings": Table("config_key STRING, config_value STRING, at LONG", "config_key"),
     "words": Table("word STRING, n DOUBLE", "word"),
     **index.TABLES,
@@ -66,6 +69,10 @@ class Engine:
         self.store.commit({"words": Change(rows, everything=True), **self.index.changes(para, None, "para_id", "content", everything=True)}, state)
         return len(known)
 
+    def bucket(self, doc_id: str = "doc_id") -> Column:
+        """The bucket of a document: what a refresh works on at a time."""
+        return F.pmod(F.xxhash64(doc_id), F.lit(self.index.buckets)).cast("int")
+
     def documents(self) -> DataFrame:
         return self.store.read("documents")
 
@@ -90,7 +97,7 @@ class Engine:
     def _clean(self, results: int = 4) -> None:
         """Delete what was written beside the tables, but for the last few lists of changes, which callers may still read."""
         work = self._own.__dict__.get("work", [])
-        told = [p for p in work if p.rpartition("/")[2].startswith(("changes-", "deletions-", "ignored-"))][-results:]
+        told = [p for p in work if p.rpartition("/")[2].startswith(("changes-", "deletions-", "ignored-", "result-"))][-results:]
         fs, path = self.store._fs()
         for p in work:
             if p not in told:
@@ -150,9 +157,9 @@ class Engine:
         moved = found.filter("op <> 'create'").select("doc_id")
         gone = found.filter("op IN ('modify', 'delete')").select("doc_id")
         cut = chunk.chunks(fresh.select("doc_id", F.col("markdown").alias("text")))
-        para = self._written(cut.select(F.xxhash64("doc_id", "ord").alias("para_id"), "doc_id", "ord", "content"), "paragraphs")
+        para = self._written(cut.select(F.xxhash64("doc_id", "ord").alias("para_id"), "doc_id", "ord", "content", self.bucket().alias("bucket")), "paragraphs")
         old_para = read("paragraphs").join(gone, "doc_id", "left_semi").select(F.col("para_id").alias("doc_id"))
-        own, tasks = self._maintained(state, found, para)
+        own, tasks, calls = self._maintained(state, found, para)
         self.store.commit(
             {
                 "documents": Change(documents.unionByName(touched.select(documents.columns)), moved),
@@ -160,6 +167,7 @@ class Engine:
                 **self.index.changes(para, old_para, "para_id", "content"),
                 "facts": Change(own, read("facts").join(gone, "doc_id", "left_semi").select("pair")),
                 "tasks": Change(tasks, tasks.select("id")),
+                **({"calls": Change(calls)} if calls is not None else {}),
             },
             state,
         )
@@ -167,28 +175,43 @@ class Engine:
         self._tell(AFTER, changes)
         return changes
 
-    def _maintained(self, state: tuple[int, dict], found: DataFrame, para: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(facts of the changed documents, the tasks whose counters change): the affected (task, document) pairs only."""
-        active = self.store.read("tasks", state).filter(F.col("status") == facts.ACTIVE)
-        pairs = facts.affected(found.filter("op <> 'touch'").select("doc_id", "file_path", "op"), active)
-        pairs = self._written(pairs.join(found.select("doc_id", "op"), "doc_id"), "pairs")
-        asked = pairs.filter("op <> 'delete'").join(bounded.broadcast(active.select(F.col("id").alias("task_id"), "key_question")), "task_id")
-        rows = para.join(asked.select("task_id", "doc_id", "key_question"), "doc_id")
-        fresh = self._written(self._extracted(rows), "facts")
+    def _maintained(self, state: tuple[int, dict], found: DataFrame, para: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """(facts of the changed documents, the tasks whose counters change, calls): the affected (task, document) pairs only.
+
+        A task that is still to be refreshed is affected in the buckets that it has done.
+        """
+        tasks = self.store.read("tasks", state)
+        pairs = facts.affected(found.filter("op <> 'touch'").select("doc_id", "file_path", "op"), tasks).join(found.select("doc_id", "op"), "doc_id")
+        done = self.store.read("progress", state).select("task_id", "bucket")
+        pairs = self._written(pairs.withColumn("bucket", self.bucket()).join(done, ["task_id", "bucket"], "left_semi"), "pairs")
+        asked = pairs.filter("op <> 'delete'").join(bounded.broadcast(tasks.select(F.col("id").alias("task_id"), "key_question")), "task_id")
+        rows = para.drop("bucket").join(asked.select("task_id", "doc_id", "key_question", "bucket"), "doc_id")
+        fresh, cost, calls = self._extracted(rows)
         delta = pairs.groupBy("task_id").agg(F.sum(F.when(F.col("op") == "create", 1).when(F.col("op") == "delete", -1).otherwise(0)).cast("int").alias("more"))
-        cost = facts.cost_of(rows, fresh)
-        out = active.join(delta.withColumnRenamed("task_id", "id"), "id").join(cost.withColumnRenamed("task_id", "id"), "id", "left")
+        out = tasks.join(delta.withColumnRenamed("task_id", "id"), "id").join(cost.withColumnRenamed("task_id", "id"), "id", "left")
         out = out.withColumns({
             "covered_file_count": F.greatest(F.coalesce("covered_file_count", F.lit(0)) + F.col("more"), F.lit(0)),
             "incremental_cost": F.coalesce("incremental_cost", F.lit(0).cast("long")) + F.coalesce("cost", F.lit(0).cast("long")),
         })
-        return fresh, self._written(out.select(active.columns), "tasks")
+        return fresh, self._written(out.select(tasks.columns), "tasks"), calls
+
+    def _extracted(self, rows: DataFrame, cap: int = 0) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """(facts, cost by task, calls) of rows (task_id, bucket, doc_id, para_id, content, key_question).
 
-    @staticmethod
-    def _extracted(rows: DataFrame) -> DataFrame:
-        """facts of rows (task_id, doc_id, para_id, content, key_question)."""
-        got = facts.extract(rows, F.col("key_question"))
-        return got.select(F.concat_ws(":", "task_id", "doc_id").alias("pair"), "task_id", "doc_id", "para_id", "seq", "fact")
+        With a model, paragraphs go to it one by one (cap 0) or in batches of `cap` characters; each call is a row, one that failed too.
+        """
+        columns = [F.concat_ws(":", "task_id", "doc_id").alias("pair"), "task_id", "doc_id", "para_id", "seq", "fact"]
+        if self.model is None:
+            fresh = self._written(facts.extract(rows, F.col("key_question")).select(columns), "facts")
+            return fresh, facts.cost_of(rows, fresh), None
+        rows = self._written(rows, "asked")
+        answers = facts.extract_with(plugins.extractor_of(self.model), facts.batched(rows, ["task_id", "bucket", "key_question"], cap).repartition("task_id", "bucket", "g", "batch"))
+        answers = self._written(answers.withColumnRenamed("key_question", "question"), "answers")
+        place = Window.partitionBy("task_id", "para_id").orderBy("g", "batch", "seq")
+        found = facts.parsed(answers).withColumn("seq", F.row_number().over(place) - 1)
+        # a model may name a paragraph that it wasn't given
+        fresh = self._written(found.join(rows.select("task_id", "para_id", "doc_id"), ["task_id", "para_id"]).select(columns), "facts")
+        return fresh, answers.groupBy("task_id").agg(F.sum("cost").alias("cost")), answers.drop("response")
 
     def put(self, rows: DataFrame) -> DataFrame:
         """Bring documents given as (file_path, markdown, modified) up to date, like the files of ingest(); the changes (file_path, op)."""
@@ -281,7 +304,7 @@ class Engine:
     def answer(self, question: str, mode: str = "quickSearch", path: str = "", budget: int = chunk.BATCH) -> DataFrame:
         """search: hits; quickSearch: one row, the prompt of the reranked best; deepSearch: facts by paragraph."""
         if mode == "deepSearch":
-            return self.collect_facts(question, path)[1]
+            return self.collect_facts(question, path, budget)[1]
         query = plugins.rewrite_with(self.model, question, self.analyzer) if self.model else search.rewrite(question, self.analyzer)
         hits = self.search(dataclasses.replace(query, path_prefix=path))
         if mode == "search":
@@ -293,12 +316,12 @@ class Engine:
 
     # -- facts --------------------------------------------------------------------------------
 
-    def collect_facts(self, question: str, path: str = "") -> tuple[str, DataFrame]:
+    def collect_facts(self, question: str, path: str = "", budget: int = chunk.BATCH) -> tuple[str, DataFrame]:
         """(strategy, facts by paragraph): stored facts of a like task, else extracted from all paragraphs below path."""
         if path and not path.endswith("/"):
             hit = catalog.wildcard(F.col("file_path"), path) if "*" in path else F.col("file_path") == path
             rows = self._corpus().filter(hit).select("doc_id", "para_id", F.col("text").alias("content"))
-            return STRATEGIES[0], facts.by_paragraph(facts.extract(rows, F.lit(question)))
+            return STRATEGIES[0], facts.by_paragraph(self._asked(rows, question, budget))
         state = self.store.state()
         above = catalog.tasks_above(self.store.read("tasks", state).filter(F.col("status") == facts.ACTIVE), path)
         asked = above.select("id", F.col("key_question").alias("question"))
@@ -311,7 +334,32 @@ class Engine:
             stored = self.facts().select("task_id", "para_id", "fact")
             return STRATEGIES[2], facts.of_similar(stored, self.paragraphs(), self.documents(), order, path).select("para_id", F.col("fact").alias("facts"))
         rows = self._corpus().filter(catalog.under(F.col("file_path"), path)).select("doc_id", "para_id", F.col("text").alias("content"))
-        return STRATEGIES[1], facts.by_paragraph(facts.extract(rows, F.lit(question)))
+        return STRATEGIES[1], facts.by_paragraph(self._asked(rows, question, budget))
+
+    def _asked(self, rows: DataFrame, question: str, budget: int) -> DataFrame:
+        """(para_id, seq, fact) of paragraphs (doc_id, para_id, content): the offline rule, or a model over batches of `budget` characters.
+
+        A model's facts are refined by it, batch by batch, until they fit the budget. The calls are kept in the table of calls, without a task.
+        """
+        if self.model is None:
+            return facts.extract(rows, F.lit(question))
+        rows = rows.withColumns({"task_id": F.lit(0).cast("long"), "bucket": F.lit(0), "key_question": F.lit(question)})
+        found, _, calls = self._extracted(rows, budget)
+
+        def refine(batches: DataFrame) -> DataFrame:
+            pair = F.struct(F.col("para_id").alias("id"), F.col("fact").alias("content"), "seq")
+            grouped = batches.groupBy("g", "batch").agg(F.array_sort(F.collect_list(pair)).alias("rows"))
+            answers = self._written(facts.extract_with(plugins.refiner_of(self.model), grouped, question), "refined")
+            place = Window.partitionBy("para_id").orderBy("g", "batch", "seq")
+            briefer = facts.parsed(answers).withColumn("seq", F.row_number().over(place) - 1).select("para_id", "seq", "fact")
+            failed = answers.filter("error IS NOT NULL").select("g", "batch")  # their facts stay as they are
+            return briefer.unionByName(batches.join(failed, ["g", "batch"], "left_semi").select("para_id", "seq", "fact"))
+
+        brief = facts.reduce_facts(found.select("para_id", "seq", "fact"), refine, budget, written=lambda df: self._written(df, "result"))
+        self.store.commit({"calls": Change(calls.withColumn("task_id", F.lit(None).cast("long")))})
+        out = self._written(brief, "result")
+        self._clean()
+        return out
 
     def submit_facts(self, question: str, path: str = "") -> str:
         return self.jobs.submit(lambda: [r.asDict() for r in self.collect_facts(question, path)[1].collect()])
@@ -332,36 +380,72 @@ class Engine:
         return catalog.exists(self.tasks(), F.col("directory_path") == directory.rstrip("/") + "/")
 
     def refresh_tasks(self, full: bool = False) -> None:
-        """Extract what open tasks lack (everything of all tasks if full) and make them active; a run cut short goes on where it stopped."""
+        """Extract what open tasks lack (everything of all tasks if full) and make them active.
+
+        Each bucket of documents is a commit with its facts, costs and the tasks that have done it, so a run that is cut short goes on with
+        the bucket where it stopped. A task of which a call failed becomes FAILED with the error; its other buckets stay done.
+        """
+        if full:
+            state = self.store.state()
+            old = self.store.read("tasks", state)
+            blank = old.withColumns({"status": F.lit(facts.PENDING), "full_cost": F.lit(0).cast("long"), "checkpoint": F.lit(None).cast("long"), "error": F.lit(None).cast("string")})
+            empty = {name: Change(self.spark.createDataFrame([], TABLES[name].schema), everything=True) for name in ("facts", "progress", "calls")}
+            self.store.commit({**empty, "tasks": Change(self._written(blank, "tasks"), old.select("id"))}, state)
+        open_ = F.col("status").isin(facts.PENDING, facts.PROCESSING, facts.FAILED)
+        ids = self.tasks().filter(open_).select(F.col("id").alias("task_id"))
+        step = F.concat_ws(":", "task_id", "bucket")
+        lacking = ids.select("task_id", F.explode(F.sequence(F.lit(0), F.lit(self.index.buckets - 1))).alias("bucket")).withColumn("step", step)
+        todo = sorted(r.bucket for r in lacking.join(self.store.read("progress").select("step"), "step", "left_anti").select("bucket").distinct().collect())
+        for b in todo:
+            self._refresh_bucket(b, open_, step)
+        self._settle(open_)
+
+    def _refresh_bucket(self, bucket: int, open_: Column, step: Column) -> None:
+        state = self.store.state()
+        read = lambda name, only=None: self.store.read(name, state, only)
+        done = read("progress").filter(F.col("bucket") == bucket).select(F.col("task_id").alias("id"))
+        lack = read("tasks").filter(open_).join(done, "id", "left_anti")
+        live = read("documents").filter(F.col("state") == schemas.INDEXED).filter(self.bucket() == bucket).select("doc_id", "file_path")
+        asked = bounded.broadcast(lack.select(F.col("id").alias("task_id"), "key_question"))
+        own = catalog.tasks_for_paths(live, lack).join(live, "file_path").join(asked, "task_id")
+        rows = read("paragraphs", F.col("bucket") == bucket).join(own, "doc_id")
+        fresh, cost, calls = self._extracted(rows)
+        told = lack.select(F.col("id").alias("task_id"), F.lit(bucket).alias("bucket")).withColumn("step", step)
+        change = {}
+        if calls is not None:
+            bad = calls.filter("error IS NOT NULL").select("task_id").distinct()
+            told = told.join(bad, "task_id", "left_anti")
+            fresh = fresh.join(bad, "task_id", "left_anti")  # asked again as a whole
+            change["calls"] = Change(calls)
+        spent = lack.join(cost.withColumnRenamed("task_id", "id"), "id").withColumns({
+            "full_cost": F.coalesce("full_cost", F.lit(0).cast("long")) + F.coalesce("cost", F.lit(0).cast("long")), "status": F.lit(facts.PROCESSING),
+        })
+        tasks = self._written(spent.select(lack.columns), "tasks")
+        self.store.commit({"facts": Change(fresh), "progress": Change(self._written(told, "progress")), "tasks": Change(tasks, tasks.select("id")), **change}, state)
+        self._clean()
+
+    def _settle(self, open_: Column) -> None:
+        """Open tasks that have done all buckets become active, others failed; checkpoint is the number of buckets done."""
         state = self.store.state()
         read = lambda name: self.store.read(name, state)
+        tasks = read("tasks").filter(open_)
         live = read("documents").filter(F.col("state") == schemas.INDEXED).select("doc_id", "file_path")
-        open_ = read("tasks") if full else read("tasks").filter(F.col("status").isin(facts.PENDING, facts.PROCESSING, facts.FAILED))
-        own = catalog.tasks_for_paths(live, open_).join(live, "file_path").join(bounded.broadcast(open_.select(F.col("id").alias("task_id"), "key_question", "checkpoint")), "task_id")
-        rows = read("paragraphs").join(own, "doc_id")
-        if not full:
-            rows = rows.filter("checkpoint IS NULL OR para_id > checkpoint")
-        fresh = self._written(self._extracted(rows), "facts")
-        cost = facts.cost_of(rows, fresh).withColumnRenamed("task_id", "id")
-        cover = own.groupBy(F.col("task_id").alias("id")).agg(F.countDistinct("doc_id").cast("int").alias("n"))
-        reached = rows.groupBy(F.col("task_id").alias("id")).agg(F.max("para_id").alias("reached"))
-        done = facts.settle(open_, open_.select("id", F.lit(None).cast("string").alias("error")))
-        for more in (cost, cover, reached):
-            done = done.join(more, "id", "left")
-        done = done.withColumns({
-            "covered_file_count": F.coalesce("n", F.lit(0)),
-            "full_cost": F.coalesce("cost", F.lit(0).cast("long")) + (F.lit(0) if full else F.coalesce("full_cost", F.lit(0).cast("long"))),
-            "checkpoint": F.greatest("reached", "checkpoint"),
-        })
-        tasks = self._written(done.select(open_.columns), "tasks")
-        replaced = read("facts").join(open_.select(F.col("id").alias("task_id")), "task_id", "left_semi").select("pair") if full else None
-        self.store.commit({"facts": Change(fresh, replaced), "tasks": Change(tasks, tasks.select("id"))}, state)
+        cover = catalog.tasks_for_paths(live, tasks).join(live, "file_path").groupBy(F.col("task_id").alias("id")).agg(F.countDistinct("doc_id").cast("int").alias("n"))
+        done = read("progress").groupBy(F.col("task_id").alias("id")).agg(F.count(F.lit(1)).alias("reached"))
+        last = read("calls").filter("error IS NOT NULL").groupBy(F.col("task_id").alias("id")).agg(F.max("error").alias("why"))
+        outcome = tasks.join(done, "id", "left").join(last, "id", "left").withColumn("reached", F.coalesce("reached", F.lit(0).cast("long")))
+        outcome = outcome.withColumn("error", F.when(F.col("reached") < self.index.buckets, F.coalesce("why", F.lit("not all documents were read"))))
+        settled = facts.settle(tasks, outcome.select("id", "error")).drop("error", "checkpoint", "covered_file_count")
+        settled = settled.join(outcome.select("id", "error", F.col("reached").alias("checkpoint")), "id").join(cover.withColumnRenamed("n", "covered_file_count"), "id", "left").fillna(0, ["covered_file_count"])
+        settled = self._written(settled.select(tasks.columns), "tasks")
+        self.store.commit({"tasks": Change(settled, settled.select("id"))}, state)
         self._clean()
 
     def delete_task(self, task_id: int) -> None:
         state = self.store.state()
         read = lambda name: self.store.read(name, state)
-        self.store.commit({"facts": Change(None, read("facts").filter(F.col("task_id") == task_id).select("pair")), "tasks": Change(None, read("tasks").filter(F.col("id") == task_id).select("id"))}, state)
+        of = lambda name, key: Change(None, read(name).filter(F.col("task_id") == task_id).select(key))
+        self.store.commit({"facts": of("facts", "pair"), "progress": of("progress", "step"), "calls": of("calls", "task_id"), "tasks": Change(None, read("tasks").filter(F.col("id") == task_id).select("id"))}, state)
 
     def progress(self) -> DataFrame:
         """Standing tasks with their documents, facts and status."""

@@ -6,6 +6,7 @@ largest part of the question's terms, which makes every plan here deterministic.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,7 +18,9 @@ from . import bounded, catalog, chunk
 
 #: (batch of (id, content), question) to a response text holding JSON {"answer": [{"fact": ..., "id": ...}]}.
 Extractor = Callable[[list[tuple[int, str]], str], str]
-OVERLAP, ATTEMPTS, RUN = 0.5, 3, 10_000
+OVERLAP, ATTEMPTS = 0.5, 3
+#: Batches of a group, about, that one task folds.
+BATCHES = 64
 PENDING, PROCESSING, ACTIVE, FAILED = "pending", "processing", "active", "failed"
 
 
@@ -39,34 +42,63 @@ def extract(paragraphs: DataFrame, question: Column, least: float = OVERLAP) ->
     return rows.filter(overlap(F.col("fact"), tx.tokens(question)) >= least)
 
 
-def extract_with(extractor: Extractor, batches: DataFrame, question: str, attempts: int = ATTEMPTS) -> DataFrame:
-    """(batch, response, cost, error) of batches (batch, rows ARRAY<STRUCT<id, content>>) by an external extractor.
+def spread(rows: DataFrame, size: Column, cap: int) -> DataFrame:
+    """rows with g: groups by hash of para_id that hold about BATCHES batches of `cap` characters, whatever all rows come to."""
+    total = rows.agg(F.sum(size).alias("n")).first()["n"] or 0
+    return rows.withColumn("g", F.pmod(F.xxhash64("para_id"), F.lit(max(1, -(-total // (max(cap, 1_000) * BATCHES))))).cast("int"))
 
-    A call is tried `attempts` times; the last error becomes a column. cost is characters sent and received.
+
+def batched(rows: DataFrame, keys: list[str], cap: int = chunk.BATCH) -> DataFrame:
+    """(keys, g, batch, rows ARRAY<STRUCT<id, content>>): paragraphs (keys, para_id, content) in batches of at most `cap` characters, one each if cap is 0."""
+    size = F.length("content").cast("long")
+    own = spread(rows, size, cap).select(F.struct(*keys, "g").alias("k"), "para_id", "content", size.alias("size"))
+    each = chunk.batches(own, "k", "para_id", "size", cap)
+    pair = F.struct(F.col("para_id").alias("id"), "content")
+    return each.groupBy("k", "batch").agg(F.array_sort(F.collect_list(pair)).alias("rows")).select("k.*", "batch", "rows")
+
+
+def extract_with(extractor: Extractor, batches: DataFrame, question: str | None = None, attempts: int = ATTEMPTS, delay: float = 1.0) -> DataFrame:
+    """batches' columns but rows, with response, cost, attempts and error, by an external extractor; a failing batch is a row like others.
+
+    batches: rows ARRAY<STRUCT<id, content>>, batch, other columns, and key_question unless a question is given.
+    A call that fails, or answers without a bracket, is tried again after `delay` seconds, then twice that; the last error becomes a column.
+    cost is characters sent and received, of every attempt that was answered.
     """
+    if question is not None:
+        batches = batches.withColumn("key_question", F.lit(question))
+    keep = [c for c in batches.columns if c != "rows" and (c != "key_question" or question is None)]
+    kinds = dict(batches.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for number, rows in zip(frame["batch"], frame["rows"]):
+            for asked, rows in zip(frame["key_question"], frame["rows"]):
                 sent = [(int(r["id"]), r["content"]) for r in rows]
-                response, error = "", None
-                for _ in range(attempts):
+                response, error, cost, tries = "", None, 0, 0
+                while tries < attempts:
+                    if tries:
+                        time.sleep(delay * tries)
+                    tries += 1
                     try:
-                        response, error = extractor(sent, question), None
-                        break
+                        response, error = extractor(sent, asked), None
                     except Exception as e:  # the service's failure, kept as a column after the last attempt
-                        error = f"{type(e).__name__}: {e}"[:500]
-                out.append((number, response, sum(len(c) for _, c in sent) + len(question) + len(response), error))
-            yield pd.DataFrame(out, columns=["batch", "response", "cost", "error"])
+                        response, error = "", f"{type(e).__name__}: {e}"[:500]
+                        continue
+                    cost += sum(len(c) for _, c in sent) + len(asked) + len(response)
+                    if "{" in response or "[" in response:
+                        break
+                out.append((response, cost, tries, error))
+            yield pd.concat([frame[keep].reset_index(drop=True), pd.DataFrame(out, columns=["response", "cost", "attempts", "error"])], axis=1)
 
-    return batches.select("batch", "rows").mapInPandas(run, "batch long, response string, cost long, error string")
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "response string, cost long, attempts int, error string"])
+    return batches.mapInPandas(run, schema)
 
 
 def parsed(responses: DataFrame) -> DataFrame:
-    """(batch, seq, para_id, fact) of responses; facts without an id are dropped."""
-    rows = responses.select("batch", F.posexplode(tx.parsed_facts(F.col("response"))).alias("seq", "x"))
-    return rows.select("batch", "seq", F.col("x.id").alias("para_id"), F.col("x.fact").alias("fact")).filter("para_id IS NOT NULL")
+    """responses' columns but response, cost, attempts and error, with seq, para_id, fact; facts without an id are dropped."""
+    keep = [c for c in responses.columns if c not in ("response", "cost", "attempts", "error")]
+    rows = responses.select(*keep, F.posexplode(tx.parsed_facts(F.col("response"))).alias("seq", "x"))
+    return rows.select(*keep, "seq", F.col("x.id").alias("para_id"), F.col("x.fact").alias("fact")).filter("para_id IS NOT NULL")
 
 
 def valid(facts: DataFrame) -> DataFrame:
@@ -172,14 +204,19 @@ def length_of(facts: DataFrame, budget: int = chunk.BATCH) -> DataFrame:
     return facts.agg(F.coalesce(F.sum(F.length("fact")), F.lit(0)).alias("total")).withColumn("within", F.col("total") <= budget)
 
 
-def reduce_facts(facts: DataFrame, refine: Callable[[DataFrame], DataFrame], budget: int = chunk.BATCH, rounds: int = 3) -> DataFrame:
-    """Batches of facts (g, batch, seq, fact) refined to (seq, fact) until their length is within budget, at most `rounds` times."""
+def reduce_facts(facts: DataFrame, refine: Callable[[DataFrame], DataFrame], budget: int = chunk.BATCH, rounds: int = 3, written: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Facts (para_id, seq, fact) refined batch by batch until their length is within budget, at most `rounds` times.
+
+    refine: batches (g, batch, para_id, seq, fact) to (para_id, seq, fact). Facts are spread over groups by paragraph, so
+    a round is as many tasks as the facts need. written keeps a round's facts, so that a model is asked once.
+    """
     for _ in range(rounds):
         if length_of(facts, budget).first()["within"]:
             break
-        # runs of RUN facts are folded apart, so no task holds all of them
-        sized = facts.select(F.floor(F.col("seq") / RUN).alias("g"), "seq", "fact", F.length("fact").cast("long").alias("size"))
-        facts = refine(chunk.batches(sized, "g", "seq", "size", budget, sep=1).drop("size"))
+        size = F.length("fact").cast("long")
+        own = spread(facts, size, budget).select("g", F.struct("para_id", "seq").alias("o"), "fact", size.alias("size"))
+        batches = chunk.batches(own, "g", "o", "size", budget, sep=1)
+        facts = written(refine(batches.select("g", "batch", "o.para_id", "o.seq", "fact")))
     return facts
 
 

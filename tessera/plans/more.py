@@ -81,7 +81,7 @@ def _engine(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine whose catalog, paragraphs (one a document) and index are the documents table."""
     c = corpus(spark, sf_dir)
     own = Engine(spark, scratch(spark, "engine"), analyzer=search.LATIN, buckets=8)
-    para = c.select(F.col("doc_id").alias("para_id"), "doc_id", F.lit(0).alias("ord"), F.col("text").alias("content"))
+    para = c.select(F.col("doc_id").alias("para_id"), "doc_id", F.lit(0).alias("ord"), F.col("text").alias("content"), own.bucket().alias("bucket"))
     own.store.commit({
         "documents": Change(c.withColumn("update_time", F.col("create_time"))),
         "paragraphs": Change(para),
@@ -206,17 +206,17 @@ def facts_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reduced_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts cut by half, batch by batch, until they fit or three rounds have passed."""
-    rows = facts_extract(spark, sf_dir).orderBy("para_id", "seq").select((F.row_number().over(Window.orderBy("para_id", "seq")) - 1).alias("seq"), "fact")
-    refine = lambda b: b.select("seq", F.expr("substring(fact, 1, int(ceil(length(fact) / 2)))").alias("fact"))
+    rows = facts_extract(spark, sf_dir).select("para_id", "seq", "fact")
+    refine = lambda b: b.select("para_id", "seq", F.expr("substring(fact, 1, int(ceil(length(fact) / 2)))").alias("fact"))
     return facts.reduce_facts(rows, refine, budget=4_000)
 
 
 HALVED = lambda x: f"substr({x}, 1, ceil(length({x}) / 2)::INT)"
-REDUCED_SQL = f"""WITH {FACTS}, r0 AS (SELECT row_number() OVER (ORDER BY para_id, seq) - 1 AS seq, fact FROM f),
-r1 AS (SELECT seq, CASE WHEN (SELECT sum(length(fact)) FROM r0) > 4000 THEN {HALVED('fact')} ELSE fact END AS fact FROM r0),
-r2 AS (SELECT seq, CASE WHEN (SELECT sum(length(fact)) FROM r1) > 4000 THEN {HALVED('fact')} ELSE fact END AS fact FROM r1),
-r3 AS (SELECT seq, CASE WHEN (SELECT sum(length(fact)) FROM r2) > 4000 THEN {HALVED('fact')} ELSE fact END AS fact FROM r2)
-SELECT seq::INT AS seq, fact FROM r3"""
+REDUCED_SQL = f"""WITH {FACTS}, r0 AS (SELECT para_id, seq, fact FROM f),
+r1 AS (SELECT para_id, seq, CASE WHEN (SELECT sum(length(fact)) FROM r0) > 4000 THEN {HALVED('fact')} ELSE fact END AS fact FROM r0),
+r2 AS (SELECT para_id, seq, CASE WHEN (SELECT sum(length(fact)) FROM r1) > 4000 THEN {HALVED('fact')} ELSE fact END AS fact FROM r1),
+r3 AS (SELECT para_id, seq, CASE WHEN (SELECT sum(length(fact)) FROM r2) > 4000 THEN {HALVED('fact')} ELSE fact END AS fact FROM r2)
+SELECT para_id, seq::INT AS seq, fact FROM r3"""
 
 
 def result_bag(spark: SparkSession, sf_dir: str) -> DataFrame:

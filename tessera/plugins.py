@@ -38,6 +38,14 @@ class Throttled:
     def __post_init__(self) -> None:
         self._slots = threading.Semaphore(self.concurrency)
 
+    def __getstate__(self) -> dict:
+        """Sent to a task without its slots; each process has its own."""
+        return {k: v for k, v in self.__dict__.items() if k != "_slots"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
     def complete(self, prompt: str) -> str:
         with self._slots:
             for k in range(1, self.attempts + 1):
@@ -50,6 +58,26 @@ class Throttled:
         raise AssertionError("attempts must be positive")
 
 
+def extractor_of(model: LanguageModel) -> Callable[[list[tuple[int, str]], str], str]:
+    """A model as an extractor of facts (facts.extract_with): paragraphs as JSON, and the question."""
+
+    def extract(batch: list[tuple[int, str]], question: str) -> str:
+        listed = json.dumps([{"id": i, "content": c} for i, c in batch], ensure_ascii=False)
+        return model.complete(f'List the facts in these paragraphs that answer: {question}\nAnswer with JSON {{"answer": [{{"fact": "...", "id": 1}}]}}, id being the paragraph\'s.\n{listed}')
+
+    return extract
+
+
+def refiner_of(model: LanguageModel) -> Callable[[list[tuple[int, str]], str], str]:
+    """A model that says facts more briefly, as an extractor over facts."""
+
+    def refine(batch: list[tuple[int, str]], question: str) -> str:
+        listed = json.dumps([{"id": i, "fact": c} for i, c in batch], ensure_ascii=False)
+        return model.complete(f'Put these facts together, in fewer words, as an answer to: {question}\nAnswer with JSON {{"answer": [{{"fact": "...", "id": 1}}]}}, id being that of a fact used.\n{listed}')
+
+    return refine
+
+
 def rewrite_with(model: LanguageModel, question: str, analyzer: search.Analyzer = search.LATIN) -> search.SearchQuery:
     """A model's query {lastNDays, required, optional, exact} read from its JSON; the offline rewriter on any failure."""
     offline = search.rewrite(question, analyzer)
@@ -83,27 +111,49 @@ def _answer(model: LanguageModel, prompt: str, pattern: str, attempts: int = 3)
     return None
 
 
-def rerank_with(model: LanguageModel, hits: DataFrame, question: str, id_col: str = "doc_id", text_col: str = "content", most: int = 100) -> DataFrame:
-    """One row with ids in a model's order, asked about at most `most` hits and up to three times; the order of the hits if it fails."""
-    rows = hits.orderBy("rank").limit(most).select(id_col, F.substring(text_col, 1, 500).alias("text")).collect()
-    listed = "\n".join(f"{r[id_col]}: {r['text']}" for r in rows)
+def rerank_with(model: LanguageModel, hits: DataFrame, question: str, id_col: str = "doc_id", text_col: str = "content", most: int = 100, chars: int = 500) -> DataFrame:
+    """One row with ids in a model's order, asked up to three times; the order of the hits if it fails.
+
+    The prompt holds the first `chars` characters of the first `most` hits; the others follow in their order.
+    """
+    rows = hits.orderBy("rank").select(id_col, F.substring(text_col, 1, chars).alias("text")).collect()  # a result list
+    listed = "\n".join(f"{r[id_col]}: {r['text']}" for r in rows[:most])
     got = _answer(model, f"Order these texts by how well they answer: {question}\nAnswer with a JSON list of their numbers.\n{listed}", r"\[[\d\s,\"-]*\]")
-    ids = [int(x) for x in got] if got else [int(r[id_col]) for r in rows]
+    ids = [*map(int, got or [r[id_col] for r in rows[:most]]), *(int(r[id_col]) for r in rows[most:])]
     return hits.sparkSession.createDataFrame([(ids,)], "ids array<long>")
 
 
-def similar_with(model: LanguageModel, questions: DataFrame, asked: str, least: float = 0.7, most: int = 1_000) -> DataFrame:
-    """questions (id, question) that a model finds alike (of at most `most` asked about), with similarity from 0 to 1; the offline measure if it fails."""
-    rows = questions.orderBy("id").limit(most + 1).collect()
-    if len(rows) > most:  # more than fit a prompt
-        return search.similar_questions(questions, asked, least)
-    listed = "\n".join(f"{r['id']}: {r['question']}" for r in rows)
-    got = _answer(model, f'Which of these questions ask the same as: {asked}\nAnswer with JSON [{{"id": 1, "similarity": 0 to 100}}].\n{listed}', r"\[.*\]") if rows else []
-    if got is None:
-        return search.similar_questions(questions, asked, least)
-    found = [(int(x["id"]), float(x["similarity"]) / 100) for x in got if isinstance(x, dict) and "id" in x and "similarity" in x]
-    scores = questions.sparkSession.createDataFrame(found, "id long, similarity double").filter(F.col("similarity") > least)
-    return questions.join(F.broadcast(scores), "id").orderBy(F.desc("similarity"), "id")  # at most `most` rows
+def similar_with(model: LanguageModel, questions: DataFrame, asked: str, least: float = 0.7, page: int = 1_000) -> DataFrame:
+    """questions (id, question) that a model finds alike, with similarity from 0 to 1, most alike first; it is asked about `page` of them at a time.
+
+    A page that it fails on is measured offline.
+    """
+    scores: list[tuple[int, float]] = []
+    offline: list[int] = []
+
+    def ask(rows: list) -> None:
+        listed = "\n".join(f"{r['id']}: {r['question']}" for r in rows)
+        got = _answer(model, f'Which of these questions ask the same as: {asked}\nAnswer with JSON [{{"id": 1, "similarity": 0 to 100}}].\n{listed}', r"\[.*\]")
+        if got is None:
+            offline.extend(r["id"] for r in rows)
+        else:
+            scores.extend((int(x["id"]), float(x["similarity"]) / 100) for x in got if isinstance(x, dict) and "id" in x and "similarity" in x)
+
+    rows = []
+    for row in questions.select("id", "question").orderBy("id").toLocalIterator():
+        rows.append(row)
+        if len(rows) == page:
+            ask(rows)
+            rows = []
+    if rows:
+        ask(rows)
+    spark = questions.sparkSession
+    said = spark.createDataFrame(scores, "id long, similarity double").filter(F.col("similarity") > least)
+    found = questions.join(said, "id")
+    if offline:
+        rest = questions.join(spark.createDataFrame([(i,) for i in offline], "id long"), "id", "left_semi")
+        found = found.unionByName(search.similar_questions(rest, asked, least).select(found.columns))
+    return found.orderBy(F.desc("similarity"), "id")
 
 
 def overlap_rerank(hits: DataFrame, question: str, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
@@ -168,10 +218,10 @@ class Templates:
     def add(self, template_id: str, factory: Callable[[dict], IndexHandler]) -> None:
         self.factories[template_id] = factory
 
-    def load(self, instances: DataFrame, most: int = 1_000) -> list[str]:
-        """Register the instances; the prefixes that were."""
+    def load(self, instances: DataFrame) -> list[str]:
+        """Register the instances, all of them; the prefixes that were."""
         loaded = []
-        for row in instances.select("path_prefix", "template_id", "config").orderBy("path_prefix").limit(most).collect():
+        for row in instances.select("path_prefix", "template_id", "config").orderBy("path_prefix").toLocalIterator():
             try:
                 handler = self.factories[row["template_id"]](json.loads(row["config"] or "{}"))
                 self.registry.register(row["path_prefix"], handler)

@@ -247,7 +247,7 @@ def test_external_extractor(spark):
 
 
 def test_reduce_stops_within_budget(spark):
-    rows = spark.createDataFrame([(k, "x" * 10) for k in range(10)], "seq int, fact string")
-    halve = lambda b: b.filter("seq % 2 = 0").select((F.col("seq") / 2).cast("int").alias("seq"), "fact")
+    rows = spark.createDataFrame([(k, 0, "x" * 10) for k in range(10)], "para_id long, seq int, fact string")
+    halve = lambda b: b.filter("para_id % 2 = 0").select((F.col("para_id") / 2).cast("long").alias("para_id"), "seq", "fact")
     assert facts.reduce_facts(rows, halve, budget=30).count() == 3
     assert facts.reduce_facts(rows, halve, budget=1000).count() == 10
