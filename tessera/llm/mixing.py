@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Token counts are summed to cells (source, language, topic); their weights are raked in turn to the
-source, language and topic marginals until every marginal is within TOLERANCE of its target or ROUNDS
-rounds have passed (then a warning tells the error left). Documents then are sampled with probability min(1, scale * weight) by a hash of
+source, language and topic marginals until every marginal is within TOLERANCE of its target or the error
+hardly falls any more (then a warning tells the error left). Documents then are sampled with probability min(1, scale * weight) by a hash of
 their id; the scale makes the expected tokens KEEP of all tokens. A target is a table of shares over a
 margin's values, by default each value's token share raised to POWER (and made to sum to one).
 
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from . import common
 
 MARGINS = ("source", "lang", "topic")
-ROUNDS, TOLERANCE, POWER, KEEP = 24, 1e-9, 0.7, 0.6
+TOLERANCE, POWER, KEEP = 1e-9, 0.7, 0.6
+#: Rounds between two looks at the error, and the least share of it that they must take off.
+LOOK, FALL = 4, 0.1
 NONE = "(none)"
 #: A marginal that is further off after the last round is told by a warning.
 UNCONVERGED = 1e-4
@@ -65,11 +67,12 @@ def _total(rows: DataFrame, column: str) -> float:
     return float(rows.agg(F.sum(F.col(column).cast("double"))).first()[0] or 0.0)
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (margins, tokens) with mass, the raked share of all tokens, marginals at their targets.
 
-    A round is one windowed sum a margin; each fourth round is written to the shared folder, which
-    bounds the plan, and the worst marginal error decides whether to go on.
+    A round is one windowed sum a margin. After every LOOK rounds cells are written to the shared folder, which
+    bounds the plan, and the worst marginal error is looked at: raking ends when it is within the tolerance, or has
+    fallen by less than FALL of it (the targets contradict each other or are met in the limit only; a warning tells the error), or after `rounds`.
     """
     names = list(targets)
     cells = cells.filter("tokens > 0")
@@ -77,20 +80,25 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     for m in names:
         cells = common.join_counted(cells, targets[m].withColumnRenamed("share", f"t_{m}"), m, "left", BROADCAST_CELLS).fillna(0.0, [f"t_{m}"])
     cells = common.materialize(cells, "cells-0")
-    for k in range(rounds):
+    k, before = 0, float("inf")
+    while rounds is None or k < rounds:
         for m in names:
             total = F.sum("mass").over(Window.partitionBy(m))
             cells = cells.withColumn("mass", F.when(total > 0, F.col("mass") * F.col(f"t_{m}") / total).otherwise(0.0))
-        if k % 4 == 3 or k == rounds - 1:
-            cells = common.materialize(cells, f"cells-{k + 1}")
-            worst = [cells.groupBy(m).agg(F.abs(F.sum("mass") - F.first(f"t_{m}")).alias("e")) for m in names]
-            errors = reduce(DataFrame.union, [w.select(F.max("e").alias("e")) for w in worst])
-            worst_error = errors.agg(F.max("e")).first()[0] or 0.0
-            if worst_error <= tolerance:
-                break
-    else:
-        if rounds and worst_error > UNCONVERGED:
-            warnings.warn(f"raking stopped after {rounds} rounds with a marginal {worst_error:.2g} off its target", stacklevel=2)
+        k += 1
+        if k % LOOK and k != rounds:
+            continue
+        cells = common.materialize(cells, f"cells-{k}")
+        worst = [cells.groupBy(m).agg(F.abs(F.sum("mass") - F.first(f"t_{m}")).alias("e")) for m in names]
+        errors = reduce(DataFrame.union, [w.select(F.max("e").alias("e")) for w in worst])
+        error = errors.agg(F.max("e")).first()[0] or 0.0
+        if error <= tolerance:
+            break
+        if error > (1 - FALL) * before or k == rounds:
+            if error > UNCONVERGED:
+                warnings.warn(f"raking stopped after {k} rounds with a marginal {error:.2g} off its target", stacklevel=2)
+            break
+        before = error
     return cells
 
 
@@ -167,8 +175,11 @@ def rounded(mixed: DataFrame) -> DataFrame:
     return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 
+ORACLE_ROUNDS = 24
+
+
 def _oracle() -> str:
-    """The same raking as unrolled SQL: ROUNDS rounds of three windowed sums."""
+    """The same raking as unrolled SQL: ORACLE_ROUNDS rounds of three windowed sums, more than the tables need."""
     case = " ".join(f"WHEN contains(t, '{p}') THEN '{name}'" for name, p in TOPICS.items())
     steps = [
         f"""d AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, coalesce(text, '') AS t FROM documents),
@@ -179,7 +190,7 @@ c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FRO
         steps.append(f"p_{m} AS (SELECT {m}, pow(sum(tokens)::DOUBLE, {POWER}::DOUBLE) AS p FROM c GROUP BY 1), t_{m} AS MATERIALIZED (SELECT {m}, p / sum(p) OVER () AS t_{m} FROM p_{m})")
     steps.append("k AS MATERIALIZED (SELECT c.*, tokens / (sum(tokens) OVER ())::DOUBLE AS mass, t_source, t_lang, t_topic FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic) WHERE tokens > 0)")
     last = "k"
-    for n in range(ROUNDS):
+    for n in range(ORACLE_ROUNDS):
         for m in MARGINS:
             name = f"k{n}_{m}"
             steps.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (mass * t_{m} / sum(mass) OVER (PARTITION BY {m}) AS mass) FROM {last})")
