@@ -3,10 +3,10 @@
 Documents are tokenised where they lie; only (doc_id, piece, start, length, crc) travel. Pieces are
 dealt by hash into groups of about GROUP pieces, a bounded amount of work and memory whatever the
 size of the corpus; each group is packed best-fit decreasing, then a local search over its underfull
-bins moves documents or exchanges one for one and two for one wherever that raises the sum of squared
-fills, until no step does, so that the emptiest bins drain and vanish. The bins that are still underfull in all groups
-are pooled, and their pieces packed again in fewer groups, until one group would hold them or pooling
-saves nothing.
+bins moves documents or exchanges one for one, one for two and two for one wherever that raises the sum of squared
+fills, until no step between any two bins does, so that the emptiest bins drain and vanish. The bins that are still underfull in all groups
+are pooled, and their pieces packed again in fewer groups, until one group would hold them or a round
+saves fewer than one bin in SAVED.
 
 Defined results: a null text counts as empty and is one piece of the end token; documents longer than
 the capacity are cut so that all pieces but the first are full; rows that share a doc_id are packed
@@ -29,6 +29,7 @@ from . import common
 CAPACITY = 1024
 END_ID = 2
 GROUP = 16_384
+SAVED = 1_000
 PIECE_SCHEMA = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -205,29 +206,28 @@ class Underfull:
                     self.offers[k][gap + x] &= ~(1 << x)
 
     def taker(self, n: int, gap: int) -> int | None:
-        """The fullest bin that takes n tokens, its gap at most the one given."""
+        """The fullest bin that takes n tokens and is then left a gap below the one given."""
         fits = self.gaps >> n
-        found = n + ((fits & -fits).bit_length() - 1) if fits else gap + 1
-        return next(iter(self.by_gap[found])) if found <= gap else None
+        found = n + ((fits & -fits).bit_length() - 1) if fits else n + gap
+        return next(iter(self.by_gap[found])) if found - n < gap else None
 
-    def exchange(self, n: int, gap: int) -> tuple[int, int, int] | None:
-        """(bin, tokens given back, 0 for one item or 1 for a pair) that fills a bin of at most that gap best."""
+    def exchange(self, n: int, gap: int, kinds: tuple[int, ...] = (0, 1)) -> tuple[int, int, int] | None:
+        """(bin, tokens given back, 0 for one item or 1 for a pair): the bin that n tokens for fewer fill best, to a gap below the one given."""
         for v in range(n, n + gap):
-            least = max(1, v - gap)
-            for k in (0, 1):
-                give = (self.offers[k][v] & ((1 << n) - 1)) >> least
+            for k in kinds:
+                give = self.offers[k][v] & ((1 << n) - 1)
                 if give:
-                    s = least + give.bit_length() - 1
+                    s = give.bit_length() - 1
                     return next(iter(self.holders[k][v - s, s])), s, k
         return None
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
-    """Drain the emptiest underfull bins into fuller ones until no step is left.
+    """Drain the emptiest underfull bins into others until no step is left.
 
-    A step moves a document, or exchanges one for one or two for one, from an emptier bin A to a
-    fuller bin B; B gains d tokens and fits, so the squared fill rises by 2d(B - A + d) > 0 and the
-    search ends.
+    A step gives one document, for none, one or two, or two documents for one, from a bin A to a bin B. Their fills' sum stays, so the
+    squared fill rises if and only if B then is fuller than the fuller of both was. Every bin is tried as A
+    against all others as B, so a step after which A would be the fuller is found from the other side.
     """
     size = [int(x) for x in lengths]
     fill = [sum(size[i] for i in b) for b in bins]
@@ -235,6 +235,26 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAP
     enter = lambda k: under.enter(k, capacity - fill[k], [size[i] for i in bins[k]])
     for k in range(len(bins)):
         enter(k)
+
+    def step(a: int, given: list[int]) -> bool:
+        """Give some of a's items to the bin that they fill best, if there is one; a isn't among the bins meanwhile."""
+        n, gap = sum(size[i] for i in given), capacity - fill[a]
+        b, out = under.taker(n, gap) if len(given) == 1 else None, []
+        if b is None:
+            found = under.exchange(n, gap, (0, 1) if len(given) == 1 else (0,))
+            if found is None:
+                return False
+            b, s, pair = found
+            out = _pair_of(bins[b], size, s) if pair else [next(j for j in bins[b] if size[j] == s)]
+        under.leave(b)
+        bins[a] = [*(x for x in bins[a] if x not in given), *out]
+        bins[b] = [*(x for x in bins[b] if x not in out), *given]
+        gain = n - sum(size[j] for j in out)
+        fill[a] -= gain
+        fill[b] += gain
+        enter(b)
+        return True
+
     changed = True
     while changed:
         changed = False
@@ -243,22 +263,12 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAP
                 continue
             under.leave(a)
             for i in sorted(bins[a], key=lambda x: -size[x]):
-                gap = capacity - fill[a]
-                b, out = under.taker(size[i], gap), []
-                if b is None:
-                    found = under.exchange(size[i], gap)
-                    if found is None:
-                        continue
-                    b, s, pair = found
-                    out = _pair_of(bins[b], size, s) if pair else [next(j for j in bins[b] if size[j] == s)]
-                changed = True
-                under.leave(b)
-                bins[a] = [*(x for x in bins[a] if x != i), *out]
-                bins[b] = [*(x for x in bins[b] if x not in out), i]
-                gain = size[i] - sum(size[j] for j in out)
-                fill[a] -= gain
-                fill[b] += gain
-                enter(b)
+                changed |= step(a, [i])
+            pairs = {size[i] + size[j]: [i, j] for k, i in enumerate(bins[a]) for j in bins[a][:k]}
+            for n in sorted(pairs, reverse=True):
+                if step(a, pairs[n]):
+                    changed = True
+                    break  # its items are others now; the next pass goes on
             enter(a)
     return [b for b in bins if b]
 
@@ -297,21 +307,27 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     done = pieces.filter(F.col("length") == capacity).select(
         *columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
-    rest, n, level = pieces.filter(F.col("length") < capacity), None, 0
+    rest, level, before = pieces.filter(F.col("length") < capacity), 0, None
     n = rest.count()
     while n:
         deals = -(-n // group)
         dealt = rest.withColumn("deal", F.expr(f"pmod(xxhash64(row, piece, {level}), {deals})"))
         packed = dealt.groupBy("deal").applyInArrow(lambda t: _pack_group(t, capacity), schema)
         packed = common.materialize(packed, "packed")
-        under = packed.filter(F.col("fill") < capacity)
-        left = under.count()
-        last = deals == 1 or 2 * left > n
         number = F.lit(level << 57) + F.shiftleft("deal", 20) + F.col("bin")
-        done = done.union((packed if last else packed.filter(F.col("fill") == capacity)).select(*columns, number.alias("sequence_id"), "offset"))
+        packed = packed.withColumn("sequence_id", number)
+        full = F.col("fill") == capacity
+        left, bins, open_bins = packed.agg(F.count_if(~full), F.count_if(F.col("offset") == 0), F.count_if(~full & (F.col("offset") == 0))).first()
+        if before is not None and bins > before[0]:
+            done = done.union(before[1])
+            break
+        last = deals == 1 or (before is not None and (before[0] - bins) * SAVED < before[0])
+        kept = columns + ["sequence_id", "offset"]
+        done = done.union((packed if last else packed.filter(full)).select(kept))
         if last:
             break
-        rest, n, level = under.select(*columns), left, level + 1
+        under = packed.filter(~full).select(kept)
+        rest, n, level, before = under.select(*columns), left, level + 1, (open_bins, under)
     return done
 
 

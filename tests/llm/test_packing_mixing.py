@@ -66,17 +66,31 @@ def fewest(sizes, capacity):
 
 
 def steps_left(bins, lengths, capacity):
-    """Whether some move or exchange to a bin at least as full would raise the squared fill."""
+    """Whether some move, or exchange of one for one, one for two or two for one, between any two bins would raise the squared fill."""
     fill = [int(lengths[b].sum()) for b in bins]
-    for a, b in itertools.permutations(range(len(bins)), 2):
-        if fill[a] <= fill[b] < capacity:
-            for i in bins[a]:
-                outs = [0, *(lengths[j] for j in bins[b]), *(lengths[j] + lengths[k] for j, k in itertools.combinations(bins[b], 2))]
-                if any(0 < lengths[i] - x <= capacity - fill[b] for x in outs):
-                    return True
+    some = lambda b, n: [sum(lengths[list(c)]) for c in itertools.combinations(b, n)]
+    for a, b in itertools.permutations([k for k in range(len(bins)) if fill[k] < capacity], 2):
+        for give, take in ((1, 0), (1, 1), (1, 2), (2, 1)):
+            for x in some(bins[a], give):
+                for y in some(bins[b], take):
+                    d = x - y
+                    if fill[a] - d <= capacity and fill[b] + d <= capacity and (fill[a] - d) ** 2 + (fill[b] + d) ** 2 > fill[a] ** 2 + fill[b] ** 2:
+                        return True
     return False
 
 
+def test_no_step_is_left_between_any_two_bins():
+    rng = np.random.default_rng(11)
+    for _ in range(400):
+        capacity = int(rng.integers(10, 40))
+        sizes = rng.integers(1, capacity, rng.integers(4, 14))
+        for bins in ([[int(i)] for i in rng.permutation(len(sizes))], pk.best_fit(sizes, capacity)):
+            got = pk.local_search([list(b) for b in bins], sizes, capacity)
+            assert sorted(i for b in got for i in b) == list(range(len(sizes))) and all(sizes[b].sum() <= capacity for b in got)
+            assert not steps_left(got, sizes, capacity)
+    assert steps_left([[0, 1, 2], [3, 4]], np.array([4, 3, 3, 9, 5]), 15) and len(pk.pack_lengths(np.array([4, 3, 3, 9, 5]), 15)) == 2
+
+
 def test_local_search_against_the_optimum():
     rng = np.random.default_rng(3)
     over = 0
@@ -166,6 +180,15 @@ def test_certain_cells_take_their_share_of_the_budget(spark):
     assert all(np.isclose(r.probability, 1.0) for r in mx.probabilities(cells, 1.0).collect())
 
 
+def test_raking_goes_on_to_its_tolerance(spark):
+    """Nearly empty corners make raking slow: far more than a few rounds, yet within the tolerance."""
+    rows = [("a", "en", "t", 1000), ("a", "de", "t", 40), ("b", "en", "t", 40), ("b", "de", "t", 1000)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    share = lambda m, **x: spark.createDataFrame(list(x.items()), f"{m} string, share double")
+    got = mx.rake(cells, {"source": share("source", a=0.7, b=0.3), "lang": share("lang", en=0.35, de=0.65)}).toPandas()
+    assert abs(got[got["source"] == "a"]["mass"].sum() - 0.7) < 1e-8 and abs(got[got["lang"] == "en"]["mass"].sum() - 0.35) < 1e-8
+
+
 def test_targets_that_cannot_be_met_are_told(spark):
     rows = [("a", "en", "t", 10), ("b", "de", "t", 10)]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
@@ -194,7 +217,8 @@ def test_sql_forms(spark, sf):
     from tessera.llm import registry
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "conversations", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     for name, sql in registry.oracle_sql().items():
         got, want = registry.queries()[name](spark, sf), con.sql(sql)
         columns = sorted(want.columns)
