@@ -10,12 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from . import plugins, schemas
 from .jobs import Jobs
 from .operators import bounded, catalog, chunk, facts, index, search, words
 from .operators.tables import Change, Store, Table
 from .sources import files
+from .streaming import documents as states
 
 STRATEGIES = ("DIRECT_CONTENT", "NEW_QUESTION", "SIMILAR_QUESTION")
 #: Called with an event's name and the (file_path, op) of the documents concerned.
@@ -222,6 +224,38 @@ class Engine:
         found = new.withColumn("op", op).filter("op IS NOT NULL").withColumns({"doc_id": F.coalesce("doc_id", F.xxhash64("file_path")), "error": F.lit(None).cast("string")})
         return self._apply(state, self._written(found, "changes"))
 
+    def follow(self, events: DataFrame, handler: states.Handler = states.parsing, attempts: int = 3, delay: float = 1.0, period: str = "5 seconds", checkpoint: str | None = None) -> StreamingQuery:
+        """Keep the documents up to date by a stream of events (states.EVENT): each is parsed, tried again if that fails, and committed with its batch.
+
+        A document that can't be read becomes ERROR. A batch that is replayed finds its documents as they are. One query at a time writes to the store.
+        """
+        if self.spark.conf.get("spark.sql.streaming.stateStore.providerClass") != states.PROVIDER:
+            raise ValueError(f"retries are kept by timers: set spark.sql.streaming.stateStore.providerClass to {states.PROVIDER}")
+        told = states.outcomes(events, handler, attempts, delay)
+        writer = told.writeStream.foreachBatch(lambda batch, _: self._followed(batch)).option("checkpointLocation", checkpoint or f"{self.location}/_follow")
+        return writer.trigger(processingTime=period).start()
+
+    def _followed(self, batch: DataFrame) -> None:
+        last = F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("modified"), F.desc("attempt")))
+        final = batch.filter(F.col("state") != schemas.SAVED).withColumn("k", last).filter("k = 1")  # one to be tried again changes nothing yet
+        final = self._written(final, "outcomes")
+        if final.isEmpty():
+            self._clean()
+            return
+        state = self.store.state()
+        known = self.store.read("documents", state).select("file_path", F.col("doc_id").alias("old_id"), F.col("md5").alias("old_md5"), "update_time", F.col("create_time").alias("old_create"), F.col("state").alias("old_state"))
+        found = final.withColumn("md5", F.md5(F.coalesce("markdown", F.lit("")))).join(known, "file_path", "left")
+        gone = F.col("state") == schemas.DELETED
+        same = F.col("md5").eqNullSafe(F.col("old_md5")) & (F.col("state") == F.col("old_state"))
+        op = (
+            F.when(gone, F.when(F.col("old_id").isNotNull(), "delete"))
+            .when(F.col("old_id").isNull(), "create")
+            .when(F.col("modified") > F.col("update_time"), F.when(same, "touch").otherwise("modify"))
+            .when((F.col("modified") == F.col("update_time")) & ~same, "modify")
+        )
+        found = found.withColumns({"op": op, "doc_id": F.coalesce("old_id", F.xxhash64("file_path"))}).filter("op IS NOT NULL")
+        self._apply(state, self._written(found.select("file_path", "doc_id", "op", "modified", "md5", "old_md5", "old_create", "markdown", "error"), "changes"))
+
     def reapply_ignore(self, patterns: list[str], root: str = "") -> DataFrame:
         """After a change of ignore rules: matching documents leave paragraphs, index and facts; others wait for the next ingest; the moved (file_path, op)."""
         state = self.store.state()

@@ -88,9 +88,11 @@ def parse_results(page: str) -> list[tuple[str, str, str, str, bool]]:
 
 
 class SearchSource(DataSource):
-    """Reads saved result pages as a source; option `pages` holds them, parted by form feeds.
+    """Result pages of a search as a source.
 
-    There is no network in tests; a deployment subclasses fetch().
+    Option `wanted`: pages are fetched one after the other until that many results that count (no ads, each url once) are found or a page
+    is empty; without it all pages are read, one a task. Option `pages` holds saved pages, parted by form feeds; there is no
+    network in tests, a deployment subclasses page().
     """
 
     @classmethod
@@ -100,21 +102,33 @@ class SearchSource(DataSource):
     def schema(self) -> str:
         return "position int, title string, url string, description string, date string, is_ad boolean"
 
+    def page(self, number: int) -> str:
+        """The page of a number from 0; empty behind the last."""
+        pages = self.options.get("pages", "").split("\f")
+        return pages[number] if number < len(pages) else ""
+
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _Reader(self.options)
+        return _Reader(self)
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
+    def __init__(self, source: SearchSource):
+        self.source, self.wanted = source, int(source.options.get("wanted", 0))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(k) for k in range(len(self.options.get("pages", "").split("\f")))]
+        return [InputPartition(k) for k in range(1 if self.wanted else len(self.source.options.get("pages", "").split("\f")))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        page = self.options["pages"].split("\f")[partition.value]
-        for k, row in enumerate(parse_results(page)):
-            yield (partition.value * 1000 + k, *row)
+        number, seen = partition.value, set()
+        while True:
+            rows = parse_results(self.source.page(number))
+            for k, row in enumerate(rows):
+                yield (number * 1000 + k, *row)
+                if row[0] and row[1] and not row[4]:
+                    seen.add(row[1])
+            number += 1
+            if not self.wanted or len(seen) >= self.wanted or not rows:
+                return
 
 
 def register(spark: SparkSession) -> None:

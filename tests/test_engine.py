@@ -182,30 +182,3 @@ def test_templates(spark):
         assert t.load(instances) == ["/a"]
     assert t.registry.of("/a/x").config == {"n": 1}
     assert not t.remove("good", instances) and t.remove("good", instances.limit(0))
-
-
-def test_consumer_drains_and_retries(spark):
-    from tessera.streaming import consumer
-
-    rows = [(k, f"n{k}", f"/p{k}", "file_saved" if k < 9 else "deleted") for k in range(10)]
-    kept = [spark.createDataFrame(rows, "id long, file_name string, file_path string, state string")]
-    waits, calls = [], []
-
-    def write(df):
-        kept[0] = spark.createDataFrame(df.collect(), df.schema)
-
-    def handle(page):
-        calls.append(1)
-        if len(calls) == 1:
-            raise ValueError("once")
-        return page.select("file_path", F.when(F.col("id") == 4, "bad").alias("error"))
-
-    pages = consumer.drain(lambda: kept[0], write, handle, workers=2, size=3, sleep=waits.append)
-    states = {r.id: r.state for r in kept[0].collect()}
-    assert pages >= 3 and waits == [1.0] and states == {k: "file_indexed" for k in range(9)} | {4: "error", 9: "deleted"}
-
-    def fail(page):
-        raise ValueError("always")
-
-    got = consumer.attempted(fail, kept[0].limit(1), sleep=waits.append).collect()
-    assert "always" in got[0].error and waits == [1.0, 1.0, 2.0]

@@ -77,6 +77,14 @@ def test_search_source(spark):
     assert web.results(rows, 1).count() == 1
 
 
+def test_pages_are_read_until_enough_results_count(spark):
+    web.register(spark)
+    more = PAGE.replace("http://b/2", "http://c/3")
+    pages = [PAGE, PAGE, more, PAGE, "", PAGE]
+    read = lambda n: {r.position // 1000 for r in spark.read.format("web_search").option("pages", "\f".join(pages)).option("wanted", n).load().collect()}
+    assert [read(n) for n in (1, 2, 3, 4)] == [{0}, {0}, {0, 1, 2}, {0, 1, 2, 3}]  # ads and repeated urls don't count; an empty page ends it
+
+
 def test_pages_are_asked_for_again(spark):
     def fetch(url):
         if url == "http://bad":
