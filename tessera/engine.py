@@ -26,6 +26,7 @@ BEFORE, AFTER = "before_change", "after_change"
 
 TABLES = {
     "documents": Table("doc_id LONG, file_path STRING, md5 STRING, update_time TIMESTAMP, create_time TIMESTAMP, state STRING", "doc_id"),
+    "directories": Table(catalog.ROLLUP, "prefix", merged=catalog.rolled_up),
     "paragraphs": Table("para_id LONG, doc_id LONG, ord INT, content STRING, bucket INT", "doc_id", ("bucket",), ("bucket", "pmod(xxhash64(doc_id), {splits})"), ("doc_id", "ord"), parts=index.BUCKETS),
     "facts": Table("pair STRING, task_id LONG, doc_id LONG, para_id LONG, seq INT, fact STRING", "pair"),
     "tasks": Table(schemas.TASK, "id"),
@@ -162,9 +163,11 @@ class Engine:
         para = self._written(cut.select(F.xxhash64("doc_id", "ord").alias("para_id"), "doc_id", "ord", "content", self.bucket().alias("bucket")), "paragraphs")
         old_para = read("paragraphs").join(gone, "doc_id", "left_semi").select(F.col("para_id").alias("doc_id"))
         own, tasks, calls = self._maintained(state, found, para)
+        now = documents.unionByName(touched.select(documents.columns))
         self.store.commit(
             {
-                "documents": Change(documents.unionByName(touched.select(documents.columns)), moved),
+                "documents": Change(now, moved),
+                "directories": Change(catalog.rollup_change(read("documents").join(moved, "doc_id", "left_semi"), now)),
                 "paragraphs": Change(para, gone),
                 **self.index.changes(para, old_para, "para_id", "content"),
                 "facts": Change(own, read("facts").join(gone, "doc_id", "left_semi").select("pair")),
@@ -270,7 +273,8 @@ class Engine:
             return changes
         self._tell(BEFORE, changes)
         gone = moved.filter(F.col("state") == schemas.IGNORED).select("doc_id")
-        self.store.commit({"documents": Change(moved, moved.select("doc_id")), **self._without(state, gone)}, state)
+        counts = catalog.rollup_change(self.store.read("documents", state).join(moved.select("doc_id"), "doc_id", "left_semi"), moved)
+        self.store.commit({"documents": Change(moved, moved.select("doc_id")), "directories": Change(counts), **self._without(state, gone)}, state)
         self._clean()
         self._tell(AFTER, changes)
         return changes
@@ -330,7 +334,11 @@ class Engine:
         return got.select("pos", "para_id", F.coalesce("ord", F.lit(0)).alias("ord"), F.coalesce("content", F.lit("")).alias("content")).orderBy("pos")
 
     def paths(self, cap: int = 5000) -> DataFrame:
-        return catalog.listed_paths(self.documents(), cap)
+        return catalog.picked(catalog.kept_levels(self.store.read("directories")), cap)
+
+    def path_levels(self) -> DataFrame:
+        """(level, prefixes): how many distinct prefixes a level has, from the kept counts."""
+        return catalog.kept_levels(self.store.read("directories")).groupBy("level").agg(F.count(F.lit(1)).alias("prefixes"))
 
     def suggest_paths(self, keyword: str) -> DataFrame:
         return catalog.suggest_paths(self.documents().select("doc_id", F.col("file_path").alias("path")).withColumnRenamed("doc_id", "seq"), keyword)
@@ -510,5 +518,7 @@ class Engine:
         self._apply(state, self._written(empty.unionByName(lost, allowMissingColumns=True), "deletions"))
 
     def directory_status(self, directories: list[str]) -> DataFrame:
-        rows = self.spark.createDataFrame([(d.rstrip("/") + "/",) for d in directories], "directory_path string")
-        return catalog.directory_status(rows, self.documents())
+        """Documents, indexed, failed and the completion rate of directories, from the counts kept at each commit."""
+        asked = [d.rstrip("/") + "/" for d in directories]
+        rows = self.spark.createDataFrame([(d,) for d in asked], "directory_path string")
+        return catalog.kept_status(rows, self.store.read("directories", only=F.col("prefix").isin(asked)))

@@ -141,8 +141,11 @@ def directory_status(directories: DataFrame, catalog: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("state") == schemas.INDEXED).alias("indexed"), F.count_if(F.col("state") == schemas.ERROR).alias("failed")
     )
     out = directories.select("directory_path").join(counted, "directory_path", "left").fillna(0, ["total", "indexed", "failed"])
-    rate = F.when(F.col("total") == 0, "0%").otherwise(F.format_string("%.1f%%", 100.0 * F.col("indexed") / F.greatest("total", F.lit(1))))
-    return out.withColumn("rate", rate)
+    return out.withColumn("rate", _rate())
+
+
+def _rate() -> Column:
+    return F.when(F.col("total") == 0, "0%").otherwise(F.format_string("%.1f%%", 100.0 * F.col("indexed") / F.greatest("total", F.lit(1))))
 
 
 def ancestors(path: Column) -> Column:
@@ -165,12 +168,57 @@ def level_counts(paths: DataFrame, path_col: str = "file_path") -> DataFrame:
 
 def listed_paths(paths: DataFrame, cap: int = 5000, path_col: str = "file_path") -> DataFrame:
     """The distinct prefixes of the deepest level before the first with more than `cap` of them."""
-    cut = path_levels(paths, path_col).distinct()
+    return picked(path_levels(paths, path_col).distinct(), cap)
+
+
+def picked(cut: DataFrame, cap: int) -> DataFrame:
+    """listed_paths() of distinct prefixes (level, prefix)."""
     counts = cut.groupBy("level").count()
     over = counts.agg(F.coalesce(F.min(F.when(F.col("count") > cap, F.col("level"))) - 1, F.max("level")).alias("pick"))
     return cut.join(F.broadcast(over), F.col("level") == F.greatest("pick", F.lit(1))).select("prefix")
 
 
+# -- counts kept for every prefix -------------------------------------------------------------
+
+#: Documents below each directory (with a slash at its end) and each file's own row; a table's rows are deltas, which add up.
+ROLLUP = "prefix STRING, level INT, total LONG, indexed LONG, failed LONG"
+
+
+def rolled_up(rows: DataFrame) -> DataFrame:
+    """The deltas of each prefix, summed; those that cancel go."""
+    sums = rows.groupBy("prefix", "level").agg(*(F.sum(c).alias(c) for c in ("total", "indexed", "failed")))
+    return sums.filter("total <> 0 OR indexed <> 0 OR failed <> 0")
+
+
+def rollup(documents: DataFrame, sign: int = 1) -> DataFrame:
+    """ROLLUP rows of documents (file_path, state): added, or taken away by sign -1."""
+    above = F.when(F.contains("file_path", F.lit("/")), F.concat(ancestors(F.col("file_path")), F.array("file_path"))).otherwise(F.array("file_path"))
+    each = documents.select("state", F.posexplode(above).alias("level", "prefix"))
+    one = lambda hit: F.when(hit, sign).otherwise(0).cast("long")
+    rows = each.select("prefix", "level", one(F.lit(True)).alias("total"), one(F.col("state") == schemas.INDEXED).alias("indexed"), one(F.col("state") == schemas.ERROR).alias("failed"))
+    return rolled_up(rows)
+
+
+def rollup_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What a change of documents (file_path, state) does to the counts: as many rows as there are prefixes above them."""
+    return rolled_up(rollup(before, -1).unionByName(rollup(after)))
+
+
+def kept_status(directories: DataFrame, counts: DataFrame) -> DataFrame:
+    """directory_status() from kept counts (ROLLUP), without reading documents."""
+    held = rolled_up(counts).select(F.col("prefix").alias("directory_path"), "total", "indexed", "failed")
+    out = directories.select("directory_path").join(held, "directory_path", "left").fillna(0, ["total", "indexed", "failed"])
+    return out.withColumn("rate", _rate())
+
+
+def kept_levels(counts: DataFrame) -> DataFrame:
+    """The distinct (level, prefix) of path_levels() from kept counts."""
+    held = rolled_up(counts).filter("total > 0 AND prefix <> '/'")
+    # a path without a slash at its start has its first part at the place of the root
+    deeper = F.when(F.col("prefix").startswith("/"), F.col("level")).otherwise(F.col("level") + 1)
+    return held.select(deeper.alias("level"), F.regexp_replace("prefix", "^/|/$", "").alias("prefix")).distinct()
+
+
 def sync_summary(results: DataFrame) -> DataFrame:
     """total, success and the sorted failed directories of (directory_path, ok)."""
     return results.agg(

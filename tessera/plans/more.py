@@ -9,7 +9,7 @@ from .. import plugins, schemas
 from ..engine import Engine
 from ..functions import globs
 from ..functions import text as tx
-from ..operators import catalog, chunk, facts, search
+from ..operators import catalog, chunk, facts, search, similar
 from ..operators.tables import Change
 from ..sources import files, web
 from .base import C, corpus, docs, rounded, scratch, table, tokens_sql, values, values_sql
@@ -84,6 +84,7 @@ def _engine(spark: SparkSession, sf_dir: str) -> Engine:
     para = c.select(F.col("doc_id").alias("para_id"), "doc_id", F.lit(0).alias("ord"), F.col("text").alias("content"), own.bucket().alias("bucket"))
     own.store.commit({
         "documents": Change(c.withColumn("update_time", F.col("create_time"))),
+        "directories": Change(catalog.rollup(c)),
         "paragraphs": Change(para),
         **own.index.changes(para, None, "para_id", "content"),
     })
@@ -137,6 +138,50 @@ SELECT '{TASK[0]}' AS directory_path, 'active' AS status, (SELECT count(*) FROM
   (SELECT sum(n) FROM cost WHERE k = 0)::BIGINT AS full_cost, coalesce((SELECT sum(n) FROM cost WHERE k = 1), 0)::BIGINT AS incremental_cost, 2 AS hit_count"""
 
 
+DIRECTORIES = ["/corp/", "/corp/src1/", "/corp/src2/es/", "/corp/src0/fr/", "/none/"]
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine whose Spanish documents of three digits went and whose German ones were changed."""
+    own = _engine(spark, sf_dir)
+    own.delete(F.col("file_path").rlike(r"/es/\d{3}\."))
+    own.put(corpus(spark, sf_dir).filter("lang = 'de' AND length(text) < 2000").select("file_path", F.concat("text", F.lit(" more")).alias("markdown"), F.expr("create_time + INTERVAL 1 DAY").alias("modified")))
+    return own
+
+
+def kept_directory_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directory counts kept by deltas over a deletion and a change."""
+    return _changed(spark, sf_dir).directory_status(DIRECTORIES)
+
+
+def kept_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(spark, sf_dir).path_levels()
+
+
+_NOW = f"""WITH {C}, d AS (SELECT doc_id, file_path, CASE WHEN lang = 'de' AND length(text) < 2000 THEN '{schemas.INDEXED}' ELSE state END AS state FROM c WHERE NOT regexp_matches(file_path, '/es/[0-9]{{3}}[.]'))"""
+KEPT_SQL = f"""{_NOW} SELECT directory_path, count(doc_id) AS total, count(*) FILTER (state = '{schemas.INDEXED}') AS indexed, count(*) FILTER (state = '{schemas.ERROR}') AS failed,
+CASE WHEN count(doc_id) = 0 THEN '0%' ELSE printf('%.1f%%', 100.0::DOUBLE * count(*) FILTER (state = '{schemas.INDEXED}') / count(doc_id)) END AS rate
+FROM {values_sql([(d,) for d in DIRECTORIES], 'directory_path')} LEFT JOIN d ON starts_with(file_path, directory_path) GROUP BY 1"""
+KEPT_LEVELS_SQL = f"""{_NOW}, p AS (SELECT string_split(substr(file_path, 2), '/') AS x FROM d)
+SELECT level::INT AS level, count(DISTINCT array_to_string(x[1:level], '/')) AS prefixes FROM p, range(1, 5) r(level) WHERE level <= len(x) GROUP BY 1"""
+
+
+def similar_question_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the turns of users, those like a conversation's first one."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    asked = turns.filter("turn = 0").select(F.col("conv_id").alias("id"), F.col("text").alias("question"))
+    every = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question"))
+    return rounded(similar.similar_pairs(asked, every, 0.75), "similarity")
+
+
+PAIRS_SQL = r"""WITH u AS (SELECT conv_id, turn, regexp_replace(lower(text), '\s+', '', 'g') AS t FROM conversations WHERE role = 'user'),
+g AS (SELECT conv_id, turn, gram, count(*) AS n FROM (SELECT conv_id, turn, unnest(list_transform(range(1, greatest(length(t), 1)), lambda i: substr(t, i, 2))) AS gram FROM u) GROUP BY ALL),
+z AS (SELECT conv_id, turn, sum(n) AS total FROM g GROUP BY ALL),
+s AS (SELECT a.conv_id AS asked_id, b.conv_id * 1000 + b.turn AS id, sum(least(a.n, b.n)) AS shared, a.conv_id AS x, b.conv_id AS y, b.turn AS w FROM g a JOIN g b USING (gram) WHERE a.turn = 0 GROUP BY ALL)
+SELECT asked_id, id, round(2.0::DOUBLE * shared / (p.total + q.total), 6) AS similarity FROM s JOIN z p ON p.conv_id = x AND p.turn = 0 JOIN z q ON q.conv_id = y AND q.turn = w
+WHERE 2.0::DOUBLE * shared / (p.total + q.total) >= 0.75"""
+
+
 def tasks_above_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks at or above a query path."""
     return catalog.tasks_above(values(spark, TASKS, "id long, directory_path string, key_question string"), "/corp/src1/en/7.md").select("id", "directory_path")
@@ -273,6 +318,9 @@ QUERIES = {
     "fetched_content": (fetched_content, f"SELECT pos, id::BIGINT AS para_id, 0 AS ord, coalesce(text, '') AS content FROM {values_sql(list(enumerate(ASKED)), 'pos, id')} LEFT JOIN documents ON doc_id = id"),
     "simple_search": (simple_search, SIMPLE_SQL),
     "task_counters": (task_counters, TASK_SQL),
+    "kept_directory_status": (kept_directory_status, KEPT_SQL),
+    "kept_level_counts": (kept_level_counts, KEPT_LEVELS_SQL),
+    "similar_question_pairs": (similar_question_pairs, PAIRS_SQL),
     "tasks_above_path": (tasks_above_path, f"SELECT id::BIGINT AS id, directory_path FROM {values_sql(TASKS, 'id, directory_path, q')} WHERE starts_with('/corp/src1/en/7.md', directory_path)"),
     "time_predicates": (time_predicates, f"WITH {C} SELECT 'before' AS kind, doc_id FROM c WHERE create_time < TIMESTAMP '2024-03-01' UNION ALL SELECT 'state_before', doc_id FROM c WHERE create_time < TIMESTAMP '2024-06-01' AND state = '{schemas.SAVED}' UNION ALL SELECT 'within', doc_id FROM c WHERE create_time BETWEEN TIMESTAMP '2024-05-01' AND TIMESTAMP '2024-05-31'"),
     "directories_exist": (directories_exist, f"WITH {C} SELECT p AS path, EXISTS (SELECT 1 FROM c WHERE starts_with(file_path, rtrim(p, '/') || '/')) AS present FROM (VALUES ('/corp/src1'), ('/corp/none'), ('/corp/src1/en/')) v(p)"),
