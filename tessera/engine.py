@@ -33,6 +33,7 @@ TABLES = {
     #: Buckets of documents whose facts a task has, and the calls that were made for them.
     "progress": Table("step STRING, task_id LONG, bucket INT", "step"),
     "calls": Table("task_id LONG, bucket INT, g INT, batch INT, cost LONG, attempts INT, error STRING, question STRING", "task_id"),
+    "roots": Table("directory_path STRING", "directory_path"),
     "settings": Table("config_key STRING, config_value STRING, at LONG", "config_key"),
     "words": Table("word STRING, n DOUBLE", "word"),
     **index.TABLES,
@@ -45,8 +46,9 @@ class Engine:
     Every call reads one state of the store and makes its changes visible by one commit.
     """
 
-    def __init__(self, spark: SparkSession, location: str, model: plugins.LanguageModel | None = None, analyzer: search.Analyzer = search.STEMMED, listeners: list[Listener] | None = None, buckets: int = index.BUCKETS):
+    def __init__(self, spark: SparkSession, location: str, model: plugins.LanguageModel | None = None, analyzer: search.Analyzer = search.STEMMED, listeners: list[Listener] | None = None, buckets: int = index.BUCKETS, registry: plugins.Registry | None = None):
         self.spark = spark
+        self.registry = registry or plugins.Registry()
         self.location = location.rstrip("/")
         self.model = model
         self.listeners = list(listeners or [])
@@ -134,10 +136,10 @@ class Engine:
         found = self._written(found.unionByName(lost, allowMissingColumns=True), "changes")
         return self._apply(state, found)
 
-    def sync(self, roots: list[str], ignore: list[str] | None = None) -> DataFrame:
-        """ingest() of several folders; one row: total, success and the sorted failed ones. A folder that fails doesn't keep the others from being read."""
+    def sync(self, roots: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
+        """ingest() of several folders, of the registered ones unless given; one row: total, success and the sorted failed ones. A folder that fails doesn't keep the others from being read."""
         done = []
-        for root in roots:
+        for root in [r.directory_path for r in self.directories().orderBy("directory_path").toLocalIterator()] if roots is None else roots:
             try:
                 self.ingest(root, ignore)
                 done.append((root, True))
@@ -286,8 +288,21 @@ class Engine:
         return {"paragraphs": Change(None, gone), **self.index.changes(None, para), "facts": Change(None, read("facts").join(gone, "doc_id", "left_semi").select("pair"))}
 
     def upload(self, root: str, name: str, content: bytes) -> str:
-        """Put a file into a folder that ingest() reads; its path. A name that is taken is refused."""
-        return files.put(self.spark, root, name, content)
+        """Put a file into a folder, which from now on is one of directories(); its path. A name that is taken is refused."""
+        path = files.put(self.spark, root, name, content)
+        self.add_directory(root)
+        return path
+
+    def directories(self) -> DataFrame:
+        """(directory_path) of the folders that sync() reads unless told otherwise."""
+        return self.store.read("roots").select("directory_path")
+
+    def add_directory(self, root: str) -> None:
+        """Register a folder, once."""
+        state = self.store.state()
+        new = self.spark.createDataFrame([(root.rstrip("/"),)], "directory_path string")
+        if not new.join(self.store.read("roots", state), "directory_path", "left_anti").isEmpty():
+            self.store.commit({"roots": Change(new)}, state)
 
     # -- search -------------------------------------------------------------------------------
 
@@ -343,18 +358,44 @@ class Engine:
     def suggest_paths(self, keyword: str) -> DataFrame:
         return catalog.suggest_paths(self.documents().select("doc_id", F.col("file_path").alias("path")).withColumnRenamed("doc_id", "seq"), keyword)
 
+    def search_all(self, questions: list[str], path: str = "", total: int = 30) -> DataFrame:
+        """Hits of several queries like search(): a title once, an equal share of `total` to each query."""
+        found = []
+        for q, question in enumerate(questions):
+            query = plugins.rewrite_with(self.model, question, self.analyzer) if self.model and not q else search.rewrite(question, self.analyzer)
+            hits = self.search(dataclasses.replace(query, path_prefix=path, top_n=total))
+            found.append(hits.select(F.lit(q).alias("q"), F.col("rank").alias("pos"), "para_id", "score", "title", "snippet", "url"))
+        if len(found) == 1:
+            return found[0].select(F.col("pos").alias("rank"), "para_id", "score", "title", "snippet", "url")
+        kept = search.quota(catalog.union_all(found), len(found), total)  # at most `total` rows
+        once = F.row_number().over(Window.partitionBy("para_id").orderBy("q", "pos"))
+        kept = kept.withColumn("k", once).filter("k = 1")
+        return kept.select(F.row_number().over(Window.orderBy("q", "pos")).alias("rank"), "para_id", "score", "title", "snippet", "url")
+
     def answer(self, question: str, mode: str = "quickSearch", path: str = "", budget: int = chunk.BATCH) -> DataFrame:
-        """search: hits; quickSearch: one row, the prompt of the reranked best; deepSearch: facts by paragraph."""
+        """search: hits; quickSearch: one row, the prompt of the reranked best and its sources; deepSearch: facts by paragraph with their url.
+
+        The handler that is registered for the path answers; without one, this engine's index does. With a model, the question is
+        asked in several ways and the hits share the places.
+        """
+        handler = self.registry.of(path)
         if mode == "deepSearch":
-            return self.collect_facts(question, path, budget)[1]
-        query = plugins.rewrite_with(self.model, question, self.analyzer) if self.model else search.rewrite(question, self.analyzer)
-        hits = self.search(dataclasses.replace(query, path_prefix=path))
+            return handler.collect_facts(question, path) if handler else self.collect_facts(question, path, budget)[1]
+        if handler:
+            hits = handler.search(handler.rewrite(question))
+        else:
+            hits = self.search_all(plugins.queries_with(self.model, question) if self.model else [question], path)
         if mode == "search":
             return hits
-        full = hits.join(self.paragraphs().select("para_id", "content"), "para_id")
-        order = plugins.rerank_with(self.model, full, question, "para_id") if self.model else plugins.overlap_rerank(full, question, "para_id")
-        ranked = search.rerank(full.drop("rank"), order, "para_id").withColumnRenamed("pos", "rank")
-        return chunk.prompt(ranked.select("rank", "title", "content"), budget)
+        if handler:
+            ranked = handler.content(handler.rerank(hits, question))
+        else:
+            full = hits.join(self.paragraphs().select("para_id", "content"), "para_id")
+            order = plugins.rerank_with(self.model, full, question, "para_id") if self.model else plugins.overlap_rerank(full, question, "para_id")
+            ranked = search.rerank(full.drop("rank"), order, "para_id").withColumnRenamed("pos", "rank")
+        first = ranked.orderBy("rank").limit(chunk.DOCUMENTS)
+        sources = facts.result_list(first.select(F.col("rank").alias("seq"), F.col("title").alias("fact"), "url")).select(F.col("results").alias("sources"), "urls")
+        return chunk.prompt(ranked.select("rank", "title", "content"), budget).join(F.broadcast(sources))  # one row each
 
     # -- facts --------------------------------------------------------------------------------
 
@@ -363,7 +404,7 @@ class Engine:
         if path and not path.endswith("/"):
             hit = catalog.wildcard(F.col("file_path"), path) if "*" in path else F.col("file_path") == path
             rows = self._corpus().filter(hit).select("doc_id", "para_id", F.col("text").alias("content"))
-            return STRATEGIES[0], facts.by_paragraph(self._asked(rows, question, budget))
+            return STRATEGIES[0], self._sourced(facts.by_paragraph(self._asked(rows, question, budget)))
         state = self.store.state()
         above = catalog.tasks_above(self.store.read("tasks", state).filter(F.col("status") == facts.ACTIVE), path)
         asked = above.select("id", F.col("key_question").alias("question"))
@@ -374,9 +415,14 @@ class Engine:
             self.store.commit({"tasks": Change(self._written(used.join(order, F.col("id") == F.col("task_id"), "left_semi"), "hits"), order.select(F.col("task_id").alias("id")))}, state)
             self._clean()
             stored = self.facts().select("task_id", "para_id", "fact")
-            return STRATEGIES[2], facts.of_similar(stored, self.paragraphs(), self.documents(), order, path).select("para_id", F.col("fact").alias("facts"))
+            return STRATEGIES[2], facts.of_similar(stored, self.paragraphs(), self.documents(), order, path).select("para_id", F.col("fact").alias("facts"), F.col("file_path").alias("url"))
         rows = self._corpus().filter(catalog.under(F.col("file_path"), path)).select("doc_id", "para_id", F.col("text").alias("content"))
-        return STRATEGIES[1], facts.by_paragraph(self._asked(rows, question, budget))
+        return STRATEGIES[1], self._sourced(facts.by_paragraph(self._asked(rows, question, budget)))
+
+    def _sourced(self, found: DataFrame) -> DataFrame:
+        """Facts by paragraph (para_id, facts) with the url of their document."""
+        of = self.paragraphs().select("para_id", "doc_id").join(self.documents().select("doc_id", F.col("file_path").alias("url")), "doc_id")
+        return found.join(of.select("para_id", "url"), "para_id").orderBy("para_id")
 
     def _asked(self, rows: DataFrame, question: str, budget: int) -> DataFrame:
         """(para_id, seq, fact) of paragraphs (doc_id, para_id, content): the offline rule, or a model over batches of `budget` characters.

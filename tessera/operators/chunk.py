@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_SIZE, LEVELS, TITLE, RESERVE, BATCH = 5000, 5, 30, 1000, 28720
+#: Documents of a prompt.
+DOCUMENTS = 10
 
 
 def sections(content: str, level: int) -> list[str]:
@@ -106,7 +108,7 @@ def batches(items: DataFrame, group: str, order: str, size: str, cap: int = BATC
     return flat.select(group, *(F.col(f"x.{c}").alias(c) for c in others), "batch")
 
 
-def prompt(hits: DataFrame, budget: int, documents: int = 10) -> DataFrame:
+def prompt(hits: DataFrame, budget: int, documents: int = DOCUMENTS) -> DataFrame:
     """One row: the first documents with a header each, joined until the budget of characters is spent.
 
     hits: rank, title, content. The document that crosses the budget is cut there.

@@ -91,6 +91,15 @@ def rewrite_with(model: LanguageModel, question: str, analyzer: search.Analyzer
     return query if query.exact or query.required or query.optional else offline
 
 
+def queries_with(model: LanguageModel, question: str, most: int = 5) -> list[str]:
+    """The question and a model's other ways to ask it, a line each, at most `most` in all; the question alone if it fails."""
+    try:
+        said = model.complete(f"Write up to {most - 1} search queries, a line each, that help to answer: {question}")
+    except Exception:  # whatever the model answered, the question can be searched
+        said = ""
+    return search.queries_of(said, question)[:most]
+
+
 def quoted(terms: Column) -> Column:
     """Terms in double quotes, joined by blanks."""
     return F.array_join(F.transform(terms, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " ")
