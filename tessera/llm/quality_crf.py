@@ -7,8 +7,8 @@ consecutive labels. Forward-backward gives each line's probability of being good
 their mean weighted by line length, brought to a probability by a logistic fit on the training rows.
 
 Training is by gradient on the exact conditional likelihood, in numpy on the driver, from a bounded
-sample of labelled rows: at most DOCS documents a class and LINES lines in all, chosen by hash; a
-document that would exceed the lines is left out, those behind it are not. Each line's label is its document's. Long documents count as chains of CHAIN lines in training; a score
+sample of labelled rows: at most DOCS documents a class, LINES lines and BYTES bytes in all, chosen by hash; a
+document that would exceed these is left out, those behind it are not; of rows that share a doc_id the smallest text is learned from. Each line's label is its document's. Long documents count as chains of CHAIN lines in training; a score
 uses the whole document as one chain.
 
 Defined results: a null, empty or blank text has no lines and gets the share of good training rows;
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DOCS, LINES = 3_000, 120_000
+DOCS, LINES, BYTES = 3_000, 120_000, 64 << 20
 BINS, CHAIN = 10, 64
 STEPS, RATE, RIDGE = 160, 0.08, 1e-4
 THRESHOLD = 0.7
@@ -213,18 +213,18 @@ def train(docs: DataFrame, labels: DataFrame) -> LineCrf:
     # ids of at most about 2 * DOCS rows: within the counted broadcast bound
     chosen = known.filter(rank < limit).limit(3 * DOCS)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter("text IS NOT NULL")
-    rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("lines", F.size(F.split("text", "\n")))
-    rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit(1)))
-    sizes = rows.select("h", "lines").toPandas().sort_values(["h", "lines"])
-    taken, used = [], 0
-    for h, n in zip(sizes["h"], sizes["lines"]):
-        if used + n <= LINES:
-            taken.append((int(h), int(n)))
-            used += n
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = rows.withColumns({"lines": F.size(F.split("text", "\n")), "size": F.octet_length("text"), "h": F.xxhash64("doc_id", F.lit(1))})
+    sizes = rows.select("doc_id", "h", "lines", "size").toPandas().sort_values(["h", "doc_id"])
+    taken, used, held = [], 0, 0
+    for i, n, size in zip(sizes["doc_id"], sizes["lines"], sizes["size"]):
+        if used + n <= LINES and held + size <= BYTES:
+            taken.append((int(i),))
+            used, held = used + n, held + size
     if not taken:
         return LineCrf(base)
-    within = docs.sparkSession.createDataFrame(sorted(set(taken)), "h long, lines int")
-    got = rows.join(F.broadcast(within), ["h", "lines"]).select("doc_id", "text", "quality").toPandas().sort_values(["doc_id", "text"])
+    within = docs.sparkSession.createDataFrame(taken, "doc_id long")
+    got = rows.join(F.broadcast(within), "doc_id").select("doc_id", "text", "quality").toPandas().sort_values("doc_id")
     return LineCrf(base).fit(got["text"].tolist(), got["quality"].to_numpy())
 
 
