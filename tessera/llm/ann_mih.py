@@ -21,7 +21,8 @@ neighbours that exist. `probed` is the number of entries that a query's buckets
 
 Defined results: vectors that are null, zero or hold null or non-finite components, rows with a null
 id, and vectors of another than the most frequent length take no part; rows that share an id are
-candidates each, but not for queries of that id; a query row that repeats counts once. Of vectors
+candidates each, but not for queries of that id, which asks once, with the smallest of its vectors
+(componentwise from the left). Of vectors
 equally far the smaller id comes first. An empty table gives an empty result; other columns are not read.
 """
 
@@ -222,7 +223,8 @@ def search(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id
     cells = common.materialize(cells, "cells")
     index = index.join(F.broadcast(cells), ["part", "prefix"]).withColumn("block", F.expr("int(pmod(xxhash64(row), blocks))"))
 
-    queries = base.filter(is_query).dropDuplicates(["vec_id"]).select("vec_id", "v", "codes")
+    asked = base.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "codes")).alias("q"))
+    queries = asked.select("vec_id", "q.v", "q.codes")
     queries = common.materialize(queries, "queries")
     radius, found = coder.radius, []
     order = Window.partitionBy("query_id").orderBy(F.desc("found"), "score", "vec_id")

@@ -1,4 +1,5 @@
 import itertools
+import os
 import zlib
 
 import numpy as np
@@ -157,6 +158,34 @@ def test_quality_of_tables(spark, sf, odd, none):
     assert {r.score for r in qc.scored(odd, one).collect()} == {1.0}
 
 
+def test_quality_of_held_out_documents(spark):
+    """Ranks on documents that were not learned from, at a size where there are enough of them."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    got = qc.op9_quality_classifier(spark, sf).filter("held_out").toPandas()
+    known = spark.read.parquet(f"{sf}/labels.parquet").toPandas().merge(got, on="doc_id")
+    good, bad = (known[known["quality"] == q]["score"].to_numpy() for q in (1, 0))
+    auc = ((good[:, None] > bad).mean() + (good[:, None] == bad).mean() / 2) if len(good) and len(bad) else 0
+    assert len(known) > 50 and auc > 0.95, (len(known), auc)
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    rows = [(k, ("Fine words here.\n" if k % 2 else "!! BAD | 77 !!\n") * 3) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    fitted = []
+    monkeypatch.setattr(qc.LineCrf, "fit", lambda self, texts, y: fitted.append((sorted(texts), sorted(y))) or self)
+    frame = lambda more: spark.createDataFrame(rows + more, "doc_id long, text string")
+    qc.train(frame([]), labels)
+    # repeated rows, and rows of other text under a known id, are one document
+    qc.train(frame(rows[:20] * 3 + [(1, "zzz " * 1000)]), labels)
+    assert fitted[0] == fitted[1] and len(fitted[0][0]) == 40
+    # one line of very many bytes costs no other document
+    monkeypatch.setattr(qc, "BYTES", 10_000)
+    qc.train(frame([(50 + k, "x" * 9_000) for k in range(5)]), labels)
+    assert sum(map(len, fitted[2][0])) <= 10_000 and len(fitted[2][0]) >= 20
+
+
 def test_a_document_of_too_many_lines_costs_no_other(spark, monkeypatch):
     monkeypatch.setattr(qc, "LINES", 200)
     rows = [(k, ("Fine words here.\n" if k % 2 else "!! BAD | 77 !!\n") * 3) for k in range(40)] + [(100 + k, "long\n" * 500) for k in range(12)]
@@ -236,6 +265,19 @@ def test_a_common_vector_and_ties(spark, monkeypatch):
     assert got["query_id"].nunique() == 6
 
 
+def test_an_id_of_several_vectors_asks_once(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, r.normal(size=16).tolist()) for k in range(60)]
+    other = [(0, r.normal(size=16).tolist()), (0, rows[0][1])]
+    runs = []
+    for order in (1, -1):
+        got = ann.search(spark.createDataFrame((rows + other)[::order], "vec_id long, embedding array<double>").repartition(3), "vec_id = 0", 5).collect()
+        runs.append(sorted(map(tuple, (x[:4] for x in got))))
+    asked = np.array(min([rows[0][1], other[0][1]]))
+    far = {i: float(np.sqrt(((np.array(v) - asked) ** 2).sum())) for i, v in rows}
+    assert runs[0] == runs[1] and len(runs[0]) == 5 and all(score == pytest.approx(far[i]) for _, _, i, score in runs[0])
+
+
 def test_ann_of_odd_rows(spark):
     x = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 2.0]])
     odd = [(100, None), (101, [0.0, 0.0]), (102, [1.0, None]), (103, [float("nan"), 1.0]), (104, [float("inf"), 1.0]), (None, [1.0, 1.0]), (105, []), (106, [1.0]), (0, [1.0, 0.0])]
