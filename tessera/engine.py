@@ -6,7 +6,7 @@ import dataclasses
 import threading
 import uuid
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,9 +43,12 @@ TABLES = {
 class Engine:
     """documents, their paragraphs, an index of paragraphs, standing tasks and their facts, in one store.
 
-    Every call reads one state of the store and makes its changes visible by one commit.
+    Every call reads one state of the store and makes its changes visible by one commit; a refresh by several.
     """
 
+    #: Paragraphs of a refresh's commit, without and with a model.
+    PARAGRAPHS, CALLS = 10_000_000, 2_000
+
     def __init__(self, spark: SparkSession, location: str, model: plugins.LanguageModel | None = None, analyzer: search.Analyzer = search.STEMMED, listeners: list[Listener] | None = None, buckets: int = index.BUCKETS, registry: plugins.Registry | None = None):
         self.spark = spark
         self.registry = registry or plugins.Registry()
@@ -470,8 +473,8 @@ class Engine:
     def refresh_tasks(self, full: bool = False) -> None:
         """Extract what open tasks lack (everything of all tasks if full) and make them active.
 
-        Each bucket of documents is a commit with its facts, costs and the tasks that have done it, so a run that is cut short goes on with
-        the bucket where it stopped. A task of which a call failed becomes FAILED with the error; its other buckets stay done.
+        Every few buckets of documents (of PARAGRAPHS paragraphs, or CALLS of them with a model) are a commit with their facts, costs and
+        the tasks that have done them, so a run that is cut short goes on with the commit where it stopped. A task of which a call failed becomes FAILED with the error; its other buckets stay done.
         """
         if full:
             state = self.store.state()
@@ -480,36 +483,48 @@ class Engine:
             empty = {name: Change(self.spark.createDataFrame([], TABLES[name].schema), everything=True) for name in ("facts", "progress", "calls")}
             self.store.commit({**empty, "tasks": Change(self._written(blank, "tasks"), old.select("id"))}, state)
         open_ = F.col("status").isin(facts.PENDING, facts.PROCESSING, facts.FAILED)
-        ids = self.tasks().filter(open_).select(F.col("id").alias("task_id"))
-        step = F.concat_ws(":", "task_id", "bucket")
-        lacking = ids.select("task_id", F.explode(F.sequence(F.lit(0), F.lit(self.index.buckets - 1))).alias("bucket")).withColumn("step", step)
-        todo = sorted(r.bucket for r in lacking.join(self.store.read("progress").select("step"), "step", "left_anti").select("bucket").distinct().collect())
-        for b in todo:
-            self._refresh_bucket(b, open_, step)
+        state = self.store.state()
+        todo = {r.bucket for r in self._lacking(state, open_, range(self.index.buckets)).select("bucket").distinct().collect()}
+        sizes = {r.bucket: r.n for r in self.store.read("paragraphs", state).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+        most = self.PARAGRAPHS if self.model is None else self.CALLS
+        step: list[int] = []
+        for b in sorted(todo):
+            if step and sum(sizes.get(x, 0) for x in [*step, b]) > most:
+                self._refresh(step, open_)
+                step = []
+            step.append(b)
+        if step:
+            self._refresh(step, open_)
         self._settle(open_)
 
-    def _refresh_bucket(self, bucket: int, open_: Column, step: Column) -> None:
+    def _lacking(self, state: tuple[int, dict], open_: Column, buckets: Iterable[int]) -> DataFrame:
+        """(task_id, key_question, bucket, step) of open tasks and those of the buckets that they haven't done."""
+        tasks = self.store.read("tasks", state).filter(open_)
+        each = tasks.select(F.col("id").alias("task_id"), "key_question", F.explode(F.array(*map(F.lit, buckets))).alias("bucket"))
+        return each.withColumn("step", F.concat_ws(":", "task_id", "bucket")).join(self.store.read("progress", state).select("step"), "step", "left_anti")
+
+    def _refresh(self, buckets: list[int], open_: Column) -> None:
+        """One commit: the facts of some buckets for the tasks that lack them."""
         state = self.store.state()
         read = lambda name, only=None: self.store.read(name, state, only)
-        done = read("progress").filter(F.col("bucket") == bucket).select(F.col("task_id").alias("id"))
-        lack = read("tasks").filter(open_).join(done, "id", "left_anti")
-        live = read("documents").filter(F.col("state") == schemas.INDEXED).filter(self.bucket() == bucket).select("doc_id", "file_path")
-        asked = bounded.broadcast(lack.select(F.col("id").alias("task_id"), "key_question"))
-        own = catalog.tasks_for_paths(live, lack).join(live, "file_path").join(asked, "task_id")
-        rows = read("paragraphs", F.col("bucket") == bucket).join(own, "doc_id")
+        tasks = read("tasks").filter(open_)
+        lack = self._written(self._lacking(state, open_, buckets), "lack")
+        live = read("documents").filter(F.col("state") == schemas.INDEXED).select("doc_id", "file_path", self.bucket().alias("bucket")).filter(F.col("bucket").isin(buckets))
+        own = catalog.tasks_for_paths(live, tasks).join(live, "file_path").join(bounded.broadcast(lack.drop("step")), ["task_id", "bucket"])
+        rows = read("paragraphs", F.col("bucket").isin(buckets)).drop("bucket").join(own, "doc_id")
         fresh, cost, calls = self._extracted(rows)
-        told = lack.select(F.col("id").alias("task_id"), F.lit(bucket).alias("bucket")).withColumn("step", step)
-        change = {}
+        told, change = lack.select("step", "task_id", "bucket"), {}
         if calls is not None:
-            bad = calls.filter("error IS NOT NULL").select("task_id").distinct()
-            told = told.join(bad, "task_id", "left_anti")
-            fresh = fresh.join(bad, "task_id", "left_anti")  # asked again as a whole
+            bad = calls.filter("error IS NOT NULL").select("task_id", "bucket").distinct()
+            told = told.join(bad, ["task_id", "bucket"], "left_anti")
+            lost = rows.select("task_id", "bucket", "para_id").join(bad, ["task_id", "bucket"], "left_semi")
+            fresh = fresh.join(lost.select("task_id", "para_id"), ["task_id", "para_id"], "left_anti")  # asked again as a whole
             change["calls"] = Change(calls)
-        spent = lack.join(cost.withColumnRenamed("task_id", "id"), "id").withColumns({
+        spent = tasks.join(cost.withColumnRenamed("task_id", "id"), "id").withColumns({
             "full_cost": F.coalesce("full_cost", F.lit(0).cast("long")) + F.coalesce("cost", F.lit(0).cast("long")), "status": F.lit(facts.PROCESSING),
         })
-        tasks = self._written(spent.select(lack.columns), "tasks")
-        self.store.commit({"facts": Change(fresh), "progress": Change(self._written(told, "progress")), "tasks": Change(tasks, tasks.select("id")), **change}, state)
+        spent = self._written(spent.select(tasks.columns), "tasks")
+        self.store.commit({"facts": Change(fresh), "progress": Change(self._written(told, "progress")), "tasks": Change(spent, spent.select("id")), **change}, state)
         self._clean()
 
     def _settle(self, open_: Column) -> None:
