@@ -92,13 +92,23 @@ def features(transitions: list[float], words: list[str]) -> dict[str, str]:
     n = len(ALPHABET)
     place = lambda i: f"instr('{ALPHABET}', substring(shape, {i}, 1))"
     ratio = f"element_at(array({', '.join(f'{x}D' for x in transitions)}), ({place('i')} - 1) * {n} + {place('i + 1')})"
-    known = "|".join(sorted((w for w in set(words) if len(w) > 2), key=lambda w: (-len(w), w)))
+    known = longest_of({w for w in words if len(w) > 2})
     return FEATURES | {
         "pairs": f"IF(length(shape) > 1, aggregate(sequence(1, length(shape) - 1), 0D, (s, i) -> s + {ratio}) / (length(shape) - 1), 0D)",
         "covered": f"1 - length(regexp_replace({_LOW}, '{known}', '')) / length(value)" if known else "0D",
     }
 
 
+def longest_of(words: set[str]) -> str:
+    """A pattern for the longest of some words of letters at a place: alternatives part at their first different letter, so a letter rules out all words but those that go on with it."""
+    out = []
+    for first in sorted({w[0] for w in words if w}):
+        rest = {w[1:] for w in words if w.startswith(first)}
+        more = longest_of(rest - {""})
+        out.append(first + (f"(?:{more})?" if more and "" in rest else f"(?:{more})" if more else ""))
+    return "|".join(out)
+
+
 def learned_transitions(labelled: DataFrame) -> list[float]:
     """Log ratios of each pair's share in secrets and in look-alikes, each pair counted once more."""
     pairs = labelled.filter("length(value) > 1").select("label", F.explode(F.expr(f"transform(sequence(1, length(value) - 1), i -> substring({SHAPE}, i, 2))")).alias("pair"))

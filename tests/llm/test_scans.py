@@ -277,6 +277,16 @@ def test_transitions_are_learned(spark):
         assert abs(at(pair) - (math.log(of[0] / (7 + size)) - math.log(of[1] / (14 + size)))) < 1e-5
 
 
+def test_the_pattern_of_words_takes_the_longest():
+    r = random.Random(4)
+    for _ in range(200):
+        words = {"".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 25))}
+        plain = "|".join(sorted(words, key=lambda w: (-len(w), w)))
+        text = "".join(r.choice("abcd") for _ in range(60))
+        assert re.findall(ss.longest_of(words), text) == re.findall(plain, text)
+    assert ss.longest_of(set()) == ""
+
+
 def test_dictionary_counts_all_texts(spark):
     rows = spark.createDataFrame([("some words, Some words",), (None,), ("other words an internationalisations",)], "text string")
     assert ss.dictionary(rows, n=2) == ["words", "some"] and ss.dictionary(rows) == ["words", "some", "other"]
