@@ -56,6 +56,11 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return F.regexp_replace(path, "^/+", "").rlike(ignore_regex(patterns))
 
 
+def valid(pattern: Column) -> Column:
+    """Whether a trimmed pattern starts with a name, *, . or / and holds nothing else but names, blanks, brackets, *, ?, ! and -."""
+    return pattern.rlike(r"^[A-Za-z0-9_*./\[][A-Za-z0-9_*./\[\]\-!? ]*$")
+
+
 def validate(patterns: list[str]) -> tuple[list[str], list[str]]:
     """(valid, invalid): trimmed, blanks dropped, repeats dropped; a pattern starts with a name, *, . or /."""
     seen = list(dict.fromkeys(p.strip() for p in patterns if p and p.strip()))

@@ -286,6 +286,14 @@ def tasks_above(tasks: DataFrame, path: str) -> DataFrame:
     return tasks.filter(F.col("directory_path").isin(above))
 
 
+def present(directories: DataFrame, documents: DataFrame) -> DataFrame:
+    """directories (path) with whether any document (file_path) lies below, by equality on the documents' ancestors."""
+    asked = directories.select("path", F.concat(F.regexp_replace("path", "/+$", ""), F.lit("/")).alias("directory_path"))
+    above = documents.select(F.explode(ancestors(F.col("file_path"))).alias("directory_path"))
+    held = above.join(bounded.broadcast(asked.select("directory_path")), "directory_path", "left_semi").distinct().withColumn("present", F.lit(True))
+    return asked.join(held, "directory_path", "left").select("path", F.coalesce("present", F.lit(False)).alias("present"))
+
+
 def exists(table: DataFrame, condition: Column) -> bool:
     return not table.filter(condition).isEmpty()
 

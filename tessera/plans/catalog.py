@@ -154,14 +154,13 @@ PREFIX_SQL = f"""WITH {C}, h AS (SELECT doc_id, handler, row_number() OVER (PART
 FROM c LEFT JOIN {values_sql(HANDLERS[1:], 'path_prefix, handler')} ON starts_with(file_path, path_prefix)) SELECT doc_id, coalesce(handler, 'default') AS handler FROM h WHERE k = 1"""
 
 PLUGINS = [("/corp/src1/en/a", "p1"), ("/corp/src1/en/bb", "p2"), ("/corp/src12/x", "p3"), ("/corp/src12/y", "p4")]
-ASKED = [("/corp/src1/en/9.md",), ("/corp/src12/de",), ("/nowhere/x",)]
 
 
 def plugin_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.plugin_of(values(spark, ASKED, "path string"), values(spark, PLUGINS, "path string, plugin string"), "default")
+    return catalog.plugin_of(corpus(spark, sf_dir).select(F.col("file_path").alias("path")), values(spark, PLUGINS, "path string, plugin string"), "default")
 
 
-PLUGIN_SQL = f"""WITH q AS (SELECT path, regexp_extract(path, '^(.*/)[^/]*$', 1) AS dir FROM {values_sql(ASKED, 'path')}),
+PLUGIN_SQL = f"""WITH {C}, q AS (SELECT file_path AS path, regexp_extract(file_path, '^(.*/)[^/]*$', 1) AS dir FROM c),
 h AS (SELECT q.path, plugin, row_number() OVER (PARTITION BY q.path ORDER BY length(own) DESC NULLS LAST, own) AS k FROM q LEFT JOIN (SELECT * FROM {values_sql(PLUGINS, 'own, plugin')}) p ON starts_with(own, dir))
 SELECT path, coalesce(plugin, 'default') AS plugin FROM h WHERE k = 1"""
 

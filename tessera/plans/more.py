@@ -13,11 +13,10 @@ from ..operators import catalog, chunk, facts, search, similar
 from ..operators.tables import Change
 from ..sources import files, web
 from .base import C, corpus, docs, rounded, scratch, table, tokens_sql, values, values_sql
-from .facts import BATCH_SQL, FACTS, TASKS, facts_extract
+from .facts import BATCH_SQL, FACTS, facts_extract
 from .search import counted_sql, score_sql
 
 TEMPLATES = [("src0", "a"), ("src1", "b"), ("src2", "c"), ("unused", "d")]
-SETTINGS = [("n", "5"), ("s", '"quoted"'), ("bad", "five"), ("flag", "true")]
 ASKED = [30, 999999999, 4, 17]
 
 
@@ -72,9 +71,18 @@ def unfinished_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def setting_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = values(spark, SETTINGS, "config_key string, config_value string")
+    """Settings read as a number, a quoted text, a number that isn't one, a flag, and one that is absent."""
+    d = docs(spark, sf_dir)
+    s = d.groupBy(F.col("source").alias("config_key")).agg(F.max("doc_id").cast("string").alias("config_value"))
+    s = s.unionByName(d.select(F.col("lang").alias("config_key"), F.concat(F.lit('"'), "lang", F.lit('"')).alias("config_value")).distinct())
+    s = s.unionByName(d.groupBy(F.concat("source", F.lit(".on")).alias("config_key")).agg((F.count(F.lit(1)) > 0).cast("string").alias("config_value")))
     one = lambda key, kind, default: files.setting(s, key, kind, default).select(F.lit(key).alias("config_key"), F.col("value").cast("string").alias("value"))
-    return one("n", "int", 1).union(one("s", "string", "")).union(one("bad", "int", 7)).union(one("flag", "boolean", False)).union(one("none", "int", 8))
+    return catalog.union_all([one("src1", "int", 1), one("en", "string", ""), one("de", "int", 7), one("src1.on", "boolean", False), one("none", "int", 8)])
+
+
+SETTINGS_SQL = """SELECT 'src1' AS config_key, coalesce(max(doc_id)::VARCHAR, '1') AS value FROM documents WHERE source = 'src1'
+UNION ALL SELECT 'en', coalesce(max(lang), '') FROM documents WHERE lang = 'en' UNION ALL SELECT 'de', '7'
+UNION ALL SELECT 'src1.on', (count(*) > 0)::VARCHAR FROM documents WHERE source = 'src1' UNION ALL SELECT 'none', '8'"""
 
 
 def _engine(spark: SparkSession, sf_dir: str) -> Engine:
@@ -183,8 +191,13 @@ WHERE 2.0::DOUBLE * shared / (p.total + q.total) >= 0.75"""
 
 
 def tasks_above_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks at or above a query path."""
-    return catalog.tasks_above(values(spark, TASKS, "id long, directory_path string, key_question string"), "/corp/src1/en/7.md").select("id", "directory_path")
+    """Of a task for each document's directory, those at or above a query path."""
+    tasks = corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat(F.lit("/corp/"), "source", F.lit("/"), F.when(F.col("doc_id") % 3 > 0, F.concat("lang", F.lit("/"))).otherwise("")).alias("directory_path"))
+    return catalog.tasks_above(tasks, "/corp/src1/en/7.md")
+
+
+TASKS_ABOVE_SQL = f"""WITH {C}, t AS (SELECT doc_id AS id, '/corp/' || source || '/' || CASE WHEN doc_id % 3 > 0 THEN lang || '/' ELSE '' END AS directory_path FROM c)
+SELECT id, directory_path FROM t WHERE starts_with('/corp/src1/en/7.md', directory_path)"""
 
 
 def time_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,20 +213,23 @@ def time_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def directories_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir)
-    return values(spark, [(p, catalog.exists(c, catalog.below(F.col("file_path"), p))) for p in ("/corp/src1", "/corp/none", "/corp/src1/en/")], "path string, present boolean")
-
-
-PATTERNS = [" build ", "", "*.tmp", "build", "a|b", "-x", "src/**", "?"]
+    return catalog.present(values(spark, [("/corp/src1",), ("/corp/none",), ("/corp/src1/en/",)], "path string"), corpus(spark, sf_dir))
 
 
 def pattern_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, bad = globs.validate(PATTERNS)
-    return values(spark, [(p, True) for p in good] + [(p, False) for p in bad], "pattern string, valid boolean")
+    """Ignore patterns made of documents' paths, trimmed, with whether they are valid."""
+    k, c = F.col("doc_id") % 6, corpus(spark, sf_dir)
+    made = (
+        F.when(k == 0, F.concat(F.lit(" **/"), "source", F.lit("/** "))).when(k == 1, F.concat(F.lit("*."), "ext")).when(k == 2, F.concat(F.lit("-"), "lang"))
+        .when(k == 3, F.concat("source", F.lit("|"), "lang")).when(k == 4, F.concat("source", F.lit("/[a-z]?/!"), "lang")).otherwise("  ")
+    )
+    pattern = c.withColumn("ext", tx.extension(F.col("file_path"))).select(F.trim(made).alias("pattern")).distinct().filter("pattern <> ''")
+    return pattern.withColumn("valid", globs.valid(F.col("pattern")))
 
 
-PATTERN_SQL = rf"""SELECT DISTINCT trim(p) AS pattern, regexp_matches(trim(p), '^[A-Za-z0-9_*./\[]') AND regexp_full_match(trim(p), '[A-Za-z0-9_*./\[\]\-!? ]+') AS valid
-FROM {values_sql([(p,) for p in PATTERNS], 'p')} WHERE trim(p) <> ''"""
+PATTERN_SQL = rf"""WITH {C}, p AS (SELECT DISTINCT trim(CASE doc_id % 6 WHEN 0 THEN ' **/' || source || '/** ' WHEN 1 THEN '*.' || ext WHEN 2 THEN '-' || lang
+WHEN 3 THEN source || '|' || lang WHEN 4 THEN source || '/[a-z]?/!' || lang ELSE '  ' END) AS pattern FROM c)
+SELECT pattern, regexp_matches(pattern, '^[A-Za-z0-9_*./\[]') AND regexp_full_match(pattern, '[A-Za-z0-9_*./\[\]\-!? ]+') AS valid FROM p WHERE pattern <> ''"""
 
 
 def worker_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,14 +330,14 @@ QUERIES = {
     "valid_facts": (valid_facts, f"WITH {C}, {FACTS} SELECT f.para_id, f.seq::INT AS seq, fact, file_path AS url FROM f JOIN c ON c.doc_id = f.para_id WHERE lang <> 'de'"),
     "single_batches": (single_batches, "SELECT doc_id, k - 1 AS ord, k AS batch FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS k FROM documents)"),
     "unfinished_paragraphs": (unfinished_paragraphs, "SELECT doc_id AS para_id, lang FROM documents WHERE doc_id > 500"),
-    "setting_values": (setting_values, f"SELECT * FROM {values_sql([('n', '5'), ('s', 'quoted'), ('bad', '7'), ('flag', 'true'), ('none', '8')], 'config_key, value')}"),
+    "setting_values": (setting_values, SETTINGS_SQL),
     "fetched_content": (fetched_content, f"SELECT pos, id::BIGINT AS para_id, 0 AS ord, coalesce(text, '') AS content FROM {values_sql(list(enumerate(ASKED)), 'pos, id')} LEFT JOIN documents ON doc_id = id"),
     "simple_search": (simple_search, SIMPLE_SQL),
     "task_counters": (task_counters, TASK_SQL),
     "kept_directory_status": (kept_directory_status, KEPT_SQL),
     "kept_level_counts": (kept_level_counts, KEPT_LEVELS_SQL),
     "similar_question_pairs": (similar_question_pairs, PAIRS_SQL),
-    "tasks_above_path": (tasks_above_path, f"SELECT id::BIGINT AS id, directory_path FROM {values_sql(TASKS, 'id, directory_path, q')} WHERE starts_with('/corp/src1/en/7.md', directory_path)"),
+    "tasks_above_path": (tasks_above_path, TASKS_ABOVE_SQL),
     "time_predicates": (time_predicates, f"WITH {C} SELECT 'before' AS kind, doc_id FROM c WHERE create_time < TIMESTAMP '2024-03-01' UNION ALL SELECT 'state_before', doc_id FROM c WHERE create_time < TIMESTAMP '2024-06-01' AND state = '{schemas.SAVED}' UNION ALL SELECT 'within', doc_id FROM c WHERE create_time BETWEEN TIMESTAMP '2024-05-01' AND TIMESTAMP '2024-05-31'"),
     "directories_exist": (directories_exist, f"WITH {C} SELECT p AS path, EXISTS (SELECT 1 FROM c WHERE starts_with(file_path, rtrim(p, '/') || '/')) AS present FROM (VALUES ('/corp/src1'), ('/corp/none'), ('/corp/src1/en/')) v(p)"),
     "pattern_validation": (pattern_validation, PATTERN_SQL),

@@ -58,6 +58,13 @@ def test_columns(spark, sql, want):
     assert spark.range(1).select(sql()).first()[0] == want
 
 
+def test_patterns_are_judged_alike(spark):
+    patterns = ["build", "*.tmp", "a|b", "-x", "src/**", "?", "[a]", "a b", "é", "./x", "a\nb", "_a", "!a"]
+    rows = spark.createDataFrame([(p,) for p in patterns], "p string").select("p", globs.valid(F.col("p")).alias("v")).collect()
+    good, _ = globs.validate(patterns)
+    assert {r.p for r in rows if r.v} == set(good)
+
+
 def test_like_pattern(spark):
     rows = spark.createDataFrame([("/a_b/c",), ("/axb/c",)], "p string")
     assert [r.p for r in rows.filter(F.col("p").like(text.like_pattern("/a_*"))).collect()] == ["/a_b/c"]
