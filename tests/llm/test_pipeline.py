@@ -53,7 +53,7 @@ def test_registered(spark):
     import __spark_entry__
 
     names = list(__spark_entry__.queries())
-    assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 14))
 
 
 def test_near_copies_from_80_on_are_removed(spark):
