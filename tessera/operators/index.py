@@ -27,7 +27,7 @@ BUCKETS = 64
 #: Terms that are looked for one by one in a row's tokens.
 FEW = 4
 #: Longest term that is kept under what deletions leave of it.
-SHORT = 12
+SHORT = 6
 EDITS = search.EDITS
 
 
